@@ -53,9 +53,10 @@ def rolling_corr(a: Column, b: Column, w: WindowSpec, n: int, min_rows: int) ->
     """Pearson correlation of the pairs where both sides exist; undefined correlation is null."""
     both = a.isNotNull() & b.isNotNull()
     frame = last_n(w, n)
-    corr = F.corr(F.when(both, a), F.when(both, b)).over(frame)
-    enough = F.count(F.when(both, F.lit(1))).over(frame) >= min_rows
-    return F.when(enough & ~F.isnan(corr), corr)
+    x, y = F.when(both, a), F.when(both, b)
+    spread = F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame)
+    enough = F.count(x).over(frame) >= min_rows
+    return F.when(enough & (spread > 0), F.covar_samp(x, y).over(frame) / spread)
 
 
 def nearest_quantile(value: Column, frame: WindowSpec, q: float, min_rows: int = 1) -> Column:
@@ -103,6 +104,10 @@ def finite(value: Column) -> Column:
 EWM_BLOCK = 256
 
 
+def _decayed_sum(decay: float):
+    return lambda total, end: total * F.lit(decay) + end
+
+
 def with_ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], keys: list[str], order: list[str],
              block: int = EWM_BLOCK) -> DataFrame:
     """Exponentially weighted means ``s = (1-a)*s + a*x`` seeded by the first non-null value.
@@ -128,8 +133,7 @@ def with_ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], keys: list
     for out, (c, a, _) in specs.items():
         ends = F.collect_list(F.when(F.col("_off") == block - 1, F.col(f"_l_{out}"))).over(
             w.rowsBetween(Window.unboundedPreceding, -1))
-        decay = (1.0 - a) ** block
-        tails[out] = F.aggregate(ends, F.lit(0.0), lambda acc, e, d=decay: acc * F.lit(d) + e)
+        tails[out] = F.aggregate(ends, F.lit(0.0), _decayed_sum((1.0 - a) ** block))
     df = df.withColumns({f"_t_{o}": t for o, t in tails.items()})
     cols = {}
     for out, (c, a, min_rows) in specs.items():
