@@ -104,10 +104,6 @@ def finite(value: Column) -> Column:
 EWM_BLOCK = 256
 
 
-def _decayed_sum(decay: float):
-    return lambda total, end: total * F.lit(decay) + end
-
-
 def with_ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], keys: list[str], order: list[str],
              block: int = EWM_BLOCK) -> DataFrame:
     """Exponentially weighted means ``s = (1-a)*s + a*x`` seeded by the first non-null value.
@@ -119,26 +115,24 @@ def with_ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], keys: list
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     wb = Window.partitionBy(*keys, "_blk").orderBy(*order)
-    df = df.withColumn("_pos", F.row_number().over(w) - 1)
-    seen = {c: f"_seen_{c}" for c in {s[0] for s in specs.values()}}
-    for c, name in seen.items():
-        df = df.withColumn(name, F.count(F.col(c)).over(running(w)))
-    df = df.withColumn("_blk", F.floor(F.col("_pos") / block)).withColumn("_off", F.col("_pos") % block)
-    tails = {}
-    for out, (c, a, _) in specs.items():
-        keep = 1.0 - a
-        unit = F.when(F.col(c).isNull(), 0.0).when(F.col(seen[c]) == 1, F.col(c)).otherwise(F.col(c) * a)
-        scaled = unit * F.pow(F.lit(keep), -F.col("_off"))
-        df = df.withColumn(f"_l_{out}", F.sum(scaled).over(running(wb)) * F.pow(F.lit(keep), F.col("_off")))
+    inputs = dict.fromkeys(s[0] for s in specs.values())
+    pos = F.row_number().over(w) - 1
+    df = df.withColumns({
+        "_blk": F.call_function("div", pos, F.lit(block)), "_off": pos % block,
+        **{f"_seen_{c}": F.count(F.col(c)).over(running(w)) for c in inputs},
+    })
+    local = {}
     for out, (c, a, _) in specs.items():
-        ends = F.collect_list(F.when(F.col("_off") == block - 1, F.col(f"_l_{out}"))).over(
-            w.rowsBetween(Window.unboundedPreceding, -1))
-        tails[out] = F.aggregate(ends, F.lit(0.0), _decayed_sum((1.0 - a) ** block))
-    df = df.withColumns({f"_t_{o}": t for o, t in tails.items()})
-    cols = {}
-    for out, (c, a, min_rows) in specs.items():
-        value = F.col(f"_l_{out}") + F.col(f"_t_{out}") * F.pow(F.lit(1.0 - a), F.col("_off") + 1)
-        cols[out] = F.when(F.col(seen[c]) >= min_rows, value)
-    df = df.withColumns(cols)
-    scratch = ["_pos", "_blk", "_off", *seen.values()] + [f"_l_{o}" for o in specs] + [f"_t_{o}" for o in specs]
+        unit = F.expr(f"case when {c} is null then 0D when _seen_{c} = 1 then {c} else {c} * {a!r}D end")
+        grow, shrink = F.expr(f"pow({1.0 - a!r}D, -_off)"), F.expr(f"pow({1.0 - a!r}D, _off)")
+        local[f"_l_{out}"] = F.sum(unit * grow).over(running(wb)) * shrink
+    df = df.withColumns(local)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({
+        f"_e_{out}": F.collect_list(F.expr(f"if(_off = {block - 1}, _l_{out}, null)")).over(earlier) for out in specs})
+    df = df.withColumns({out: F.expr(
+        f"if(_seen_{c} >= {need}, _l_{out} + pow({1.0 - a!r}D, _off + 1) * "
+        f"aggregate(_e_{out}, 0D, (t, e) -> t * {(1.0 - a) ** block!r}D + e), null)")
+        for out, (c, a, need) in specs.items()})
+    scratch = ["_blk", "_off"] + [f"_seen_{c}" for c in inputs] + [p + o for p in ("_l_", "_e_") for o in specs]
     return df.drop(*scratch)

@@ -13,6 +13,15 @@ from ..params import resolve
 def orderflow(bars: DataFrame, params: dict | None = None) -> DataFrame:
     p, w = resolve(params), session_window()
     delta, close = F.col("volume_delta"), F.col("close")
+
+    def diverging(n: int):
+        move = close - F.lag("close", n).over(w)
+        flow = rolling(F.sum, delta, w, n)
+        return F.when(move.isNotNull() & (F.signum(flow) != F.signum(move)), 1.0).otherwise(0.0)
+
+    span, frame = F.col("high") - F.col("low"), last_n(w, 12)
+    absorbed = ((F.col("volume") > nearest_quantile(F.col("volume").cast("double"), frame, 0.9))
+                & (span < nearest_quantile(span, frame, 0.2)))
     df = bars.withColumn("volume_delta", F.expr("buy_volume - sell_volume")).withColumns({
         "volume_imbalance": F.expr("volume_delta / cast(buy_volume + sell_volume + 1 as double)"),
         "trade_intensity": F.expr("trade_count / (bar_duration_ns / 1e9D + 1e-9D)"),
@@ -21,17 +30,11 @@ def orderflow(bars: DataFrame, params: dict | None = None) -> DataFrame:
         "order_flow_imbalance": rolling(F.sum, delta, w, 5),
         "absorption_factor": F.expr(
             f"volume * abs(volume_delta) / (greatest(round((high - low) / {p['tick_size']}), 0D) + 1D)"),
+        "cvd_price_divergence_3": diverging(3),
+        "cvd_price_divergence_6": diverging(6),
+        "absorption_signal": F.when(absorbed, 1.0).otherwise(0.0),
     })
-    for n in (3, 6):
-        move = close - F.lag("close", n).over(w)
-        flow = rolling(F.sum, delta, w, n)
-        df = df.withColumn(f"cvd_price_divergence_{n}",
-                           F.when(move.isNotNull() & (F.signum(flow) != F.signum(move)), 1.0).otherwise(0.0))
-    span = F.col("high") - F.col("low")
-    frame = last_n(w, 12)
-    absorbed = ((F.col("volume") > nearest_quantile(F.col("volume").cast("double"), frame, 0.9))
-                & (span < nearest_quantile(span, frame, 0.2)))
-    return df.withColumn("absorption_signal", F.when(absorbed, 1.0).otherwise(0.0))
+    return df
 
 
 def aggressor(bars: DataFrame, params: dict | None = None) -> DataFrame:

@@ -19,14 +19,16 @@ def day_calendar(bars: DataFrame, n: int) -> DataFrame:
     return days.withColumn("serves", F.collect_list("session_date").over(ahead))
 
 
-def with_context(bars: DataFrame, narrow: list[str] | None = None, params: dict | None = None) -> DataFrame:
+def with_context(bars: DataFrame, narrow: list[str] | None = None, params: dict | None = None,
+                 days_of: DataFrame | None = None) -> DataFrame:
     """Explode bars to the target days they serve, as ``target_date``.
 
     ``narrow`` lists the columns the context operators read; all other columns travel only with the
-    bar's own day, packed in one nullable struct, so warm-up copies stay small.
+    bar's own day, packed in one nullable struct, so warm-up copies stay small.  ``days_of`` is the
+    table the calendar is read from when ``bars`` is already a long plan over it.
     """
     n = int(resolve(params)["context_days"])
-    out = bars.join(day_calendar(bars, n), ["symbol", "session_date"]).withColumn("target_date", F.explode("serves")).drop(
+    out = bars.join(day_calendar(bars if days_of is None else days_of, n), ["symbol", "session_date"]).withColumn("target_date", F.explode("serves")).drop(
         "serves")
     keys = ["symbol", "session_date", "target_date", "ts_event", "seq"]
     if narrow is None:

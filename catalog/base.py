@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.operators import bars as bar_ops
+from barflow.sources.stage import stored
 from barflow.sources.ticks import ticks_from_events
 
 CTES: dict[str, str] = {}
@@ -41,6 +42,13 @@ class Inputs:
             self._bars[config] = bar_ops.build_bars(self.ticks, config)
         return self._bars[config]
 
+    def stored_bars(self, config: str = "time_60m") -> DataFrame:
+        """Bars written to the stage folder, for plans that read them several times."""
+        key = "stored:" + config
+        if key not in self._bars:
+            self._bars[key] = stored(self.bars(config), "bars")
+        return self._bars[key]
+
 
 @dataclass(frozen=True)
 class Query:
@@ -78,7 +86,7 @@ def with_ctes(sql: str) -> str:
             need.add(n)
             todo.append(CTES[n])
     parts = [f"{n} AS ({CTES[n]})" for n in CTES if n in need]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + sql
 
 
 def add(name: str, spec: str, build: Callable[[Inputs], DataFrame], sql: str | None = None) -> None:
