@@ -110,7 +110,7 @@ def _with_halo(df: DataFrame, keys: list[str], depth: int, block: int = 4096) ->
         "_blk", F.explode(F.when(tail, F.array(blk, blk + 1)).otherwise(F.array(blk))))
 
 
-def market_state(bars: DataFrame, keys: list[str] = ("symbol",), params: dict | None = None) -> DataFrame:
+def market_state(bars: DataFrame, keys: list[str] = ("symbol",), params: dict | None = None, keep_columns: bool = False) -> DataFrame:
     """Spread in ticks, volatility z, volume z and session progress per bar; rolling windows cross days."""
     keys, p = list(keys), resolve(params)
     n = int(p["cost_lookback"])
@@ -137,7 +137,17 @@ def market_state(bars: DataFrame, keys: list[str] = ("symbol",), params: dict |
         "volatility_z": z("_vol"), "volume_z": z("volume"),
         "rth_progress": F.when(minute.between(int(p["rth_open_min"]), int(p["rth_close_min"])),
                                (minute - int(p["rth_open_min"])) / float(p["rth_minutes"])).otherwise(0.5)})
-    return df.filter("_blk = _own").select(*keys, "date_utc", "ts_event", "seq", "spread_ticks", "volatility_z", "volume_z", "rth_progress")
+    out = df.filter("_blk = _own")
+    fields = ["spread_ticks", "volatility_z", "volume_z", "rth_progress"]
+    if keep_columns:
+        return out.select(*bars.columns, *fields)
+    return out.select(*keys, "date_utc", "ts_event", "seq", *fields)
+
+
+def with_bar_cost(bars: DataFrame, keys: list[str], params: dict | None = None) -> DataFrame:
+    """Each bar's round-trip cost as ``bar_cost``; trades that enter on a bar take it along without an as-of join."""
+    fields = ["spread_ticks", "volatility_z", "volume_z", "rth_progress"]
+    return market_state(bars, keys, params, keep_columns=True).withColumn("bar_cost", cost_rt(params)).drop(*fields)
 
 
 def asof_state(trades: DataFrame, state: DataFrame, on: list[str] = ("symbol",)) -> DataFrame:
