@@ -21,7 +21,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         cond = [counts[k].eqNullSafe(span[k]) for k in keys]
         c = counts.join(span, cond).select(counts["*"], "_lo", "_hi", "_t")
     else:
-        c = counts.withColumn("_one", F.lit(1)).join(span.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        # Without keys the span is a single row, whatever the data.
+        c = counts.withColumn("_one", F.lit(1)).join(
+            F.broadcast(span.withColumn("_one", F.lit(1))), "_one").drop("_one")
     c = c.withColumn("_b", F.expr(f"if(_hi > _lo, least(floor((_v - _lo) / (_hi - _lo) * {buckets}), {buckets - 1}), 0)"))
     totals = c.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
     ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -233,7 +233,7 @@ def adversarial_validation(train: DataFrame, holdout: DataFrame, features: list[
               StandardScaler(withMean=True, inputCol="raw", outputCol="features"),
               RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=20, seed=seed + 91, weightCol="w")]
     share = fit.agg(F.avg("label").alias("p"))
-    fit = fit.withColumn("_k", F.lit(1)).join(share.withColumn("_k", F.lit(1)), "_k").withColumn(
+    fit = fit.withColumn("_k", F.lit(1)).join(F.broadcast(share.withColumn("_k", F.lit(1))), "_k").withColumn(
         "w", F.expr("if(label = 1, 0.5 / p, 0.5 / (1 - p))")).drop("_k", "p")
     model = Pipeline(stages=stages).fit(fit)
     auc = BinaryClassificationEvaluator().evaluate(model.transform(val))

@@ -70,6 +70,9 @@ def _histograms(bars: DataFrame, p: dict) -> DataFrame:
         "symbol", "session_date", "level", F.lit("w").alias("kind"), "vol",
         F.explode(F.sequence("_idx", end)).alias("_idx"))
     levels = session.unionByName(rolling_).unionByName(swing_).groupBy(*_KEYS, "kind", "level").agg(F.sum("vol").alias("vol"))
+    # Evaluating profiles is CPU-bound on little data: a fixed partition count keeps AQE from merging it into few tasks.
+    parts = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    levels = levels.repartition(parts, *_KEYS)
 
     def profile(kind: str):
         return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("level", "vol")))).alias(f"_{kind}")
