@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup
+from . import byte_bpe, chat_format, exact_dedup, token_blocks
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -23,7 +24,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op8_exact_dedup": op8_exact_dedup}
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = token_blocks.write_segments(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_blocks.read_segments(written).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op8_exact_dedup, op9_byte_bpe, op10_token_blocks)}
 
 _ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\1\\|', 'g')"
 SQL = {
