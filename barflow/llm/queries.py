@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, quality, token_blocks
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, quality, token_blocks, toxicity
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -20,6 +20,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digests(chat_format.canonical_turns(table.unionByName(own)))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -41,7 +45,7 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_segments(written).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op5_quality, op6_decontaminate, op8_exact_dedup, op9_byte_bpe, op10_token_blocks)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op5_quality, op6_decontaminate, op8_exact_dedup, op9_byte_bpe, op10_token_blocks)}
 
 _ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\1\\|', 'g')"
 SQL = {
