@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, quality, token_blocks, toxicity
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, quality, suffix_dedup, token_blocks, toxicity
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -28,6 +28,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_segments(written).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_jaccard_join, op5_quality, op6_decontaminate, op8_exact_dedup, op9_byte_bpe, op10_token_blocks)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_jaccard_join, op4_suffix_dedup, op5_quality, op6_decontaminate, op8_exact_dedup, op9_byte_bpe, op10_token_blocks)}
 
 _ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\1\\|', 'g')"
 SQL = {
