@@ -9,10 +9,11 @@ First index, over all classes, in hash order: each set posts its first p + e tok
 more frequent tokens than the extension makes up for shares a rare token with each partner, so it is settled here.
 
 Second index, over the sets that hold more (members of large groups of near copies, texts made of common passages): tokens
-are ordered by their frequency among these sets, rare first.  Tokens of rare classes are again indexed alone.  For
-frequent ones a level compares each set with the bucket's smallest set only; buckets whose sets then are one component are
-settled.  The others get their prefixes extended by one token and are split by combinations of k tokens, k growing by one
-a level, down to ``LEVELS``; what is still open then compares sets of different components only.
+are ordered by their frequency among these sets, rare first.  Tokens of at most ``RARE_AGAIN`` postings are again indexed
+alone.  In a more frequent bucket each set is compared with a few hubs of the bucket only, in ``TURNS`` turns; buckets whose
+sets then are one component are settled.  Open buckets of more than ``CROWD`` sets get their prefixes extended by one token and
+are split by combinations of k tokens, k growing by one a level, up to ``LEVELS``; of smaller ones, sets of different
+components are compared in blocks by matrix products.
 
 Candidates must pass size and count bounds; then whole token sets are compared.  No list of a bucket is ever gathered: a
 pass over sorted postings holds at most ``RARE`` of them.
@@ -39,6 +40,11 @@ WORDS = 5
 RARE = 16
 RARE_AGAIN = 64
 LEVELS = 3
+TURNS = 3
+HUBS = 6
+BLOCK = 256
+COLUMNS = 1 << 13
+CROWD = 1 << 14
 FILTER_BITS = 23
 _STEP = odd_constants(WORDS + 3, 307)
 _BLANK = np.zeros(256, bool)
@@ -210,9 +216,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return d.where("100 * i >= 75 * (s - i)").select("a", "b")
 
 
-def _first_index(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _first_index(classes: DataFrame, rare: int) -> tuple[DataFrame, DataFrame]:
     """(candidate pairs a, b; sets that need the second index)."""
-    found = stored(_pairs_of_rare(classes.select(F.explode("tokens").alias("token"), "set", "n"), RARE), "rare_postings")
+    found = stored(_pairs_of_rare(classes.select(F.explode("tokens").alias("token"), "set", "n"), rare), "rare_postings")
     pairs = found.where("b is not null").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
 
     def unseen(n: str) -> Column:
@@ -228,60 +234,134 @@ def _first_index(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _ordered_prefixes(sets: DataFrame) -> DataFrame:
-    """(set, n, p, tokens): tokens that other sets share, rare first, with (place, token, frequency); p + LEVELS at most."""
+    """(set, n, p, skip, own): tokens that other sets share as (df, token), rare first, p + LEVELS at most.
+
+    ``skip`` tokens that no other set has come before them and take their places in the prefix.
+    """
     t = sets.select("set", "n", F.explode("tokens").alias("token"))
     count = t.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     shared = t.join(count.where("df > 1"), "token")
     g = shared.groupBy("set").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))  # one set's tokens
     p = (F.col("n") - _ceil_div(3 * F.col("n"), 4) + 1)
-    g = g.withColumn("p", (p - (F.col("n") - F.size("own"))).cast("int"))  # unshared tokens come first and take their places
-    return g.where("p > 0").select("set", "n", "p", F.slice("own", 1, F.col("p") + LEVELS).alias("own"))
+    g = g.withColumn("skip", F.col("n") - F.size("own")).withColumn("p", (p - F.col("skip")).cast("int"))
+    return g.where("p > 0").select("set", "n", "p", "skip", F.slice("own", 1, F.col("p") + LEVELS).alias("own"))
+
+
+def _sized_postings(own: DataFrame) -> DataFrame:
+    """(token, set, n, at): postings in buckets of a token and two neighbouring size classes, without dead ones.
+
+    If the first token that x and y share has place i in x, they share at most n - i tokens, so a link needs a partner of
+    at most floor(7 (n - i) / 3) - n tokens; a posting is dead where its bucket's smallest set is larger.
+    """
+    step = F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3)) + 1e-9)
+    d = own.select("set", "n", "skip", F.posexplode(F.slice("own", 1, F.col("p"))).alias("at", "t"))
+    d = d.select("set", "n", "at", F.col("t.token").alias("token"), (F.floor(7 * (F.col("n") - F.col("skip") - F.col("at")) / 3) - F.col("n")).alias("most"),
+                 F.explode(F.array(step, step - 1)).alias("step"))
+    d = d.withColumn("token", F.xxhash64("token", "step")).drop("step")
+    return d.join(d.groupBy("token").agg(F.min("n").alias("least")), "token").where("least <= most").select("token", "set", "n", "at")
 
 
-def _second_index(sets: DataFrame, known: DataFrame) -> DataFrame:
+def _open(often: DataFrame, links: DataFrame) -> DataFrame:
+    """Postings of the buckets whose sets are not one component yet, with the sets' components."""
+    roots = components(links).select(F.col("key").alias("set"), "root")
+    d = often.drop("root").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    mixed = d.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    return stored(d.join(mixed, "token"), "open")
+
+
+def _star(postings: DataFrame, turn: int) -> DataFrame:
+    """Each set with a few sets of its bucket: the smallest in the first turn, then the least by ``HUBS`` hashes."""
+    orders = [F.struct("n", "set")] if turn == 0 else [F.struct(F.xxhash64("set", F.lit(turn * HUBS + i)).alias("h"), "n", "set") for i in range(HUBS)]
+    hubs = postings.groupBy("token").agg(*[F.min(o).alias(f"hub{i}") for i, o in enumerate(orders)])
+    hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"hub{i}.n", f"hub{i}.set") for i in range(len(orders))]))).alias("hub"))
+    d = postings.join(hubs, "token").where("set <> hub.set and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
+    return d.select(F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b")).distinct()
+
+
+def _second_index(sets: DataFrame, known: DataFrame, rare: int, turns: int, crowd: int) -> DataFrame:
     """Links found among ``sets`` (set, n, tokens), given the links known."""
     own = stored(_ordered_prefixes(sets), "ordered_prefixes")
-    links = known
-    level = own.select("set", "n", "p", F.posexplode(F.slice("own", 1, F.col("p"))).alias("at", "t"))
-    level = level.select("set", "n", "at", F.col("t.token").alias("token"))
+    links, left = known, None
+    level = _sized_postings(own)
     for k in range(1, LEVELS + 1):
         level = stored(level, "combinations")
-        size = level.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "set")).alias("least"))
-        rare = level.join(size.where(f"size between 2 and {RARE_AGAIN}"), "token")
-        few = _pairs_of_rare(rare.select("token", "set", "n"), RARE_AGAIN).where("b is not null").select("a", "b").distinct()
-        often = stored(level.join(size.where(f"size > {RARE_AGAIN}"), "token"), "frequent")
-        star = often.where("set <> least.set and 4 * least.n >= 3 * n").select(F.least("set", "least.set").alias("a"), F.greatest("set", "least.set").alias("b")).distinct()
-        links = stored(links.unionByName(_verified(few.unionByName(star).distinct(), sets)).distinct(), "links")
-        if not often.take(1):
-            return links
-        roots = components(links)
-        open_ = often.join(roots.select(F.col("key").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-        mixed = open_.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-        open_ = stored(open_.join(mixed, "token").select("token", "set", "n", "at", "root"), "open")
-        if not open_.take(1):
-            return links
-        if k < LEVELS:
-            more = open_.select("token", "set", "n", "at").join(own.select("set", "p", "own"), "set")
-            more = more.select("token", "set", "n", "at", F.posexplode(F.slice("own", 1, F.col("p") + k)).alias("next", "t")).where("next > at")
-            level = more.select("set", "n", F.col("next").alias("at"), F.xxhash64("token", "t.token").alias("token"))
-    x, y = open_.alias("x"), open_.alias("y")  # sets of different components that are still in one bucket
-    rest = x.join(y, F.expr("x.token = y.token and x.root < y.root and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)"))
-    rest = rest.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
-    return links.unionByName(_verified(rest, sets)).distinct()
-
-
-def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, n_shingles, component_id) of every row; the component id is the smallest id reachable by links."""
+        size = level.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+        few = _pairs_of_rare(level.join(size.where(f"size between 2 and {rare}"), "token").select("token", "set", "n"), rare)
+        few = few.where("b is not null").select("a", "b").distinct()
+        links = stored(links.unionByName(_verified(few, sets)).distinct(), "links")
+        now = stored(level.join(size.where(f"size > {rare}").select("token"), "token").withColumn("root", F.col("set")), "frequent")
+        for turn in range(turns):
+            if not now.take(1):
+                break
+            links = stored(links.unionByName(_verified(_star(now, turn), sets)).distinct(), "links")
+            now = _open(now, links)
+        crowded = now.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > (crowd if k < LEVELS else 1 << 62)).select("token")
+        rest = now.join(crowded, "token", "left_anti")
+        left = rest if left is None else left.unionByName(rest)
+        more = now.join(crowded, "token").select("token", "set", "n", "at").join(own.select("set", "p", "own"), "set")
+        more = more.select("token", "set", "n", "at", F.posexplode(F.slice("own", 1, F.col("p") + k)).alias("next", "t")).where("next > at")
+        level = more.select("set", "n", F.col("next").alias("at"), F.xxhash64("token", "t.token").alias("token"))
+        if not crowded.take(1):
+            break
+    return links.unionByName(_links_across(left, links, sets)).distinct()
+
+
+def _similar_in_blocks(t: pa.Table) -> pa.Table:
+    """Links between sets of two blocks (or within one) that are of different components, from matrix products."""
+    lists = t.column("tokens").combine_chunks()
+    size = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+    _, column, count = np.unique(np.asarray(lists.flatten()), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(size)), size)
+    shared = count[column] > 1
+    place = np.cumsum(count > 1) - 1
+    row, column = row[shared], place[column[shared]]
+    block = np.asarray(t.column("block").combine_chunks())
+    left, right = np.flatnonzero(block == t.column("i")[0].as_py()), np.flatnonzero(block == t.column("j")[0].as_py())
+    common = np.zeros((len(left), len(right)))
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        on = (column >= lo) & (column < lo + COLUMNS)
+        x = np.zeros((len(size), COLUMNS), np.float32)
+        x[row[on], column[on] - lo] = 1
+        common += x[left] @ x[right].T
+    root, key = np.asarray(t.column("root").combine_chunks()), np.asarray(t.column("set").combine_chunks())
+    fit = (100 * common >= 75 * (size[left][:, None] + size[right] - common)) & (root[left][:, None] != root[right])
+    x, y = np.nonzero(fit)
+    return pa.table({"a": np.minimum(key[left[x]], key[right[y]]), "b": np.maximum(key[left[x]], key[right[y]])})
+
+
+def _links_across(postings: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between sets that are in one chain of open buckets but in different components.
+
+    The sets of a chain are dealt into blocks of about ``BLOCK``; each two blocks are compared by one group.
+    """
+    now = _open(postings, links)
+    hub = now.groupBy("token").agg(F.min("set").alias("b"))
+    area = components(now.select("token", F.col("set").alias("a")).join(hub, "token").select("a", "b").distinct())
+    d = now.select("set", "root").distinct().join(area.select(F.col("key").alias("set"), F.col("root").alias("area")), "set")
+    d = stored(d.join(sets.select("set", "tokens"), "set"), "areas")
+    parts = d.groupBy("area").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    d = d.join(parts, "area").withColumn("block", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    d = d.select("area", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "root", "tokens")
+    return d.groupBy("area", "i", "j").applyInArrow(_similar_in_blocks, "a bigint, b bigint")
+
+
+def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rare: int = RARE, rare_again: int = RARE_AGAIN,
+                   turns: int = TURNS, crowd: int = CROWD) -> DataFrame:
+    """(id, n_shingles, component_id) of every row; the component id is the smallest id reachable by links.
+
+    The last four arguments steer the work only, not the result.
+    """
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = stored(_prefixes(d), "prefixes")
     classes = rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    first, dense = _first_index(classes)
+    first, dense = _first_index(classes, rare)
     first, dense = stored(first, "candidates"), stored(dense, "dense")
     wanted = first.select(F.col("a").alias("set")).unionByName(first.select(F.col("b").alias("set"))).unionByName(dense).distinct()
     least = stored(rows.where("n > 0").groupBy("set").agg(F.min("id").alias("id")), "classes")
     sets = stored(_whole_sets(d, stored(least.join(wanted, "set", "left_semi"), "wanted")), "sets")
     links = stored(_verified(first, sets), "links")
-    links = _second_index(sets.join(dense, "set", "left_semi"), links)
+    links = _second_index(stored(sets.join(dense, "set", "left_semi"), "dense_sets"), links, rare_again, turns, crowd)
     roots = stored(components(links), "roots")
     named = roots.join(least.withColumnRenamed("set", "key"), "key")
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
