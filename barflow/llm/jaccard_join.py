@@ -370,3 +370,10 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     linked = rows.where("n > 0").select("id", "n", "set").join(labels, "set").select("id", "n", "component_id")
     alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is their component's, with all their columns."""
+    groups = similar_groups(docs, text, id_col)
+    lost = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_lost")).distinct()
+    return docs.join(lost, F.col(f"`{id_col}`").eqNullSafe(F.col("_lost")), "left_anti")

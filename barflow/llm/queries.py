@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, quality, suffix_dedup, token_blocks, toxicity
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_id, quality, suffix_dedup, token_blocks, toxicity
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -40,6 +40,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_segments(written).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_jaccard_join, op4_suffix_dedup, op5_quality, op6_decontaminate, op8_exact_dedup, op9_byte_bpe, op10_token_blocks)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_jaccard_join, op4_suffix_dedup, op5_quality, op6_decontaminate, op7_language_id, op8_exact_dedup, op9_byte_bpe, op10_token_blocks)}
 
 _ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\1\\|', 'g')"
 SQL = {
