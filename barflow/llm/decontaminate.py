@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stage import stored
-from .textbytes import hash_runs, row_of, runs, slices
+from .textbytes import fresh_names, hash_runs, row_of, runs, slices
 
 WINDOW = 10
 BLOCK_BYTES = 2 << 20
+ADDED = ("_n_words", "_n_hit", "_hits", "_items")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
@@ -200,14 +201,14 @@ def _item_blocks(items: DataFrame, text: str, id_col: str, block_bytes: int) ->
 
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id",
          window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` plus n_words, n_hit, hits (byte ranges of maximal hit runs) and items (ids found, distinct)."""
+    """``docs`` plus _n_words, _n_hit, _hits (byte ranges of maximal hit runs) and _items (ids found, distinct).
+
+    The names of the new columns, the last four, get more underscores where ``docs`` has them already.
+    """
     kind = items.schema[item_id].dataType.simpleString()
-    names = ["_n_words", "_n_hit", "_hits", "_items"]
-    taken = {c.lower() for c in docs.columns} & set(names)
-    if taken:
-        raise ValueError(f"reserved column names: {sorted(taken)}")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-                       + ["_n_words bigint", "_n_hit bigint", "_hits array<struct<s:bigint,e:bigint,w:bigint>>", f"_items array<{kind}>"])
+    names = fresh_names(docs.columns, *ADDED)
+    kinds = ["bigint", "bigint", "array<struct<s:bigint,e:bigint,w:bigint>>", f"array<{kind}>"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{n}` {k}" for n, k in zip(names, kinds)])
     where = docs.columns.index(text)
     out = docs
     for k, rows in enumerate(_item_blocks(items, item_text, item_id, block_bytes)):
@@ -220,8 +221,8 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str =
             for b in batches:
                 for lo, hi, data, offsets in slices(b.column(where)):
                     part = b.slice(lo, hi - lo)
-                    before = list(zip(part.column("_hits").to_pylist(), part.column("_items").to_pylist())) if later else None
-                    yield _scanned(part, data, offsets, block, before, kind_arrow)
+                    before = list(zip(part.column(names[2]).to_pylist(), part.column(names[3]).to_pylist())) if later else None
+                    yield _scanned(part, data, offsets, block, before, kind_arrow, names)
 
         from pyspark.sql.pandas.types import to_arrow_type
         kind_arrow = to_arrow_type(items.schema[item_id].dataType)
@@ -229,7 +230,7 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str =
     return out
 
 
-def _scanned(part, data, offsets, block: Block, before, kind) -> pa.RecordBatch:
+def _scanned(part, data, offsets, block: Block, before, kind, added) -> pa.RecordBatch:
     starts, ends, h = words(data, offsets)
     n = len(offsets) - 1
     cut = np.searchsorted(starts, offsets)
@@ -257,11 +258,10 @@ def _scanned(part, data, offsets, block: Block, before, kind) -> pa.RecordBatch:
         i = int(row_of(starts[s:s + 1], offsets)[0])
         hits[i].append({"s": int(starts[s] - offsets[i]), "e": int(ends[e - 1] - offsets[i]), "w": e - s})
     total = np.append(0, np.cumsum(hit))
-    cols = list(part.columns) if before is None else [c for c, f in zip(part.columns, part.schema.names) if f not in ("_n_words", "_n_hit", "_hits", "_items")]
-    names = [f for f in part.schema.names if f not in ("_n_words", "_n_hit", "_hits", "_items")]
+    keep = len(part.columns) - (0 if before is None else len(added))
     span = pa.struct([("s", pa.int64()), ("e", pa.int64()), ("w", pa.int64())])
-    return pa.record_batch([*cols, pa.array(np.diff(cut)), pa.array(total[cut[1:]] - total[cut[:-1]]), pa.array(hits, pa.list_(span)),
-                            pa.array([sorted(found.get(i, ())) for i in range(n)], pa.list_(kind))], [*names, "_n_words", "_n_hit", "_hits", "_items"])
+    return pa.record_batch([*part.columns[:keep], pa.array(np.diff(cut)), pa.array(total[cut[1:]] - total[cut[:-1]]), pa.array(hits, pa.list_(span)),
+                            pa.array([sorted(found.get(i, ())) for i in range(n)], pa.list_(kind))], [*part.schema.names[:keep], *added])
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -277,8 +277,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window:
 
     A removed span leaves one space.  Documents without such spans keep their text as it is.
     """
-    d = scan(docs, items, text=text, window=window).where(F.col("_n_hit") <= coverage * F.greatest(F.col("_n_words"), F.lit(1)))
-    cut = F.filter("_hits", lambda h: h["w"] >= span_words)
+    d = scan(docs, items, text=text, window=window)
+    n_words, n_hit, hits, _ = d.columns[-len(ADDED):]
+    d = d.where(F.col(n_hit) <= coverage * F.greatest(F.col(n_words), F.lit(1)))
+    cut = F.filter(hits, lambda h: h["w"] >= span_words)
     raw = F.col(f"`{text}`").cast("binary")
     edges = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(cut, lambda h: h["e"]))
     ends = F.concat(F.transform(cut, lambda h: h["s"]), F.array(F.octet_length(F.col(f"`{text}`")).cast("bigint")))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stage import stored
+from .textbytes import fresh_names
 
 HEAVY = 1024
 
@@ -51,9 +52,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", hea
 
 def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", heavy: int = HEAVY) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    names, row = docs.columns, "_dedup_row"
-    while row in names:
-        row += "_"
+    names, row = docs.columns, fresh_names(docs.columns, "_dedup_row")[0]
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     narrow = numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"),
                              F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)).alias("digest"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..sources.stage import stored
 from .components import components
-from .textbytes import hash_runs, mix, odd_constants, row_of, runs, slices
+from .textbytes import fresh_names, hash_runs, mix, odd_constants, row_of, runs, slices
 from .textstats import LOWERED
 
 WORDS = 5
@@ -374,6 +374,6 @@ def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is their component's, with all their columns."""
-    groups = similar_groups(docs, text, id_col)
-    lost = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_lost")).distinct()
-    return docs.join(lost, F.col(f"`{id_col}`").eqNullSafe(F.col("_lost")), "left_anti")
+    groups, name = similar_groups(docs, text, id_col), fresh_names(docs.columns, "_lost")[0]
+    lost = groups.where(~F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{id_col}`").alias(name)).distinct()
+    return docs.join(lost, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_anti")

@@ -148,9 +148,10 @@ def identify(pages: DataFrame, docs: DataFrame, url: str = "url", html: str = "h
     d = stored(d.withColumn("best", F.array_position("p", F.array_max("p")).cast("int") - 1).withColumn("clear", F.array_max("p") >= CLEAR), "page_evidence")
     clear = d.where("clear")
 
-    everywhere = F.array(*[F.sum(F.when(F.col("best") == i, 1.0).otherwise(0.0)) + 1.0 for i in range(k)])
-    total = clear.agg(everywhere.alias("n")).select(F.transform("n", lambda v: v / F.aggregate("n", F.lit(0.0), lambda a, b: a + b)).alias("prior")).first()[0]
-    prior = F.array(*[F.lit(float(v)) for v in total])
+    seen = np.ones(k)
+    for r in clear.groupBy("best").count().collect():  # one row a language
+        seen[r.best] += r["count"]
+    prior = F.array(*[F.lit(float(v)) for v in seen / seen.sum()])
     suffixes = _counts(clear, "suffix", k, "n").select("suffix", _smoothed(F.col("n"), prior).alias("above"))
     domains = (clear.select("suffix", "domain", "best").transform(lambda x: _counts(x.withColumn("_k", F.struct("suffix", "domain")), "_k", k, "n"))
                .select("_k.suffix", "_k.domain", "n").join(suffixes, "suffix").select("domain", _smoothed(F.col("n"), F.col("above")).alias("above")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import SAMPLE, held_out, training_rows
-from .textbytes import slices
+from .textbytes import fresh_names, slices
 from .textstats import QUALITY_FEATURES, quality_matrix
 
 THRESHOLD = 0.5
@@ -98,15 +98,15 @@ def fit(rows: DataFrame, pooled: float = 0.1, ridge: float = 0.02, temper: float
 
 
 def scored(docs: DataFrame, model: Discriminant | float, text: str = "text") -> DataFrame:
-    """``docs`` plus ``_score``."""
-    where = docs.columns.index(text)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["_score double"])
+    """``docs`` plus ``_score`` as the last column (with more underscores where ``docs`` has that name)."""
+    where, name = docs.columns.index(text), fresh_names(docs.columns, "_score")[0]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{name}` double"])
 
     def run(batches):
         for b in batches:
             for lo, hi, data, offsets in slices(b.column(where)):
                 s = np.full(hi - lo, model) if isinstance(model, float) else model.score(quality_matrix(data, offsets))
-                yield pa.record_batch([*b.slice(lo, hi - lo).columns, pa.array(s.astype(np.float64))], [*b.schema.names, "_score"])
+                yield pa.record_batch([*b.slice(lo, hi - lo).columns, pa.array(s.astype(np.float64))], [*b.schema.names, name])
     return docs.mapInArrow(run, schema)
 
 
@@ -121,4 +121,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", id_co
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, bound: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
     model = fit(training_rows(docs, labels, "quality", text, id_col, bound))
-    return scored(docs, model, text).where(F.col("_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    d = scored(docs, model, text)
+    return d.where(F.col(d.columns[-1]) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -86,3 +86,15 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         values = BYTE_VALUE[data[inner + np.repeat(starts, lens)]] * powers[inner]
         out = np.add.reduceat(values, first)
         return mix(out + lens.astype(np.uint64) * _GOLDEN)
+
+
+def fresh_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores added to those that a table has already (in any letter case)."""
+    have = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
