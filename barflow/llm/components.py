@@ -2,34 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stage import stored
 
 
-def _nearest(pairs: DataFrame) -> DataFrame:
-    """(u, m): the smallest key among u and its neighbours; one pre-aggregated row a key."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _step(now: DataFrame) -> DataFrame:
+    """One large-star and one small-star step on links (u, v) with u > v, as one chain of three shuffles."""
+    own = Window.partitionBy("u")
+    both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    large = both.withColumn("m", F.least("u", F.min("v").over(own))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = large.withColumn("m", F.min("v").over(own))
+    ends = F.explode(F.when(F.col("v") == F.col("m"), F.array("u")).otherwise(F.array("u", "v")))
+    return near.select(ends.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
+def _settled(now: DataFrame) -> bool:
+    """True when each key hangs on one root and no root hangs on another key."""
+    ends = now.select(F.col("u").alias("key"), F.lit(1).alias("up")).unionByName(now.select(F.col("v").alias("key"), F.lit(0).alias("up")))
+    sums = ends.groupBy("key").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    return not sums.where("up > 1 or (up = 1 and least = 0)").take(1)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(key, root) of every key that occurs in links (a, b); the root is the smallest key of its component."""
     now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = _state(now)
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_nearest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large.where("u <> v"), "large_star")
-        near = _nearest(large)
-        small = large.join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-        now = stored(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small_star")
-        new = _state(now)
-        if new == state:
-            break
-        state = new
+    while not _settled(now):
+        now = stored(_step(now), "stars")
     return now.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())

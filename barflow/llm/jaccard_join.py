@@ -40,8 +40,8 @@ WORDS = 5
 RARE = 16
 RARE_AGAIN = 64
 LEVELS = 3
-TURNS = 3
-HUBS = 6
+TURNS = 1
+HUBS = 4
 BLOCK = 256
 COLUMNS = 1 << 13
 CROWD = 1 << 14
@@ -270,8 +270,8 @@ def _open(often: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _star(postings: DataFrame, turn: int) -> DataFrame:
-    """Each set with a few sets of its bucket: the smallest in the first turn, then the least by ``HUBS`` hashes."""
-    orders = [F.struct("n", "set")] if turn == 0 else [F.struct(F.xxhash64("set", F.lit(turn * HUBS + i)).alias("h"), "n", "set") for i in range(HUBS)]
+    """Each set with a few sets of its bucket: the smallest one, and the least by ``HUBS`` hashes of this turn."""
+    orders = [F.struct("n", "set")] + [F.struct(F.xxhash64("set", F.lit(turn * HUBS + i)).alias("h"), "n", "set") for i in range(HUBS)]
     hubs = postings.groupBy("token").agg(*[F.min(o).alias(f"hub{i}") for i, o in enumerate(orders)])
     hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"hub{i}.n", f"hub{i}.set") for i in range(len(orders))]))).alias("hub"))
     d = postings.join(hubs, "token").where("set <> hub.set and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
@@ -303,7 +303,7 @@ def _second_index(sets: DataFrame, known: DataFrame, rare: int, turns: int, crow
         level = more.select("set", "n", F.col("next").alias("at"), F.xxhash64("token", "t.token").alias("token"))
         if not crowded.take(1):
             break
-    return links.unionByName(_links_across(left, links, sets)).distinct()
+    return links.unionByName(_links_across(left, sets)).distinct()
 
 
 def _similar_in_blocks(t: pa.Table) -> pa.Table:
@@ -329,12 +329,11 @@ def _similar_in_blocks(t: pa.Table) -> pa.Table:
     return pa.table({"a": np.minimum(key[left[x]], key[right[y]]), "b": np.maximum(key[left[x]], key[right[y]])})
 
 
-def _links_across(postings: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+def _links_across(now: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between sets that are in one chain of open buckets but in different components.
 
     The sets of a chain are dealt into blocks of about ``BLOCK``; each two blocks are compared by one group.
     """
-    now = _open(postings, links)
     hub = now.groupBy("token").agg(F.min("set").alias("b"))
     area = components(now.select("token", F.col("set").alias("a")).join(hub, "token").select("a", "b").distinct())
     d = now.select("set", "root").distinct().join(area.select(F.col("key").alias("set"), F.col("root").alias("area")), "set")
