@@ -112,17 +112,28 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(rank, context, key, at, windows): position, and first and last owned window as distances before it."""
+    """(rank, context, key, at, n): ``at`` packs position, and first and last owned window as distances before it.
+
+    Anchors of one context within a slice go on as one row with their number ``n``; the others are known to be repeated
+    and get a rank of their own with n = 2, so common lines do not gather in one group.
+    """
     def run(batches):
         for b in batches:
             keys = np.asarray(b.column(0))
             for lo, hi, data, offsets in slices(b.column(1)):
                 at, first, last, rank, context = anchors(data, offsets, length, gram)
                 row = row_of(at, offsets)
-                own = at - offsets[row]
-                yield pa.record_batch([pa.array(rank.view(np.int64)), pa.array(context.view(np.int64)), pa.array(keys[lo + row]),
-                                       pa.array(own << 20 | (at - last) << 10 | (at - first))], ["rank", "context", "key", "at"])
-    return docs.mapInArrow(run, "rank bigint, context bigint, key bigint, at bigint")
+                own = at - offsets[row] << 20 | (at - last) << 10 | (at - first)
+                key = keys[lo + row]
+                _, one, count = np.unique(mix(rank + context * _STEP[5]), return_index=True, return_counts=True)
+                n = np.full(len(at), 2)
+                n[one] = count
+                alone = np.ones(len(at), bool)
+                alone[one] = False
+                rank[alone] = mix(mix(key[alone].view(np.uint64)) + own[alone].astype(np.uint64))
+                yield pa.record_batch([pa.array(rank.view(np.int64)), pa.array(context.view(np.int64)), pa.array(key), pa.array(own), pa.array(n)],
+                                      ["rank", "context", "key", "at", "n"])
+    return docs.mapInArrow(run, "rank bigint, context bigint, key bigint, at bigint, n bigint")
 
 
 def _window_ranks(joined: DataFrame, length: int) -> DataFrame:
@@ -208,8 +219,8 @@ def _hot_windows(windows: DataFrame, length: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(key, ranges) for (key, text): sorted byte ranges covered by repeated strings of ``length`` bytes (at most 1,000)."""
     same, context = Window.partitionBy("rank"), Window.partitionBy("rank", "context")
-    found = _anchor_rows(docs, length, gram).withColumn("size", F.count(F.lit(1)).over(same)).where("size > 1")
-    found = found.withColumn("twins", F.count(F.lit(1)).over(context))
+    found = _anchor_rows(docs, length, gram).withColumn("size", F.sum("n").over(same)).where("size > 1")
+    found = found.withColumn("twins", F.sum("n").over(context))
     found = found.withColumn("place", F.row_number().over(context.orderBy("key", "at"))).withColumn("mixed", F.min("twins").over(same) == 1)
     found = stored(found.select("rank", "key", "at", "size", "twins", ((F.col("twins") == 1) | (F.col("mixed") & (F.col("place") == 1))).alias("open")), "anchors")
     far, near = F.col("at").bitwiseAND(1023), F.shiftright("at", 10).bitwiseAND(1023)
