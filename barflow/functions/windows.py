@@ -112,7 +112,17 @@ def with_ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], keys: list
     before its first value.  The recurrence is linear, so it is evaluated as a two-level scan: a
     running weighted sum inside blocks of ``block`` rows, plus the decayed ends of earlier blocks.
     Weights stay in a range doubles can hold, the result is exact, and no row leaves the JVM.
+    With ``a = 1`` the mean is the input itself.
     """
+    if any(not 0 < a <= 1 for _, a, _ in specs.values()):
+        raise ValueError("alpha must lie in (0, 1]")
+    plain = {out: s for out, s in specs.items() if s[1] == 1}
+    if plain:
+        seen = running(Window.partitionBy(*keys).orderBy(*order))
+        df = df.withColumns({out: F.when(F.count(F.col(c)).over(seen) >= need, F.col(c)) for out, (c, _, need) in plain.items()})
+        specs = {out: s for out, s in specs.items() if s[1] != 1}
+        if not specs:
+            return df
     w = Window.partitionBy(*keys).orderBy(*order)
     wb = Window.partitionBy(*keys, "_blk").orderBy(*order)
     inputs = dict.fromkeys(s[0] for s in specs.values())

@@ -37,19 +37,26 @@ def normalize_theme(tag: Column) -> Column:
 def failure_codes(result: str) -> Column:
     """Sorted union of failed gauntlet checks, failed gates and the explicit failure code.
 
-    A failed edge surface stops the later stages, so only its status counts.
+    A failed edge surface stops the later stages, so only its status and the failure code count.
     """
     r = F.col(result)
     failed = F.map_keys(F.map_filter(r["gauntlet"], lambda k, v: F.upper(v["verdict"]) == "FAIL"))
-    codes = F.array_union(F.array_union(failed, r["failed_gates"]), F.array_compact(F.array(r["failure_code"])))
-    edge = F.array(F.concat(F.lit("edge_"), r["edge_status"]))
-    none = F.array().cast("array<string>")
-    return F.when(r.isNull(), none).otherwise(F.array_sort(F.when(~r["edge_passed"], edge).otherwise(codes)))
+    code = F.array_compact(F.array(F.nullif(F.trim(r["failure_code"]), F.lit(""))))
+    empty = F.array().cast("array<string>")
+    checks = F.array_union(F.array_union(F.coalesce(failed, empty), F.coalesce(r["failed_gates"], empty)), code)
+    edge = F.array_union(code, F.array_compact(F.array(F.nullif(F.trim(r["edge_status"]), F.lit("")))))
+    return F.when(r.isNull(), empty).otherwise(F.array_sort(F.when(~r["edge_passed"], edge).otherwise(checks)))
+
+
+def task_results(log: DataFrame) -> DataFrame:
+    """Rows that report one finished task of a bar configuration; the only ones that count as attempts."""
+    return log.filter((F.col("event") == "task_result") & (F.coalesce(F.trim("bar_config"), F.lit("")) != ""))
 
 
 def with_outcome(log: DataFrame) -> DataFrame:
+    """Task results with theme, stage outcomes and failure codes."""
     s, t = F.col("search_result"), F.col("selection_result")
-    return log.withColumns({
+    return task_results(log).withColumns({
         "theme": normalize_theme(F.col("theme_tag")), "edge_pass": F.coalesce(s["edge_passed"], F.lit(True)),
         "search_pass": F.coalesce(F.upper(s["verdict"]) == "PASS", F.lit(False)), "selection_attempt": t.isNotNull(),
         "selection_pass": F.coalesce(F.upper(t["verdict"]) == "PASS", F.lit(False)),
@@ -70,19 +77,31 @@ def scorecard(outcomes: DataFrame, keys: list[str]) -> DataFrame:
             "selection_rate": laplace(F.col("selection_passes"), F.col("selection_attempts"))})
 
 
+def theme_scorecard(log: DataFrame) -> DataFrame:
+    """Attempts and passes of each theme, from completed validation hand-offs."""
+    n = F.col("attempts")
+    done = log.filter(F.col("event") == "validation_handoff_completed").withColumn("theme", normalize_theme(F.col("theme_tag")))
+    return done.groupBy("theme").agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("pass_count") > 0).alias("search_passes"),
+        F.count_if("selection_attempted").alias("selection_attempts"), F.count_if("selection_passed").alias("selection_passes")).withColumns({
+            "search_rate": laplace(F.col("search_passes"), n), "selection_rate": laplace(F.col("selection_passes"), F.col("selection_attempts"))})
+
+
 def failure_counts(outcomes: DataFrame, keys: list[str]) -> DataFrame:
     return outcomes.select(*keys, F.explode("codes").alias("code")).groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("fail_count"))
 
 
 def near_misses(log: DataFrame, top: int = 10) -> DataFrame:
-    """Failed results with a positive Sharpe and at least one code: best per strategy, configuration and split."""
+    """Failed task results with a positive Sharpe and at least one code: best per strategy, configuration and split."""
     parts = None
     for split, col in (("search", "search_result"), ("selection", "selection_result")):
-        one = log.select("strategy_name", "bar_config", F.lit(split).alias("split"), F.col(f"{col}.verdict").alias("verdict"),
-                         F.col(f"{col}.metrics.sharpe_ratio").alias("sharpe"), failure_codes(col).alias("codes"))
+        one = task_results(log).select("strategy_name", "bar_config", F.lit(split).alias("split"), F.col(f"{col}.verdict").alias("verdict"), "timestamp", "event_id",
+                                       normalize_theme(F.col("theme_tag")).alias("theme"), F.col(f"{col}.metrics.sharpe_ratio").alias("sharpe"), failure_codes(col).alias("codes"))
         parts = one if parts is None else parts.unionByName(one)
     hit = parts.filter((F.upper("verdict") == "FAIL") & (F.col("sharpe") > 0) & (F.size("codes") > 0))
-    best = hit.groupBy("strategy_name", "bar_config", "split").agg(F.max("sharpe").alias("sharpe"))
+    row = F.struct("sharpe", "timestamp", "event_id", "theme", "codes")
+    best = hit.groupBy("strategy_name", "bar_config", "split").agg(F.max(row).alias("b"))
+    best = best.select("strategy_name", "bar_config", "split", "b.sharpe", "b.theme", F.array_join("b.codes", ",").alias("failed_checks"))
     return best.orderBy(F.col("sharpe").desc(), "strategy_name", "bar_config", "split").limit(int(top))
 
 
@@ -107,60 +126,106 @@ def event_id(*parts: Column) -> Column:
 
 
 def request_summary(log: DataFrame) -> DataFrame:
-    """Verdict counts, averages and best bar configuration per validation request."""
-    r, ok = F.col("search_result.metrics"), F.col("event") == "task_result"
-    g = log.filter(F.col("event").isin(*TRIAL_EVENTS)).groupBy("request_id").agg(
-        F.count_if(ok & (F.col("verdict") == "PASS")).alias("pass_count"), F.count_if(ok & (F.col("verdict") == "FAIL")).alias("fail_count"),
-        F.count_if(F.col("event") == "task_error").alias("error_count"), F.avg(F.when(ok, r["sharpe_ratio"])).alias("avg_sharpe"),
-        F.avg(F.when(ok, r["net_pnl"])).alias("avg_net_pnl"),
-        F.max(F.when(ok, F.struct(r["sharpe_ratio"].alias("s"), F.col("bar_config").alias("b")))).alias("_best"))
-    return g.withColumns({"best_bar_config": F.col("_best.b"), "overall": F.expr("""case when pass_count > 0 and fail_count + error_count = 0 then 'PASS'
-        when pass_count > 0 then 'MIXED' when fail_count > 0 then 'FAIL' else 'ERROR' end""")}).drop("_best")
-
-
-def status_board(log: DataFrame) -> DataFrame:
-    """Counts by event, pass rate, average of the last ten results, best and worst strategy by PnL."""
+    """Verdict counts, averages, configurations and best configuration per validation request.
+
+    A task that is neither PASS nor ERROR has failed; any error makes the request an ERROR.
+    """
+    r = F.col("search_result.metrics")
+    verdict = F.when(F.col("event") == "task_error", "ERROR").otherwise(F.upper(F.coalesce("verdict", F.lit(""))))
+    t = log.filter(F.col("event").isin(*TRIAL_EVENTS)).withColumn("_v", verdict)
+    ok, won, lost = F.col("_v") != "ERROR", F.col("_v") == "PASS", ~F.col("_v").isin("PASS", "ERROR")
+    best = F.when(ok & r["sharpe_ratio"].isNotNull(), F.struct(r["sharpe_ratio"].alias("s"), F.col("bar_config").alias("b")))
+
+    def configs(when: Column) -> Column:
+        return F.array_join(F.array_sort(F.collect_set(F.when(when, F.nullif(F.trim("bar_config"), F.lit(""))))), ",")
+    g = t.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("task_count"), F.count_if(won).alias("pass_count"), F.count_if(lost).alias("fail_count"),
+        F.count_if(~ok).alias("error_count"), F.avg(F.when(ok, r["sharpe_ratio"])).alias("avg_sharpe"), F.avg(F.when(ok, r["net_pnl"])).alias("avg_net_pnl"),
+        F.avg(F.when(ok, r["trade_count"])).alias("avg_trade_count"), configs(won).alias("passing_configs"), configs(lost).alias("failing_configs"),
+        F.max(best).alias("_best"))
+    return g.withColumns({
+        "pass_fraction": F.col("pass_count") / F.col("task_count"), "best_bar_config": F.col("_best.b"), "best_sharpe": F.col("_best.s"),
+        "overall": F.expr("case when error_count > 0 then 'ERROR' when pass_count = task_count then 'PASS' when pass_count > 0 then 'MIXED' else 'FAIL' end")}).drop("_best")
+
+
+def status_board(log: DataFrame, recent: int = 10) -> DataFrame:
+    """Result and error counts of the log, and rates, averages, best and worst of the last ``recent`` results (a report of the newest)."""
     ok = F.col("event") == "task_result"
-    pnl = F.col("search_result.metrics.net_pnl")
-    order = F.struct(pnl.alias("p"), F.col("strategy_name").alias("s"))
-    total = log.agg(F.count_if(ok).alias("results"), F.count_if(F.col("event") == "task_error").alias("errors"),
-                    (F.count_if(ok & (F.col("verdict") == "PASS")) / F.count_if(ok)).alias("pass_rate"), F.max(F.when(ok, order)).alias("_b"),
-                    F.min(F.when(ok, order)).alias("_w"), F.lit(1).alias("_k"))
-    last = log.filter(ok).orderBy(F.col("timestamp").desc(), F.col("event_id").desc()).limit(10).agg(
-        F.avg("search_result.metrics.sharpe_ratio").alias("recent_sharpe"), F.lit(1).alias("_k"))
-    return total.join(last, "_k").select("results", "errors", "pass_rate", "recent_sharpe", F.col("_b.s").alias("best_strategy"),
-                                         F.col("_b.p").alias("best_pnl"), F.col("_w.s").alias("worst_strategy"), F.col("_w.p").alias("worst_pnl"))
-
-
-def strategy_results(log: DataFrame, recent: int = 100, latest: bool = False) -> DataFrame:
-    """One result per strategy among the last ``recent`` rows: the oldest by default, the newest on request."""
-    last = log.filter(F.col("event") == "task_result").orderBy(F.col("timestamp").desc(), F.col("event_id").desc()).limit(int(recent))
+    pnl, sharpe = F.col("search_result.metrics.net_pnl"), F.col("search_result.metrics.sharpe_ratio")
+    finite = pnl.isNotNull() & sharpe.isNotNull() & ~F.isnan(pnl) & ~F.isnan(sharpe) & (F.abs(pnl) < float("inf")) & (F.abs(sharpe) < float("inf"))
+    order = F.when(finite, F.struct(pnl.alias("p"), F.col("strategy_name").alias("s")))
+    total = log.agg(F.count_if(ok).alias("results"), F.count_if(F.col("event") == "task_error").alias("errors"))
+    last = log.filter(ok).orderBy(F.col("timestamp").desc(), F.col("event_id").desc()).limit(int(recent)).agg(
+        F.count_if(finite).alias("tested"), (100.0 * F.count_if(F.col("verdict") == "PASS") / F.count(F.lit(1))).alias("pass_rate_pct"),
+        F.avg(F.when(finite, pnl)).alias("avg_net_pnl"), F.avg(F.when(finite, sharpe)).alias("avg_sharpe"), F.max(order).alias("_b"), F.min(order).alias("_w"))
+    return total.join(last, F.lit(True)).select("results", "errors", "tested", "pass_rate_pct", "avg_net_pnl", "avg_sharpe", F.col("_b.s").alias("best_strategy"),
+                                                F.col("_b.p").alias("best_pnl"), F.col("_w.s").alias("worst_strategy"), F.col("_w.p").alias("worst_pnl"))
+
+
+def queue_states(tasks: DataFrame) -> DataFrame:
+    """Tasks per state of the four known ones; a state without tasks counts zero."""
+    n = [F.count_if(F.col("state") == s).alias(s) for s in ("pending", "in_progress", "completed", "failed")]
+    return tasks.agg(*n)
+
+
+def active_hypotheses(tasks: DataFrame, top: int = 4) -> DataFrame:
+    """The hypotheses with most pending or running tasks."""
+    live = tasks.filter(F.col("state").isin("pending", "in_progress") & (F.coalesce(F.trim("hypothesis_id"), F.lit("")) != ""))
+    return live.groupBy(F.trim("hypothesis_id").alias("hypothesis_id")).agg(F.count(F.lit(1)).alias("tasks")).orderBy(F.desc("tasks"), "hypothesis_id").limit(int(top))
+
+
+def strategy_results(log: DataFrame, recent: int | None = None, latest: bool = False) -> DataFrame:
+    """One result per strategy: the oldest by default, the newest on request; over the last ``recent`` rows only if asked."""
+    rows = log.filter(F.col("event") == "task_result")
+    if recent is not None:
+        rows = rows.orderBy(F.col("timestamp").desc(), F.col("event_id").desc()).limit(int(recent))
     order = F.struct("timestamp", "event_id")
     row = F.struct("timestamp", "event_id", "bar_config", "verdict", F.col("search_result.metrics.net_pnl").alias("net_pnl"))
-    return last.groupBy("strategy_name").agg((F.max_by if latest else F.min_by)(row, order).alias("r")).select("strategy_name", "r.*")
+    return rows.groupBy("strategy_name").agg((F.max_by if latest else F.min_by)(row, order).alias("r")).select("strategy_name", "r.*")
+
+
+QUERY_MODES = ("plain", "research", "deep_research")
 
 
-def query_audit(audit: DataFrame, keys: list[str]) -> DataFrame:
-    """Query counts by mode, success and fallback, distinct sources and the first three distinct previews."""
-    firsts = audit.groupBy(*keys, "preview").agg(F.min(F.struct("timestamp", "seq")).alias("_at"))
+def query_audit(audit: DataFrame, keys: list[str] = ("run_id", "iteration", "stage", "lane_id")) -> DataFrame:
+    """Queries by mode, the successful ones without fallback, errors, source sums and the first three distinct previews."""
+    keys, mode = list(keys), F.lower(F.trim("mode"))
+    good = F.coalesce(F.lower(F.trim("status")) == "success", F.lit(False))
+    fallback = F.coalesce("fallback_to_plain", F.lit(False))
+    preview = F.trim(F.coalesce("question_preview", F.lit("")))
+    firsts = audit.withColumn("_p", preview).filter("_p <> ''").groupBy(*keys, "_p").agg(F.min(F.struct("timestamp", "seq")).alias("_at"))
     w = Window.partitionBy(*keys).orderBy("_at")
     firsts = firsts.withColumn("_r", F.row_number().over(w)).filter("_r <= 3").groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "preview"))), lambda s: s["preview"]), "|").alias("previews"))
-    return audit.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("query_count"), F.count_if(F.col("mode") == "deep").alias("deep_count"), F.count_if("success").alias("success_count"),
-        F.count_if("fallback").alias("fallback_count"), F.countDistinct("source").alias("source_count")).join(firsts, keys)
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_p"))), lambda s: s["_p"]), "|").alias("previews"))
+    counts = audit.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("query_count"), F.count_if(good).alias("success_count"), F.count_if(~good).alias("error_count"), F.count_if(fallback).alias("fallback_count"),
+        *[F.count_if(mode == m).alias(f"{m}_count") for m in QUERY_MODES], *[F.count_if((mode == m) & good & ~fallback).alias(f"{m}_kept") for m in QUERY_MODES],
+        F.sum(F.coalesce("discovered_sources", F.lit(0))).alias("discovered_sources"), F.sum(F.coalesce("imported_sources", F.lit(0))).alias("imported_sources"))
+    return counts.join(firsts, keys, "left")
 
 
 def feature_family(feature: Column) -> Column:
-    return (F.when(feature.rlike("cvd|delta|imbalance|flow"), "order_flow").when(feature.rlike("poc|va_|hvn|lvn|value"), "value_area")
-            .when(feature.rlike("vol|range|atr"), "volatility").when(feature.rlike("return|ema|sma|macd|rsi"), "momentum").otherwise("other"))
+    """Family that a primary feature rests with (fixed names of the feature matrix); other features rest alone."""
+    f = F.lower(F.trim(feature))
+    return (F.when(f.contains("va_position") | (f == "position_in_va"), "value_area_position")
+            .when(f.startswith("dist_prev_") | f.isin("prev_day_poc", "prev_day_vah", "prev_day_val"), "previous_session_value_reference")
+            .when(f.isin("value_acceptance_rate_8", "va_rejection_score", "price_discovery_score", "failed_auction_score"), "auction_state_anchor")
+            .otherwise(f))
 
 
 def cooldowns(attempts: DataFrame, keep_from: int = 2, top: int = 4) -> DataFrame:
-    """Feature families to rest: conflicts score 2, blocked conditions 1; the strongest few are listed."""
-    score = F.when(F.col("severity") == "conflict", 2).when(F.col("severity") == "blocks_all", 1).otherwise(0)
-    g = attempts.filter(F.col("role") == "primary").groupBy(feature_family(F.col("feature")).alias("family")).agg(F.sum(score).alias("score"))
-    return g.filter(F.col("score") >= int(keep_from)).orderBy(F.col("score").desc(), "family").limit(int(top))
+    """Feature families to rest; the strongest few are listed with their first feature.
+
+    A primary condition scores 2 if its attempt has conflicts between samples, else 1 if the attempt failed without a
+    signal or on a dead primary feature and the condition blocks all rows.
+    """
+    stuck = F.lower(F.trim("failure_type")).isin("zero_signal", "dead_feature_primary")
+    blocks = (F.lower(F.trim(F.coalesce("severity", F.lit("")))) == "blocks_all") | (F.coalesce("pass_rate_pct", F.lit(0.0)) <= 0)
+    score = F.when(F.coalesce("has_conflicts", F.lit(False)), 2).when(F.coalesce(stuck, F.lit(False)) & blocks, 1).otherwise(0)
+    role = F.coalesce(F.nullif(F.lower(F.trim("role")), F.lit("")), F.lit("primary"))
+    a = attempts.filter((role == "primary") & (F.trim(F.coalesce("feature", F.lit(""))) != "")).withColumn("_s", score).filter("_s > 0")
+    g = a.groupBy(feature_family(F.col("feature")).alias("family")).agg(F.sum("_s").alias("score"), F.min_by("feature", F.struct("attempt", "feature")).alias("feature"))
+    return g.filter(F.col("score") >= int(keep_from)).orderBy(F.col("score").desc(), "feature").limit(max(1, int(top)))
 
 
 def feedback_feed(logs: list[DataFrame], limit: int) -> DataFrame:

@@ -75,12 +75,21 @@ def overfit_splits(scores: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def overfit_probability(scores: DataFrame, keys: list[str] = ()) -> DataFrame:
-    s = overfit_splits(scores, keys)
-    return s.groupBy(*keys).agg(
+    """Share of splits whose best candidate falls below the middle out of sample; every key has a row.
+
+    With fewer than two candidates or three usable splits it is not available and counts as 1.
+    """
+    keys, s = list(keys), overfit_splits(scores, keys)
+    g = s.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("effective_split_count"), F.max("candidate_count").alias("candidate_count"),
         F.count_if(F.col("oos_percentile") < 0.5).alias("under_median_count"), F.avg("logit").alias("lambda_mean"),
-        F.stddev_pop("logit").alias("lambda_std")).withColumn("pbo", F.expr("under_median_count / effective_split_count")).filter(
-        "candidate_count >= 2 and effective_split_count >= 3")
+        F.stddev_pop("logit").alias("lambda_std"))
+    every = scores.groupBy(*keys).agg(F.countDistinct("candidate").alias("_c"))
+    g = every.join(g, keys, "left") if keys else every.join(g, F.lit(True), "left")
+    g = g.withColumns({"candidate_count": F.coalesce("candidate_count", "_c"), "effective_split_count": F.coalesce("effective_split_count", F.lit(0)),
+                       "under_median_count": F.coalesce("under_median_count", F.lit(0))}).drop("_c")
+    g = g.withColumn("available", F.expr("candidate_count >= 2 and effective_split_count >= 3"))
+    return g.withColumn("pbo", F.expr("if(available, under_median_count / effective_split_count, 1D)"))
 
 
 def rolling_sharpe(pnl: DataFrame, keys: list[str], window_days: int = 60, step_days: int = 10) -> DataFrame:

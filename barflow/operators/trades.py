@@ -55,6 +55,12 @@ def day_window(keys: list[str]):
     return Window.partitionBy(*keys, "date_utc").orderBy(*ORDER)
 
 
+def day_ahead(keys: list[str]):
+    """The later bars of the day, nearest last: a running frame in falling order, so its cost is linear."""
+    falling = [F.col(c).desc() for c in ORDER]
+    return Window.partitionBy(*keys, "date_utc").orderBy(*falling).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def with_series_order(bars: DataFrame, keys: list[str]) -> DataFrame:
     """Position in the whole series, its length, and the signal before each bar, without a whole-series sort."""
     df = with_day(bars)
@@ -81,10 +87,10 @@ def run_trades(bars: DataFrame, keys: list[str], carry: list[str] = ()) -> DataF
     close after the run or at the day's last close; a run starting on the last bar does not trade."""
     w = day_window(keys)
     at = F.struct("ts_event", "close", *carry)
-    rest = w.rowsBetween(1, Window.unboundedFollowing)
+    rest = day_ahead(keys)
     df = with_day(bars).withColumn("_turn", F.col("signal") != F.coalesce(F.lag("signal").over(w), F.lit(0)))
     df = df.withColumns({
-        "_exit": F.coalesce(F.first(F.when(F.col("_turn"), at), ignorenulls=True).over(rest), F.last(at).over(rest)),
+        "_exit": F.coalesce(F.last(F.when(F.col("_turn"), at), ignorenulls=True).over(rest), F.first(at).over(rest)),
     })
     return df.filter(F.col("_turn") & (F.col("signal") != 0) & F.col("_exit").isNotNull()).select(
         *keys, F.col("ts_event").alias("entry_time"), F.col("_exit.ts_event").alias("exit_time"),
@@ -110,11 +116,11 @@ def next_open_trades(bars: DataFrame, keys: list[str]) -> DataFrame:
     """Next-open mode: a run a..b opens at the open after ``a`` and closes at the close after ``b`` or the
     day's last close.  A signal that appears on a day's last bar fills at the next day's first open."""
     w = day_window(keys)
-    rest = w.rowsBetween(1, Window.unboundedFollowing)
+    rest = day_ahead(keys)
     at = F.struct("ts_event", "close")
     df = _with_carry_in(bars, keys).withColumn("_turn", F.col("signal") != F.coalesce(F.lag("signal").over(w), F.lit(0)))
     df = df.withColumns({
-        "_exit": F.coalesce(F.first(F.when(F.col("_turn"), at), ignorenulls=True).over(rest), F.last(at).over(rest)),
+        "_exit": F.coalesce(F.last(F.when(F.col("_turn"), at), ignorenulls=True).over(rest), F.first(at).over(rest)),
         "_next": F.lead(F.struct("ts_event", "open")).over(w),
     })
     held = (F.col("carry_in") != 0) & (F.col("carry_in") == F.col("signal"))

@@ -35,11 +35,12 @@ def swing_anchor(bars: DataFrame, params: dict | None = None) -> DataFrame:
              .when((F.col("_idx") >= n) & (F.col("close") < F.min("low").over(channel)), -1))
     df = df.withColumn("_broke", broke).withColumn(
         "_dir", F.coalesce(F.last("_broke", ignorenulls=True).over(running(w)), F.lit(0)))
+    falling = Window.partitionBy("symbol", "session_date").orderBy(F.col("ts_event").desc(), F.col("seq").desc())
     flips = F.col("_broke").isNotNull() & (F.col("_broke") != F.coalesce(F.lag("_dir").over(w), F.lit(0)))
     df = df.withColumn("_flip", F.when(flips, F.col("_idx")))
     return df.withColumns({
         "_anchor": F.last("_flip", ignorenulls=True).over(running(w)),
-        "_next_flip": F.first("_flip", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+        "_next_flip": F.last("_flip", ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, -1)),
         "_last_idx": F.max("_idx").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     }).withColumns({
         "breakout_direction": F.col("_dir").cast("double"),

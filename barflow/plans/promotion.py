@@ -60,9 +60,14 @@ def walk_forward_result(trades: DataFrame, folds: DataFrame, keys: list[str], ra
 
 
 def gates(results: DataFrame, thresholds: DataFrame, keys: list[str], metrics_: list[str]) -> DataFrame:
-    """One row per gate: the metric, its bound and whether it passes (``sense`` is min or max)."""
+    """One row per strategy and gate: the metric, its bound and whether it passes (``sense`` is min or max).
+
+    Every threshold gives a row for every strategy; a gate whose metric is missing fails.
+    """
     long = results.select(*keys, *[F.col(c).cast("double").alias(c) for c in metrics_]).unpivot(keys, metrics_, "gate", "value")
-    return long.join(thresholds, "gate").withColumn("passed", F.coalesce(
+    bounds = F.array_sort(F.collect_list(F.struct("gate", "sense", "bound")))
+    every = results.select(*keys).distinct().join(F.broadcast(thresholds.agg(bounds.alias("_t"))), F.lit(True)).select(*keys, F.explode("_t").alias("_t")).select(*keys, "_t.*")
+    return every.join(long, [*keys, "gate"], "left").withColumn("passed", F.coalesce(
         F.expr("if(sense = 'min', value >= bound, value <= bound)"), F.lit(False)))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.windows import BAR_ORDER, with_ewm
 from ..operators.gauntlet import gauntlet
 from ..operators.pnl import score
-from ..operators.trades import run_trades, sign_signal, signal_from_conditions
+from ..operators.trades import run_trades, sign_signal, signal_from_conditions, with_series_order
 
 
 def column_strategy(df: DataFrame, fn: Callable[[DataFrame, dict], DataFrame], params: dict | None = None) -> DataFrame:
@@ -70,21 +70,39 @@ def ema_turn(df: DataFrame, params: dict | None = None, keys: tuple[str, ...] =
                                                            (F.col("_before") >= 0) & (F.col("_gap") < 0))).drop("_ema", "_gap", "_before")
 
 
+MIN_PREFIX = 32
+
+
 def causality_check(df: DataFrame, fn: Callable[[DataFrame, dict], DataFrame], params: dict | None = None, key: str = "symbol",
                     shares: tuple[float, ...] = (0.5, 0.75, 0.9, 1.0), strict: bool = True) -> DataFrame:
-    """Prefix test: the signal computed on the first K bars must equal the first K signals of the full run."""
-    w = Window.partitionBy(key).orderBy(*BAR_ORDER)
-    base = df.withColumns({"_rn": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy(key))}).filter("_n >= 32")
+    """Prefix test: the signal computed on the first K bars must equal the first K signals of the full run.
+
+    One row per series and cut: K is the rounded share of its bars (the last share leaves out one bar), cuts below
+    ``MIN_PREFIX`` bars are left out.  ``status`` is ``ok``, ``mismatch`` or ``length`` (rows lost or added); a series too
+    short for any cut has one row with status ``short``.
+    """
+    bars = with_series_order(df.withColumn("signal", F.lit(0)) if "signal" not in df.columns else df, [key])
+    base = bars.withColumns({"_rn": F.col("pos") + 1, "_n": F.col("series_rows")}).drop("pos", "series_rows", "prev_signal")
+    base = base if "signal" in df.columns else base.drop("signal")
+    sizes = base.groupBy(key).agg(F.max("_n").alias("_n"))
     full = fn(base, params or {}).select(key, "_rn", F.col("signal").cast("double").alias("_full"))
-    out = None
+    out = sizes.filter(F.col("_n") < MIN_PREFIX + 1).select(
+        key, F.lit(None).cast("double").alias("share"), F.col("_n").alias("prefix_rows"), F.lit(0).cast("bigint").alias("mismatches"),
+        F.lit(None).cast("bigint").alias("first_mismatch"), F.lit("short").alias("status"))
     for s in shares:
-        cut = F.when(F.lit(float(s)) >= 1.0, F.col("_n") - 1).otherwise(F.floor(F.col("_n") * float(s)))
-        part = fn(base.filter(F.col("_rn") <= cut), params or {}).select(key, "_rn", F.col("signal").cast("double").alias("_part"))
+        cut = F.col("_n") - 1 if float(s) >= 1.0 else F.bround(F.col("_n") * float(s)).cast("bigint")
+        fit = (cut >= MIN_PREFIX) & (cut < F.col("_n"))
+        part = fn(base.filter(fit & (F.col("_rn") <= cut)), params or {}).select(key, "_rn", F.col("signal").cast("double").alias("_part"))
         a, b = (F.col("_full"), F.col("_part")) if strict else (F.signum("_full"), F.signum("_part"))
-        one = part.join(full, [key, "_rn"]).groupBy(key).agg(
-            F.count(F.lit(1)).alias("prefix_rows"), F.count_if(~a.eqNullSafe(b)).alias("mismatches"),
-            F.min(F.when(~a.eqNullSafe(b), F.col("_rn"))).alias("first_mismatch")).withColumn("share", F.lit(float(s)))
-        out = one if out is None else out.unionByName(one)
+        want = sizes.filter(fit).select(key, cut.cast("bigint").alias("prefix_rows"))
+        both = part.withColumn("_in_part", F.lit(1)).join(full.withColumn("_in_full", F.lit(1)).join(want, key).filter("_rn <= prefix_rows"), [key, "_rn"], "full")
+        bad = ~a.eqNullSafe(b)
+        one = both.groupBy(key).agg(F.count("_in_part").alias("_p"), F.count("_in_full").alias("_f"), F.count_if(bad).alias("mismatches"),
+                                    F.min(F.when(bad, F.col("_rn"))).cast("bigint").alias("first_mismatch"))
+        one = want.join(one, key, "left").select(
+            key, F.lit(float(s)).alias("share"), "prefix_rows", F.coalesce("mismatches", F.lit(0)).cast("bigint").alias("mismatches"), "first_mismatch",
+            F.expr("case when coalesce(_p, 0) <> prefix_rows or coalesce(_f, 0) <> prefix_rows then 'length' when mismatches > 0 then 'mismatch' else 'ok' end").alias("status"))
+        out = out.unionByName(one)
     return out
 
 

@@ -16,7 +16,8 @@ RESULT = T.StructType([
 LOG = T.StructType([T.StructField(n, T.StringType()) for n in (
     "event_id", "event", "run_id", "task_id", "request_id", "strategy_id", "strategy_name", "params", "theme_tag", "setup_key", "setup_label",
     "bar_config", "verdict")] + [T.StructField("search_result", RESULT), T.StructField("selection_result", RESULT),
-                                T.StructField("timestamp", T.TimestampType())])
+                                T.StructField("pass_count", T.LongType()), T.StructField("selection_attempted", T.BooleanType()),
+                                T.StructField("selection_passed", T.BooleanType()), T.StructField("timestamp", T.TimestampType())])
 
 
 def read_log(spark: SparkSession, path: str, events: list[str] | None = None) -> DataFrame:
@@ -50,7 +51,8 @@ def new_records(batch: DataFrame, existing: DataFrame, recent: int | None = None
     return once.join(seen.select("event_id").distinct(), "event_id", "left_anti")
 
 
-def append_log(batch: DataFrame, path: str, existing: DataFrame, recent: int | None = 2000) -> None:
+def append_log(batch: DataFrame, path: str, existing: DataFrame, recent: int | None = None) -> None:
+    """Append the rows whose id is not logged yet; ``recent`` limits the rows that are looked at, only if asked."""
     new_records(with_event_id(batch), existing, recent).write.mode("append").json(path)
 
 
@@ -74,7 +76,7 @@ def log_from_events(events: DataFrame) -> DataFrame:
     passed = sharpe > 0.5
     return events.select(
         F.sha2(F.concat_ws(":", F.lit("run"), eid.cast("string")), 256).alias("event_id"), eid.alias("seq"),
-        F.when(k % 10 == 0, "task_error").when(k % 10 == 1, "handoff").when(k % 10 == 2, "").otherwise("task_result").alias("event"),
+        F.when(k % 10 == 0, "task_error").when(k % 10 == 1, "validation_handoff_completed").when(k % 10 == 2, "").otherwise("task_result").alias("event"),
         F.lit("run").alias("run_id"), eid.cast("string").alias("task_id"), (F.col("user_id") % 50).cast("string").alias("request_id"),
         F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("id"), F.col("user_id") % 40)).alias("strategy_id"),
         F.concat(F.lit("strat_"), F.col("user_id") % 20).alias("strategy_name"), F.col("props").alias("params"),
@@ -83,4 +85,5 @@ def log_from_events(events: DataFrame) -> DataFrame:
         F.when(passed, "PASS").otherwise("FAIL").alias("verdict"),
         result(sharpe, F.when(passed, "PASS").otherwise("FAIL")).alias("search_result"),
         F.when(passed, result(sharpe - 0.2, F.when(eid % 2 == 0, "PASS").otherwise("FAIL"))).alias("selection_result"),
+        (eid % 3).alias("pass_count"), (eid % 2 == 0).alias("selection_attempted"), (eid % 4 == 0).alias("selection_passed"),
         F.col("ts").cast("timestamp").alias("timestamp"))

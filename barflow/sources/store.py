@@ -56,12 +56,12 @@ def write_results(signals: DataFrame, trades: DataFrame, summary: DataFrame, pat
 
 
 def sample_days(df: DataFrame, n_days: int, max_rows: int, key: str = "symbol") -> DataFrame:
-    """The first ``max_rows`` rows of ``n_days`` evenly spaced days per key: the sampling operator of feasibility checks."""
+    """The first ``max_rows`` rows of ``n_days`` evenly spaced days per key (places are truncated): the sampling operator of feasibility checks."""
     days = df.select(key, "session_date").distinct()
     w = Window.partitionBy(key)
     days = days.withColumns({"_i": F.row_number().over(w.orderBy("session_date")) - 1, "_n": F.count(F.lit(1)).over(w)})
     picks = F.transform(F.sequence(F.lit(0), F.least(F.lit(int(n_days)), F.col("_n").cast("int")) - 1), lambda k: F.when(
-        F.lit(int(n_days)) == 1, 0).otherwise(F.floor(k * (F.col("_n") - 1) / F.greatest(F.least(F.lit(int(n_days)), F.col("_n").cast("int")) - 1, F.lit(1)) + 0.5)))
+        F.lit(int(n_days)) == 1, 0).otherwise(F.floor(k * (F.col("_n") - 1) / F.greatest(F.least(F.lit(int(n_days)), F.col("_n").cast("int")) - 1, F.lit(1)))))
     chosen = days.filter(F.array_contains(picks.cast("array<int>"), F.col("_i").cast("int"))).select(key, "session_date")
     rank = Window.partitionBy(key, "session_date").orderBy("ts_event", "seq")
     return df.join(chosen, [key, "session_date"]).withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= int(max_rows)).drop("_r")

@@ -56,7 +56,7 @@ SELECT session, count(*) AS total, count(*) FILTER (session = 'eth' OR day(date)
 add("representative_day_sample", "symbol:s session_date:D ts_event:t seq:i", lambda x: D.sample_days(x.bars(), 5, 8), """
 WITH d AS (SELECT symbol, session_date, r - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM days)
 SELECT b.symbol, b.session_date, ts_event, seq FROM b JOIN d USING (symbol, session_date)
-WHERE i IN (SELECT CAST(floor(k * (d.n - 1) / 4 + 0.5) AS BIGINT) FROM range(0, 5) AS t(k))
+WHERE i IN (SELECT CAST(floor(k * (d.n - 1) / 4) AS BIGINT) FROM range(0, 5) AS t(k))
 QUALIFY row_number() OVER (PARTITION BY b.symbol, b.session_date ORDER BY ts_event, seq) <= 8""")
 add("lockbox_split", "date:D part:s", lambda x: D.lockbox_split(x.table("orders").select(F.to_date("o_orderdate").alias("date")).distinct(), 6), """
 SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, CASE WHEN r <= 6 THEN 'lockbox' ELSE 'research' END AS part
@@ -83,13 +83,16 @@ SELECT *, event_id AS seq, sha256('run:' || event_id) AS eid, 'strat_' || (user_
   value / 50 - 0.5 AS sharpe, value * 10 - 300 AS net, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INT) AS k, 'theme_' || (user_id % 7) || '_big_move' AS theme,
   'setup' || (user_id % 9) AS setup_key, CAST(user_id % 50 AS VARCHAR) AS request_id, value / 50 - 0.5 > 0.5 AS sp, value / 50 - 0.5 > 0.5 AND event_id % 2 = 0 AS lp FROM events"""
 CTES["lge"] = """
-SELECT *, CASE k % 10 WHEN 0 THEN 'task_error' WHEN 1 THEN 'handoff' WHEN 2 THEN '' ELSE 'task_result' END AS ev,
+SELECT *, CASE k % 10 WHEN 0 THEN 'task_error' WHEN 1 THEN 'validation_handoff_completed' WHEN 2 THEN '' ELSE 'task_result' END AS ev,
   CASE WHEN sp THEN 'PASS' ELSE 'FAIL' END AS verdict,
-  CASE WHEN event_id % 4 = 0 THEN ['edge_no_edge'] ELSE list_sort(list_filter([CASE WHEN event_id % 3 = 0 THEN 'shuffle' END, CASE WHEN event_id % 2 = 0 THEN 'regime' END,
+  CASE WHEN event_id % 4 = 0 THEN CASE WHEN event_id % 11 = 0 THEN ['no_edge', 'no_trades'] ELSE ['no_edge'] END ELSE list_sort(list_filter([CASE WHEN event_id % 3 = 0 THEN 'shuffle' END, CASE WHEN event_id % 2 = 0 THEN 'regime' END,
     CASE WHEN event_id % 5 = 0 THEN 'decay' END, CASE WHEN event_id % 7 = 0 THEN 'deflated_sharpe' END, CASE WHEN event_id % 11 = 0 THEN 'no_trades' END],
     lambda c: c IS NOT NULL)) END AS codes FROM lg"""
 
 
+CTES["lgr"] = "SELECT * FROM lge WHERE ev = 'task_result'"
+
+
 def log(x):
     return X.log_from_events(x.table("events"))
 
@@ -104,11 +107,16 @@ add("log_json_source", "event:s strategy_name:s n:i", _json_lines,
 
 
 def _append(x):
-    new = X.with_event_id(log(x).select("event_id", "seq", "timestamp"))
-    return X.new_records(new.unionByName(new.filter(F.col("seq") % 3 == 0)), log(x).filter(F.col("seq") % 4 == 0))
+    """A quarter of the log is there; all of it, a third twice, is appended in two calls: each id ends up logged once."""
+    path, rows = _stored_store(x, "explog"), log(x).select("event_id", "seq", "timestamp")
+    schema = rows.schema
+    rows.filter(F.col("seq") % 4 == 0).write.json(path)
+    for batch in (rows.unionByName(rows.filter(F.col("seq") % 3 == 0)), rows.filter(F.col("seq") % 2 == 0)):
+        X.append_log(batch, path, x.spark.read.schema(schema).json(path))
+    return x.spark.read.schema(schema).json(path)
 
 
-add("log_idempotent_append", "event_id:s seq:i", _append, "SELECT eid AS event_id, event_id AS seq FROM lg WHERE event_id % 4 <> 0")
+add("log_idempotent_append", "event_id:s seq:i", _append, "SELECT eid AS event_id, event_id AS seq FROM lg")
 
 # --- log analytics
 CTES["tri"] = "SELECT * FROM lge WHERE ev IN ('task_result', 'task_error') OR ev = ''"
@@ -121,69 +129,101 @@ SC = "attempts:i edge_passes:i search_passes:i selection_attempts:i selection_pa
 def _sc_sql(k: str) -> str:
     return f"""SELECT {k}, count(*) AS attempts, count(*) FILTER (event_id % 4 <> 0) AS edge_passes, count(*) FILTER (sp) AS search_passes, count(*) FILTER (sp) AS selection_attempts,
 count(*) FILTER (lp) AS selection_passes, (count(*) FILTER (event_id % 4 <> 0) + 1) / (count(*) + 2) AS edge_rate, (count(*) FILTER (sp) + 1) / (count(*) + 2) AS search_rate,
-(count(*) FILTER (lp) + 1) / (count(*) FILTER (sp) + 2) AS selection_rate FROM lge GROUP BY ALL"""
+(count(*) FILTER (lp) + 1) / (count(*) FILTER (sp) + 2) AS selection_rate FROM lgr GROUP BY ALL"""
 
 
 def outcomes(x):
     return G.with_outcome(log(x))
 
 
-add("theme_scorecard", f"theme:s {SC}", lambda x: G.scorecard(outcomes(x), ["theme"]), _sc_sql("theme"))
+add("theme_scorecard", "theme:s attempts:i search_passes:i selection_attempts:i selection_passes:i search_rate:d selection_rate:d", lambda x: G.theme_scorecard(log(x)), """
+SELECT *, (search_passes + 1) / (attempts + 2) AS search_rate, (selection_passes + 1) / (selection_attempts + 2) AS selection_rate FROM (
+  SELECT theme, count(*) AS attempts, count(*) FILTER (event_id % 3 > 0) AS search_passes, count(*) FILTER (event_id % 2 = 0) AS selection_attempts,
+    count(*) FILTER (event_id % 4 = 0) AS selection_passes FROM lge WHERE ev = 'validation_handoff_completed' GROUP BY theme)""")
 add("bar_affinity_scorecard", f"theme:s bar_config:s {SC}", lambda x: G.scorecard(outcomes(x), ["theme", "bar_config"]), _sc_sql("theme, event_type AS bar_config"))
 add("setup_scorecard", f"setup_key:s {SC}", lambda x: G.scorecard(outcomes(x), ["setup_key"]), _sc_sql("setup_key"))
 add("failure_counts", "theme:s code:s fail_count:i", lambda x: G.failure_counts(outcomes(x), ["theme"]),
-    "SELECT theme, code, count(*) AS fail_count FROM (SELECT theme, unnest(codes) AS code FROM lge) GROUP BY ALL")
+    "SELECT theme, code, count(*) AS fail_count FROM (SELECT theme, unnest(codes) AS code FROM lgr) GROUP BY ALL")
 add("failure_codes", "event_id:s codes:s", lambda x: outcomes(x).withColumn("codes", F.array_join("codes", ",")),
-    "SELECT eid AS event_id, array_to_string(codes, ',') AS codes FROM lge")
-add("near_misses", "strategy_name:s bar_config:s split:s sharpe:d", lambda x: G.near_misses(log(x)), """
-SELECT strategy_name, bar_config, split, max(s) AS sharpe FROM (
-  SELECT strategy_name, event_type AS bar_config, 'search' AS split, sharpe AS s, len(codes) AS n FROM lge WHERE NOT sp
-  UNION ALL SELECT strategy_name, event_type, 'selection', sharpe - 0.2, len(codes) FROM lge WHERE sp AND NOT lp) WHERE s > 0 AND n > 0
-GROUP BY ALL ORDER BY sharpe DESC, strategy_name, bar_config, split LIMIT 10""")
+    "SELECT eid AS event_id, array_to_string(codes, ',') AS codes FROM lgr")
+add("near_misses", "strategy_name:s bar_config:s split:s sharpe:d theme:s failed_checks:s", lambda x: G.near_misses(log(x)), """
+SELECT * FROM (
+  SELECT strategy_name, event_type AS bar_config, 'search' AS split, sharpe AS sharpe, theme, array_to_string(codes, ',') AS failed_checks, ts, eid FROM lgr WHERE NOT sp AND len(codes) > 0
+  UNION ALL SELECT strategy_name, event_type, 'selection', sharpe - 0.2, theme, array_to_string(codes, ','), ts, eid FROM lgr WHERE sp AND NOT lp AND len(codes) > 0) WHERE sharpe > 0
+QUALIFY row_number() OVER (PARTITION BY strategy_name, bar_config, split ORDER BY sharpe DESC, ts DESC, eid DESC) = 1 ORDER BY sharpe DESC, strategy_name, bar_config, split LIMIT 10""")
 add("low_sample_themes", "theme:s attempts:i", lambda x: G.low_sample_themes(outcomes(x).withColumn("theme", F.concat("theme", F.lit("_"), F.col("seq") % 4000)), 3), """
-SELECT theme || '_' || (event_id % 4000) AS theme, count(*) AS attempts FROM lge GROUP BY 1 HAVING count(*) < 3""")
+SELECT theme || '_' || (event_id % 4000) AS theme, count(*) AS attempts FROM lgr GROUP BY 1 HAVING count(*) < 3""")
 add("recent_outcomes", "setup_key:s recency:i strategy_name:s verdict:s", lambda x: G.recent_outcomes(outcomes(x), ["setup_key"]), """
-SELECT *, row_number() OVER (PARTITION BY setup_key ORDER BY ts DESC, eid DESC) AS recency FROM lge QUALIFY recency <= 5""")
+SELECT *, row_number() OVER (PARTITION BY setup_key ORDER BY ts DESC, eid DESC) AS recency FROM lgr QUALIFY recency <= 5""")
 add("setup_identity", "seq:i setup:s", lambda x: log(x).withColumn("setup", G.setup_key(
     F.array("strategy_name", "bar_config"), F.array("setup_key"), F.col("params"))), """
 SELECT event_id AS seq, substr(sha256(least(strategy_name, event_type) || ',' || greatest(strategy_name, event_type) || '|' || setup_key || '|' || sha256(lower(trim(props)))), 1, 16) AS setup FROM lg""")
 add("event_identity", "seq:i eid:s", lambda x: log(x).withColumn("eid", G.event_id(F.col("run_id"), F.col("task_id"), F.col("strategy_name"), F.lit("search"), F.lit("1"))),
     "SELECT event_id AS seq, sha256('run:' || event_id || ':' || strategy_name || ':search:1') AS eid FROM lg")
-add("request_summary", "request_id:s pass_count:i fail_count:i error_count:i avg_sharpe:d avg_net_pnl:d best_bar_config:s overall:s", lambda x: G.request_summary(log(x)), """
-SELECT *, CASE WHEN pass_count > 0 AND fail_count + error_count = 0 THEN 'PASS' WHEN pass_count > 0 THEN 'MIXED' WHEN fail_count > 0 THEN 'FAIL' ELSE 'ERROR' END AS overall FROM (
-  SELECT request_id, count(*) FILTER (ev = 'task_result' AND sp) AS pass_count, count(*) FILTER (ev = 'task_result' AND NOT sp) AS fail_count, count(*) FILTER (ev = 'task_error') AS error_count,
-    avg(sharpe) FILTER (ev = 'task_result') AS avg_sharpe, avg(net) FILTER (ev = 'task_result') AS avg_net_pnl,
+add("request_summary", "request_id:s task_count:i pass_count:i fail_count:i error_count:i pass_fraction:d avg_sharpe:d avg_net_pnl:d avg_trade_count:d passing_configs:s "
+    "failing_configs:s best_bar_config:s best_sharpe:d overall:s", lambda x: G.request_summary(log(x)), """
+SELECT *, pass_count / task_count AS pass_fraction, CASE WHEN error_count > 0 THEN 'ERROR' WHEN pass_count = task_count THEN 'PASS' WHEN pass_count > 0 THEN 'MIXED' ELSE 'FAIL' END AS overall FROM (
+  SELECT request_id, count(*) AS task_count, count(*) FILTER (ev = 'task_result' AND sp) AS pass_count, count(*) FILTER (ev = 'task_result' AND NOT sp) AS fail_count,
+    count(*) FILTER (ev = 'task_error') AS error_count, avg(sharpe) FILTER (ev = 'task_result') AS avg_sharpe, avg(net) FILTER (ev = 'task_result') AS avg_net_pnl,
+    avg(event_id % 90) FILTER (ev = 'task_result') AS avg_trade_count, coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (ev = 'task_result' AND sp), '') AS passing_configs,
+    coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (ev = 'task_result' AND NOT sp), '') AS failing_configs, max(sharpe) FILTER (ev = 'task_result') AS best_sharpe,
     first(event_type ORDER BY sharpe DESC, event_type DESC) FILTER (ev = 'task_result') AS best_bar_config FROM lge WHERE ev IN ('task_result', 'task_error') GROUP BY request_id)""")
-add("status_board", "results:i errors:i pass_rate:d recent_sharpe:d best_strategy:s best_pnl:d worst_strategy:s worst_pnl:d", lambda x: G.status_board(log(x)), """
-SELECT count(*) FILTER (ev = 'task_result') AS results, count(*) FILTER (ev = 'task_error') AS errors,
-  count(*) FILTER (ev = 'task_result' AND sp) / count(*) FILTER (ev = 'task_result') AS pass_rate,
-  (SELECT avg(sharpe) FROM (SELECT sharpe FROM lge WHERE ev = 'task_result' ORDER BY ts DESC, eid DESC LIMIT 10)) AS recent_sharpe,
-  first(strategy_name ORDER BY net DESC, strategy_name DESC) FILTER (ev = 'task_result') AS best_strategy, max(net) FILTER (ev = 'task_result') AS best_pnl,
-  first(strategy_name ORDER BY net, strategy_name) FILTER (ev = 'task_result') AS worst_strategy, min(net) FILTER (ev = 'task_result') AS worst_pnl FROM lge""")
+CTES["lgl"] = "SELECT * FROM lgr ORDER BY ts DESC, eid DESC LIMIT 10"
+add("status_board", "results:i errors:i tested:i pass_rate_pct:d avg_net_pnl:d avg_sharpe:d best_strategy:s best_pnl:d worst_strategy:s worst_pnl:d", lambda x: G.status_board(log(x)), """
+SELECT (SELECT count(*) FROM lgr) AS results, (SELECT count(*) FROM lge WHERE ev = 'task_error') AS errors, count(*) AS tested, 100.0 * count(*) FILTER (sp) / count(*) AS pass_rate_pct,
+  avg(net) AS avg_net_pnl, avg(sharpe) AS avg_sharpe, first(strategy_name ORDER BY net DESC, strategy_name DESC) AS best_strategy, max(net) AS best_pnl,
+  first(strategy_name ORDER BY net, strategy_name) AS worst_strategy, min(net) AS worst_pnl FROM lgl""")
+
+
+def _queue(x):
+    state = F.element_at(F.array(*[F.lit(v) for v in ("pending", "in_progress", "completed", "failed", "paused")]), (F.col("seq") % 5 + 1).cast("int"))
+    return log(x).select(state.alias("state"), F.when(F.col("seq") % 3 > 0, F.col("setup_key")).alias("hypothesis_id"))
+
+
+add("queue_states", "pending:i in_progress:i completed:i failed:i", lambda x: G.queue_states(_queue(x)), """
+SELECT count(*) FILTER (event_id % 5 = 0) AS pending, count(*) FILTER (event_id % 5 = 1) AS in_progress, count(*) FILTER (event_id % 5 = 2) AS completed, count(*) FILTER (event_id % 5 = 3) AS failed FROM lg""")
+add("active_hypotheses", "hypothesis_id:s tasks:i", lambda x: G.active_hypotheses(_queue(x)), """
+SELECT setup_key AS hypothesis_id, count(*) AS tasks FROM lg WHERE event_id % 5 < 2 AND event_id % 3 > 0 GROUP BY 1 ORDER BY tasks DESC, hypothesis_id LIMIT 4""")
 for _n, _latest in (("strategy_first_result", False), ("strategy_latest_result", True)):
-    add(_n, "strategy_name:s event_id:s bar_config:s verdict:s net_pnl:d", lambda x, l=_latest: G.strategy_results(log(x), 100, l), f"""
-SELECT strategy_name, eid AS event_id, event_type AS bar_config, verdict, net AS net_pnl FROM (SELECT * FROM lge WHERE ev = 'task_result' ORDER BY ts DESC, eid DESC LIMIT 100)
+    add(_n, "strategy_name:s event_id:s bar_config:s verdict:s net_pnl:d", lambda x, l=_latest: G.strategy_results(log(x), latest=l), f"""
+SELECT strategy_name, eid AS event_id, event_type AS bar_config, verdict, net AS net_pnl FROM lgr
 QUALIFY row_number() OVER (PARTITION BY strategy_name ORDER BY ts {'DESC' if _latest else ''}, eid {'DESC' if _latest else ''}) = 1""")
-add("query_audit", "bar_config:s query_count:i deep_count:i success_count:i fallback_count:i source_count:i previews:s",
-    lambda x: G.query_audit(log(x).select("bar_config", "timestamp", "seq", F.when(F.col("seq") % 2 == 0, "deep").otherwise("fast").alias("mode"),
-                                          (F.col("seq") % 3 != 0).alias("success"), (F.col("seq") % 5 == 0).alias("fallback"),
-                                          F.col("setup_key").alias("source"), F.col("strategy_name").alias("preview")), ["bar_config"]), """
-WITH f AS (SELECT event_type, strategy_name, min(ts) AS t FROM lg GROUP BY ALL),
-p AS (SELECT event_type, string_agg(strategy_name, '|' ORDER BY t) AS previews FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY t) <= 3) GROUP BY event_type)
-SELECT event_type AS bar_config, count(*) AS query_count, count(*) FILTER (event_id % 2 = 0) AS deep_count, count(*) FILTER (event_id % 3 <> 0) AS success_count,
-  count(*) FILTER (event_id % 5 = 0) AS fallback_count, count(DISTINCT setup_key) AS source_count, any_value(previews) AS previews FROM lg JOIN p USING (event_type) GROUP BY event_type""")
-_FEATS = ["cvd_slope_3", "poc_distance", "vol_zscore", "rsi_14", "hour"]
+
+
+def _audit(x):
+    mode = F.element_at(F.array(F.lit("plain"), F.lit(" Research"), F.lit("deep_research"), F.lit("other")), (F.col("seq") % 4 + 1).cast("int"))
+    return log(x).select("run_id", "timestamp", "seq", (F.col("seq") % 2).alias("iteration"), F.col("bar_config").alias("stage"), F.when(F.col("seq") % 7 > 0, F.lit("a")).otherwise("b").alias("lane_id"),
+                         mode.alias("mode"), F.when(F.col("seq") % 3 > 0, "success").otherwise("failed").alias("status"), (F.col("seq") % 5 == 0).alias("fallback_to_plain"),
+                         F.when(F.col("seq") % 11 > 0, F.col("seq") % 6).alias("discovered_sources"), (F.col("seq") % 2).alias("imported_sources"), F.col("strategy_name").alias("question_preview"))
+
+
+CTES["aud"] = """SELECT *, event_id % 2 AS iteration, event_type AS stage, CASE WHEN event_id % 7 > 0 THEN 'a' ELSE 'b' END AS lane_id, ['plain', 'research', 'deep_research', 'other'][event_id % 4 + 1] AS mode,
+  event_id % 3 > 0 AS good, event_id % 5 = 0 AS fb FROM lg"""
+add("query_audit", "iteration:i stage:s lane_id:s query_count:i success_count:i error_count:i fallback_count:i plain_count:i research_count:i deep_research_count:i plain_kept:i research_kept:i "
+    "deep_research_kept:i discovered_sources:i imported_sources:i previews:s", lambda x: G.query_audit(_audit(x)), """
+WITH f AS (SELECT iteration, stage, lane_id, strategy_name, min(ts) AS t, arg_min(event_id, ts) AS e FROM aud GROUP BY ALL),
+p AS (SELECT iteration, stage, lane_id, string_agg(strategy_name, '|' ORDER BY t, e) AS previews FROM (
+  SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY iteration, stage, lane_id ORDER BY t, e) <= 3) GROUP BY ALL)
+SELECT iteration, stage, lane_id, count(*) AS query_count, count(*) FILTER (good) AS success_count, count(*) FILTER (NOT good) AS error_count, count(*) FILTER (fb) AS fallback_count,
+  count(*) FILTER (mode = 'plain') AS plain_count, count(*) FILTER (mode = 'research') AS research_count, count(*) FILTER (mode = 'deep_research') AS deep_research_count,
+  count(*) FILTER (mode = 'plain' AND good AND NOT fb) AS plain_kept, count(*) FILTER (mode = 'research' AND good AND NOT fb) AS research_kept,
+  count(*) FILTER (mode = 'deep_research' AND good AND NOT fb) AS deep_research_kept, sum(CASE WHEN event_id % 11 > 0 THEN event_id % 6 ELSE 0 END) AS discovered_sources,
+  sum(event_id % 2) AS imported_sources, any_value(previews) AS previews FROM aud JOIN p USING (iteration, stage, lane_id) GROUP BY ALL""")
+_FEATS = ["prev_day_va_position", "dist_prev_poc", "va_rejection_score", "rsi_14", "position_in_va", "prev_day_vah"]
 
 
 def _attempts(x):
-    pick = F.element_at(F.array(*[F.lit(f) for f in _FEATS]), (F.col("seq") % 5 + 1).cast("int"))
-    return log(x).select(pick.alias("feature"), F.when(F.col("seq") % 2 == 0, "primary").otherwise("confirmation").alias("role"),
-                         F.when(F.col("seq") % 3 == 0, "conflict").when(F.col("seq") % 3 == 1, "blocks_all").otherwise("normal").alias("severity"))
+    pick = F.element_at(F.array(*[F.lit(f) for f in _FEATS]), (F.col("seq") % 6 + 1).cast("int"))
+    return log(x).select(pick.alias("feature"), F.when(F.col("seq") % 2 == 0, "primary").when(F.col("seq") % 4 == 1, "confirmation").alias("role"), F.col("seq").alias("attempt"),
+                         (F.col("seq") % 8 == 0).alias("has_conflicts"), F.when(F.col("seq") % 3 == 0, "zero_signal").otherwise("over_signal").alias("failure_type"),
+                         F.when(F.col("seq") % 5 == 0, "blocks_all").otherwise("tight").alias("severity"), (F.col("seq") % 4).cast("double").alias("pass_rate_pct"))
 
 
-add("feature_cooldowns", "family:s score:i", lambda x: G.cooldowns(_attempts(x)), """
-SELECT ['order_flow', 'value_area', 'volatility', 'momentum', 'other'][event_id % 5 + 1] AS family, sum(CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) AS score
-FROM lg WHERE event_id % 2 = 0 GROUP BY 1 HAVING sum(CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) >= 2 ORDER BY score DESC, family LIMIT 4""")
+add("feature_cooldowns", "family:s feature:s score:i", lambda x: G.cooldowns(_attempts(x)), """
+WITH a AS (SELECT event_id AS e, ['prev_day_va_position', 'dist_prev_poc', 'va_rejection_score', 'rsi_14', 'position_in_va', 'prev_day_vah'][event_id % 6 + 1] AS feature,
+  ['value_area_position', 'previous_session_value_reference', 'auction_state_anchor', 'rsi_14', 'value_area_position', 'previous_session_value_reference'][event_id % 6 + 1] AS family,
+  CASE WHEN event_id % 8 = 0 THEN 2 WHEN event_id % 3 = 0 AND (event_id % 5 = 0 OR event_id % 4 = 0) THEN 1 ELSE 0 END AS score FROM lg WHERE event_id % 4 <> 1)
+SELECT family, arg_min(feature, e) AS feature, sum(score) AS score FROM a WHERE score > 0 GROUP BY family HAVING sum(score) >= 2 ORDER BY score DESC, feature LIMIT 4""")
 add("feedback_feed", "source:i position:i event_id:s event:s", lambda x: G.feedback_feed([log(x).filter("bar_config = 'click'"), log(x).filter("bar_config <> 'click'")], 15), """
 SELECT source, row_number() OVER (PARTITION BY source ORDER BY ts DESC, eid DESC) AS position, eid AS event_id, ev AS event
 FROM (SELECT *, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS source FROM lge WHERE ev IN ('task_result', 'task_error')) QUALIFY position <= 15""")
@@ -223,16 +263,17 @@ def _wres(x):
 
 
 add("walk_forward_promotion", "symbol:s fold_count:i pct_positive:d trade_count:i net_pnl:d aggregate_sharpe:d deflated_sharpe:d", _wres, "SELECT * FROM wres")
-_GATES = [("fold_count", "min", 3.0), ("pct_positive", "min", 0.3), ("net_pnl", "min", -4500.0), ("trade_count", "max", 150.0)]
+_GATES = [("fold_count", "min", 3.0), ("pct_positive", "min", 0.3), ("net_pnl", "min", -4500.0), ("trade_count", "max", 150.0), ("lockbox_sharpe", "min", 0.0)]
 
 
 def _gate_rows(x):
     t = x.spark.createDataFrame(_GATES, "gate string, sense string, bound double")
-    return R.gates(_wres(x), t, KEYS, [g[0] for g in _GATES])
+    return R.gates(_wres(x), t, KEYS, [g[0] for g in _GATES[:-1]])  # no lockbox run yet: its gate must fail
 
 
 CTES["gts"] = " UNION ALL ".join(
-    f"SELECT symbol, '{g}' AS gate, CAST({g} AS DOUBLE) AS value, {b} AS bound, {g} {'>=' if s == 'min' else '<='} {b} AS ok FROM wres" for g, s, b in _GATES)
+    f"SELECT symbol, '{g}' AS gate, CAST({g} AS DOUBLE) AS value, {b} AS bound, {g} {'>=' if s == 'min' else '<='} {b} AS ok FROM wres" for g, s, b in _GATES[:-1])
+CTES["gts"] += " UNION ALL SELECT symbol, 'lockbox_sharpe', NULL, 0.0, false FROM wres"
 add("promotion_gates", "symbol:s gate:s value:d bound:d passed:i", lambda x: _gate_rows(x).withColumn("passed", F.col("passed").cast("int")),
     "SELECT *, CAST(ok AS INT) AS passed FROM gts")
 add("promotion_verdict", "symbol:s gate_count:i passed_count:i promoted:i",
@@ -269,10 +310,11 @@ FROM eti y JOIN eti x ON x.symbol = y.symbol AND x.session_date = y.session_date
 add("ema_turn_signal", "symbol:s ts_event:t signal:i", lambda x: U.ema_turn(x.bars()), """
 SELECT *, CASE WHEN pg <= 1e-12 AND g > 1e-12 THEN 1 WHEN pg >= -1e-12 AND g < -1e-12 THEN -1 ELSE 0 END AS signal FROM (
   SELECT *, CASE WHEN rn = 1 THEN 0 ELSE gap END AS g, coalesce(lag(CASE WHEN rn = 1 THEN 0 ELSE gap END) OVER (PARTITION BY symbol, session_date ORDER BY rn), 0) AS pg FROM etm)""")
-add("causality_check", "symbol:s share:d prefix_rows:i mismatches:i first_mismatch:d", lambda x: U.causality_check(
+add("causality_check", "symbol:s share:d prefix_rows:i mismatches:i first_mismatch:d status:s", lambda x: U.causality_check(
     x.stored_bars(), lambda d, p: U.ema_turn(d, p)), """
-SELECT symbol, s AS share, CASE WHEN s = 1 THEN n - 1 ELSE floor(n * s) END AS prefix_rows, 0 AS mismatches, NULL AS first_mismatch
-FROM (SELECT symbol, count(*) AS n FROM b GROUP BY symbol), (VALUES (0.5), (0.75), (0.9), (1.0)) AS v(s)""")
+SELECT symbol, s AS share, k AS prefix_rows, 0 AS mismatches, NULL AS first_mismatch, 'ok' AS status
+FROM (SELECT symbol, s, n, CASE WHEN s = 1 THEN n - 1 ELSE round_even(n * s, 0) END AS k FROM (SELECT symbol, count(*) AS n FROM b GROUP BY symbol), (VALUES (0.5), (0.75), (0.9), (1.0)) AS v(s)) WHERE k >= 32
+UNION ALL SELECT symbol, NULL, count(*), 0, NULL, 'short' FROM b GROUP BY symbol HAVING count(*) < 33""")
 
 
 def _fitted(x):
