@@ -10,15 +10,15 @@ from ..functions.windows import eastern_minute
 from .pnl import metrics
 from .trades import entry_events, horizon_trades
 
-# Context families, their source column and their three labels.
+# Context families, their source column and their three labels; default settings.
 FAMILIES = {
-    "volatility_bucket": ("regime_vol_relative", ("low_vol", "mid_vol", "high_vol")),
+    "vol_bucket": ("regime_vol_relative", ("low", "medium", "high")),
     "spread_bucket": ("spread_bps", ("tight", "normal", "wide")),
     "activity_bucket": ("trade_intensity", ("quiet", "normal", "active")),
-    "direction_bucket": ("return_5bar", ("down", "flat", "up")),
+    "direction_bucket": ("return_5bar", ("mean_revert", "neutral", "trend")),
 }
-CONFIG = {"enabled": True, "horizons": [1, 3, 6], "min_events": 30, "min_pocket_events": 15, "min_positive_horizons": 1,
-          "min_avg_trade_pnl": 0.0, "min_positive_day_fraction": 0.5, "max_day_concentration": 0.5, "max_best_pockets": 5}
+CONFIG = {"enabled": False, "horizons": [1, 3, 5, 10, 20, 40, 60, 90], "min_events": 60, "min_pocket_events": 30, "min_positive_horizons": 1,
+          "min_avg_trade_pnl": 0.0, "min_positive_day_fraction": 0.52, "max_day_concentration": 0.40, "max_best_pockets": 5}
 
 
 def tercile_thresholds(bars: DataFrame, columns: list[str]) -> DataFrame:
@@ -107,7 +107,10 @@ def edge_surface(bars: DataFrame, keys: list[str], next_open: bool = True, confi
 
 
 def best_pockets(surface: DataFrame, keys: list[str], config: dict = CONFIG) -> DataFrame:
-    pockets = surface.filter(F.col("passed") & ~F.col("family").isin("global", "side"))
+    """Passing context slices of each key, best first; none where the key has too few events in all."""
+    events = F.max(F.when(F.col("family") == "global", F.col("base_event_count"))).over(Window.partitionBy(*keys))
+    enough = surface.withColumn("_e", events).filter(F.col("_e") >= config["min_events"]).drop("_e")
+    pockets = enough.filter(F.col("passed") & ~F.col("family").isin("global", "side"))
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in ("best_avg_trade_pnl", "positive_horizons", "best_event_count", "family", "label")])
     return pockets.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= config["max_best_pockets"])
 

@@ -13,9 +13,10 @@ OVER_SIGNAL_RATE = 0.02
 OPS = (">", ">=", "<", "<=", "between", "bool_true", "bool_false")
 ROLES = ("primary", "confirmation")
 
-# Name fragments that mark features suited to thresholds, and features that need earlier sessions.
-HINT_PATTERNS = ("ratio", "zscore", "_z", "imbalance", "distance", "progress", "wick", "delta", "cvd", "volume", "range", "pctb")
-CONTEXT_PREFIXES = ("prev_day_", "dist_prev_", "gap_open", "or_", "position_in_or")
+# Name fragments that mark features suited to thresholds, and prefixes of features that need earlier sessions.
+HINT_PATTERNS = ("zscore", "ratio", "position", "width", "bandwidth", "velocity", "intensity", "imbalance", "distance", "progress", "wick", "delta", "cvd",
+                 "volume", "range", "pctb")
+CONTEXT_PREFIXES = ("prev_day_", "dist_prev_")
 
 
 def long_form(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -74,27 +75,33 @@ def _mask(cond: dict) -> Column:
 
 
 def pass_through(df: DataFrame, conditions: list[dict], keys: list[str] = ()) -> DataFrame:
-    """Each condition on its own, and all together, in one aggregation."""
+    """Each condition on its own, and all together, in one aggregation.
+
+    A condition on a column that is absent holds nowhere and is a dead feature.
+    """
     keys = list(keys)
-    live = [c for c in conditions if c["feature"] in df.columns]
-    both = F.lit(True)
-    aggs = []
-    for i, c in enumerate(live):
-        both = both & _mask(c)
-        x = F.col(c["feature"]).cast("double")
-        aggs += [F.count_if(_mask(c)).alias(f"p{i}"), F.count_if(x.isNotNull() & ~F.isnan(x)).alias(f"f{i}")]
+    both, aggs = F.lit(True), []
+    for i, c in enumerate(conditions):
+        there = c["feature"] in df.columns
+        mask = _mask(c) if there else F.lit(False)
+        both = both & mask
+        x = F.col(c["feature"]).cast("double") if there else F.lit(None).cast("double")
+        aggs += [F.count_if(mask).alias(f"p{i}"), F.count_if(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).alias(f"f{i}")]
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_count"), F.count_if(both).alias("combined_count"), *aggs)
-    rows = [F.struct(F.lit(i).alias("pos"), F.lit(c["feature"]).alias("feature"), F.lit(c["op"]).alias("op"),
+    rows = [F.struct(F.lit(i).alias("pos"), F.lit(c["feature"]).alias("feature"), F.lit(c["op"]).alias("op"), F.lit(c["feature"] not in df.columns).alias("absent"),
                      F.lit(c.get("role", "primary")).alias("role"), F.col(f"p{i}").alias("pass_count"), F.col(f"f{i}").alias("finite_count"))
-            for i, c in enumerate(live)]
+            for i, c in enumerate(conditions)]
     out = g.select(*keys, "total_count", "combined_count", F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*", "total_count", "combined_count")
-    out = out.withColumn("pass_rate_pct", F.expr("100D * pass_count / total_count"))
+    out = out.withColumn("pass_rate_pct", F.expr("if(total_count > 0, 100D * pass_count / total_count, 0D)"))
     return out.withColumn("severity", F.expr(
-        "case when pass_count = 0 then 'blocks_all' when pass_rate_pct < 1 then 'restrictive' else 'normal' end"))
+        "case when absent then 'dead_feature' when pass_count = 0 then 'blocks_all' when pass_rate_pct < 1 then 'restrictive' else 'normal' end")).drop("absent")
+
 
+def feasibility(df: DataFrame, conditions: list[dict], sample: list[str], requested: DataFrame | None = None) -> DataFrame:
+    """Status of the combined conditions per sample, with the quantiles of each feature.
 
-def feasibility(df: DataFrame, conditions: list[dict], sample: list[str]) -> DataFrame:
-    """Status of the combined conditions per sample, with the quantiles of each feature."""
+    ``requested`` names the samples that are wanted: one without rows is an ``empty_sample``.
+    """
     rows = pass_through(df, conditions, sample)
     feats = sorted({c["feature"] for c in conditions if c["feature"] in df.columns})
     q = exact_quantiles(long_form(df, sample, feats), [*sample, "column_name"], "value",
@@ -102,8 +109,14 @@ def feasibility(df: DataFrame, conditions: list[dict], sample: list[str]) -> Dat
     away = F.lit(False)
     for p in CONTEXT_PREFIXES:
         away = away | F.startswith("feature", F.lit(p))
-    rows = rows.withColumn("severity", F.when(F.col("finite_count") == 0, F.when(away, "context_unavailable").otherwise("dead_feature")).otherwise(
+    rows = rows.withColumn("severity", F.when((F.col("finite_count") == 0) & (F.col("severity") != "dead_feature"), F.when(away, "context_unavailable").otherwise("dead_feature")).otherwise(
         F.col("severity")))
+    if requested is not None:
+        none = [F.struct(F.lit(i).alias("pos"), F.lit(c["feature"]).alias("feature"), F.lit(c["op"]).alias("op"), F.lit(c.get("role", "primary")).alias("role"))
+                for i, c in enumerate(conditions)]
+        empty = requested.select(*sample).distinct().join(rows.select(*sample).distinct(), sample, "left_anti").select(*sample, F.explode(F.array(*none)).alias("r")).select(*sample, "r.*")
+        rows = rows.unionByName(empty.withColumns({c: F.lit(0).cast("bigint") for c in ("pass_count", "finite_count", "total_count", "combined_count")}).withColumns(
+            {"pass_rate_pct": F.lit(0.0), "severity": F.lit("empty_sample")}))
     whole = Window.partitionBy(*sample)
     rows = rows.withColumns({
         "_away": F.max((F.col("severity") == "context_unavailable").cast("int")).over(whole),

@@ -14,7 +14,7 @@ from barflow.operators import trades as T
 from .base import CTES, add
 from .trade_queries import KEYS, metric_sql
 
-CFG = {**E.CONFIG, "min_events": 60, "min_positive_day_fraction": 0.2, "min_avg_trade_pnl": -1e9}
+CFG = {**E.CONFIG, "enabled": True, "horizons": [1, 3, 6], "min_pocket_events": 15, "min_positive_day_fraction": 0.2, "max_day_concentration": 0.5, "min_avg_trade_pnl": -1e9}
 _CK = "symbol, session_date, ts_event, seq"
 
 
@@ -95,7 +95,7 @@ add("edge_surface", "symbol:s family:s label:s base_event_count:i positive_horiz
     lambda x: _surface(x).withColumn("passed", F.col("passed").cast("int")), "SELECT * FROM surf")
 add("edge_best_pockets", "symbol:s rank:i family:s label:s best_avg_trade_pnl:d", lambda x: E.best_pockets(_surface(x), KEYS, CFG), """
 SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY best_avg_trade_pnl DESC, positive_horizons DESC, best_event_count DESC, family DESC, label DESC) AS rank
-FROM surf WHERE passed AND family NOT IN ('global', 'side') QUALIFY rank <= 5""")
+FROM surf WHERE passed AND family NOT IN ('global', 'side') AND symbol IN (SELECT symbol FROM surf WHERE family = 'global' AND base_event_count >= 60) QUALIFY rank <= 5""")
 add("edge_status", "symbol:s event_count:i status:s", lambda x: E.surface_status(_surface(x), KEYS, CFG), """
 SELECT symbol, event_count, CASE WHEN event_count < 60 THEN 'insufficient_events' WHEN g THEN 'global_edge' WHEN l THEN 'localized_edge_only' ELSE 'no_edge' END AS status
 FROM (SELECT symbol, max(base_event_count) FILTER (family = 'global') AS event_count, bool_or(passed) FILTER (family = 'global') AS g,
@@ -174,6 +174,24 @@ SELECT symbol, feature, op, count(*) FILTER (pass_count = 0) AS zero_samples, co
   max(p90) AS p90_max, CASE WHEN count(*) FILTER (pass_count = 0) > 0 AND count(*) FILTER (pass_rate_pct > 2) > 0 THEN 1 ELSE 0 END AS conflict FROM fz GROUP BY ALL""")
 
 
+ABSENT = [{"feature": "no_such_column", "op": ">", "value": 1.0, "role": "primary"}]
+add("condition_feasibility_absent_column", "symbol:s feature:s pos:i pass_count:i combined_count:i total_count:i severity:s status:s",
+    lambda x: P.feasibility(edge_bars(x), CONDS[:1] + ABSENT, ["symbol"]), """
+SELECT symbol, v.f AS feature, v.pos, CASE WHEN pos = 0 THEN n0 ELSE 0 END AS pass_count, 0 AS combined_count, n AS total_count,
+  CASE WHEN pos = 1 THEN 'dead_feature' WHEN n0 = 0 THEN 'blocks_all' WHEN 100 * n0 / n < 1 THEN 'restrictive' ELSE 'normal' END AS severity, 'dead_feature_primary' AS status
+FROM (SELECT symbol, count(*) AS n, count(*) FILTER (volume_imbalance > 0.6) AS n0 FROM xb GROUP BY symbol), (VALUES (0, 'volume_imbalance'), (1, 'no_such_column')) AS v(pos, f)""")
+
+
+def _requested(x):
+    got = x.bars().select("symbol", "session_date").distinct()
+    return got.unionByName(got.select("symbol", F.lit("2031-01-01").cast("date").alias("session_date")).distinct())
+
+
+add("condition_feasibility_requested", "symbol:s session_date:D pos:i total_count:i status:s", lambda x: P.feasibility(edge_bars(x), CONDS, ["symbol", "session_date"], _requested(x)),
+    """SELECT symbol, session_date, pos, total_count, status FROM fz
+UNION ALL SELECT symbol, DATE '2031-01-01', pos, 0, 'empty_sample' FROM (SELECT DISTINCT symbol FROM fz), range(0, 3) AS r(pos)""")
+
+
 def _suggest(x):
     bounds = F.col("op") == "between"
     f = _feas(x).withColumns({"value": F.when(F.col("op") == ">", 0.6), "low": F.when(bounds, -0.02), "high": F.when(bounds, 0.02), "param_key": F.col("feature")})
