@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.pnl import metrics, trade_pnl
+from ..operators.pnl import daily_pnl, daily_trade_counts, metrics, trade_pnl
 from ..operators.stats import deflated_sharpe
 
 
@@ -36,27 +36,45 @@ def month_folds(days: DataFrame, train: int = 12, test: int = 2, step: int = 2,
     if purge_days > 0:
         trains = trains.filter(F.col("date") < F.date_sub("_first", purge_days))
     rows = trains.select("date", "_f", F.lit("train").alias("role")).unionByName(tests)
-    return rows.select((F.col("_f") + 1).alias("fold"), "role", "date")
+    # A fold whose training days are all purged is skipped and the others are renumbered: one row a fold.
+    kept = trains.select("_f").distinct().withColumn("fold", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_f")))
+    return rows.join(kept, "_f").select("fold", "role", "date")
+
+
+def _fold_trades(trades: DataFrame, folds: DataFrame) -> DataFrame:
+    t = trades.withColumn("date", F.to_date("exit_time"))
+    return t.join(folds.filter("role = 'test'").select("fold", "date"), "date").drop("date")
 
 
 def fold_results(trades: DataFrame, folds: DataFrame, keys: list[str]) -> DataFrame:
-    """Metrics of the trades that exit on each fold's test days."""
-    t = trades.withColumn("date", F.to_date("exit_time")).join(folds.filter("role = 'test'").select("fold", "date"), "date").drop("date")
-    return metrics(t, [*keys, "fold"])
+    """Metrics of the trades that exit on each fold's test days; a fold without trades has zeros."""
+    numbers = folds.filter("role = 'test'").agg(F.array_sort(F.collect_set("fold")).alias("_f"))  # one row: the fold numbers
+    every = trades.select(*keys).distinct().join(F.broadcast(numbers), F.lit(True)).select(*keys, F.explode("_f").alias("fold"))
+    m = metrics(_fold_trades(trades, folds), [*keys, "fold"])
+    return every.join(m, [*keys, "fold"], "left").na.fill(0.0, ["net_pnl", "sharpe_ratio"]).na.fill(0, ["trade_count"])
 
 
 def walk_forward_result(trades: DataFrame, folds: DataFrame, keys: list[str], raw_trials: int, effective_trials: int | None = None) -> DataFrame:
-    """Positive-fold share, Sharpe of the concatenated daily returns and its deflation by the effective trials."""
+    """Positive-fold share, Sharpe of the concatenated daily returns, its deflation by the effective trials, Sharpe at
+    twice the costs, and trades per day.
+
+    Every fold counts, with Sharpe 0 if it has no trades.  Daily returns and trade counts are filled with zeros over the
+    weekdays between a fold's first and last exit.
+    """
     per = fold_results(trades, folds, keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("fold_count"), F.avg((F.coalesce("sharpe_ratio", F.lit(0.0)) > 0).cast("double")).alias("pct_positive"),
         F.sum("trade_count").alias("trade_count"), F.sum("net_pnl").alias("net_pnl"))
-    test_days = folds.filter("role = 'test'").select("fold", "date")
-    daily = trade_pnl(trades, "adaptive_cost_rt").groupBy(*keys, F.to_date("exit_time").alias("date")).agg(F.sum("net_pnl").alias("x")).join(test_days, "date")
+    t, by_fold = _fold_trades(trades, folds), [*keys, "fold"]
+    daily = daily_pnl(trade_pnl(t, "adaptive_cost_rt"), by_fold).withColumnRenamed("net_pnl", "x")
+    dear = daily_pnl(trade_pnl(t, "adaptive_cost_rt", 2.0), by_fold).groupBy(*keys).agg(
+        F.expr(f"if(stddev_samp(net_pnl) > 0, avg(net_pnl) / stddev_samp(net_pnl) * {math.sqrt(252.0)!r}D, 0D)").alias("sharpe_2x_cost"))
+    density = daily_trade_counts(t, by_fold).groupBy(*keys).agg(F.avg("trade_count").alias("avg_trades_per_day"), F.max("trade_count").alias("max_trades_per_day"))
     trials = min(max(1, int(raw_trials if effective_trials is None else effective_trials)), max(1, int(raw_trials)))
     dsr = deflated_sharpe(daily, keys, "x", trials).select(
         *keys, F.expr(f"sharpe * {math.sqrt(252.0)!r}D").alias("aggregate_sharpe"), F.expr("if(available, sharpe - expected_max_sharpe_null, 0D)").alias(
             "deflated_sharpe"), F.expr("if(available, dsr, 0D)").alias("dsr_probability"))
-    return per.join(dsr, keys)
+    out = per.join(dsr, keys, "left").join(dear, keys, "left").join(density, keys, "left")
+    return out.na.fill(0.0, ["aggregate_sharpe", "deflated_sharpe", "dsr_probability", "sharpe_2x_cost", "avg_trades_per_day"]).na.fill(0, ["max_trades_per_day"])
 
 
 def gates(results: DataFrame, thresholds: DataFrame, keys: list[str], metrics_: list[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from barflow.streaming import jobs as S
 
 from .base import CTES, add
 from .trade_queries import KEYS, metric_sql, signal_bars
+from .validation_queries import _EMAX
 
 # --- stores and samples
 SIG = D.signature("v1", {"tick_size": 0.25})
@@ -246,24 +247,35 @@ add("month_folds", "fold:i role:s date:D", lambda x: R.month_folds(_order_days(x
 
 
 def _week_folds(x):
+    """Three folds by day of the month, and a fourth whose only day has no trades."""
     d = x.bars().select(F.to_date("ts_event").alias("date")).distinct()
-    return d.select((F.dayofmonth("date") % 3 + 1).alias("fold"), F.lit("test").alias("role"), "date")
+    d = d.select((F.dayofmonth("date") % 3 + 1).alias("fold"), F.lit("test").alias("role"), "date")
+    return d.unionByName(d.agg(F.lit(4).alias("fold"), F.lit("test").alias("role"), F.date_add(F.max("date"), 400).alias("date")))
 
 
 CTES["p_wk"] = "SELECT *, day(xd) % 3 + 1 AS fold FROM pnl"
 CTES["m_wk"] = "SELECT * FROM (" + metric_sql("p_wk", "symbol, fold") + ")"
+CTES["wd"] = "SELECT symbol, fold, xd, sum(net_pnl) AS x, sum(net_pnl - costs) AS x2, count(*) AS n FROM p_wk GROUP BY ALL"
+CTES["wcal"] = """
+SELECT symbol, fold, xd, sum(x) AS x, sum(x2) AS x2, sum(n) AS n FROM (SELECT * FROM wd UNION ALL SELECT symbol, fold, xd, 0, 0, 0 FROM (
+  SELECT symbol, fold, CAST(unnest(generate_series(min(xd), max(xd), INTERVAL 1 DAY)) AS DATE) AS xd FROM wd GROUP BY symbol, fold) WHERE isodow(xd) <= 5) GROUP BY ALL"""
+CTES["wdsr"] = f"""
+SELECT symbol, mu / sd AS sharpe, sqrt(greatest(1 - sk * mu / sd + (ku - 3) / 4 * (mu / sd) ** 2, 1e-9) / (n - 1)) * {_EMAX!r} AS emax, s2, atd, mtd FROM (
+  SELECT symbol, count(*) AS n, any_value(m) AS mu, any_value(s) AS sd, avg(((x - m) / s) ** 3) AS sk, avg(((x - m) / s) ** 4) AS ku, avg(x2) / stddev_samp(x2) * sqrt(252) AS s2, avg(k) AS atd, max(k) AS mtd FROM (
+    SELECT symbol, x, x2, n AS k, avg(x) OVER (PARTITION BY symbol) AS m, stddev_samp(x) OVER (PARTITION BY symbol) AS s FROM wcal) GROUP BY symbol)"""
 CTES["wres"] = """
-SELECT w.symbol, fold_count, pct_positive, w.trade_count, w.net_pnl, sharpe * sqrt(252) AS aggregate_sharpe, sharpe - emax AS deflated_sharpe FROM (
-  SELECT symbol, count(*) AS fold_count, avg(CASE WHEN coalesce(sharpe_ratio, 0) > 0 THEN 1 ELSE 0 END) AS pct_positive, sum(trade_count) AS trade_count, sum(net_pnl) AS net_pnl
-  FROM m_wk GROUP BY symbol) w JOIN dsr2 USING (symbol)"""
+SELECT w.symbol, fold_count, pct_positive, w.trade_count, w.net_pnl, sharpe * sqrt(252) AS aggregate_sharpe, sharpe - emax AS deflated_sharpe, s2 AS sharpe_2x_cost,
+  atd AS avg_trades_per_day, mtd AS max_trades_per_day FROM (
+  SELECT symbol, 4 AS fold_count, count(*) FILTER (coalesce(sharpe_ratio, 0) > 0) / 4 AS pct_positive, sum(trade_count) AS trade_count, sum(net_pnl) AS net_pnl
+  FROM m_wk GROUP BY symbol) w JOIN wdsr USING (symbol)"""
 
 
 def _wres(x):
     return R.walk_forward_result(T.run_trades(signal_bars(x), KEYS), _week_folds(x), KEYS, 50, 20)
 
 
-add("walk_forward_promotion", "symbol:s fold_count:i pct_positive:d trade_count:i net_pnl:d aggregate_sharpe:d deflated_sharpe:d", _wres, "SELECT * FROM wres")
-_GATES = [("fold_count", "min", 3.0), ("pct_positive", "min", 0.3), ("net_pnl", "min", -4500.0), ("trade_count", "max", 150.0), ("lockbox_sharpe", "min", 0.0)]
+add("walk_forward_promotion", "symbol:s fold_count:i pct_positive:d trade_count:i net_pnl:d aggregate_sharpe:d deflated_sharpe:d sharpe_2x_cost:d avg_trades_per_day:d max_trades_per_day:i", _wres, "SELECT * FROM wres")
+_GATES = [("fold_count", "min", 3.0), ("pct_positive", "min", 0.3), ("net_pnl", "min", -4500.0), ("trade_count", "max", 150.0), ("sharpe_2x_cost", "min", -6.0), ("max_trades_per_day", "max", 12.0), ("lockbox_sharpe", "min", 0.0)]
 
 
 def _gate_rows(x):
