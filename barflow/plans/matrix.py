@@ -100,6 +100,14 @@ def build_matrix(ticks: DataFrame, config: str, session: str = "all", include_ba
     return feature_matrix(bars, include_bar_columns, params)
 
 
+def matrix_builder(ticks: DataFrame, params: dict | None = None, context_days: int = 10):
+    """``build`` of a matrix store (see ``sources.store.load_or_build``): missing days with the days that warm them up."""
+    def build(days: list, session: str, config: str) -> DataFrame:
+        near = ticks.filter(F.to_date("ts_event").between(F.date_sub(F.lit(min(days)), context_days), F.date_add(F.lit(max(days)), 1)))
+        return build_matrix(near, config, session, params=params)
+    return build
+
+
 def output_filter(df: DataFrame) -> DataFrame:
     """Drop rows without a full label set and rows before the rolling features have filled."""
     warm = "sma_ratio_8" if "sma_ratio_8" in df.columns else "return_1bar"

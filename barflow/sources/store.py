@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,29 @@ def missing_partitions(wanted: DataFrame, present: DataFrame) -> DataFrame:
     return wanted.join(present.select(*PARTITIONS).distinct(), PARTITIONS, "left_anti")
 
 
+def stored_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """(session, bar_config, sig, date) rows of a store; none where nothing is stored yet."""
+    try:
+        return spark.read.parquet(path).select(*PARTITIONS).distinct()
+    except AnalysisException:
+        return spark.createDataFrame([], "session string, bar_config string, sig string, date date")
+
+
+def load_or_build(spark: SparkSession, path: str, wanted: DataFrame, build: Callable[[list, str, str], DataFrame], sig: str) -> DataFrame:
+    """Build the wanted (session, bar_config, date) rows that are not stored under ``sig`` yet; gives the report of what was built.
+
+    ``build(days, session, bar_config)`` returns rows with ``session_date``; only the missing days of its result are kept.
+    The days of one slice (a calendar) are all that the driver sees.
+    """
+    want = wanted.withColumn("sig", F.lit(sig)).select(*PARTITIONS).distinct()
+    missing = missing_partitions(want, stored_partitions(spark, path)).groupBy("session", "bar_config").agg(F.array_sort(F.collect_set("date")).alias("days")).collect()
+    for r in missing:
+        rows = build(list(r.days), r.session, r.bar_config).filter(F.col("session_date").isin(list(r.days)))
+        write_partitions(rows, path, r.session, r.bar_config, sig)
+    built = spark.createDataFrame([(r.session, r.bar_config, sig, d) for r in missing for d in r.days], "session string, bar_config string, sig string, date date")
+    return build_report(built.select(*PARTITIONS), stored_partitions(spark, path), ["session", "bar_config"])
+
+
 def build_report(wanted: DataFrame, built: DataFrame, keys: list[str]) -> DataFrame:
     """Requested, completed and failed partitions of a bulk build per key."""
     done = built.select(*PARTITIONS).distinct().withColumn("_ok", F.lit(1))
@@ -68,9 +93,14 @@ def sample_days(df: DataFrame, n_days: int, max_rows: int, key: str = "symbol")
 
 
 def lockbox_split(days: DataFrame, months: int) -> DataFrame:
-    """Mark the days of the last ``months`` distinct months as ``lockbox``, the others as ``research``."""
+    """Mark the days of the last ``months`` distinct months as ``lockbox``, the others as ``research``.
+
+    At least one month must remain for research.
+    """
     if int(months) < 0:
         raise ValueError("months must not be negative")
+    if int(months) and days.select(F.date_trunc("month", F.col("date"))).distinct().limit(int(months) + 1).count() <= int(months):
+        raise ValueError("no days remain for research after the lockbox split")
     m = days.select(F.date_trunc("month", F.col("date")).alias("_m")).distinct().withColumn(
         "_r", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.col("_m").desc())))
     return days.withColumn("_m", F.date_trunc("month", F.col("date"))).join(m, "_m").withColumn(

@@ -5,14 +5,17 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from barflow.operators import bars as B
 from barflow.operators import logstats as G
 from barflow.operators import pnl as L
 from barflow.operators import trades as T
+from barflow.plans import matrix as P
 from barflow.plans import promotion as R
 from barflow.plans import strategy as U
 from barflow.sources import explog as X
 from barflow.sources import stage
 from barflow.sources import store as D
+from barflow.sources import ticks as K
 from barflow.streaming import jobs as S
 
 from .base import CTES, add
@@ -39,21 +42,84 @@ add("bar_store", "symbol:s date:D bar_count:i volume:i", lambda x: _bar_store(x)
     "SELECT symbol, session_date AS date, count(*) AS bar_count, sum(volume) AS volume FROM b GROUP BY ALL")
 
 
-def _wanted(x):
-    days = x.bars().select(F.col("session_date").alias("date")).distinct()
-    return days.select(F.explode(F.array(F.lit("rth"), F.lit("eth"))).alias("session"), F.lit("time_60m").alias("bar_config"), F.lit(SIG).alias("sig"), "date")
+# --- tick store: partitioned write and pruned read
+def _tick_store(x):
+    path = _stored_store(x, "ticks")
+    K.write_ticks(x.ticks, path)
+    back = K.read_ticks(x.spark, path).filter(F.dayofmonth("date") % 2 == 0)
+    return back.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("tick_count"), F.sum("size").alias("total_size"), F.min("ts_event").alias("first_ts"), F.max("seq").alias("last_seq"))
 
 
-def _present(x):
-    return _wanted(x).filter((F.col("session") == "eth") | (F.dayofmonth("date") % 2 == 0))
+CTES["tkd"] = "SELECT *, CAST(ts_event - INTERVAL 5 HOUR AS DATE) AS date, epoch_us(ts_event - INTERVAL 5 HOUR) // 60000000 % 1440 AS minute FROM ticks"
+add("tick_store", "symbol:s date:D tick_count:i total_size:i first_ts:t last_seq:i", _tick_store, """
+SELECT symbol, date, count(*) AS tick_count, sum(size) AS total_size, min(ts_event) AS first_ts, max(seq) AS last_seq FROM tkd WHERE day(date) % 2 = 0 GROUP BY ALL""")
 
 
-CTES["want"] = "SELECT DISTINCT s AS session, session_date AS date FROM b, (VALUES ('rth'), ('eth')) AS v(s)"
-add("missing_partitions", "session:s date:D", lambda x: D.missing_partitions(_wanted(x), _present(x)),
-    "SELECT * FROM want WHERE session = 'rth' AND day(date) % 2 = 1")
-add("bulk_build_report", "session:s total:i completed:i errors:i", lambda x: D.build_report(_wanted(x), _present(x), ["session"]), """
-SELECT session, count(*) AS total, count(*) FILTER (session = 'eth' OR day(date) % 2 = 0) AS completed,
-  count(*) FILTER (session = 'rth' AND day(date) % 2 = 1) AS errors FROM want GROUP BY session""")
+def _days(x):
+    return K.with_trading_day(x.ticks).select("date").distinct()
+
+
+def _wanted(x, configs=("time_60m",)):
+    sessions, labels = (F.array(*[F.lit(v) for v in vs]) for vs in (("rth", "eth"), configs))
+    return _days(x).select(F.explode(sessions).alias("session"), F.lit(SIG).alias("sig"), "date").withColumn("bar_config", F.explode(labels))
+
+
+def _bars_of(x):
+    def build(days, session, config):
+        near = x.ticks.filter(F.to_date("ts_event").between(min(days), F.date_add(F.lit(max(days)), 1)))
+        return B.build_bars(K.filter_session(near, session), config)
+    return build
+
+
+def _half_store(x):
+    """A store in which the RTH bars of odd days are missing."""
+    path = _stored_store(x, "half")
+    D.load_or_build(x.spark, path, _wanted(x).filter((F.col("session") == "eth") | (F.dayofmonth("date") % 2 == 0)), _bars_of(x), SIG)
+    return path
+
+
+CTES["ses"] = "SELECT DISTINCT v.s AS session, date FROM tkd, (VALUES ('rth', 570), ('eth', 180)) AS v(s, m) WHERE action = 'T' AND minute >= m AND minute < 960"
+CTES["want"] = "SELECT DISTINCT s AS session, date FROM tkd, (VALUES ('rth'), ('eth')) AS v(s)"
+add("missing_partitions", "session:s date:D", lambda x: D.missing_partitions(_wanted(x), D.stored_partitions(x.spark, _half_store(x))),
+    "SELECT * FROM want EXCEPT SELECT * FROM ses WHERE session = 'eth' OR day(date) % 2 = 0")
+
+
+def _rebuild(x):
+    """Only what is missing is built the second time, and nothing the third."""
+    path = _half_store(x)
+    second, third = (D.load_or_build(x.spark, path, _wanted(x), _bars_of(x), SIG) for _ in range(2))
+    rows = x.spark.read.parquet(path).groupBy("session").agg(F.countDistinct("date").alias("days"), F.sum("volume").alias("volume"))
+    out = rows.join(second.select("session", F.col("total").alias("built_second")), "session", "left").na.fill(0, ["built_second"])
+    return out.join(third.select("session", F.col("completed").alias("built_third")), "session", "left").na.fill(0, ["built_third"])
+
+
+add("store_reuse", "session:s days:i volume:i built_second:i built_third:i", _rebuild, """
+SELECT session, count(DISTINCT date) AS days, sum(size) AS volume, (SELECT count(*) FROM (SELECT * FROM want w WHERE w.session = v.session EXCEPT SELECT * FROM ses WHERE session = 'eth' OR day(date) % 2 = 0)) AS built_second,
+  0 AS built_third FROM tkd, (VALUES ('rth', 570), ('eth', 180)) AS v(session, m) WHERE action = 'T' AND minute >= m AND minute < 960 GROUP BY session""")
+
+
+def _bulk(x):
+    path, configs = _stored_store(x, "bulk"), ("time_60m", "tick_40")
+    return D.load_or_build(x.spark, path, _wanted(x, configs), _bars_of(x), SIG)
+
+
+add("bulk_build_report", "session:s bar_config:s total:i completed:i errors:i", _bulk, """
+SELECT session, c AS bar_config, count(*) AS total, count(*) FILTER (ok) AS completed, count(*) FILTER (NOT ok) AS errors FROM (
+  SELECT w.session, c, EXISTS (SELECT 1 FROM ses s WHERE s.session = w.session AND s.date = w.date) AS ok FROM want w, (VALUES ('time_60m'), ('tick_40')) AS v(c)) GROUP BY ALL""")
+
+
+def _matrix_store(x):
+    """The second half of the days is added to a stored matrix of the first half; rows are those of the bars."""
+    path, build = _stored_store(x, "matrix"), P.matrix_builder(x.ticks)
+    wanted = _days(x).select(F.lit("all").alias("session"), F.lit("time_60m").alias("bar_config"), "date")
+    for part in (wanted.filter(F.dayofmonth("date") <= 15), wanted):
+        D.load_or_build(x.spark, path, part, build, SIG)
+    m = x.spark.read.parquet(path)
+    return m.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("bar_count"), F.sum("return_1bar").alias("return_sum"))
+
+
+add("matrix_store", "symbol:s date:D bar_count:i return_sum:d", _matrix_store, """
+SELECT b.symbol, b.session_date AS date, count(*) AS bar_count, sum(return_1bar) AS return_sum FROM b LEFT JOIN mom USING (symbol, session_date, ts_event, seq) GROUP BY ALL""")
 add("representative_day_sample", "symbol:s session_date:D ts_event:t seq:i", lambda x: D.sample_days(x.bars(), 5, 8), """
 WITH d AS (SELECT symbol, session_date, r - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM days)
 SELECT b.symbol, b.session_date, ts_event, seq FROM b JOIN d USING (symbol, session_date)
@@ -121,9 +187,10 @@ add("log_idempotent_append", "event_id:s seq:i", _append, "SELECT eid AS event_i
 
 # --- log analytics
 CTES["tri"] = "SELECT * FROM lge WHERE ev IN ('task_result', 'task_error') OR ev = ''"
-add("trial_counts", "raw_trials:i unique_strategies:i family_count:i effective_trials:i", lambda x: G.trial_counts(log(x)), """
+TRIALS_SQL = """
 SELECT count(*) AS raw_trials, count(DISTINCT coalesce(strategy_id, strategy_name || ':' || props)) AS unique_strategies, count(DISTINCT strategy_name) AS family_count,
-  (SELECT greatest(1, least(round(sum(sqrt(n))), sum(n))) FROM (SELECT count(*) AS n FROM tri GROUP BY strategy_name)) AS effective_trials FROM tri""")
+  (SELECT greatest(1, least(round(sum(sqrt(n))), sum(n))) FROM (SELECT count(*) AS n FROM tri GROUP BY strategy_name)) AS effective_trials FROM tri"""
+add("trial_counts", "raw_trials:i unique_strategies:i family_count:i effective_trials:i", lambda x: G.trial_counts(log(x)), TRIALS_SQL)
 SC = "attempts:i edge_passes:i search_passes:i selection_attempts:i selection_passes:i edge_rate:d search_rate:d selection_rate:d"
 
 
@@ -347,13 +414,14 @@ add("fitted_strategy", "symbol:s ts_event:t fold:i signal:i", _fitted)
 
 # --- streams, driven to completion over the tick table
 def _stream_bars(x):
+    """Ticks arrive in three slices of time; a fourth slice repeats old ticks, which come too late and change nothing."""
     src, out, ck = (_stored_store(x, n) for n in ("ticksrc", "streambars", "streamck"))
-    x.ticks.repartition(1).sortWithinPartitions("ts_event", "seq").write.parquet(src)
-    ticks = x.spark.readStream.schema(x.spark.read.parquet(src).schema).parquet(src)
-    S.run_bar_stream(ticks, "60m", out, ck).awaitTermination()
-    done = x.spark.read.parquet(out)
+    day = F.dayofmonth("ts_event")
+    for part in (x.ticks.filter(day <= 10), x.ticks.filter((day > 10) & (day <= 20)), x.ticks.filter(day > 20), x.ticks.filter(day <= 3)):
+        part.write.mode("append").parquet(src)
+        S.run_bar_stream(x.spark.readStream.schema(x.ticks.schema).parquet(src), "60m", out, ck).awaitTermination()
     # The last windows stay open until the watermark passes them.
-    return done
+    return x.spark.read.parquet(out)
 
 
 CTES["wm"] = "SELECT max(ts_event) - INTERVAL 10 MINUTE AS w FROM ticks WHERE action = 'T'"
@@ -361,13 +429,20 @@ add("streaming_bars", "symbol:s ts_event:t open:d high:d low:d close:d volume:i
     "SELECT * FROM b WHERE ts_event + INTERVAL 60 MINUTE <= (SELECT w FROM wm)")
 
 
-def _stream_log(x):
+def _streamed_log(x):
+    """The table that a stream of the log, a third of it sent twice, has written: each id once."""
     src, out, ck = (_stored_store(x, n) for n in ("logsrc", "streamlog", "logck"))
-    base = log(x).select("event_id", "event", "timestamp", "seq")
-    base.unionByName(base.filter("seq % 3 = 0")).write.parquet(src)
-    stream = x.spark.readStream.schema(base.schema).parquet(src)
+    rows = log(x)
+    rows.unionByName(rows.filter("seq % 3 = 0")).write.parquet(src)
+    stream = x.spark.readStream.schema(rows.schema).parquet(src)
     S.run_log_stream(stream, ck, lambda df, i: df.write.mode("append").parquet(out)).awaitTermination()
-    return x.spark.read.parquet(out).groupBy("event").agg(F.count(F.lit(1)).alias("rows_kept"), F.countDistinct("event_id").alias("distinct_ids"))
+    return x.spark.read.parquet(out)
+
+
+def _stream_log(x):
+    return _streamed_log(x).groupBy("event").agg(F.count(F.lit(1)).alias("rows_kept"), F.countDistinct("event_id").alias("distinct_ids"))
 
 
+add("streaming_trial_counts", "raw_trials:i unique_strategies:i family_count:i effective_trials:i", lambda x: G.trial_counts(_streamed_log(x)), TRIALS_SQL)
+add("streaming_setup_scorecard", f"setup_key:s {SC}", lambda x: G.scorecard(G.with_outcome(_streamed_log(x)), ["setup_key"]), _sc_sql("setup_key"))
 add("streaming_log_dedup", "event:s rows_kept:i distinct_ids:i", _stream_log, "SELECT ev AS event, count(*) AS rows_kept, count(*) AS distinct_ids FROM lge GROUP BY ev")
