@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import resolve
+from ..sources.stage import stored
 from .pnl import metrics, with_bar_cost
 from .trades import project_to_windows, run_trades, with_day, with_series_order
 
@@ -19,10 +20,15 @@ def _finite(c: str) -> Column:
     return F.coalesce(F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)), F.lit(0.0))
 
 
+def _priced(bars: DataFrame, keys: list[str], params: dict | None = None) -> DataFrame:
+    """Bars with ``bar_cost``; costs that are there already stay."""
+    return bars if "bar_cost" in bars.columns else with_bar_cost(bars, keys, params)
+
+
 def _scored(bars: DataFrame, keys: list[str], adaptive: bool, params: dict | None, per: list[str] | None = None) -> DataFrame:
     """Metrics of the run trades of each key, every key present; ``per`` are the keys rolling costs restart on."""
     if adaptive:
-        bars = bars if "bar_cost" in bars.columns else with_bar_cost(bars, per or keys, params)
+        bars = _priced(bars, per or keys, params)
     trades = run_trades(bars, keys, ["bar_cost"] if adaptive else [])
     if adaptive:
         trades = trades.withColumnRenamed("entry_bar_cost", "adaptive_cost_rt")
@@ -60,7 +66,7 @@ def shuffled_signals(bars: DataFrame, keys: list[str], iterations: int, seed: in
 def shuffle_test(bars: DataFrame, keys: list[str], iterations: int = 100, adaptive: bool = True, params: dict | None = None) -> DataFrame:
     seed = int(resolve(params)["seed"])
     if adaptive:
-        bars = with_bar_cost(bars, keys, params)
+        bars = _priced(bars, keys, params)
     real = _scored(bars, keys, adaptive, params).select(*keys, _finite("sharpe_ratio").alias("real_sharpe"))
     many = _scored(shuffled_signals(bars, keys, iterations, seed), [*keys, "iteration"], adaptive, params)
     many = many.select(*keys, _finite("sharpe_ratio").alias("s"))
@@ -89,8 +95,9 @@ def walk_forward_folds(bars: DataFrame, keys: list[str], n_folds: int = 5, adapt
         F.col("b.ts_event").alias("win_end"), F.col("b.close").alias("win_close"))
     trades = project_to_windows(run_trades(df, keys, ["fold"]), windows, keys)
     if adaptive:
-        cost = with_bar_cost(df, [*keys, "fold"], params).select(*keys, "fold", F.col("ts_event").alias("entry_time"),
-                                                               F.col("bar_cost").alias("adaptive_cost_rt"))
+        # Bars may share a time: the last one's cost is the one known then, so a trade never meets two rows.
+        cost = with_bar_cost(df, [*keys, "fold"], params).groupBy(*keys, "fold", F.col("ts_event").alias("entry_time")).agg(
+            F.max_by("bar_cost", "seq").alias("adaptive_cost_rt"))
         trades = trades.join(cost, [*keys, "fold", "entry_time"])
     m = metrics(trades, [*keys, "fold"], params=params)
     return windows.select(*keys, "fold").join(m, [*keys, "fold"], "left").select(
@@ -114,7 +121,7 @@ def daily_volatility(bars: DataFrame, keys: list[str]) -> DataFrame:
 def regime_test(bars: DataFrame, keys: list[str], adaptive: bool = True, params: dict | None = None) -> DataFrame:
     """Trades split by the volatility of their entry day around its median; both sides must earn money."""
     if adaptive:
-        bars = with_bar_cost(bars, keys, params)
+        bars = _priced(bars, keys, params)
     vol = daily_volatility(bars, keys)
     middle = vol.groupBy(*keys).agg(F.percentile("daily_vol", F.lit(0.5)).alias("_m"))
     days = vol.join(middle, keys).select(*keys, "date_utc", F.when(F.col("daily_vol") > F.col("_m"), "high").otherwise("low").alias("regime"))
@@ -147,7 +154,7 @@ def perturbation_test(bars: DataFrame, keys: list[str], share: float = 0.1, iter
                       params: dict | None = None) -> DataFrame:
     seed = int(resolve(params)["seed"])
     if adaptive:
-        bars = with_bar_cost(bars, keys, params)
+        bars = _priced(bars, keys, params)
     base = _scored(bars, keys, adaptive, params).select(*keys, _finite("sharpe_ratio").alias("baseline_sharpe"))
     many = _scored(perturbed_signals(bars, keys, share, iterations, seed), [*keys, "iteration"], adaptive, params)
     agg = many.select(*keys, _finite("sharpe_ratio").alias("s")).groupBy(*keys).agg(
@@ -190,12 +197,20 @@ def trade_count_test(bars: DataFrame, keys: list[str], min_trades: int = 50) ->
 
 def gauntlet(bars: DataFrame, keys: list[str], min_trades: int = 50, iterations: int = 100, adaptive: bool = True,
              params: dict | None = None) -> DataFrame:
-    """Verdict of each check and the overall verdict, one row per key.  Pass a stored table of bars."""
+    """Verdict of each check and the overall verdict, one row per key.
+
+    Ordered bars with their costs are staged once; folds and chunks restart costs and take the bars alone.
+    """
+    own = [*keys, "date_utc", "ts_event", "seq", "open", "high", "low", "close", "volume", "bid_price", "ask_price", "signal"]
+    day = with_day(bars)
+    bars = stored(day.select(*[c for c in own if c in day.columns]), "series")
+    priced = stored(_priced(bars, keys, params), "priced") if adaptive else bars
     checks = {
-        "shuffle": shuffle_test(bars, keys, iterations, adaptive, params), "walk_forward": walk_forward_test(bars, keys, 5, adaptive, params),
-        "regime": regime_test(bars, keys, adaptive, params), "signal_perturbation": perturbation_test(bars, keys, adaptive=adaptive, params=params),
-        "cost_sensitivity": cost_sensitivity_test(bars, keys, adaptive, params), "decay": decay_test(bars, keys, 4, adaptive, params),
+        "shuffle": shuffle_test(priced, keys, iterations, adaptive, params), "walk_forward": walk_forward_test(bars, keys, 5, adaptive, params),
+        "regime": regime_test(priced, keys, adaptive, params), "signal_perturbation": perturbation_test(priced, keys, adaptive=adaptive, params=params),
+        "cost_sensitivity": cost_sensitivity_test(priced, keys, adaptive, params), "decay": decay_test(bars, keys, 4, adaptive, params),
         "trade_count": trade_count_test(bars, keys, min_trades)}
+    checks = {n: stored(df.select(*keys, "verdict"), "check") for n, df in checks.items()}  # one small plan and table a check
     rows = None
     for name, df in checks.items():
         one = df.select(*keys, F.lit(name).alias("check"), "verdict")
