@@ -155,13 +155,19 @@ def library_words(path: str):
     return encode
 
 
+@lru_cache(1)
+def _cache(path: str) -> WordCache:
+    """Encoded words of this Python worker, shared by the tasks that it runs one after another."""
+    return WordCache(library_words(path))
+
+
 def write_segments(docs: DataFrame, path: str, end_id: int, text: str = "text", id_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """Encode, pack and write all documents; gives the written segments.
 
     Rows: part and first (position of the segment's first id within the part), ids (of the documents), counts, segment.
     """
     def run(batches):
-        cache, part, first = WordCache(library_words(path)), TaskContext.get().partitionId(), 0
+        cache, part, first = _cache(path), TaskContext.get().partitionId(), 0
         names, counts, held, size = [], [], [], 0
 
         def row():
