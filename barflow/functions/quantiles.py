@@ -2,29 +2,48 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one buffer.  Here values are
 first counted, then cut into ordered buckets; only bucket totals are accumulated per group and ranks
-are resolved inside single buckets, so a group may be as large as the table.
+are resolved inside single buckets, so a group may be as large as the table.  Buckets are equally wide
+in sign(z) * log1p(abs(z)), z being the distance from the middle in interquartile ranges (both from a
+sketch): outliers do not press the other values into one bucket, and log1p is semi-monotonic, so
+buckets keep the order of values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], buckets: int = 1024) -> DataFrame:
-    """Linearly interpolated quantiles of the finite values per key; ``probs`` maps output name to probability."""
+def _flat(v: Column) -> Column:
+    z = (v - F.col("_mid")) / F.col("_w")
+    return F.signum(z) * F.log1p(F.abs(z))
+
+
+def bucketed(df: DataFrame, keys: list[str], value: str, buckets: int = 1024) -> DataFrame:
+    """(keys, _v, _n, _t, _b): finite values with their counts, the group's rows and an ordered bucket."""
     v = F.col(value).cast("double")
     ok = df.select(*keys, v.alias("_v")).filter(~F.isnan("_v") & (F.abs("_v") < float("inf")))
     counts = ok.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_t"))
+    span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_t"),
+                                     F.percentile_approx("_v", [0.25, 0.5, 0.75], 1000).alias("_q"))
+    width = F.expr("case when _q[2] > _q[0] then _q[2] - _q[0] when _hi > _lo then _hi - _lo else 1D end")
+    span = span.select(*keys, "_t", F.col("_q")[1].alias("_mid"), width.alias("_w"), "_lo", "_hi")
+    span = span.withColumns({f"_u{n}": _flat(F.col(n)) for n in ("_lo", "_hi")}).drop("_lo", "_hi")
     if keys:
         cond = [counts[k].eqNullSafe(span[k]) for k in keys]
-        c = counts.join(span, cond).select(counts["*"], "_lo", "_hi", "_t")
+        c = counts.join(span, cond).select(counts["*"], "_t", "_mid", "_w", "_u_lo", "_u_hi")
     else:
         # Without keys the span is a single row, whatever the data.
         c = counts.withColumn("_one", F.lit(1)).join(
             F.broadcast(span.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    c = c.withColumn("_b", F.expr(f"if(_hi > _lo, least(floor((_v - _lo) / (_hi - _lo) * {buckets}), {buckets - 1}), 0)"))
+    c = c.withColumn("_u", _flat(F.col("_v"))).withColumn(
+        "_b", F.expr(f"if(_u_hi > _u_lo, least(floor((_u - _u_lo) / (_u_hi - _u_lo) * {buckets}), {buckets - 1}), 0)")).drop("_u", "_mid", "_w", "_u_lo", "_u_hi")
+    return c
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], buckets: int = 1024) -> DataFrame:
+    """Linearly interpolated quantiles of the finite values per key; ``probs`` maps output name to probability."""
+    c = bucketed(df, keys, value, buckets)
     totals = c.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
     ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_before", F.coalesce(F.sum("_bn").over(ahead), F.lit(0))).drop("_bn")

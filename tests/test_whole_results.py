@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from barflow.functions.quantiles import bucketed, exact_quantiles
 from barflow.functions.windows import with_ewm
 from barflow.operators import logstats as G
 from barflow.operators import stats as S
@@ -80,3 +81,12 @@ def test_run_trades_of_one_long_day_are_linear(spark):
         return time.time() - t0
     seconds(2000)
     assert seconds(80_000) < 10
+
+
+def test_one_outlier_does_not_fill_a_bucket(spark):
+    rows = [("a", i / 2000.0) for i in range(2000)] + [("a", 1e9), ("b", 5.0), ("b", 5.0), ("c", None)]
+    d = spark.createDataFrame(rows, "k string, x double")
+    sizes = bucketed(d, ["k"], "x").filter("k = 'a'").groupBy("_b").agg(F.sum("_n").alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] < 0.05 * 2001
+    got = {r.k: (r.lo, r.mid) for r in exact_quantiles(d, ["k"], "x", {"lo": 0.1, "mid": 0.5}).collect()}
+    assert got == {"a": (200 / 2000.0, 1000 / 2000.0), "b": (5.0, 5.0)}
