@@ -274,7 +274,7 @@ def _star(postings: DataFrame, turn: int) -> DataFrame:
     orders = [F.struct("n", "set")] + [F.struct(F.xxhash64("set", F.lit(turn * HUBS + i)).alias("h"), "n", "set") for i in range(HUBS)]
     hubs = postings.groupBy("token").agg(*[F.min(o).alias(f"hub{i}") for i, o in enumerate(orders)])
     hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"hub{i}.n", f"hub{i}.set") for i in range(len(orders))]))).alias("hub"))
-    d = postings.join(hubs, "token").where("set <> hub.set and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
+    d = postings.join(stored(hubs, "hubs"), "token")  # a table of its own, so a hot bucket can be split or met by broadcast.where("set <> hub.set and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
     return d.select(F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b")).distinct()
 
 
@@ -285,7 +285,7 @@ def _second_index(sets: DataFrame, known: DataFrame, rare: int, turns: int, crow
     level = _sized_postings(own)
     for k in range(1, LEVELS + 1):
         level = stored(level, "combinations")
-        size = level.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+        size = stored(level.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket_sizes")
         few = _pairs_of_rare(level.join(size.where(f"size between 2 and {rare}"), "token").select("token", "set", "n"), rare)
         few = few.where("b is not null").select("a", "b").distinct()
         links = stored(links.unionByName(_verified(few, sets)).distinct(), "links")
