@@ -152,7 +152,7 @@ def entry_events(bars: DataFrame, keys: list[str], next_open: bool, keep: list[s
             "_turn": (F.col("signal") != 0) & (F.col("signal") != F.coalesce(F.lag("signal").over(w), F.lit(0))),
             "_more": F.lead("ts_event").over(w).isNotNull(), **({"exits": exits} if horizons else {})})
         out = df.filter(F.col("_turn") & F.col("_more"))
-        return out.select(*keys, F.col("ts_event").alias("signal_time"), F.col("ts_event").alias("entry_time"),
+        return out.select(*keys, F.col("ts_event").alias("signal_time"), F.col("ts_event").alias("entry_time"), F.col("seq").alias("entry_seq"),
                           F.col("close").alias("entry_price"), F.col("signal").cast("int").alias("direction"),
                           *keep, *(["exits"] if horizons else []))
     order = F.struct(*ORDER)
@@ -172,7 +172,7 @@ def entry_events(bars: DataFrame, keys: list[str], next_open: bool, keep: list[s
     owns = (F.col("_rn") == 2) & (carried["d"] == F.col("_first_sig"))
     pend = F.when(F.col("_rn") == 1, carried).when(owns, None).otherwise(F.col("_pend"))
     return df.withColumn("_p", pend).filter(F.col("_p").isNotNull()).select(
-        *keys, F.col("_p.ts_event").alias("signal_time"), F.col("ts_event").alias("entry_time"),
+        *keys, F.col("_p.ts_event").alias("signal_time"), F.col("ts_event").alias("entry_time"), F.col("seq").alias("entry_seq"),
         F.col("open").alias("entry_price"), F.col("_p.d").cast("int").alias("direction"),
         *[F.col(f"_p.{c}").alias(c) for c in keep], *(["exits"] if horizons else []))
 
@@ -186,34 +186,52 @@ def horizon_trades(bars: DataFrame, keys: list[str], horizons: list[int], next_o
         F.col("x.close").alias("exit_price"), "direction", F.lit(1).alias("size"), F.col("x.horizon_bars").alias("horizon_bars"))
 
 
-def first_touch(bars: DataFrame, entries: DataFrame, keys: list[str], target: float, stop: float, max_bars: int | None = None,
-                as_return: bool = False) -> DataFrame:
+TOUCH_BLOCK = 64
+
+
+def first_touch(bars: DataFrame, entries: DataFrame, keys: list[str], target: float | None, stop: float | None, max_bars: int | None = None,
+                as_return: bool = False, with_fill_bar: bool = False) -> DataFrame:
     """Exit of each entry at stop, target, time limit or day end; the stop wins inside one bar and a gap
     through the stop fills at the open.
 
-    The day's bars (a bounded list: one day of one series) are attached once to each entry and searched
-    in place, so no entry-by-bar pairs are produced.
+    ``target`` and ``stop`` are optional.  The search begins after the entry bar, or at it ``with_fill_bar``
+    (next-open entries).  A day is cut into blocks of ``TOUCH_BLOCK`` bars; an entry reads the outline of its day
+    (one high and low a block) and then at most two blocks: the one it begins in and the first later one that can end it.
     """
-    cell = F.struct("ts_event", "seq", "open", "high", "low", "close")
-    days = with_day(bars).groupBy(*keys, "date_utc").agg(F.sort_array(F.collect_list(cell)).alias("day"))
-    e = entries.withColumn("date_utc", F.to_date("entry_time"))
+    d = with_day(bars).withColumn("_pos", F.row_number().over(day_window(keys)) - 1)
+    d = d.select(*keys, "date_utc", "ts_event", "seq", "open", "high", "low", "close", "_pos", F.expr(f"_pos div {TOUCH_BLOCK}").alias("_blk"))
+    on = [*keys, "date_utc"]
+    blocks = d.groupBy(*on, "_blk").agg(F.max("high").alias("_hi"), F.min("low").alias("_lo"), F.count(F.lit(1)).alias("_n"),
+                                        F.sort_array(F.collect_list(F.struct("_pos", "ts_event", "open", "high", "low", "close"))).alias("_cells"))
+    outline = blocks.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("_blk", "_hi", "_lo"))).alias("_outline"), F.sum("_n").alias("_bars"))
     scale = "entry_price" if as_return else "1D"
-    df = e.join(days, [*keys, "date_utc"]).withColumns({
-        "after": F.expr("filter(day, b -> b.ts_event > entry_time)"),
-        "stop_px": F.expr(f"entry_price - direction * {float(stop)}D * {scale}"),
-        "target_px": F.expr(f"entry_price + direction * {float(target)}D * {scale}")})
-    stopped = "if(direction > 0, b.low <= stop_px, b.high >= stop_px)"
-    reached = "if(direction > 0, b.high >= target_px, b.low <= target_px)"
-    timed = "false" if max_bars is None else f"i >= {int(max_bars) - 1}"
-    df = df.filter("size(after) > 0").withColumn("hit", F.expr(
-        f"element_at(filter(transform(after, (b, i) -> named_struct('b', b, 'stop', {stopped}, 'target', {reached}, "
-        f"'time', {timed} or i = size(after) - 1)), h -> h.stop or h.target or h.time), 1)"))
-    gap = "if(direction > 0, least(stop_px, hit.b.open), greatest(stop_px, hit.b.open))"
-    return df.select(*[c for c in entries.columns if c not in ("exit_time", "exit_price", "size")],
-                     F.expr("hit.b.ts_event").alias("exit_time"),
-                     F.expr(f"case when hit.stop then {gap} when hit.target then target_px else hit.b.close end").alias("exit_price"),
-                     F.expr("case when hit.stop then 'stop' when hit.target then 'target' else 'time' end").alias("exit_reason"),
-                     F.lit(1).alias("size"))
+    price = {"stop_px": f"entry_price - direction * {float(stop)}D * {scale}" if stop is not None else "cast(null as double)",
+             "target_px": f"entry_price + direction * {float(target)}D * {scale}" if target is not None else "cast(null as double)"}
+    e = entries.withColumn("date_utc", F.to_date("entry_time")).withColumns({k: F.expr(v) for k, v in price.items()})
+    at = d.select(*on, F.col("ts_event").alias("entry_time"), F.col("seq").alias("entry_seq"), "_pos")
+    if "entry_seq" in entries.columns:
+        e = e.join(at, [*on, "entry_time", "entry_seq"])
+    else:  # without a sequence number the last bar of the entry's time counts, or the first one with the fill bar
+        e = e.join(at.groupBy(*on, "entry_time").agg((F.min if with_fill_bar else F.max)("_pos").alias("_pos")), [*on, "entry_time"])
+    limit = "_bars - 1" if max_bars is None else f"least(_begin + {int(max_bars) - 1}, _bars - 1)"
+    stopped = "coalesce(if(direction > 0, {b}{low} <= stop_px, {b}{high} >= stop_px), false)"
+    reached = "coalesce(if(direction > 0, {b}{high} >= target_px, {b}{low} <= target_px), false)"
+    block = dict(b="b.", low="_lo", high="_hi")
+    e = e.join(outline, on).withColumn("_begin", F.col("_pos") + (0 if with_fill_bar else 1)).filter("_begin < _bars").withColumn("_limit", F.expr(limit))
+    e = e.withColumn("_own", F.expr(f"_begin div {TOUCH_BLOCK}")).withColumn("_end", F.expr(f"_limit div {TOUCH_BLOCK}"))
+    later = f"filter(_outline, b -> b._blk > _own and (b._blk >= _end or {stopped.format(**block)} or {reached.format(**block)}))"
+    e = e.withColumn("_blk", F.explode(F.array_compact(F.array(F.col("_own"), F.expr(f"try_element_at({later}, 1)._blk"))))).drop("_outline")
+    cell = dict(b="c.", low="low", high="high")
+    ends = f"filter(_cells, c -> c._pos >= _begin and (c._pos >= _limit or {stopped.format(**cell)} or {reached.format(**cell)}))"
+    e = e.join(blocks.select(*on, "_blk", "_cells"), [*on, "_blk"]).withColumn("_hit", F.expr(f"try_element_at({ends}, 1)")).filter("_hit is not null")
+    keep = [c for c in entries.columns if c not in ("exit_time", "exit_price", "size")]
+    e = e.groupBy(*keep, "stop_px", "target_px").agg(F.min("_hit").alias("c"))
+    gap = "if(direction > 0, least(stop_px, c.open), greatest(stop_px, c.open))"
+    why = f"case when {stopped.format(**cell)} then 'stop' when {reached.format(**cell)} then 'target' else 'time' end"
+    e = e.withColumn("exit_reason", F.expr(why))
+    return e.select(*keep, F.col("c.ts_event").alias("exit_time"),
+                    F.expr(f"case exit_reason when 'stop' then {gap} when 'target' then target_px else c.close end").alias("exit_price"),
+                    "exit_reason", F.lit(1).alias("size"))
 
 
 def project_to_windows(trades: DataFrame, windows: DataFrame, keys: list[str], window: str = "fold") -> DataFrame:

@@ -139,6 +139,25 @@ SELECT *, 1 AS size, CASE WHEN stop_hit THEN CASE WHEN direction > 0 THEN least(
     WHEN tgt_hit THEN target_px ELSE xc END AS exit_price,
   CASE WHEN stop_hit THEN 'stop' WHEN tgt_hit THEN 'target' ELSE 'time' END AS exit_reason FROM ft""")
 
+CTES["ftn"] = """
+SELECT v.*, x.ts_event AS exit_time, x.stop_hit, x.open AS xo, x.close AS xc, x.tgt_hit, v.entry_price - direction * 2 AS stop_px, v.entry_price + direction * 3 AS target_px
+FROM evn v JOIN LATERAL (SELECT s.*, CASE WHEN v.direction > 0 THEN s.low <= v.entry_price - 2 ELSE s.high >= v.entry_price + 2 END AS stop_hit,
+    CASE WHEN v.direction > 0 THEN s.high >= v.entry_price + 3 ELSE s.low <= v.entry_price - 3 END AS tgt_hit
+  FROM sn s WHERE s.symbol = v.symbol AND s.date_utc = CAST(v.entry_time AS DATE) AND s.ts_event >= v.entry_time) x ON true
+WHERE x.stop_hit OR x.tgt_hit OR x.i = x.n QUALIFY row_number() OVER (PARTITION BY v.symbol, v.entry_time ORDER BY x.i) = 1"""
+add("first_touch_next_open", f"{TRADE} exit_reason:s",
+    lambda x: T.first_touch(signal_bars(x), T.entry_events(signal_bars(x), KEYS, True), KEYS, 3.0, 2.0, with_fill_bar=True), """
+SELECT *, 1 AS size, CASE WHEN stop_hit THEN CASE WHEN direction > 0 THEN least(stop_px, xo) ELSE greatest(stop_px, xo) END WHEN tgt_hit THEN target_px ELSE xc END AS exit_price,
+  CASE WHEN stop_hit THEN 'stop' WHEN tgt_hit THEN 'target' ELSE 'time' END AS exit_reason FROM ftn""")
+add("first_touch_stop_only", f"{TRADE} exit_reason:s",
+    lambda x: T.first_touch(signal_bars(x), T.entry_events(signal_bars(x), KEYS, True), KEYS, None, 2.0, with_fill_bar=True), """
+WITH f AS (SELECT v.*, x.ts_event AS exit_time, x.stop_hit, x.open AS xo, x.close AS xc, v.entry_price - direction * 2 AS stop_px
+  FROM evn v JOIN LATERAL (SELECT s.*, CASE WHEN v.direction > 0 THEN s.low <= v.entry_price - 2 ELSE s.high >= v.entry_price + 2 END AS stop_hit
+    FROM sn s WHERE s.symbol = v.symbol AND s.date_utc = CAST(v.entry_time AS DATE) AND s.ts_event >= v.entry_time) x ON true
+  WHERE x.stop_hit OR x.i = x.n QUALIFY row_number() OVER (PARTITION BY v.symbol, v.entry_time ORDER BY x.i) = 1)
+SELECT *, 1 AS size, CASE WHEN stop_hit THEN CASE WHEN direction > 0 THEN least(stop_px, xo) ELSE greatest(stop_px, xo) END ELSE xc END AS exit_price,
+  CASE WHEN stop_hit THEN 'stop' ELSE 'time' END AS exit_reason FROM f""")
+
 # --- money
 add("trade_pnl", "symbol:s entry_time:t exit_time:t gross_pnl_points:d costs:d gross_pnl:d net_pnl:d holding_time_min:d",
     lambda x: L.trade_pnl(T.run_trades(signal_bars(x), KEYS)), "SELECT * FROM pnl")
