@@ -102,6 +102,10 @@ def _turn(role, text) -> Column:
     return F.struct(role.alias("role"), text.alias("text"))
 
 
+def _message_turns(messages: Column, role: str, text: str) -> Column:
+    return F.transform(messages, lambda x: _turn(_role(_text(x[role])), _text(x[text])))
+
+
 def _fixed_turns(m: Mapping, get) -> Column:
     """Array of turns for a mapping of fixed fields; ``get`` gives a column for a field name."""
     turns = []
@@ -121,7 +125,7 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
         return df.select(key, F.col(f"`{turn}`").alias("turn"), _text(role).alias("role"), _text(text).alias("text"))
     if m.items:
         field, role, text = m.items
-        turns = F.transform(F.col(f"`{field}`"), lambda x: _turn(_role(_text(x[role])), _text(x[text])))
+        turns = _message_turns(F.col(f"`{field}`"), role, text)
     else:
         turns = _fixed_turns(m, lambda c: F.col(f"`{c}`"))
     return df.select(key, F.posexplode(turns).alias("turn", "t")).select("conv_id", F.col("turn").cast("bigint"), "t.role", "t.text")
@@ -151,9 +155,9 @@ def json_turns(df: DataFrame, payload: str = "payload", id_col: str = "conv_id")
             continue
         if m.items:
             field, role, text = m.items
-            made = F.transform(F.col("_j")[field], lambda x, role=role, text=text: _turn(_role(_text(x[role])), _text(x[text])))
+            made = _message_turns(F.col("_j")[field], role, text)
         else:
-            made = _fixed_turns(m, lambda c: F.col("_j")[c])
+            made = _fixed_turns(m, F.col("_j").getField)
         layout, turns = F.when(F.col("_key") == key, F.lit(m.name)).otherwise(layout), F.when(F.col("_key") == key, made).otherwise(turns)
     d = d.select("conv_id", layout.alias("layout"), F.posexplode_outer(turns).alias("turn", "t"))
     return d.select("conv_id", "layout", F.col("turn").cast("bigint"), "t.role", "t.text")
