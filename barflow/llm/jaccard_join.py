@@ -258,7 +258,8 @@ def _sized_postings(own: DataFrame) -> DataFrame:
     d = d.select("set", "n", "at", F.col("t.token").alias("token"), (F.floor(7 * (F.col("n") - F.col("skip") - F.col("at")) / 3) - F.col("n")).alias("most"),
                  F.explode(F.array(step, step - 1)).alias("step"))
     d = d.withColumn("token", F.xxhash64("token", "step")).drop("step")
-    return d.join(d.groupBy("token").agg(F.min("n").alias("least")), "token").where("least <= most").select("token", "set", "n", "at")
+    least = stored(d.groupBy("token").agg(F.min("n").alias("least")), "least")  # a table of its own, so a hot bucket can be split
+    return d.join(least, "token").where("least <= most").select("token", "set", "n", "at")
 
 
 def _open(often: DataFrame, links: DataFrame) -> DataFrame:
