@@ -170,14 +170,22 @@ def suggest_thresholds(feas: DataFrame, value: str = "value", low: str = "low",
     })
 
 
-def choose_bar_config(feas: DataFrame, config: str = "bar_config", sample: str = "sample", target: float = 0.01) -> DataFrame:
-    """Bar configurations ranked by how few samples fail and how close their signal rate is to the target."""
+def choose_bar_config(feas: DataFrame, config: str = "bar_config", sample: str = "sample", target: float = 0.00175, requested: list[str] = ()) -> DataFrame:
+    """Bar configurations ranked by how few samples fail and how close their signal rate is to the target.
+
+    Empty samples and samples without context do not count; a configuration with no other samples comes last.  Ties follow
+    the requested order, then the name.
+    """
     one = feas.dropDuplicates([config, sample])
+    counts = ~F.col("status").isin("empty_sample", "context_unavailable")
+    bad = counts & (F.col("status") != "ok")
+    known = F.col("status").isin("dead_feature_primary", "zero_signal", "over_signal")
+    gap = F.when(F.col("status") == "ok", F.abs(F.col("combined_count") / F.col("total_count") - float(target)))
     g = one.groupBy(config).agg(
-        F.count_if(F.col("total_count") > 0).alias("with_data"), F.count_if(F.col("status") == "dead_feature_primary").alias("dead"),
-        F.count_if(F.col("status").isin("context_unavailable", "empty_sample")).alias("other"), F.count_if(F.col("status") != "ok").alias("failing"),
-        F.count_if(F.col("status") == "zero_signal").alias("zero"), F.count_if(F.col("status") == "over_signal").alias("over"),
-        F.avg(F.when(F.col("status") == "ok", F.abs(F.col("combined_count") / F.col("total_count") - float(target)))).alias("distance"))
+        F.count_if(counts).alias("with_data"), F.count_if(F.col("status") == "dead_feature_primary").alias("dead"), F.count_if(bad & ~known).alias("other"),
+        F.count_if(bad).alias("failing"), F.count_if(F.col("status") == "zero_signal").alias("zero"), F.count_if(F.col("status") == "over_signal").alias("over"),
+        F.avg(gap).alias("distance"), F.min(gap).alias("best_distance"))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(r) for r in requested]).cast("array<string>"), F.col(config)), F.lit(0)), F.lit(1 << 30).cast("bigint"))
     w = Window.partitionBy(F.lit(0)).orderBy((F.col("with_data") == 0).cast("int"), "dead", "other", "failing", "zero", "over",
-                                             F.col("distance").asc_nulls_last(), config)
+                                             F.col("distance").asc_nulls_last(), F.col("best_distance").asc_nulls_last(), place, config)
     return g.withColumn("rank", F.row_number().over(w))

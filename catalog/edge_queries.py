@@ -205,11 +205,12 @@ SELECT *, CASE WHEN op = '>' AND status = 'zero_signal' THEN CASE WHEN p90 < 0.6
     CASE WHEN greatest(-0.02, (p10 + p50) / 2) >= least(0.02, (p50 + p90) / 2) THEN p50 - greatest((p90 - p10) / 8, 1e-6) ELSE greatest(-0.02, (p10 + p50) / 2) END END AS new_low,
   CASE WHEN op = 'between' AND status = 'zero_signal' THEN greatest(0.02, p90) WHEN op = 'between' AND status = 'over_signal' THEN
     CASE WHEN greatest(-0.02, (p10 + p50) / 2) >= least(0.02, (p50 + p90) / 2) THEN p50 + greatest((p90 - p10) / 8, 1e-6) ELSE least(0.02, (p50 + p90) / 2) END END AS new_high FROM fz""")
-add("bar_config_choice", "symbol:s rank:i with_data:i failing:i zero:i over:i distance:d",
-    lambda x: P.choose_bar_config(_feas(x), "symbol", "session_date"), """
-SELECT *, row_number() OVER (ORDER BY failing, zero, over, distance NULLS LAST, symbol) AS rank FROM (SELECT symbol, count(*) AS with_data,
-  count(*) FILTER (status <> 'ok') AS failing, count(*) FILTER (status = 'zero_signal') AS zero, count(*) FILTER (status = 'over_signal') AS over,
-  avg(abs(combined_count / total_count - 0.01)) FILTER (status = 'ok') AS distance FROM fz WHERE pos = 0 GROUP BY symbol)""".replace(" over,", ' "over",').replace("AS over", 'AS "over"'))
+add("bar_config_choice", "symbol:s rank:i with_data:i failing:i zero:i over:i distance:d best_distance:d",
+    lambda x: P.choose_bar_config(P.feasibility(edge_bars(x), CONDS, ["symbol", "session_date"], _requested(x)), "symbol", "session_date", requested=["S2", "S0"]), """
+SELECT *, row_number() OVER (ORDER BY failing, zero, "over", distance NULLS LAST, best_distance NULLS LAST, CASE symbol WHEN 'S2' THEN 1 WHEN 'S0' THEN 2 ELSE 3 END, symbol) AS rank FROM (
+  SELECT symbol, count(*) AS with_data, count(*) FILTER (status <> 'ok') AS failing, count(*) FILTER (status = 'zero_signal') AS zero, count(*) FILTER (status = 'over_signal') AS "over",
+    avg(abs(combined_count / total_count - 0.00175)) FILTER (status = 'ok') AS distance, min(abs(combined_count / total_count - 0.00175)) FILTER (status = 'ok') AS best_distance
+  FROM fz WHERE pos = 0 GROUP BY symbol)""")
 
 
 def _cond_table(x):
