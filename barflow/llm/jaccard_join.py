@@ -24,7 +24,6 @@ are linked with nothing.  Tokens are 64-bit hashes, classes 64-bit sums of rehas
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
