@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from barflow.operators import bars as B
 from barflow.operators import logstats as G
-from barflow.operators import pnl as L
 from barflow.operators import trades as T
 from barflow.plans import matrix as P
 from barflow.plans import promotion as R
