@@ -3,7 +3,7 @@
 For every page four kinds of evidence meet in one posterior over the languages of the training texts:
 
 * text: a naive Bayes likelihood of hashed byte trigrams of the visible text, tempered to ``GRAMS`` independent trigrams;
-* declared: the primary subtag of ``<html lang>``;
+* declared: the primary subtag of ``<html lang>``, wherever the tag stands outside comments, scripts and styles;
 * address: a language code that is the path's first segment, else the last label of the host name;
 * host: a prior smoothed from the whole table through the address's last label and the registered domain to the host.
 
@@ -47,11 +47,17 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+def declared_language(html: Column) -> Column:
+    """Primary subtag of the first ``<html>`` tag with a language, in lower case, or ""; comments, scripts and styles do not count."""
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--(?:-?>|.*?(?:-->|\z))|<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    return F.lower(F.regexp_extract(t, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", 1))
+
+
 def evidence(pages: DataFrame, url: str = "url", html: str = "html", id_col: str = "page_id") -> DataFrame:
     """(id, text, host, domain, suffix, declared, path_code) of every page."""
     u, h = F.coalesce(F.col(f"`{url}`"), F.lit("")), F.col(f"`{html}`")
     host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
-    declared = F.lower(F.regexp_extract(F.substring(F.coalesce(h, F.lit("")), 1, 4096), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", 1))
+    declared = declared_language(h)
     code = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([A-Za-z]{2})(?:[-_][A-Za-z]{2})?(?:[/?#]|$)", 1))
     d = pages.select(F.col(f"`{id_col}`").alias("id"), visible_text(h).alias("text"), host.alias("host"), F.nullif(declared, F.lit("")).alias("declared"), F.nullif(code, F.lit("")).alias("path_code"))
     return d.withColumns({"suffix": F.regexp_extract("host", r"([^.]*)$", 1), "domain": F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)})

@@ -126,3 +126,13 @@ def test_posterior_against_hand_count(spark):
     assert names == ["de", "en"] and len(data) < 3  # no trigram: the text says nothing
     joint = np.exp(address + np.log(prior))
     assert abs(got[200].posterior - joint[0] / joint.sum()) < 1e-6 and table.shape == (2, language_id.BUCKETS)
+
+
+def test_declared_language_after_a_long_preamble(spark):
+    tag = '<html class="no-js" lang="de"><p>x</p></html>'
+    long = "licence text " * 2000
+    pages = {1: f"<!-- {long} -->{tag}", 2: " \n" * 5000 + tag, 3: f"<script>var a = '{long}';</script>{tag}", 4: f'<!--[if IE]><html lang="fr"><![endif]-->{tag}', 5: f'<!--[if IE]><!-->{tag}<!--<![endif]-->',
+             6: f'<script>a = "<html lang=fr>"</script>{tag}', 7: f'<!-- {tag}', 8: "<p>lang=de</p>", 9: None, 10: f"<!-->{tag}<!-- -->"}
+    df = spark.createDataFrame([(i, None, h) for i, h in pages.items()], "page_id bigint, url string, html string")
+    got = {r.id: r.declared for r in language_id.evidence(df).collect()}
+    assert got == {i: None if i in (7, 8, 9) else "de" for i in pages}
