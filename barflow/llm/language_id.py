@@ -8,11 +8,13 @@ For every page four kinds of evidence meet in one posterior over the languages o
 * host: a prior smoothed from the whole table through the address's last label and the registered domain to the host.
 
 How far declared and address values are to be trusted is counted over all pages: the share of each value among pages
-whose text is clear (text posterior of ``CLEAR`` or more), with add-one smoothing.  Priors are counted over the same
-pages by grouped aggregation; each level is smoothed towards the one above with the weight of ``PRIOR`` pages.
+whose text is clear (text posterior of ``CLEAR`` or more), with add-one smoothing over all values; the table of every
+value is joined by value.  Values of no clear page say nothing.  Priors are counted over the same pages by grouped
+aggregation; each level is smoothed towards the one above with the weight of ``PRIOR`` pages.
 
-The trigram model is trained on at most ``SAMPLE`` documents with a language (chosen by a hash of the id); it has
-``BUCKETS`` numbers a language and is what is broadcast; at most ``LANGUAGES`` languages, the most frequent, enter.
+The trigram model is trained on ``SAMPLE`` documents with a language (chosen by a hash of the id) and up to ``EACH`` more
+of each language, so that rare ones are learnt too.  It has ``BUCKETS`` numbers a language and is what is broadcast.
+Every language enters that has a document with an id and a trigram.
 
 Null, empty and malformed addresses have the host "" and no address value; null markup has no text and no declared value.
 Without training texts the language is null with posterior null.
@@ -20,6 +22,8 @@ Without training texts the language is null with posterior null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,13 +33,12 @@ from ..sources.stage import stored
 from .textbytes import slices
 from .textstats import LOWERED
 
-SAMPLE, LANGUAGES = 4_000, 64
+SAMPLE, EACH = 4_000, 64
 BUCKETS_LOG = 15
 BUCKETS = 1 << BUCKETS_LOG
 GRAMS = 60.0
 CLEAR = 0.9
 PRIOR = 5.0
-VALUES = 256  # declared and address values whose trust is kept, the most frequent
 _MUL = np.uint32(2654435761)
 
 
@@ -70,11 +73,13 @@ def _buckets(data: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", bound: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the log probability of each bucket in each."""
-    known = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    names = [r.lang for r in known.groupBy(F.col(f"`{lang}`").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    names.sort()
-    chosen = known.select(F.col(f"`{id_col}`").alias("id")).where("id is not null").orderBy(F.xxhash64("id"), "id").limit(bound)
-    rows = known.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id", "left_semi")
+    known = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).select(
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`")).alias("h"))
+    first = stored(known.where("octet_length(text) > 2").groupBy("lang", F.pmod("h", F.lit(EACH)).alias("class")).agg(F.min("h").alias("h")), "language_samples")
+    names = sorted(r.lang for r in first.select("lang").distinct().collect())  # one row a language
+    place = {x: i for i, x in enumerate(names)}
+    chosen = known.select("h", "id").orderBy("h", "id").limit(bound).select("h").union(first.select("h"))
+    rows = known.join(F.broadcast(chosen), "h", "left_semi")
 
     def run(batches):
         for b in batches:
@@ -82,7 +87,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
             for lo, hi, data, offsets in slices(b.column(1)):
                 if len(data) < 3:
                     continue
-                code = np.array([names.index(x) if x in names else -1 for x in own[lo:hi]])
+                code = np.array([place.get(x, -1) for x in own[lo:hi]])
                 gram = _buckets(data)
                 row = np.searchsorted(offsets, np.arange(len(gram)), side="right") - 1
                 fit = (np.arange(len(gram)) + 3 <= offsets[row + 1]) & (code[row] >= 0)
@@ -91,8 +96,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     counts = np.zeros((len(names), BUCKETS))
     for r in rows.select("lang", "text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.cell // BUCKETS, r.cell % BUCKETS] = r.n
-    p = counts + 0.5
-    return names, np.log(p / p.sum(axis=1, keepdims=True)) if len(names) else counts
+    counts += 0.5
+    counts /= counts.sum(axis=1, keepdims=True)
+    return names, np.log(counts, out=counts)
 
 
 def text_likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
@@ -121,22 +127,30 @@ def text_likelihoods(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> Da
     return rows.mapInArrow(run, schema)
 
 
+def _let(x: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(x)`` with ``x`` computed once, also where lambdas read it many times."""
+    return F.transform(F.array(x), of)[0]
+
+
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+
+
 def _normal(x: Column) -> Column:
     """Probabilities of an array of logarithms."""
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    powers = _let(x, lambda y: _let(F.array_max(y), lambda top: F.transform(y, lambda v: F.exp(v - top))))
+    return _let(powers, lambda e: _let(_total(e), lambda total: F.transform(e, lambda v: v / total)))
 
 
-def _counts(clear: DataFrame, key: str, k: int, into: str) -> DataFrame:
-    """(key, array of counts by language); one row a key, summed on the map side first."""
-    sums = [F.sum(F.when(F.col("best") == i, 1.0).otherwise(0.0)).alias(f"c{i}") for i in range(k)]
-    return clear.groupBy(key).agg(*sums).select(key, F.array(*[F.col(f"c{i}") for i in range(k)]).alias(into))
+def _counts(clear: DataFrame, keys: list[str], k: int, into: str) -> DataFrame:
+    """(keys, array of counts by language); one row a key, summed by key and language first."""
+    sums = clear.groupBy(*keys, "best").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    held = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("best", "_n"))).alias("_m"))
+    return held.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias(into))
 
 
 def _smoothed(counts: Column, above: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
-    return F.zip_with(counts, above, lambda n, p: (n + PRIOR * p) / (total + PRIOR))
+    return _let(_total(counts), lambda total: F.zip_with(counts, above, lambda n, p: (n + PRIOR * p) / (total + PRIOR)))
 
 
 def identify(pages: DataFrame, docs: DataFrame, url: str = "url", html: str = "html", id_col: str = "page_id") -> DataFrame:
@@ -158,31 +172,26 @@ def identify(pages: DataFrame, docs: DataFrame, url: str = "url", html: str = "h
     for r in clear.groupBy("best").count().collect():  # one row a language
         seen[r.best] += r["count"]
     prior = F.array(*[F.lit(float(v)) for v in seen / seen.sum()])
-    suffixes = _counts(clear, "suffix", k, "n").select("suffix", _smoothed(F.col("n"), prior).alias("above"))
-    domains = (clear.select("suffix", "domain", "best").transform(lambda x: _counts(x.withColumn("_k", F.struct("suffix", "domain")), "_k", k, "n"))
-               .select("_k.suffix", "_k.domain", "n").join(suffixes, "suffix").select("domain", _smoothed(F.col("n"), F.col("above")).alias("above")))
-    hosts = (_counts(clear.withColumn("_k", F.struct("domain", "host")), "_k", k, "n").select("_k.domain", "_k.host", "n").join(domains, "domain")
-             .select("host", _smoothed(F.col("n"), F.col("above")).alias("host_prior")))
+    suffixes = _counts(clear, ["suffix"], k, "n").select("suffix", _smoothed(F.col("n"), prior).alias("above"))
+    domains = _counts(clear, ["suffix", "domain"], k, "n").join(suffixes, "suffix").select("domain", _smoothed(F.col("n"), F.col("above")).alias("above"))
+    hosts = _counts(clear, ["domain", "host"], k, "n").join(domains, "domain").select("host", _smoothed(F.col("n"), F.col("above")).alias("host_prior"))
     hosts = stored(hosts, "host_priors")
 
-    def trust(column: str) -> dict:
-        """Log likelihoods of each value of a column, given the language; only values that are language-like are kept."""
-        rows = _counts(clear.where(F.col(column).isNotNull()), column, k, "n").orderBy(F.desc(F.aggregate("n", F.lit(0.0), lambda a, b: a + b)), column).limit(VALUES).collect()
-        n = np.array([r["n"] for r in rows]).reshape(len(rows), k) + 1.0
-        return {r[column]: np.log(v / n.sum(axis=0)).tolist() for r, v in zip(rows, n)}
+    def trust(column: str) -> DataFrame:
+        """(column, log likelihoods of the value, given the language) of every value of a column."""
+        told = clear.where(F.col(column).isNotNull())
+        values = stored(_counts(told, [column], k, "n"), f"{column}_trust")
+        total = np.full(k, float(values.count()))
+        for r in told.groupBy("best").count().collect():  # one row a language
+            total[r.best] += r["count"]
+        totals = F.array(*[F.lit(float(v)) for v in total])
+        return values.select(column, F.zip_with("n", totals, lambda n, t: F.ln((n + 1.0) / t)).alias(f"by_{column}"))
 
     zero = F.array(*[F.lit(0.0)] * k)
-
-    def looked_up(column: str) -> Column:
-        values = trust(column)
-        if not values:
-            return zero
-        table = F.create_map(*[x for v, ll in values.items() for x in (F.lit(v), F.array(*[F.lit(float(y)) for y in ll]))])
-        return F.coalesce(table[F.col(column)], zero)
-    by_declared, by_address = looked_up("declared"), looked_up("address")
+    by_declared, by_address = F.coalesce("by_declared", zero), F.coalesce("by_address", zero)
     host_prior = F.transform(F.coalesce("host_prior", prior), lambda p: F.ln(p))
     joint = F.zip_with(F.zip_with("ll", by_declared, lambda a, b: a + b), F.zip_with(by_address, host_prior, lambda a, b: a + b), lambda a, b: a + b)
-    out = d.join(hosts, "host", "left").withColumn("post", _normal(joint))
+    out = d.join(hosts, "host", "left").join(trust("declared"), "declared", "left").join(trust("address"), "address", "left").withColumn("post", _normal(joint))
     at = F.array_position("post", F.array_max("post")).cast("int")
     return out.select(F.col("id").alias(id_col), F.element_at(codes, at).alias("lang"), F.array_max("post").alias("posterior"),
                       F.element_at(codes, F.col("best") + 1).alias("text_lang"), "declared", "address", "host")

@@ -136,3 +136,23 @@ def test_declared_language_after_a_long_preamble(spark):
     df = spark.createDataFrame([(i, None, h) for i, h in pages.items()], "page_id bigint, url string, html string")
     got = {r.id: r.declared for r in language_id.evidence(df).collect()}
     assert got == {i: None if i in (7, 8, 9) else "de" for i in pages}
+
+
+def test_every_language_and_value_counts(spark):
+    """70 languages of two words of their own and 300 host suffixes; the rarest of each are used."""
+    own = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}q{chr(97 + i % 26)}z{chr(97 + i // 26)} " * 20 for i in range(70)]
+    docs = spark.createDataFrame([(100 * i + j, t, f"l{i:02d}") for i, t in enumerate(own) for j in range(1 + (i < 69))], "doc_id bigint, text string, lang string")
+    names, table = language_id.train(docs)
+    assert names == [f"l{i:02d}" for i in range(70)] and table.shape == (70, language_id.BUCKETS)
+    assert language_id.train(docs, bound=1)[0] == names
+    rows = [(2 * i + j, f"http://a.s{i:03d}/", f"<p>{own[i % 69]}</p>") for i in range(300) for j in range(1 + (i < 299))] + [(999, "http://b/", f"<p>{own[69]}</p>")]
+    rows += [(1000, "http://new.s299/", "<p>1</p>")]
+    got = {r.page_id: r for r in language_id.identify(spark.createDataFrame(rows, "page_id bigint, url string, html string"), docs).collect()}
+    assert len(got) == len(rows) and got[999].lang == "l69"
+    seen = np.ones(70)
+    for i in range(300):
+        seen[i % 69] += 1 + (i < 299)
+    seen[69] += 1
+    best = 299 % 69
+    joint = (1 + np.eye(70)[best]) / (seen - 1 + 301) * seen / seen.sum()  # one page of 301 values has the suffix; the host is new
+    assert got[1000].lang == f"l{best:02d}" and abs(got[1000].posterior - (joint / joint.sum())[best]) < 1e-6
