@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import WordCache, spans, split_words
+from .pretokens import MOST, WordCache, spans, split_words
 from .textbytes import hash_runs, slices
 
 NONE = np.int32(2**31 - 1)
@@ -222,15 +222,15 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", id_col: str = "doc_i
     return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, bytes binary")
 
 
-def digests(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): ids are digested, then decoded and the bytes digested."""
+def digests(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", most: int = MOST) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): ids are digested, then decoded and the bytes digested; words of over ``most`` ids are not kept."""
     def run(batches):
         v = vocabulary(path)
-        cache, names = WordCache(v.encode_words), []
+        cache, names, generation = WordCache(v.encode_words, most), [], 0
         for b in batches:
             for lo, hi, slots, words, ids, first in encoded_slices(b.column(1), cache):
-                if len(names) > len(cache.lens):
-                    names = []
+                if generation != cache.generation:
+                    names, generation = [], cache.generation
                 if len(names) < len(cache.lens):
                     k = len(names)
                     known, begin, end = cache.ids.tolist(), cache.starts[k:].tolist(), (cache.starts[k:] + cache.lens[k:]).tolist()

@@ -16,6 +16,7 @@ from .textbytes import hash_runs
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+MOST = 1 << 22
 
 
 @lru_cache(1)
@@ -91,10 +92,13 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class WordCache:
-    """Ids of distinct words, found by hash; emptied when it holds more than ``most`` ids."""
+    """Ids of distinct words, found by hash; emptied when it holds more than ``most`` ids.
 
-    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = 1 << 22) -> None:
-        self.encode, self.most = encode, most
+    ``generation`` counts how often it was emptied: slots of an earlier generation name other words.
+    """
+
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = MOST) -> None:
+        self.encode, self.most, self.generation = encode, most, 0
         self.clear()
 
     def clear(self) -> None:
@@ -108,6 +112,7 @@ class WordCache:
         """Slot of each word; ``starts``, ``lens`` and ``ids`` hold a slot's ids."""
         if len(self.ids) > self.most:
             self.clear()
+            self.generation += 1
         ends = np.append(starts[1:], len(data))
         found, first, inverse = np.unique(hash_runs(data, starts, ends), return_index=True, return_inverse=True)
         place = np.searchsorted(self.hashes, found)

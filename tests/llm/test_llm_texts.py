@@ -177,6 +177,23 @@ def test_word_cache_empties_itself():
         assert small.gather(small.lookup(data, starts))[0].tolist() == large.gather(large.lookup(data, starts))[0].tolist()
 
 
+@pytest.mark.parametrize("most", [0, 3, 20])
+def test_digests_survive_an_emptied_cache(spark, most):
+    library, texts = tiktoken_encoding(), ["xqzv" * 30, "one two three", "four five six seven", "eight nine ten", "one ten", "zzqx" * 2000, *awkward_texts(30)]
+    df = spark.createDataFrame([("\n".join(texts[:k + 1][-2:]), k) for k in range(len(texts))], "text string, doc_id bigint").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # each text is a slice
+    try:
+        got = byte_bpe.digests(df, RANKS, most=most).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(texts)
+    for r in got:
+        text = "\n".join(texts[:r.doc_id + 1][-2:])
+        ids = library.encode_ordinary(text)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(text))
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 5000])
 @pytest.mark.parametrize("high", [1, 3, 50_000, 2**32 - 1])
 def test_segments_round_trip(n, high):
