@@ -53,7 +53,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = token_blocks.write_segments(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    written = token_blocks.write_segments(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, added=True)
     return token_blocks.read_segments(written).withColumnRenamed("id", "doc_id")
 
 

@@ -11,11 +11,15 @@ Documents are dealt by ranges of their id, so files follow the ids and a task ho
 rows of a Parquet folder in the shared store, because the store may be one that only Spark's writers reach; Spark commits
 them task by task, so lost executors cost their own tasks only.  Positions over all files come from one sum per range.
 
+With ``added`` the library's added tokens (such as ``<|endoftext|>``) are cut out of the texts first and give their own
+ids, as the library does by default; without it they are ordinary text.
+
 Null texts count as empty and hold the end id alone.  Rows that share an id are ordered by text.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -124,22 +128,46 @@ def unpack_segment(segment: bytes, only: int | None = None) -> np.ndarray:
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # control strings inside texts are ordinary text
+    t.encode_special_tokens = True  # added tokens are cut out before, or are ordinary text
     return t
 
 
-def library_words(path: str):
-    """Encoder of distinct words by the tokenizers library.
+@lru_cache(2)
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the tokenizer's added tokens, which may stand anywhere in a text."""
+    found = _tokenizer(path).get_added_tokens_decoder()
+    if any(a.single_word or a.lstrip or a.rstrip or not a.special for a in found.values()):
+        raise ValueError("only special added tokens without single_word, lstrip and rstrip are supported")
+    return {a.content: i for i, a in found.items() if a.content}
+
+
+def split_with_added(data: np.ndarray, offsets: np.ndarray, added: dict[str, int]) -> np.ndarray:
+    """Starts of the words of ``split_words``; each added token is a word of its own, the leftmost longest first."""
+    if not added:
+        return split_words(data, offsets)
+    raw, pattern = data.tobytes(), re.compile(b"|".join(re.escape(x.encode()) for x in sorted(added, key=len, reverse=True)))
+    if not pattern.search(raw):
+        return split_words(data, offsets)
+    found = np.array([m.span() for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()) for m in pattern.finditer(raw, lo, hi)], np.int64).reshape(-1, 2)
+    starts = split_words(data, np.union1d(offsets, found))
+    if not len(found):
+        return starts
+    last = np.maximum(np.searchsorted(found[:, 0], starts, side="right") - 1, 0)
+    return starts[(starts <= found[last, 0]) | (starts >= found[last, 1])]
+
+
+def library_words(path: str, added: bool = False):
+    """Encoder of distinct words by the tokenizers library; with ``added``, a word that is an added token has its id.
 
     A word that begins with one space and has no other white space can follow another such word without changing where
     the library splits, so many are encoded in one call and told apart by their word numbers.
     """
     def encode(data, starts, ends):
-        t = _tokenizer(path)
+        t, own = _tokenizer(path), added_tokens(path) if added else {}
         words = [data[s:e].tobytes().decode() for s, e in zip(starts.tolist(), ends.tolist())]
-        plain = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace() and w[1:].isalpha()]
-        ids: list[list[int]] = [[] for _ in words]
-        alone = set(range(len(words))).difference(plain)
+        plain = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace() and w[1:].isalpha() and w not in own]
+        ids: list[list[int]] = [[own[w]] if w in own else [] for w in words]
+        alone = {i for i, w in enumerate(words) if w not in own}.difference(plain)
         groups = [plain[k:k + JOINED] for k in range(0, len(plain), JOINED)]
         for group, e in zip(groups, t.encode_batch(["".join([words[i] for i in g]) for g in groups], add_special_tokens=False) if groups else []):
             numbers = e.word_ids
@@ -156,18 +184,20 @@ def library_words(path: str):
 
 
 @lru_cache(1)
-def _cache(path: str) -> WordCache:
+def _cache(path: str, added: bool) -> WordCache:
     """Encoded words of this Python worker, shared by the tasks that it runs one after another."""
-    return WordCache(library_words(path))
+    return WordCache(library_words(path, added))
 
 
-def write_segments(docs: DataFrame, path: str, end_id: int, text: str = "text", id_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
+def write_segments(docs: DataFrame, path: str, end_id: int, text: str = "text", id_col: str = "doc_id", block: int = BLOCK,
+                   added: bool = False) -> DataFrame:
     """Encode, pack and write all documents; gives the written segments.
 
     Rows: part and first (position of the segment's first id within the part), ids (of the documents), counts, segment.
     """
     def run(batches):
-        cache, part, first = _cache(path), TaskContext.get().partitionId(), 0
+        cache, part, first = _cache(path, added), TaskContext.get().partitionId(), 0
+        own = added_tokens(path) if added else {}
         names, counts, held, size = [], [], [], 0
 
         def row():
@@ -177,7 +207,7 @@ def write_segments(docs: DataFrame, path: str, end_id: int, text: str = "text",
             kind = b.column(0).type
             keys = b.column(0).to_pylist()
             for lo, hi, data, offsets in slices(b.column(1)):
-                starts = split_words(data, offsets)
+                starts = split_with_added(data, offsets, own)
                 ids, lens = cache.gather(cache.lookup(data, starts)) if len(starts) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
                 cut = np.append(0, np.cumsum(lens))[np.searchsorted(starts, offsets)]
                 for i in range(hi - lo):

@@ -224,3 +224,19 @@ def test_token_files_equal_the_library(spark):
     twice = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id bigint, text string")
     rows = token_blocks.read_segments(token_blocks.write_segments(twice, path, 2)).orderBy("start").collect()
     assert [(r.id, r.start) for r in rows] == [(None, 0), (1, 2), (1, 4)]
+
+
+def test_token_query_equals_the_unmodified_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from barflow.llm import queries
+    t, end = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "<|endoftext|>"
+    texts = TEXTS + awkward_texts(60) + [end, end * 3, f"a {end} b", f"one  {end}  two\n{end}\n", f"it'{end}s don't{end}", f"<|{end}|>", "<|endof", "text|> x", f" {end} ", f"é中{end}😀", f"<|endoftext{end}"]
+    documents(spark, texts).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op10_token_blocks(spark, str(tmp_path)).collect()}
+    start = 0
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
+        start += len(ids)
+    assert len(got) == len(texts) and t.encode(end, add_special_tokens=False).ids == [50256]
