@@ -238,6 +238,15 @@ def tick_bars(ticks: DataFrame, threshold: int, params: dict | None = None) -> D
     return _bucket_bars(ticks, F.lit(1).cast("bigint"), threshold, resolve(params))
 
 
+def bar_date(config: str) -> Column:
+    """Session date of the bar that a tick belongs to."""
+    c, at = parse_bar_config(config), F.col("ts_event")
+    if c["kind"] == "time":
+        width = size_seconds(c["value"]) * 1_000_000
+        at = F.timestamp_micros(_div(F.unix_micros(at), width) * width)
+    return eastern_date(at)
+
+
 def build_bars(ticks: DataFrame, config: str, params: dict | None = None) -> DataFrame:
     """Bars for a configuration label."""
     c = parse_bar_config(config)

@@ -15,11 +15,12 @@ from ..operators import cross as X
 from ..operators import flow as O
 from ..operators import momentum as M
 from ..operators import statistical as S
-from ..operators.bars import BAR_COLUMNS, build_bars
+from ..operators.bars import BAR_COLUMNS, bar_date, build_bars
 from ..operators.volume_profile import volume_profile
+from ..params import resolve
 from ..sources.stage import stored
 from ..sources.ticks import filter_session
-from .context import trim_context, with_context
+from .context import day_calendar, trim_context, with_context
 from .layers import together
 
 KEYS = ["symbol", "session_date", "ts_event", "seq"]
@@ -100,10 +101,18 @@ def build_matrix(ticks: DataFrame, config: str, session: str = "all", include_ba
     return feature_matrix(bars, include_bar_columns, params)
 
 
-def matrix_builder(ticks: DataFrame, params: dict | None = None, context_days: int = 10):
-    """``build`` of a matrix store (see ``sources.store.load_or_build``): missing days with the days that warm them up."""
+def matrix_builder(ticks: DataFrame, params: dict | None = None):
+    """``build`` of a matrix store (see ``sources.store.load_or_build``): missing days with the days that warm them up.
+
+    These are the ``context_days`` preceding days on which the symbol has bars, however far back.
+    """
+    n = int(resolve(params)["context_days"])
+
     def build(days: list, session: str, config: str) -> DataFrame:
-        near = ticks.filter(F.to_date("ts_event").between(F.date_sub(F.lit(min(days)), context_days), F.date_add(F.lit(max(days)), 1)))
+        dated = filter_session(ticks, session, params).withColumn("_day", bar_date(config))
+        traded = dated.filter(F.col("action") == "T").select("symbol", F.col("_day").alias("session_date"))
+        serving = day_calendar(traded, n).filter(F.arrays_overlap("serves", F.array(*[F.lit(d) for d in days])))
+        near = dated.join(serving.select("symbol", F.col("session_date").alias("_day")), ["symbol", "_day"], "left_semi").drop("_day")
         return build_matrix(near, config, session, params=params)
     return build
 

@@ -81,3 +81,20 @@ def test_month_folds_rules(spark):
 
 def test_context_inputs_are_narrow():
     assert len(X.CONTEXT_INPUTS) < 30
+
+
+def test_stored_matrix_is_warmed_up_over_long_gaps(spark):
+    ticks = stored(Inputs(spark, SF).ticks, "ticks")
+    days = [r.d for r in ticks.select(F.to_date("ts_event").alias("d")).distinct().orderBy("d").collect()]
+    days = [*days[:7], days[-1]]
+    assert (days[-1] - days[-2]).days > 11
+    few, params = ticks.filter(F.to_date("ts_event").isin(days)), {"context_days": 6}
+    last = P.build_matrix(few, "time_60m", params=params).agg(F.max("session_date")).first()[0]
+    keys = ["symbol", "session_date", "ts_event", "seq"]
+    names = [*keys, "prev_day_high", "prev_day_close", "gap_open", "ema_ratio_50", "adx_14", "regime_vol_relative", "fracdiff_close", "sma_ratio_200"]
+    rows = [m.filter(F.col("session_date") == last).select(*names).orderBy(*keys).collect()
+            for m in (P.matrix_builder(few, params)([last], "all", "time_60m"), P.build_matrix(few, "time_60m", params=params))]
+    assert [r[:4] for r in rows[0]] == [r[:4] for r in rows[1]] and any(r.prev_day_high is not None for r in rows[0])
+    for name in names[4:]:
+        got, want = ([r[name] for r in m] for m in rows)
+        assert got == pytest.approx(want), name
