@@ -1,19 +1,28 @@
-"""Connected components of links between 64-bit keys, by alternating large-star and small-star steps on tables."""
+"""Connected components of links between 64-bit keys, by alternating large-star and small-star steps on tables.
+
+A key's smallest neighbour is a grouped minimum (combined before the shuffle) joined back, so a hub's links are dealt like
+any skewed join and never gathered in one window.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stage import stored
 
 
+def _with_least(links: DataFrame) -> DataFrame:
+    """Links (u, v) with m, the smallest v of each u."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    return links.join(least, "u")
+
+
 def _step(now: DataFrame) -> DataFrame:
-    """One large-star and one small-star step on links (u, v) with u > v, as one chain of three shuffles."""
-    own = Window.partitionBy("u")
+    """One large-star and one small-star step on links (u, v) with u > v."""
     both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = both.withColumn("m", F.least("u", F.min("v").over(own))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    near = large.withColumn("m", F.min("v").over(own))
+    large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    near = _with_least(stored(large.distinct(), "large_stars"))
     ends = F.explode(F.when(F.col("v") == F.col("m"), F.array("u")).otherwise(F.array("u", "v")))
     return near.select(ends.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, jaccard_join, language_id, quality, suffix_dedup, token_blocks, toxicity
+from . import (byte_bpe, chat_format, decontaminate, exact_dedup, hard_negatives, jaccard_join, language_id, quality, simhash, suffix_dedup, token_blocks,
+               toxicity, whitening)
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -57,7 +59,22 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_segments(written).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_jaccard_join, op4_suffix_dedup, op5_quality, op6_decontaminate, op7_language_id, op8_exact_dedup, op9_byte_bpe, op10_token_blocks)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.expr("id % 100 = 0"), label=label)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_jaccard_join, op4_suffix_dedup, op5_quality, op6_decontaminate, op7_language_id, op8_exact_dedup, op9_byte_bpe, op10_token_blocks,
+                                   op11_hard_negatives, op12_simhash, op13_whitening)}
 
 _ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\1\\|', 'g')"
 SQL = {
@@ -90,4 +107,15 @@ FROM doc LEFT JOIN pos USING (doc_id) LEFT JOIN own USING (doc_id)""",
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, c -> floor(256 * CAST(c AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+pair AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM pair WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN pair USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5""",
 }
