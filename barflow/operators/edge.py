@@ -1,4 +1,9 @@
-"""Conditional edge surface: horizon trades scored globally, by side and by market-context bucket."""
+"""Conditional edge surface: horizon trades scored globally, by side and by market-context bucket.
+
+Bars get their context labels and their round-trip cost once (``edge_inputs``), events the closes of the bars their horizons reach and the
+cost of their fill bar (``edge_events``); both are staged, and everything else is made from the events by one expansion
+of an event to the slices it belongs to.  A key's bars are one frame: costs roll over all of them.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..functions.windows import eastern_minute
-from .pnl import metrics
-from .trades import entry_events, horizon_trades
+from ..sources.stage import stored
+from .pnl import metrics, with_bar_cost
+from .trades import entry_events, event_trades, with_day
 
 # Context families, their source column and their three labels; default settings.
 FAMILIES = {
@@ -21,6 +27,16 @@ CONFIG = {"enabled": False, "horizons": [1, 3, 5, 10, 20, 40, 60, 90], "min_even
           "min_avg_trade_pnl": 0.0, "min_positive_day_fraction": 0.52, "max_day_concentration": 0.40, "max_best_pockets": 5}
 
 
+def normalize_config(config: dict | None) -> dict:
+    """Settings with defaults filled in: distinct rising horizons of at least one bar, and pockets of no more events than the whole needs."""
+    c = {**CONFIG, **(config or {})}
+    raw = c["horizons"] if isinstance(c["horizons"], (list, tuple)) else CONFIG["horizons"]
+    least = max(1, int(c["min_events"]))
+    return {"enabled": bool(c["enabled"]), "horizons": sorted({max(1, int(h)) for h in raw if h is not None}) or list(CONFIG["horizons"]), "min_events": least,
+            "min_pocket_events": min(max(1, int(c["min_pocket_events"])), least), "min_positive_horizons": max(1, int(c["min_positive_horizons"])),
+            **{k: float(c[k]) for k in ("min_avg_trade_pnl", "min_positive_day_fraction", "max_day_concentration")}, "max_best_pockets": max(1, int(c["max_best_pockets"]))}
+
+
 def tercile_thresholds(bars: DataFrame, columns: list[str]) -> DataFrame:
     """One row per usable column: lower and upper tercile over all rows; columns without variation are left out."""
     present = [c for c in columns if c in bars.columns]
@@ -68,18 +84,66 @@ def slices_of(df: DataFrame, families: list[str]) -> DataFrame:
         "_s").filter(F.col("label").isNotNull())
 
 
-def evaluate_population(trades: DataFrame, keys: list[str], config: dict = CONFIG) -> DataFrame:
-    """Scores of each (slice, horizon) and whether it passes."""
-    m = metrics(trades, [*keys, "family", "label", "horizon_bars"])
-    need = F.when(F.col("family") == "global", config["min_events"]).otherwise(min(config["min_pocket_events"], config["min_events"]))
-    ok = ((F.col("trade_count") >= need) & (F.col("avg_trade_pnl") > config["min_avg_trade_pnl"]) & (F.col("net_pnl") > 0)
-          & (F.col("positive_day_fraction") >= config["min_positive_day_fraction"])
-          & (F.col("max_day_concentration") <= config["max_day_concentration"]))
-    return m.select(*keys, "family", "label", "horizon_bars", "trade_count", "avg_trade_pnl", "net_pnl", "sharpe_ratio", "positive_day_fraction",
+def omitted_families(bars: DataFrame, families: dict = FAMILIES) -> DataFrame:
+    """(family, reason, column) of the families that give no labels: their column is absent, or too few values differ."""
+    spark = bars.sparkSession
+    absent = [(f, "missing_column", c) for f, (c, _) in [*families.items(), ("value_area_bucket", ("position_in_va", ()))] if c not in bars.columns]
+    out = spark.createDataFrame(absent, "family string, reason string, column string")
+    used = [(f, "insufficient_variation", c) for f, (c, _) in families.items() if c in bars.columns]
+    if not used:
+        return out
+    known = tercile_thresholds(bars, [c for _, _, c in used]).select(F.col("column_name").alias("column"))
+    return out.unionByName(spark.createDataFrame(used, out.schema).join(known, "column", "left_anti"))
+
+
+def edge_inputs(bars: DataFrame, keys: list[str], params: dict | None = None) -> DataFrame:
+    """Staged bars with context labels and ``bar_cost``; of bars that share a time all have the last one's cost, as known then."""
+    families = ["session_bucket", "value_area_bucket", *FAMILIES]
+    df = with_bar_cost(with_buckets(bars), keys, params)
+    df = df.withColumn("bar_cost", F.max_by("bar_cost", "seq").over(Window.partitionBy(*keys, "ts_event")))
+    used = [*keys, "ts_event", "seq", "open", "close", "signal", *[c for c in families if c in df.columns], "bar_cost"]
+    return stored(with_day(df.select(*used)), "edge_bars")
+
+
+def edge_events(inputs: DataFrame, keys: list[str], next_open: bool = True, config: dict | None = None) -> DataFrame:
+    """Staged entry events of ``edge_inputs`` with labels, the fill bar's cost and the bars that the horizons reach."""
+    families = [c for c in inputs.columns if c.endswith("_bucket")]
+    return stored(entry_events(inputs, keys, next_open, families, normalize_config(config)["horizons"], ["bar_cost"]), "edge_events")
+
+
+def edge_slices(inputs: DataFrame, events: DataFrame, keys: list[str], config: dict | None = None) -> DataFrame:
+    """(keys, family, label, base_event_count, enough): the whole and both sides of every key, and every label that an event has.
+
+    Keys with fewer than ``min_events`` events have their whole alone, as no slice of them is scored.
+    """
+    c = normalize_config(config)
+    families = [n for n in events.columns if n.endswith("_bucket")]
+    counts = slices_of(events, families).groupBy(*keys, "family", "label").agg(F.count(F.lit(1)).alias("n"))
+    fixed = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(v).alias("label")) for f, v in (("global", "all"), ("side", "long"), ("side", "short"))]))
+    spine = inputs.select(*keys).distinct().select(*keys, fixed.alias("_s")).select(*keys, "_s.family", "_s.label", F.lit(0).cast("bigint").alias("n"))
+    every = spine.unionByName(counts).groupBy(*keys, "family", "label").agg(F.sum("n").alias("base_event_count"))
+    whole = F.max(F.when(F.col("family") == "global", F.col("base_event_count"))).over(Window.partitionBy(*keys))
+    return every.withColumn("enough", whole >= c["min_events"]).filter((F.col("family") == "global") | F.col("enough"))
+
+
+def edge_population(slices: DataFrame, events: DataFrame, keys: list[str], config: dict | None = None, params: dict | None = None) -> DataFrame:
+    """Scores of each (slice, horizon) at adaptive costs and whether it passes; a horizon without trades has a row of zeros."""
+    c = normalize_config(config)
+    families = [n for n in events.columns if n.endswith("_bucket")]
+    trades = event_trades(events, [*keys, *families, "bar_cost"]).withColumnRenamed("bar_cost", "adaptive_cost_rt")
+    on = [*keys, "family", "label", "horizon_bars"]
+    m = metrics(slices_of(trades, families), on, params=params)
+    spine = slices.filter("enough").withColumn("horizon_bars", F.explode(F.array(*[F.lit(h) for h in c["horizons"]])))
+    empty = {"trade_count": 0, "avg_trade_pnl": 0.0, "net_pnl": 0.0, "positive_day_fraction": 0.0, "max_day_concentration": 1.0}
+    p = spine.join(m, on, "left").withColumn("sharpe_ratio", F.when(F.col("trade_count").isNull(), 0.0).otherwise(F.col("sharpe_ratio"))).na.fill(empty)
+    need = F.when(F.col("family") == "global", c["min_events"]).otherwise(c["min_pocket_events"])
+    ok = ((F.col("trade_count") >= need) & (F.col("avg_trade_pnl") > c["min_avg_trade_pnl"]) & (F.col("net_pnl") > 0)
+          & (F.col("positive_day_fraction") >= c["min_positive_day_fraction"]) & (F.col("max_day_concentration") <= c["max_day_concentration"]))
+    return p.select(*on, "trade_count", "avg_trade_pnl", "net_pnl", "sharpe_ratio", "positive_day_fraction",
                     "max_day_concentration", "long_avg_trade_pnl", "short_avg_trade_pnl", ok.alias("passed"))
 
 
-def slice_summary(population: DataFrame, keys: list[str], config: dict = CONFIG) -> DataFrame:
+def slice_summary(population: DataFrame, keys: list[str], config: dict | None = None) -> DataFrame:
     """Best horizon per slice and the slice verdict."""
     rank = Window.partitionBy(*keys, "family", "label").orderBy(
         F.col("passed").desc(), F.col("avg_trade_pnl").desc(), F.col("net_pnl").desc(), F.col("trade_count").desc(), "horizon_bars")
@@ -88,39 +152,37 @@ def slice_summary(population: DataFrame, keys: list[str], config: dict = CONFIG)
         ("best_horizon_bars", "horizon_bars"), ("best_event_count", "trade_count"), ("best_avg_trade_pnl", "avg_trade_pnl"),
         ("best_positive_day_fraction", "positive_day_fraction"), ("best_max_day_concentration", "max_day_concentration"))}
     return p.groupBy(*keys, "family", "label").agg(F.count_if("passed").alias("positive_horizons"), *best.values()).withColumn(
-        "passed", F.col("positive_horizons") >= config["min_positive_horizons"])
-
-
-def edge_trades(bars: DataFrame, keys: list[str], next_open: bool, config: dict = CONFIG) -> tuple[DataFrame, list[str]]:
-    fams = [c for c in ("session_bucket", "value_area_bucket", *FAMILIES) if c in bars.columns]
-    return horizon_trades(bars, keys, config["horizons"], next_open, fams), fams
+        "passed", F.col("positive_horizons") >= normalize_config(config)["min_positive_horizons"])
 
 
-def edge_surface(bars: DataFrame, keys: list[str], next_open: bool = True, config: dict = CONFIG) -> DataFrame:
-    """All slices with event counts; expects bars from ``with_buckets``."""
-    trades, fams = edge_trades(bars, keys, next_open, config)
-    events = slices_of(entry_events(bars, keys, next_open, fams), fams).groupBy(*keys, "family", "label").agg(
-        F.count(F.lit(1)).alias("base_event_count"))
-    s = slice_summary(evaluate_population(slices_of(trades, fams), keys, config), keys, config)
-    return events.join(s, [*keys, "family", "label"], "left").withColumns({
+def edge_surface(bars: DataFrame, keys: list[str], next_open: bool = True, config: dict | None = None, params: dict | None = None) -> DataFrame:
+    """All slices of each key with event counts, best horizon and verdict."""
+    inputs = edge_inputs(bars, keys, params)
+    events = edge_events(inputs, keys, next_open, config)
+    slices = stored(edge_slices(inputs, events, keys, config), "edge_slices")
+    s = slice_summary(edge_population(slices, events, keys, config, params), keys, config)
+    return slices.drop("enough").join(s, [*keys, "family", "label"], "left").withColumns({
         "positive_horizons": F.coalesce("positive_horizons", F.lit(0)), "passed": F.coalesce("passed", F.lit(False))})
 
 
-def best_pockets(surface: DataFrame, keys: list[str], config: dict = CONFIG) -> DataFrame:
-    """Passing context slices of each key, best first; none where the key has too few events in all."""
-    events = F.max(F.when(F.col("family") == "global", F.col("base_event_count"))).over(Window.partitionBy(*keys))
-    enough = surface.withColumn("_e", events).filter(F.col("_e") >= config["min_events"]).drop("_e")
-    pockets = enough.filter(F.col("passed") & ~F.col("family").isin("global", "side"))
+def best_pockets(surface: DataFrame, keys: list[str], config: dict | None = None) -> DataFrame:
+    """Passing context slices of each key, best first."""
+    pockets = surface.filter(F.col("passed") & ~F.col("family").isin("global", "side"))
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in ("best_avg_trade_pnl", "positive_horizons", "best_event_count", "family", "label")])
-    return pockets.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= config["max_best_pockets"])
+    return pockets.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= normalize_config(config)["max_best_pockets"])
 
 
-def surface_status(surface: DataFrame, keys: list[str], config: dict = CONFIG) -> DataFrame:
-    pocket = ~F.col("family").isin("global", "side")
-    if not config["enabled"]:
-        return surface.select(*keys).distinct().withColumns({"status": F.lit("disabled"), "passed": F.lit(True)})
+def surface_status(surface: DataFrame, keys: list[str], config: dict | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """(keys, event_count, status, passed, has_localized_edge); keys of ``wanted`` without bars have no data."""
+    c, pocket = normalize_config(config), ~F.col("family").isin("global", "side")
+    every = surface.select(*keys).distinct() if wanted is None else wanted.select(*keys).distinct()
+    if not c["enabled"]:
+        return every.withColumns({"event_count": F.lit(None).cast("bigint"), "status": F.lit("disabled"), "passed": F.lit(True), "has_localized_edge": F.lit(False)})
     g = surface.groupBy(*keys).agg(F.max(F.when(F.col("family") == "global", F.col("base_event_count"))).alias("event_count"),
                                    F.max(F.when(F.col("family") == "global", F.col("passed"))).alias("_g"),
-                                   F.max(F.when(pocket, F.col("passed"))).alias("_l"))
-    return g.withColumn("status", F.expr(f"""case when event_count < {config['min_events']} then 'insufficient_events' when _g then 'global_edge'
-        when _l then 'localized_edge_only' else 'no_edge' end""")).withColumn("passed", F.col("status") == "global_edge").drop("_g", "_l")
+                                   F.coalesce(F.max(F.when(pocket, F.col("passed"))), F.lit(False)).alias("has_localized_edge"))
+    g = every.join(g, keys, "left")
+    status = F.expr(f"""case when event_count is null then 'no_data' when event_count < {c['min_events']} then 'insufficient_events' when _g then 'global_edge'
+        when has_localized_edge then 'localized_edge_only' else 'no_edge' end""")
+    return g.withColumn("status", status).select(*keys, F.coalesce("event_count", F.lit(0)).alias("event_count"), "status", (F.col("status") == "global_edge").alias("passed"),
+                                                 F.coalesce("has_localized_edge", F.lit(False)).alias("has_localized_edge"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import keyed_hash, nth_smallest, running_offset
 from ..params import resolve
 from ..sources.stage import stored
 from .pnl import metrics, with_bar_cost
@@ -36,28 +37,33 @@ def _scored(bars: DataFrame, keys: list[str], adaptive: bool, params: dict | Non
     return bars.select(*keys).distinct().join(m, keys, "left").na.fill(0.0).na.fill(0, ["trade_count"])
 
 
-def _hash(seed: int, *parts: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
-
-
 def _pass(cond: Column) -> Column:
     return F.when(cond, "PASS").otherwise("FAIL")
 
 
 def signal_blocks(bars: DataFrame, keys: list[str]) -> DataFrame:
-    """Maximal runs of one signal value over the whole series: start position, length, value."""
+    """Maximal runs of one signal value over the whole series: start position, length, value.
+
+    A run ends at the next start of its day, else at the first start of a later day, else with the series; the later starts
+    come from one row a day, so no window holds a series.
+    """
     df = with_series_order(bars, keys)
-    starts = df.filter(F.col("prev_signal").isNull() | (F.col("prev_signal") != F.col("signal")))
-    nxt = F.lead("pos").over(Window.partitionBy(*keys).orderBy("pos"))
-    return starts.select(*keys, F.col("pos").alias("start"), (F.coalesce(nxt, F.col("series_rows")) - F.col("pos")).alias("length"),
-                         F.col("signal").alias("value"))
+    starts = df.filter(F.col("prev_signal").isNull() | (F.col("prev_signal") != F.col("signal"))).select(*keys, "date_utc", "pos", "series_rows", "signal")
+    inside = Window.partitionBy(*keys, "date_utc").orderBy("pos")
+    later = Window.partitionBy(*keys).orderBy(F.desc("date_utc")).rowsBetween(Window.unboundedPreceding, -1)
+    days = starts.groupBy(*keys, "date_utc").agg(F.min("pos").alias("_first")).select(*keys, "date_utc", F.min("_first").over(later).alias("_then"))
+    end = F.coalesce(F.lead("pos").over(inside), F.col("_then"), F.col("series_rows"))
+    return starts.join(days, [*keys, "date_utc"]).select(*keys, F.col("pos").alias("start"), (end - F.col("pos")).alias("length"), F.col("signal").alias("value"))
 
 
 def shuffled_signals(bars: DataFrame, keys: list[str], iterations: int, seed: int) -> DataFrame:
-    """``iterations`` copies of the series with the order of the signal blocks permuted, as key ``iteration``."""
-    blocks = signal_blocks(bars, keys).withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    order = Window.partitionBy(*keys, "iteration").orderBy(_hash(seed, F.col("iteration"), F.col("start")), "start")
-    placed = blocks.withColumn("at", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """``iterations`` copies of the series with the order of the signal blocks permuted, as key ``iteration``.
+
+    A block's new place is the length of the blocks ahead of it in hash order, from bucket totals and a sum inside its bucket.
+    """
+    blocks = stored(signal_blocks(bars, keys), "signal_blocks").withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    blocks = blocks.withColumn("_h", keyed_hash(seed, F.col("iteration"), F.col("start")))
+    placed = running_offset(blocks, [*keys, "iteration"], "_h", ["start"], "length", "at")
     cells = placed.select(*keys, "iteration", F.explode(F.expr("sequence(at, at + length - 1)")).alias("pos"), F.col("value").alias("signal"))
     base = with_series_order(bars, keys).drop("signal", "prev_signal", "series_rows")
     return cells.join(base, [*keys, "pos"])
@@ -140,14 +146,19 @@ def regime_test(bars: DataFrame, keys: list[str], adaptive: bool = True, params:
 
 
 def perturbed_signals(bars: DataFrame, keys: list[str], share: float, iterations: int, seed: int) -> DataFrame:
-    """Copies of the series with a share of the non-zero signal bars flipped, as key ``iteration``."""
-    df = with_day(bars).withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    live = F.col("signal") != 0
-    pick = Window.partitionBy(*keys, "iteration", live).orderBy(
-        _hash(seed, F.col("iteration"), F.unix_micros("ts_event"), F.col("seq")), "ts_event", "seq")
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys, "iteration", live))
-    flips = F.least(F.greatest(F.lit(1), F.floor(size * F.lit(float(share)))), size)
-    return df.withColumn("signal", F.when(live & (F.row_number().over(pick) <= flips), -F.col("signal")).otherwise(F.col("signal")))
+    """Copies of the series with a share of the non-zero signal bars flipped, as key ``iteration``.
+
+    The bars to flip have the smallest hashes of their series and iteration; the largest of these is found by bucket totals and ranks
+    inside one bucket, and each bar is then compared with it alone.
+    """
+    ties, repeated = ["ts_event", "seq"], F.explode(F.sequence(F.lit(1), F.lit(iterations)))
+    digest = keyed_hash(seed, F.col("iteration"), F.unix_micros("ts_event"), F.col("seq"))
+    live = bars.filter("signal <> 0").select(*keys, *ties, repeated.alias("iteration")).withColumn("_h", digest)
+    flips = F.least(F.greatest(F.lit(1), F.floor(F.col("size") * F.lit(float(share)))), F.col("size"))
+    last = stored(nth_smallest(live, [*keys, "iteration"], "_h", ties, flips), "flip_limits")  # one row a series and iteration
+    df = with_day(bars).withColumn("iteration", repeated).join(last, [*keys, "iteration"], "left")
+    flip = (F.col("signal") != 0) & (F.struct(digest.alias("_h"), *ties) <= F.col("last"))
+    return df.withColumn("signal", F.when(flip, -F.col("signal")).otherwise(F.col("signal"))).drop("last")
 
 
 def perturbation_test(bars: DataFrame, keys: list[str], share: float = 0.1, iterations: int = 20, adaptive: bool = True,

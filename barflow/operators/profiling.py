@@ -1,22 +1,18 @@
-"""Feature profiles and feasibility of entry conditions held in a condition table."""
+"""Feature profiles and the choice of a bar configuration by the feasibility of conditions (see ``conditions``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 
 EPS = 1e-12
 SPARSE_RATE = 0.005
-OVER_SIGNAL_RATE = 0.02
-OPS = (">", ">=", "<", "<=", "between", "bool_true", "bool_false")
-ROLES = ("primary", "confirmation")
 
-# Name fragments that mark features suited to thresholds, and prefixes of features that need earlier sessions.
+# Name fragments that mark features suited to thresholds.
 HINT_PATTERNS = ("zscore", "ratio", "position", "width", "bandwidth", "velocity", "intensity", "imbalance", "distance", "progress", "wick", "delta", "cvd",
                  "volume", "range", "pctb")
-CONTEXT_PREFIXES = ("prev_day_", "dist_prev_")
 
 
 def long_form(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -65,111 +61,6 @@ def threshold_hints(profile: DataFrame, keys: list[str], top: int = 6, priority:
     return u.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= int(top)).drop("_f")
 
 
-def _mask(cond: dict) -> Column:
-    x = F.col(cond["feature"]).cast("double")
-    ok = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    op = cond["op"]
-    test = {">": lambda: x > cond["value"], ">=": lambda: x >= cond["value"], "<": lambda: x < cond["value"], "<=": lambda: x <= cond["value"],
-            "between": lambda: x.between(cond["low"], cond["high"]), "bool_true": lambda: x > 0.5, "bool_false": lambda: x <= 0.5}[op]()
-    return F.coalesce(ok & test, F.lit(False))
-
-
-def pass_through(df: DataFrame, conditions: list[dict], keys: list[str] = ()) -> DataFrame:
-    """Each condition on its own, and all together, in one aggregation.
-
-    A condition on a column that is absent holds nowhere and is a dead feature.
-    """
-    keys = list(keys)
-    both, aggs = F.lit(True), []
-    for i, c in enumerate(conditions):
-        there = c["feature"] in df.columns
-        mask = _mask(c) if there else F.lit(False)
-        both = both & mask
-        x = F.col(c["feature"]).cast("double") if there else F.lit(None).cast("double")
-        aggs += [F.count_if(mask).alias(f"p{i}"), F.count_if(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).alias(f"f{i}")]
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_count"), F.count_if(both).alias("combined_count"), *aggs)
-    rows = [F.struct(F.lit(i).alias("pos"), F.lit(c["feature"]).alias("feature"), F.lit(c["op"]).alias("op"), F.lit(c["feature"] not in df.columns).alias("absent"),
-                     F.lit(c.get("role", "primary")).alias("role"), F.col(f"p{i}").alias("pass_count"), F.col(f"f{i}").alias("finite_count"))
-            for i, c in enumerate(conditions)]
-    out = g.select(*keys, "total_count", "combined_count", F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*", "total_count", "combined_count")
-    out = out.withColumn("pass_rate_pct", F.expr("if(total_count > 0, 100D * pass_count / total_count, 0D)"))
-    return out.withColumn("severity", F.expr(
-        "case when absent then 'dead_feature' when pass_count = 0 then 'blocks_all' when pass_rate_pct < 1 then 'restrictive' else 'normal' end")).drop("absent")
-
-
-def feasibility(df: DataFrame, conditions: list[dict], sample: list[str], requested: DataFrame | None = None) -> DataFrame:
-    """Status of the combined conditions per sample, with the quantiles of each feature.
-
-    ``requested`` names the samples that are wanted: one without rows is an ``empty_sample``.
-    """
-    rows = pass_through(df, conditions, sample)
-    feats = sorted({c["feature"] for c in conditions if c["feature"] in df.columns})
-    q = exact_quantiles(long_form(df, sample, feats), [*sample, "column_name"], "value",
-                        {"p02": 0.02, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p98": 0.98}).withColumnRenamed("column_name", "feature")
-    away = F.lit(False)
-    for p in CONTEXT_PREFIXES:
-        away = away | F.startswith("feature", F.lit(p))
-    rows = rows.withColumn("severity", F.when((F.col("finite_count") == 0) & (F.col("severity") != "dead_feature"), F.when(away, "context_unavailable").otherwise("dead_feature")).otherwise(
-        F.col("severity")))
-    if requested is not None:
-        none = [F.struct(F.lit(i).alias("pos"), F.lit(c["feature"]).alias("feature"), F.lit(c["op"]).alias("op"), F.lit(c.get("role", "primary")).alias("role"))
-                for i, c in enumerate(conditions)]
-        empty = requested.select(*sample).distinct().join(rows.select(*sample).distinct(), sample, "left_anti").select(*sample, F.explode(F.array(*none)).alias("r")).select(*sample, "r.*")
-        rows = rows.unionByName(empty.withColumns({c: F.lit(0).cast("bigint") for c in ("pass_count", "finite_count", "total_count", "combined_count")}).withColumns(
-            {"pass_rate_pct": F.lit(0.0), "severity": F.lit("empty_sample")}))
-    whole = Window.partitionBy(*sample)
-    rows = rows.withColumns({
-        "_away": F.max((F.col("severity") == "context_unavailable").cast("int")).over(whole),
-        "_dead": F.max(((F.col("severity") == "dead_feature") & (F.col("role") == "primary")).cast("int")).over(whole)})
-    return rows.withColumn("status", F.expr(f"""case when total_count = 0 then 'empty_sample' when _away = 1 then 'context_unavailable'
-        when _dead = 1 then 'dead_feature_primary' when combined_count = 0 then 'zero_signal'
-        when combined_count / total_count > {OVER_SIGNAL_RATE} then 'over_signal' else 'ok' end""")).drop("_away", "_dead").join(
-        q, [*sample, "feature"], "left")
-
-
-def check_conditions(table: DataFrame, keys: list[str]) -> DataFrame:
-    """Rule violations of condition tables: counts, operators, roles, bounds and duplicates."""
-    known = F.col("op").isin(*OPS) & F.col("role").isin(*ROLES)
-    g = table.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("condition_count"), F.count_if(F.col("role") == "primary").alias("primary_count"),
-        F.count_if(F.col("role") == "confirmation").alias("confirmation_count"), F.count_if(~known).alias("unknown_count"),
-        F.count_if((F.col("op") == "between") & (F.col("low") > F.col("high"))).alias("bad_bounds"),
-        F.countDistinct(F.struct("feature", "op", "value", "low", "high")).alias("_distinct"))
-    return g.withColumn("duplicate_count", F.expr("condition_count - _distinct")).withColumn("valid", F.expr(
-        "condition_count <= 3 and primary_count <= 2 and confirmation_count <= 1 and unknown_count = 0 and bad_bounds = 0 and duplicate_count = 0")).drop(
-        "_distinct")
-
-
-def sample_conflicts(feas: DataFrame, keys: list[str], sample: str, dense_pct: float = 2.0) -> DataFrame:
-    """Conditions that never hold on some samples and hold often on others, with their quantile ranges."""
-    zero, dense = F.col("pass_count") == 0, F.col("pass_rate_pct") > dense_pct
-    return feas.groupBy(*keys, "feature", "op").agg(
-        F.count_if(zero).alias("zero_samples"), F.count_if(dense).alias("dense_samples"),
-        F.min("p10").alias("p10_min"), F.max("p10").alias("p10_max"), F.min("p90").alias("p90_min"), F.max("p90").alias("p90_max")).withColumn(
-        "conflict", F.expr("zero_samples > 0 and dense_samples > 0"))
-
-
-def suggest_thresholds(feas: DataFrame, value: str = "value", low: str = "low", high: str = "high", param: str = "param_key") -> DataFrame:
-    """New thresholds from the feature's own quantiles: looser when nothing fires, tighter when too much does."""
-    eps = 1e-9
-    up, down = "op in ('>', '>=')", "op in ('<', '<=')"
-    looser_up = f"case when p90 < {value} - {eps} then p90 when p50 < {value} - {eps} then p50 when p10 < {value} - {eps} then p10 end"
-    looser_dn = f"case when p10 > {value} + {eps} then p10 when p50 > {value} + {eps} then p50 when p90 > {value} + {eps} then p90 end"
-    tighter_up = f"if(p98 <= {value} + {eps}, {value} + greatest((p98 - p90) * 0.25, abs(p98) * 0.02, 1e-6D), p98)"
-    tighter_dn = f"if(p02 >= {value} - {eps}, {value} - greatest((p10 - p02) * 0.25, abs(p02) * 0.02, 1e-6D), p02)"
-    narrow_lo, narrow_hi = f"greatest({low}, (p10 + p50) / 2)", f"least({high}, (p50 + p90) / 2)"
-    half = "greatest((p90 - p10) / 8, 1e-6D)"
-    free = f"not ({param} like 'sl_ticks%' or {param} like 'pt_ticks%')"
-    return feas.withColumns({
-        "new_value": F.expr(f"""if({free}, round(case when status = 'zero_signal' and {up} then {looser_up} when status = 'zero_signal' and {down} then {looser_dn}
-            when status = 'over_signal' and {up} then {tighter_up} when status = 'over_signal' and {down} then {tighter_dn} end, 6), null)"""),
-        "new_low": F.expr(f"""if({free} and op = 'between', round(case when status = 'zero_signal' then least({low}, p10)
-            when status = 'over_signal' then if({narrow_lo} >= {narrow_hi}, p50 - {half}, {narrow_lo}) end, 6), null)"""),
-        "new_high": F.expr(f"""if({free} and op = 'between', round(case when status = 'zero_signal' then greatest({high}, p90)
-            when status = 'over_signal' then if({narrow_lo} >= {narrow_hi}, p50 + {half}, {narrow_hi}) end, 6), null)"""),
-    })
-
-
 def choose_bar_config(feas: DataFrame, config: str = "bar_config", sample: str = "sample", target: float = 0.00175, requested: list[str] = ()) -> DataFrame:
     """Bar configurations ranked by how few samples fail and how close their signal rate is to the target.
 

@@ -136,10 +136,10 @@ def next_open_trades(bars: DataFrame, keys: list[str]) -> DataFrame:
         F.col("d").cast("int").alias("direction"), F.lit(1).alias("size"))
 
 
-def entry_events(bars: DataFrame, keys: list[str], next_open: bool, keep: list[str] = (), horizons: list[int] = ()) -> DataFrame:
+def entry_events(bars: DataFrame, keys: list[str], next_open: bool, keep: list[str] = (), horizons: list[int] = (), fill: list[str] = ()) -> DataFrame:
     """Flat-to-signal transitions with signal and fill bar.
 
-    ``keep`` columns are read at the signal bar.  With ``horizons`` the close of the bar each horizon
+    ``keep`` columns are read at the signal bar, ``fill`` columns at the fill bar.  With ``horizons`` the close of the bar each horizon
     reaches inside the fill's day comes along as an array, so no bar-to-bar join is needed.
     """
     w = day_window(keys)
@@ -154,7 +154,7 @@ def entry_events(bars: DataFrame, keys: list[str], next_open: bool, keep: list[s
         out = df.filter(F.col("_turn") & F.col("_more"))
         return out.select(*keys, F.col("ts_event").alias("signal_time"), F.col("ts_event").alias("entry_time"), F.col("seq").alias("entry_seq"),
                           F.col("close").alias("entry_price"), F.col("signal").cast("int").alias("direction"),
-                          *keep, *(["exits"] if horizons else []))
+                          *keep, *fill, *(["exits"] if horizons else []))
     order = F.struct(*ORDER)
     df = with_day(bars).withColumn("_before", F.lag("signal").over(w))
     df = df.withColumn("_new", F.when((F.col("signal") != 0) & (F.col("signal") != F.coalesce("_before", F.lit(0))), F.struct(
@@ -174,15 +174,19 @@ def entry_events(bars: DataFrame, keys: list[str], next_open: bool, keep: list[s
     return df.withColumn("_p", pend).filter(F.col("_p").isNotNull()).select(
         *keys, F.col("_p.ts_event").alias("signal_time"), F.col("ts_event").alias("entry_time"), F.col("seq").alias("entry_seq"),
         F.col("open").alias("entry_price"), F.col("_p.d").cast("int").alias("direction"),
-        *[F.col(f"_p.{c}").alias(c) for c in keep], *(["exits"] if horizons else []))
+        *[F.col(f"_p.{c}").alias(c) for c in keep], *fill, *(["exits"] if horizons else []))
 
 
-def horizon_trades(bars: DataFrame, keys: list[str], horizons: list[int], next_open: bool, keep: list[str] = ()) -> DataFrame:
+def horizon_trades(bars: DataFrame, keys: list[str], horizons: list[int], next_open: bool, keep: list[str] = (), fill: list[str] = ()) -> DataFrame:
     """One trade per event and horizon that still ends inside the fill's UTC day."""
-    ev = entry_events(bars, keys, next_open, keep, horizons)
-    return ev.select(*[c for c in ev.columns if c != "exits"], F.explode("exits").alias("x")).filter(
+    return event_trades(entry_events(bars, keys, next_open, keep, horizons, fill), [*keys, *keep, *fill])
+
+
+def event_trades(events: DataFrame, keep: list[str]) -> DataFrame:
+    """The trades of events that carry the bars their horizons reach."""
+    return events.select(*[c for c in events.columns if c != "exits"], F.explode("exits").alias("x")).filter(
         F.col("x.ts_event").isNotNull()).select(
-        *keys, *keep, "signal_time", "entry_time", F.col("x.ts_event").alias("exit_time"), "entry_price",
+        *keep, "signal_time", "entry_time", F.col("x.ts_event").alias("exit_time"), "entry_price",
         F.col("x.close").alias("exit_price"), "direction", F.lit(1).alias("size"), F.col("x.horizon_bars").alias("horizon_bars"))
 
 

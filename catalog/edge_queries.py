@@ -1,4 +1,4 @@
-"""Edge surface, feature profiles and condition feasibility."""
+"""Edge surface and feature profiles."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from barflow.operators import trades as T
 from .base import CTES, add
 from .trade_queries import KEYS, metric_sql
 
-CFG = {**E.CONFIG, "enabled": True, "horizons": [1, 3, 6], "min_pocket_events": 15, "min_positive_day_fraction": 0.2, "max_day_concentration": 0.5, "min_avg_trade_pnl": -1e9}
+CFG = {**E.CONFIG, "enabled": True, "horizons": [1, 3, 6, 30], "min_events": 60, "min_pocket_events": 3, "min_positive_day_fraction": 0.1, "max_day_concentration": 0.9, "min_avg_trade_pnl": -1e9}
 _CK = "symbol, session_date, ts_event, seq"
 
 
@@ -23,7 +23,7 @@ def edge_bars(x):
     df = K.book(O.orderflow(M.momentum(x.bars())))
     ofi = F.col("order_flow_imbalance")
     return stored(df.withColumn("signal", T.signal_from_conditions(ofi > 40, ofi < -40)).select(
-        "symbol", "session_date", "ts_event", "seq", "open", "high", "low", "close", "signal", "spread_bps", "trade_intensity", "return_5bar",
+        "symbol", "session_date", "ts_event", "seq", "open", "high", "low", "close", "signal", "bid_price", "ask_price", "spread_bps", "trade_intensity", "return_5bar",
         F.col("vwap_deviation").alias("position_in_va"), "volume", "volume_imbalance", "absorption_signal"), "edge")
 
 
@@ -52,8 +52,9 @@ add("tercile_thresholds", "column_name:s lower:d upper:d",
     lambda x: E.tercile_thresholds(edge_bars(x), ["spread_bps", "trade_intensity", "return_5bar", "absent"]), "SELECT * FROM th")
 add("context_buckets", "symbol:s ts_event:t " + " ".join(f"{f}:s" for f in FAMS), lambda x: E.with_buckets(edge_bars(x)), "SELECT * FROM eb")
 CTES["ht"] = """
-SELECT v.*, s.ts_event AS exit_time, s.close AS exit_price, 1 AS size, h AS horizon_bars
-FROM ev v CROSS JOIN (VALUES (1), (3), (6)) AS hs(h) JOIN sn s ON s.symbol = v.symbol AND s.date_utc = v.date_utc AND s.i = v.i + h"""
+SELECT v.*, m.bar_cost, s.ts_event AS exit_time, s.close AS exit_price, 1 AS size, h AS horizon_bars
+FROM ev v JOIN ms m ON m.symbol = v.symbol AND m.ts_event = v.entry_time
+CROSS JOIN (VALUES (1), (3), (6), (30)) AS hs(h) JOIN sn s ON s.symbol = v.symbol AND s.date_utc = v.date_utc AND s.i = v.i + h"""
 
 
 def _sliced(src: str) -> str:
@@ -63,43 +64,70 @@ def _sliced(src: str) -> str:
 
 
 CTES["hs0"] = "SELECT * FROM (" + _sliced("ht") + ") WHERE label IS NOT NULL"
-CTES["p_hs"] = """SELECT *, size * 14.5 AS costs, (exit_price - entry_price) * direction * 20 AS gross_pnl,
-  (exit_price - entry_price) * direction * 20 - 14.5 AS net_pnl,
+CTES["p_hs"] = """SELECT *, size * bar_cost AS costs, (exit_price - entry_price) * direction * 20 AS gross_pnl,
+  (exit_price - entry_price) * direction * 20 - bar_cost AS net_pnl,
   (epoch_us(exit_time) // 1000000 - epoch_us(entry_time) // 1000000) / 60 AS holding_time_min, CAST(exit_time AS DATE) AS xd FROM hs0"""
-CTES["pop"] = ("SELECT *, trade_count >= CASE WHEN family = 'global' THEN 60 ELSE 15 END AND avg_trade_pnl > -1e9 AND net_pnl > 0 AND "
-               "positive_day_fraction >= 0.2 AND max_day_concentration <= 0.5 AS passed FROM ("
-               + metric_sql("p_hs", "symbol, family, label, horizon_bars") + ")")
+CTES["m_hs"] = "SELECT * FROM (" + metric_sql("p_hs", "symbol, family, label, horizon_bars") + ")"
+CTES["slices"] = f"""
+SELECT symbol, family, label, CAST(sum(n) AS BIGINT) AS base_event_count, max(sum(n) FILTER (family = 'global')) OVER (PARTITION BY symbol) >= {CFG['min_events']} AS enough FROM (
+  SELECT symbol, family, label, count(*) AS n FROM ({_sliced("ev")}) WHERE label IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT DISTINCT symbol, f, l, 0 FROM b, (VALUES ('global', 'all'), ('side', 'long'), ('side', 'short')) AS v(f, l))
+GROUP BY symbol, family, label QUALIFY family = 'global' OR enough"""
+CTES["pop"] = f"""
+SELECT *, trade_count >= CASE WHEN family = 'global' THEN {CFG['min_events']} ELSE 3 END AND avg_trade_pnl > -1e9 AND net_pnl > 0 AND
+  positive_day_fraction >= 0.1 AND max_day_concentration <= 0.9 AS passed FROM (
+  SELECT s.symbol, s.family, s.label, CAST(h AS INTEGER) AS horizon_bars, coalesce(trade_count, 0) AS trade_count, coalesce(avg_trade_pnl, 0) AS avg_trade_pnl,
+    coalesce(net_pnl, 0) AS net_pnl, CASE WHEN trade_count IS NULL THEN 0 ELSE sharpe_ratio END AS sharpe_ratio, coalesce(positive_day_fraction, 0) AS positive_day_fraction,
+    coalesce(max_day_concentration, 1) AS max_day_concentration, long_avg_trade_pnl, short_avg_trade_pnl
+  FROM slices s CROSS JOIN (VALUES (1), (3), (6), (30)) AS hs(h)
+  LEFT JOIN m_hs m ON m.symbol = s.symbol AND m.family = s.family AND m.label = s.label AND m.horizon_bars = h WHERE s.enough)"""
 
 
 def _population(x):
-    t, fams = E.edge_trades(E.with_buckets(edge_bars(x)), KEYS, False, CFG)
-    return E.evaluate_population(E.slices_of(t, fams), KEYS, CFG)
+    inputs = E.edge_inputs(edge_bars(x), KEYS)
+    events = E.edge_events(inputs, KEYS, False, CFG)
+    return E.edge_population(E.edge_slices(inputs, events, KEYS, CFG), events, KEYS, CFG)
 
 
 add("edge_population", "symbol:s family:s label:s horizon_bars:i trade_count:i avg_trade_pnl:d net_pnl:d sharpe_ratio:d positive_day_fraction:d "
     "max_day_concentration:d long_avg_trade_pnl:d short_avg_trade_pnl:d passed:i",
     lambda x: _population(x).withColumn("passed", F.col("passed").cast("int")), "SELECT * FROM pop")
 CTES["surf"] = """
-WITH ev_s AS (SELECT symbol, family, label, count(*) AS base_event_count FROM (""" + _sliced("ev") + """) WHERE label IS NOT NULL GROUP BY ALL),
-best AS (SELECT *, count(*) FILTER (passed) OVER (PARTITION BY symbol, family, label) AS positive_horizons FROM pop
+WITH best AS (SELECT *, count(*) FILTER (passed) OVER (PARTITION BY symbol, family, label) AS positive_horizons FROM pop
   QUALIFY row_number() OVER (PARTITION BY symbol, family, label ORDER BY passed DESC, avg_trade_pnl DESC, net_pnl DESC, trade_count DESC, horizon_bars) = 1)
 SELECT e.*, coalesce(positive_horizons, 0) AS positive_horizons, horizon_bars AS best_horizon_bars, trade_count AS best_event_count,
-  avg_trade_pnl AS best_avg_trade_pnl, coalesce(positive_horizons, 0) >= 1 AS passed FROM ev_s e LEFT JOIN best USING (symbol, family, label)"""
+  avg_trade_pnl AS best_avg_trade_pnl, positive_day_fraction AS best_positive_day_fraction, max_day_concentration AS best_max_day_concentration,
+  coalesce(positive_horizons, 0) >= 1 AS passed FROM slices e LEFT JOIN best USING (symbol, family, label)"""
 
 
 def _surface(x):
-    return E.edge_surface(E.with_buckets(edge_bars(x)), KEYS, False, CFG)
+    return E.edge_surface(edge_bars(x), KEYS, False, CFG)
 
 
-add("edge_surface", "symbol:s family:s label:s base_event_count:i positive_horizons:i best_horizon_bars:d best_event_count:d best_avg_trade_pnl:d passed:i",
+def _wanted(x):
+    """The symbols of the table, and one more of each that has no bars."""
+    return x.bars().select("symbol").distinct().select(F.explode(F.array("symbol", F.concat("symbol", F.lit(".absent")))).alias("symbol"))
+
+
+add("edge_surface", "symbol:s family:s label:s base_event_count:i positive_horizons:i best_horizon_bars:d best_event_count:d best_avg_trade_pnl:d "
+    "best_positive_day_fraction:d best_max_day_concentration:d passed:i",
     lambda x: _surface(x).withColumn("passed", F.col("passed").cast("int")), "SELECT * FROM surf")
 add("edge_best_pockets", "symbol:s rank:i family:s label:s best_avg_trade_pnl:d", lambda x: E.best_pockets(_surface(x), KEYS, CFG), """
 SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY best_avg_trade_pnl DESC, positive_horizons DESC, best_event_count DESC, family DESC, label DESC) AS rank
-FROM surf WHERE passed AND family NOT IN ('global', 'side') AND symbol IN (SELECT symbol FROM surf WHERE family = 'global' AND base_event_count >= 60) QUALIFY rank <= 5""")
-add("edge_status", "symbol:s event_count:i status:s", lambda x: E.surface_status(_surface(x), KEYS, CFG), """
-SELECT symbol, event_count, CASE WHEN event_count < 60 THEN 'insufficient_events' WHEN g THEN 'global_edge' WHEN l THEN 'localized_edge_only' ELSE 'no_edge' END AS status
-FROM (SELECT symbol, max(base_event_count) FILTER (family = 'global') AS event_count, bool_or(passed) FILTER (family = 'global') AS g,
-  bool_or(passed) FILTER (family NOT IN ('global', 'side')) AS l FROM surf GROUP BY symbol)""")
+FROM surf WHERE passed AND family NOT IN ('global', 'side') QUALIFY rank <= 5""")
+add("edge_status", "symbol:s event_count:i status:s passed:i has_localized_edge:i",
+    lambda x: E.surface_status(_surface(x), KEYS, CFG, _wanted(x)).withColumns({c: F.col(c).cast("int") for c in ("passed", "has_localized_edge")}), f"""
+SELECT *, CASE WHEN status = 'global_edge' THEN 1 ELSE 0 END AS passed FROM (
+SELECT w.symbol, coalesce(event_count, 0) AS event_count, CASE WHEN coalesce(l, false) THEN 1 ELSE 0 END AS has_localized_edge, CASE WHEN event_count IS NULL THEN 'no_data'
+  WHEN event_count < {CFG['min_events']} THEN 'insufficient_events' WHEN g THEN 'global_edge' WHEN l THEN 'localized_edge_only' ELSE 'no_edge' END AS status
+FROM (SELECT DISTINCT symbol || x AS symbol FROM b, (VALUES (''), ('.absent')) AS v(x)) w LEFT JOIN (
+  SELECT symbol, max(base_event_count) FILTER (family = 'global') AS event_count, bool_or(passed) FILTER (family = 'global') AS g,
+  bool_or(passed) FILTER (family NOT IN ('global', 'side')) AS l FROM surf GROUP BY symbol) USING (symbol))""")
+add("edge_omitted_families", "family:s reason:s column:s",
+    lambda x: E.omitted_families(edge_bars(x).drop("trade_intensity").withColumn("spread_bps", F.lit(1.0))), """
+SELECT * FROM (VALUES ('vol_bucket', 'missing_column', 'regime_vol_relative'), ('activity_bucket', 'missing_column', 'trade_intensity'),
+  ('spread_bucket', 'insufficient_variation', 'spread_bps')) AS v(family, reason, "column")
+UNION ALL SELECT 'direction_bucket', 'insufficient_variation', 'return_5bar' FROM (SELECT count(*) AS n FROM th WHERE column_name = 'return_5bar' AND upper > lower) WHERE n = 0""")
 
 # --- profiles
 PCOLS = ["close", "volume", "volume_imbalance", "absorption_signal", "return_5bar", "dead_zero", "dead_null"]
@@ -136,94 +164,3 @@ SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY column_name <> 'return
   SELECT *, p90 - p10 AS spread, CASE WHEN column_name LIKE '%imbalance%' OR column_name LIKE '%volume%' THEN 4 ELSE 0 END
     + CASE WHEN kind = 'variable' THEN 2 ELSE 0 END + CASE WHEN null_rate = 0 THEN 1 ELSE 0 END + 1 AS score
   FROM prof_t WHERE kind IN ('variable', 'binary_active') AND abs(p90 - p10) > 1e-12) QUALIFY rank <= 3""")
-
-CONDS = [{"feature": "volume_imbalance", "op": ">", "value": 0.6, "role": "primary"},
-         {"feature": "return_5bar", "op": "between", "low": -0.02, "high": 0.02, "role": "primary"},
-         {"feature": "absorption_signal", "op": "bool_true", "role": "confirmation"}]
-_TESTS = ["volume_imbalance > 0.6", "return_5bar BETWEEN -0.02 AND 0.02", "absorption_signal > 0.5"]
-
-
-def _through(keys: str) -> str:
-    k = f"{keys}, " if keys else ""
-    both = " AND ".join(_TESTS)
-    g = f" GROUP BY {keys}" if keys else ""
-    parts = [f"SELECT {k}{i} AS pos, '{c['feature']}' AS feature, '{c['op']}' AS op, count(*) FILTER ({t}) AS pass_count, count({c['feature']}) AS finite_count, "
-             f"count(*) AS total_count, count(*) FILTER ({both}) AS combined_count FROM xb{g}" for i, (c, t) in enumerate(zip(CONDS, _TESTS))]
-    return ("SELECT *, 100 * pass_count / total_count AS pass_rate_pct, CASE WHEN pass_count = 0 THEN 'blocks_all' WHEN 100 * pass_count / total_count < 1 "
-            "THEN 'restrictive' ELSE 'normal' END AS severity FROM (" + " UNION ALL ".join(parts) + ")")
-
-
-add("condition_pass_through", "pos:i feature:s op:s pass_count:i finite_count:i total_count:i combined_count:i pass_rate_pct:d severity:s",
-    lambda x: P.pass_through(edge_bars(x), CONDS), _through(""))
-CTES["fz"] = f"""
-SELECT t.*, CASE WHEN combined_count = 0 THEN 'zero_signal' WHEN combined_count / total_count > 0.02 THEN 'over_signal' ELSE 'ok' END AS status,
-  p02, p10, p50, p90, p98 FROM ({_through('symbol, session_date')}) t
-LEFT JOIN (SELECT symbol, session_date, column_name AS feature, quantile_cont(value, 0.02) AS p02, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.5) AS p50,
-    quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.98) AS p98 FROM plong WHERE value IS NOT NULL GROUP BY ALL) q USING (symbol, session_date, feature)"""
-
-
-def _feas(x):
-    return P.feasibility(edge_bars(x), CONDS, ["symbol", "session_date"])
-
-
-add("condition_feasibility", "symbol:s session_date:D feature:s pass_count:i combined_count:i total_count:i severity:s status:s p02:d p10:d p50:d p90:d p98:d",
-    _feas, "SELECT * FROM fz")
-add("condition_conflicts", "symbol:s feature:s op:s zero_samples:i dense_samples:i p10_min:d p90_max:d conflict:i",
-    lambda x: P.sample_conflicts(_feas(x), ["symbol"], "session_date").withColumn("conflict", F.col("conflict").cast("int")), """
-SELECT symbol, feature, op, count(*) FILTER (pass_count = 0) AS zero_samples, count(*) FILTER (pass_rate_pct > 2) AS dense_samples, min(p10) AS p10_min,
-  max(p90) AS p90_max, CASE WHEN count(*) FILTER (pass_count = 0) > 0 AND count(*) FILTER (pass_rate_pct > 2) > 0 THEN 1 ELSE 0 END AS conflict FROM fz GROUP BY ALL""")
-
-
-ABSENT = [{"feature": "no_such_column", "op": ">", "value": 1.0, "role": "primary"}]
-add("condition_feasibility_absent_column", "symbol:s feature:s pos:i pass_count:i combined_count:i total_count:i severity:s status:s",
-    lambda x: P.feasibility(edge_bars(x), CONDS[:1] + ABSENT, ["symbol"]), """
-SELECT symbol, v.f AS feature, v.pos, CASE WHEN pos = 0 THEN n0 ELSE 0 END AS pass_count, 0 AS combined_count, n AS total_count,
-  CASE WHEN pos = 1 THEN 'dead_feature' WHEN n0 = 0 THEN 'blocks_all' WHEN 100 * n0 / n < 1 THEN 'restrictive' ELSE 'normal' END AS severity, 'dead_feature_primary' AS status
-FROM (SELECT symbol, count(*) AS n, count(*) FILTER (volume_imbalance > 0.6) AS n0 FROM xb GROUP BY symbol), (VALUES (0, 'volume_imbalance'), (1, 'no_such_column')) AS v(pos, f)""")
-
-
-def _requested(x):
-    got = x.bars().select("symbol", "session_date").distinct()
-    return got.unionByName(got.select("symbol", F.lit("2031-01-01").cast("date").alias("session_date")).distinct())
-
-
-add("condition_feasibility_requested", "symbol:s session_date:D pos:i total_count:i status:s", lambda x: P.feasibility(edge_bars(x), CONDS, ["symbol", "session_date"], _requested(x)),
-    """SELECT symbol, session_date, pos, total_count, status FROM fz
-UNION ALL SELECT symbol, DATE '2031-01-01', pos, 0, 'empty_sample' FROM (SELECT DISTINCT symbol FROM fz), range(0, 3) AS r(pos)""")
-
-
-def _suggest(x):
-    bounds = F.col("op") == "between"
-    f = _feas(x).withColumns({"value": F.when(F.col("op") == ">", 0.6), "low": F.when(bounds, -0.02), "high": F.when(bounds, 0.02), "param_key": F.col("feature")})
-    return P.suggest_thresholds(f)
-
-
-add("threshold_suggestions", "symbol:s session_date:D feature:s status:s new_value:d new_low:d new_high:d", _suggest, """
-SELECT *, CASE WHEN op = '>' AND status = 'zero_signal' THEN CASE WHEN p90 < 0.6 - 1e-9 THEN p90 WHEN p50 < 0.6 - 1e-9 THEN p50 WHEN p10 < 0.6 - 1e-9 THEN p10 END
-    WHEN op = '>' AND status = 'over_signal' THEN CASE WHEN p98 <= 0.6 + 1e-9 THEN 0.6 + greatest((p98 - p90) * 0.25, abs(p98) * 0.02, 1e-6) ELSE p98 END END AS new_value,
-  CASE WHEN op = 'between' AND status = 'zero_signal' THEN least(-0.02, p10) WHEN op = 'between' AND status = 'over_signal' THEN
-    CASE WHEN greatest(-0.02, (p10 + p50) / 2) >= least(0.02, (p50 + p90) / 2) THEN p50 - greatest((p90 - p10) / 8, 1e-6) ELSE greatest(-0.02, (p10 + p50) / 2) END END AS new_low,
-  CASE WHEN op = 'between' AND status = 'zero_signal' THEN greatest(0.02, p90) WHEN op = 'between' AND status = 'over_signal' THEN
-    CASE WHEN greatest(-0.02, (p10 + p50) / 2) >= least(0.02, (p50 + p90) / 2) THEN p50 + greatest((p90 - p10) / 8, 1e-6) ELSE least(0.02, (p50 + p90) / 2) END END AS new_high FROM fz""")
-add("bar_config_choice", "symbol:s rank:i with_data:i failing:i zero:i over:i distance:d best_distance:d",
-    lambda x: P.choose_bar_config(P.feasibility(edge_bars(x), CONDS, ["symbol", "session_date"], _requested(x)), "symbol", "session_date", requested=["S2", "S0"]), """
-SELECT *, row_number() OVER (ORDER BY failing, zero, "over", distance NULLS LAST, best_distance NULLS LAST, CASE symbol WHEN 'S2' THEN 1 WHEN 'S0' THEN 2 ELSE 3 END, symbol) AS rank FROM (
-  SELECT symbol, count(*) AS with_data, count(*) FILTER (status <> 'ok') AS failing, count(*) FILTER (status = 'zero_signal') AS zero, count(*) FILTER (status = 'over_signal') AS "over",
-    avg(abs(combined_count / total_count - 0.00175)) FILTER (status = 'ok') AS distance, min(abs(combined_count / total_count - 0.00175)) FILTER (status = 'ok') AS best_distance
-  FROM fz WHERE pos = 0 GROUP BY symbol)""")
-
-
-def _cond_table(x):
-    e = x.table("events")
-    op = F.element_at(F.array(*[F.lit(o) for o in (*P.OPS, "~")]), (F.col("event_id") % 8 + 1).cast("int"))
-    return e.select((F.col("event_id") % 5000).alias("brief"), F.concat(F.lit("f"), F.col("user_id") % 3).alias("feature"), op.alias("op"),
-                    F.when(F.col("event_type") == "error", "confirmation").otherwise("primary").alias("role"),
-                    F.round("value").alias("value"), F.round(F.col("value") % 7, 2).alias("low"), F.lit(3.0).alias("high"))
-
-
-add("condition_table_rules", "brief:i condition_count:i primary_count:i confirmation_count:i unknown_count:i bad_bounds:i duplicate_count:i valid:i",
-    lambda x: P.check_conditions(_cond_table(x), ["brief"]).withColumn("valid", F.col("valid").cast("int")), """
-SELECT *, CASE WHEN condition_count <= 3 AND primary_count <= 2 AND confirmation_count <= 1 AND unknown_count = 0 AND bad_bounds = 0 AND duplicate_count = 0 THEN 1 ELSE 0 END AS valid
-FROM (SELECT event_id % 5000 AS brief, count(*) AS condition_count, count(*) FILTER (event_type <> 'error') AS primary_count, count(*) FILTER (event_type = 'error') AS confirmation_count,
-  count(*) FILTER (event_id % 8 = 7) AS unknown_count, count(*) FILTER (event_id % 8 = 4 AND round(value % 7, 2) > 3) AS bad_bounds,
-  count(*) - count(DISTINCT (user_id % 3, event_id % 8, round(value), round(value % 7, 2))) AS duplicate_count FROM events GROUP BY 1)""")

@@ -29,13 +29,13 @@ SELECT *, row_number() OVER d AS i, count(*) OVER (PARTITION BY symbol, date_utc
 FROM sig WINDOW d AS (PARTITION BY symbol, date_utc ORDER BY ts_event, seq)"""
 
 
-def run_sql(src: str, keys: str) -> str:
-    """Run trades of a numbered signal table by joining each run start to the first later change or the last bar."""
+def run_sql(src: str, keys: str, more: str = "") -> str:
+    """Run trades of a numbered signal table by joining each run start to the first later change or the last bar; ``more`` columns of the entry bar."""
     on = " AND ".join(f"e.{k} = s.{k}" for k in [*keys.split(", "), "date_utc"])
     cols = ", ".join(f"s.{k}" for k in keys.split(", "))
     return f"""
 SELECT {cols}, s.date_utc, s.ts_event AS entry_time, e.ts_event AS exit_time, s.close AS entry_price, e.close AS exit_price,
-  s.signal AS direction, 1 AS size
+  s.signal AS direction, 1 AS size{more}
 FROM {src} s JOIN {src} e ON {on} AND e.i > s.i
 WHERE s.signal <> 0 AND s.signal <> coalesce(s.prev, 0) AND (e.signal <> e.prev OR e.i = e.n)
 QUALIFY row_number() OVER (PARTITION BY {cols}, s.date_utc, s.i ORDER BY e.i) = 1"""
@@ -174,9 +174,6 @@ add("strategy_metrics", f"symbol:s {METRIC_SPEC}", lambda x: L.metrics(T.run_tra
 add("day_edge_stats", "symbol:s positive_day_fraction:d max_day_concentration:d long_avg_trade_pnl:d short_avg_trade_pnl:d",
     lambda x: L.metrics(T.run_trades(signal_bars(x), KEYS), KEYS), "SELECT * FROM (" + metric_sql("pnl", "symbol") + ")")
 
-_A = "WINDOW s AS (PARTITION BY symbol ORDER BY ts_event, seq)"
-CTES["ms1"] = f"SELECT *, close / lag(close) OVER s - 1 AS ret FROM b {_A}"
-CTES["ms2"] = f"SELECT *, CASE WHEN count(ret) OVER {fr(50)} >= 2 THEN stddev_samp(ret) OVER {fr(50)} END AS vol FROM ms1 {_A}"
 
 
 def _mz(c: str) -> str:
@@ -184,10 +181,22 @@ def _mz(c: str) -> str:
             f"stddev_samp({c}) OVER {fr(50)}, NULL) ELSE 0 END")
 
 
-CTES["ms"] = f"""
-SELECT *, (ask_price - bid_price) / 0.25 AS spread_ticks, {_mz('vol')} AS volatility_z, {_mz('volume')} AS volume_z,
+_COST = """greatest(4.5, 4.5 + 2 * greatest(2.5, 5 + 0.5 * greatest(volatility_z, 0) * 5 + greatest(spread_ticks - 1, 0) * 5
+  - 0.1 * greatest(volume_z, 0) * 5 + 0.2 * 4 * (rth_progress - 0.5) ** 2 * 5))"""
+
+
+def state_ctes(name: str, src: str, keys: str) -> None:
+    """CTE ``name``: the rows of ``src`` with their market state and ``bar_cost``, rolling windows restarting on ``keys``."""
+    a = f"WINDOW s AS (PARTITION BY {keys} ORDER BY ts_event, seq)"
+    CTES[f"{name}1"] = f"SELECT *, close / lag(close) OVER s - 1 AS ret FROM {src} {a}"
+    CTES[f"{name}2"] = f"SELECT *, CASE WHEN count(ret) OVER {fr(50)} >= 2 THEN stddev_samp(ret) OVER {fr(50)} END AS vol FROM {name}1 {a}"
+    CTES[name] = f"""
+SELECT *, {_COST} AS bar_cost FROM (SELECT *, (ask_price - bid_price) / 0.25 AS spread_ticks, {_mz('vol')} AS volatility_z, {_mz('volume')} AS volume_z,
   CASE WHEN epoch_us(ts_event - INTERVAL 5 HOUR) // 60000000 % 1440 BETWEEN 570 AND 960
-    THEN (epoch_us(ts_event - INTERVAL 5 HOUR) // 60000000 % 1440 - 570) / 390 ELSE 0.5 END AS rth_progress FROM ms2 {_A}"""
+    THEN (epoch_us(ts_event - INTERVAL 5 HOUR) // 60000000 % 1440 - 570) / 390 ELSE 0.5 END AS rth_progress FROM {name}2 {a})"""
+
+
+state_ctes("ms", "b", "symbol")
 add("cost_market_state", "symbol:s ts_event:t spread_ticks:d volatility_z:d volume_z:d rth_progress:d",
     lambda x: L.market_state(x.bars()), "SELECT * FROM ms")
 CTES["late"] = "SELECT * REPLACE (entry_time - INTERVAL 90 MINUTE AS entry_time) FROM tr"
@@ -204,8 +213,6 @@ def _shifted(x):
 
 add("asof_market_state", "symbol:s entry_time:t exit_time:t spread_ticks:d volatility_z:d volume_z:d rth_progress:d",
     lambda x: L.asof_state(_shifted(x), L.market_state(x.stored_bars())), "SELECT * FROM asof_j")
-_COST = """greatest(4.5, 4.5 + 2 * greatest(2.5, 5 + 0.5 * greatest(volatility_z, 0) * 5 + greatest(spread_ticks - 1, 0) * 5
-  - 0.1 * greatest(volume_z, 0) * 5 + 0.2 * 4 * (rth_progress - 0.5) ** 2 * 5))"""
 add("adaptive_round_trip_cost", "symbol:s entry_time:t exit_time:t adaptive_cost_rt:d",
     lambda x: L.adaptive_costs(_shifted(x), x.stored_bars()), f"SELECT *, {_COST} AS adaptive_cost_rt FROM asof_j")
 CTES["ac"] = f"""

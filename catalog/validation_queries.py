@@ -13,11 +13,12 @@ from barflow.operators import stats as S
 from barflow.operators import trades as T
 
 from .base import CTES, add
-from .trade_queries import KEYS, metric_sql, run_sql, signal_bars
+from .trade_queries import KEYS, metric_sql, run_sql, signal_bars, state_ctes
 
-PNL_SQL = """SELECT *, size * 14.5 AS costs, (exit_price - entry_price) * direction * 20 AS gross_pnl,
-  (exit_price - entry_price) * direction * 20 - 14.5 AS net_pnl,
-  (epoch_us(exit_time) // 1000000 - epoch_us(entry_time) // 1000000) / 60 AS holding_time_min, CAST(exit_time AS DATE) AS xd FROM {}"""
+PNL_SQL = """SELECT *, size * {1} AS costs, (exit_price - entry_price) * direction * 20 AS gross_pnl,
+  (exit_price - entry_price) * direction * 20 - {1} AS net_pnl,
+  (epoch_us(exit_time) // 1000000 - epoch_us(entry_time) // 1000000) / 60 AS holding_time_min, CAST(exit_time AS DATE) AS xd FROM {0}"""
+FLAT, PAID = "14.5", "bar_cost"
 
 
 def stored_signals(x):
@@ -31,98 +32,121 @@ def numbered(src: str, keys: str) -> str:
     return (f"SELECT *, row_number() OVER {d} AS i, count(*) OVER (PARTITION BY {keys}, date_utc) AS n, lag(signal) OVER {d} AS prev FROM {src}")
 
 
-def scored(tag: str, src: str, keys: str) -> None:
-    """CTE ``m_<tag>``: metrics of the run trades of a signal table, per keys."""
+def scored(tag: str, src: str, keys: str, cost: str = FLAT) -> None:
+    """CTE ``m_<tag>``: metrics of the run trades of a signal table, per keys, at the flat cost or at that of the entry bar."""
     CTES[f"n_{tag}"] = numbered(src, keys)
-    CTES[f"t_{tag}"] = run_sql(f"n_{tag}", keys)
-    CTES[f"p_{tag}"] = PNL_SQL.format(f"t_{tag}")
+    CTES[f"t_{tag}"] = run_sql(f"n_{tag}", keys, ", s.bar_cost" if cost == PAID else "")
+    CTES[f"p_{tag}"] = PNL_SQL.format(f"t_{tag}", cost)
     CTES[f"m_{tag}"] = "SELECT * FROM (" + metric_sql(f"p_{tag}", keys) + ")"
 
 
 CTES["ser"] = """
-SELECT symbol, ts_event, seq, open, high, low, close, signal, date_utc, row_number() OVER (PARTITION BY symbol ORDER BY ts_event, seq) - 1 AS pos,
+SELECT symbol, ts_event, seq, open, high, low, close, volume, bid_price, ask_price, signal, date_utc, row_number() OVER (PARTITION BY symbol ORDER BY ts_event, seq) - 1 AS pos,
   count(*) OVER (PARTITION BY symbol) AS total FROM sig"""
 CTES["blk"] = """
 SELECT symbol, min(pos) AS start, count(*) AS length, any_value(signal) AS value FROM (
   SELECT *, pos - row_number() OVER (PARTITION BY symbol, signal ORDER BY pos) AS g FROM ser) GROUP BY symbol, signal, g"""
-CTES["shuf"] = """
+state_ctes("paid", "ser", "symbol")
+for _t, _src in (("shuf", "ser"), ("ashuf", "paid")):
+    CTES[_t] = f"""
 WITH placed AS (SELECT symbol, it AS iteration, length, value, sum(length) OVER (PARTITION BY symbol, it
     ORDER BY md5('42:' || it || ':' || start), start) - length AS at_pos FROM blk, range(1, 101) AS r(it))
-SELECT p.iteration, s.* EXCLUDE (signal), p.value AS signal FROM placed p JOIN ser s ON s.symbol = p.symbol
+SELECT p.iteration, s.* EXCLUDE (signal), p.value AS signal FROM placed p JOIN {_src} s ON s.symbol = p.symbol
   AND s.pos >= p.at_pos AND s.pos < p.at_pos + p.length"""
-scored("shuf", "shuf", "symbol, iteration")
-scored("base", "ser", "symbol")
-add("signal_blocks", "symbol:s start:i length:i value:i", lambda x: G.signal_blocks(signal_bars(x), KEYS), "SELECT * FROM blk")
-add("shuffle_test", "symbol:s real_sharpe:d shuffle_mean:d shuffle_std:d percentile:d verdict:s",
-    lambda x: G.shuffle_test(stored_signals(x), KEYS, 100, adaptive=False), """
-SELECT *, CASE WHEN percentile >= 95 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (
-  SELECT m.symbol, any_value(b.sharpe_ratio) AS real_sharpe, avg(coalesce(m.sharpe_ratio, 0)) AS shuffle_mean, stddev_samp(coalesce(m.sharpe_ratio, 0)) AS shuffle_std,
-    count(*) FILTER (coalesce(m.sharpe_ratio, 0) <= b.sharpe_ratio) / count(*) * 100 AS percentile
-  FROM m_shuf m JOIN m_base b USING (symbol) GROUP BY m.symbol)""")
-
+    CTES["p" + _t[:-4] + "ert"] = f"""
+WITH live AS (SELECT symbol, pos, it, row_number() OVER (PARTITION BY symbol, it ORDER BY md5('42:' || it || ':' || epoch_us(ts_event) || ':' || seq), pos) AS rn,
+    count(*) OVER (PARTITION BY symbol, it) AS cnt FROM {_src}, range(1, 21) AS r(it) WHERE signal <> 0)
+SELECT s.* EXCLUDE (signal), r.it AS iteration, CASE WHEN l.rn <= greatest(1, floor(l.cnt * 0.1)) THEN -signal ELSE signal END AS signal
+FROM {_src} s CROSS JOIN range(1, 21) AS r(it) LEFT JOIN live l ON l.symbol = s.symbol AND l.pos = s.pos AND l.it = r.it"""
 CTES["fold"] = """
 SELECT s.*, f AS fold FROM ser s JOIN range(0, 6) AS r(f) ON s.pos >= f * total // 6 AND s.pos < (f + 1) * total // 6"""
 CTES["fw"] = """
 SELECT symbol, fold, min(ts_event) AS a, max(ts_event) AS z, first(open ORDER BY pos) AS fo, last(close ORDER BY pos) AS fc
 FROM fold WHERE fold >= 1 GROUP BY ALL"""
-CTES["ftr"] = """
-SELECT t.symbol, fold, greatest(entry_time, a) AS entry_time, least(exit_time, z) AS exit_time,
-  CASE WHEN entry_time < a THEN fo ELSE entry_price END AS entry_price, CASE WHEN exit_time > z THEN fc ELSE exit_price END AS exit_price,
-  direction, size FROM t_base t JOIN fw ON fw.symbol = t.symbol AND entry_time < z AND exit_time >= a"""
-CTES["p_fold"] = PNL_SQL.format("ftr")
-CTES["m_fold"] = "SELECT * FROM (" + metric_sql("p_fold", "symbol, fold") + ")"
-CTES["wf"] = """SELECT symbol, fold, coalesce(trade_count, 0) AS trade_count, coalesce(net_pnl, 0) AS net_pnl, coalesce(sharpe_ratio, 0) AS sharpe_ratio
-FROM fw LEFT JOIN m_fold USING (symbol, fold)"""
-add("walk_forward_folds", "symbol:s fold:i trade_count:i net_pnl:d sharpe_ratio:d",
-    lambda x: G.walk_forward_folds(stored_signals(x), KEYS, 5, adaptive=False), "SELECT * FROM wf")
-add("walk_forward_test", "symbol:s fold_count:i profitable_folds:i verdict:s",
-    lambda x: G.walk_forward_test(stored_signals(x), KEYS, 5, adaptive=False), """
-SELECT symbol, count(*) AS fold_count, count(*) FILTER (net_pnl > 0) AS profitable_folds,
-  CASE WHEN count(*) FILTER (net_pnl > 0) > count(*) / 2 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM wf GROUP BY symbol""")
-
+CTES["chunk"] = "SELECT *, least(pos // (total // 4), 3) AS chunk FROM ser"
 CTES["dvol"] = """
 SELECT symbol, date_utc, stddev_samp(r) AS daily_vol FROM (SELECT *, close / lag(close) OVER (PARTITION BY symbol, date_utc ORDER BY pos) - 1 AS r FROM ser)
 GROUP BY ALL HAVING stddev_samp(r) IS NOT NULL"""
-CTES["p_reg"] = """
-SELECT p.*, CASE WHEN v.daily_vol > md THEN 'high' ELSE 'low' END AS regime FROM p_base p
+state_ctes("fpaid", "fold", "symbol, fold")  # rolling costs restart in each fold and chunk
+state_ctes("cpaid", "chunk", "symbol, chunk")
+CTES["fcost"] = "SELECT symbol, fold, ts_event AS entry_time, arg_max(bar_cost, seq) AS bar_cost FROM fpaid GROUP BY ALL"
+CHECK_SQL: dict[str, str] = {}
+for _a, _cost, _base, _chunk in (("", FLAT, "ser", "chunk"), ("a", PAID, "paid", "cpaid")):
+    scored(f"{_a}base", _base, "symbol", _cost)
+    scored(f"{_a}shuffled", f"{_a}shuf", "symbol, iteration", _cost)
+    scored(f"{_a}perturbed", f"p{_a}ert", "symbol, iteration", _cost)
+    scored(f"{_a}chunk", _chunk, "symbol, chunk", _cost)
+    CTES[f"{_a}ftr"] = """
+SELECT t.symbol, fold, greatest(entry_time, a) AS entry_time, least(exit_time, z) AS exit_time,
+  CASE WHEN entry_time < a THEN fo ELSE entry_price END AS entry_price, CASE WHEN exit_time > z THEN fc ELSE exit_price END AS exit_price,
+  direction, size FROM t_base t JOIN fw ON fw.symbol = t.symbol AND entry_time < z AND exit_time >= a"""
+    CTES[f"p_{_a}fold"] = PNL_SQL.format("ftr" if not _a else "(SELECT aftr.*, bar_cost FROM aftr JOIN fcost USING (symbol, fold, entry_time))", _cost)
+    CTES[f"m_{_a}fold"] = "SELECT * FROM (" + metric_sql(f"p_{_a}fold", "symbol, fold") + ")"
+    CTES[f"{_a}wf"] = f"""SELECT symbol, fold, coalesce(trade_count, 0) AS trade_count, coalesce(net_pnl, 0) AS net_pnl, coalesce(sharpe_ratio, 0) AS sharpe_ratio
+FROM fw LEFT JOIN m_{_a}fold USING (symbol, fold)"""
+    CTES[f"p_{_a}reg"] = f"""
+SELECT p.*, CASE WHEN v.daily_vol > md THEN 'high' ELSE 'low' END AS regime FROM p_{_a}base p
 JOIN dvol v ON v.symbol = p.symbol AND v.date_utc = CAST(p.entry_time AS DATE)
 JOIN (SELECT symbol, median(daily_vol) AS md FROM dvol GROUP BY symbol) q ON q.symbol = p.symbol"""
-CTES["m_reg"] = "SELECT * FROM (" + metric_sql("p_reg", "symbol, regime") + ")"
-add("regime_test", "symbol:s high_vol_sharpe:d low_vol_sharpe:d high_vol_pnl:d low_vol_pnl:d verdict:s",
-    lambda x: G.regime_test(stored_signals(x), KEYS, adaptive=False), """
+    CTES[f"m_{_a}reg"] = "SELECT * FROM (" + metric_sql(f"p_{_a}reg", "symbol, regime") + ")"
+
+    def shuffle_sql(times: int, a: str = _a) -> str:
+        return f"""
+SELECT *, CASE WHEN percentile >= 95 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (
+  SELECT m.symbol, any_value(b.sharpe_ratio) AS real_sharpe, avg(coalesce(m.sharpe_ratio, 0)) AS shuffle_mean, stddev_samp(coalesce(m.sharpe_ratio, 0)) AS shuffle_std,
+    count(*) FILTER (coalesce(m.sharpe_ratio, 0) <= b.sharpe_ratio) / count(*) * 100 AS percentile
+  FROM (SELECT * FROM m_{a}shuffled WHERE iteration <= {times}) m JOIN m_{a}base b USING (symbol) GROUP BY m.symbol)"""
+
+    CHECK_SQL |= {
+        f"{_a}shuffle": shuffle_sql(100), f"{_a}shuffle_20": shuffle_sql(20), f"{_a}walk_forward": f"""
+SELECT symbol, count(*) AS fold_count, count(*) FILTER (net_pnl > 0) AS profitable_folds,
+  CASE WHEN count(*) FILTER (net_pnl > 0) > count(*) / 2 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM {_a}wf GROUP BY symbol""",
+        f"{_a}regime": f"""
 SELECT *, CASE WHEN high_vol_pnl > 0 AND low_vol_pnl > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT symbol,
   coalesce(max(sharpe_ratio) FILTER (regime = 'high'), 0) AS high_vol_sharpe, coalesce(max(sharpe_ratio) FILTER (regime = 'low'), 0) AS low_vol_sharpe,
   coalesce(max(net_pnl) FILTER (regime = 'high'), 0) AS high_vol_pnl, coalesce(max(net_pnl) FILTER (regime = 'low'), 0) AS low_vol_pnl
-  FROM m_reg GROUP BY symbol)""")
-
-CTES["pert"] = """
-WITH live AS (SELECT symbol, pos, it, row_number() OVER (PARTITION BY symbol, it ORDER BY md5('42:' || it || ':' || epoch_us(ts_event) || ':' || seq), pos) AS rn,
-    count(*) OVER (PARTITION BY symbol, it) AS cnt FROM ser, range(1, 21) AS r(it) WHERE signal <> 0)
-SELECT s.* EXCLUDE (signal), r.it AS iteration, CASE WHEN l.rn <= greatest(1, floor(l.cnt * 0.1)) THEN -signal ELSE signal END AS signal
-FROM ser s CROSS JOIN range(1, 21) AS r(it) LEFT JOIN live l ON l.symbol = s.symbol AND l.pos = s.pos AND l.it = r.it"""
-scored("pert", "pert", "symbol, iteration")
-add("signal_perturbation_test", "symbol:s baseline_sharpe:d perturbed_mean:d perturbed_std:d degradation_pct:d verdict:s",
-    lambda x: G.perturbation_test(stored_signals(x), KEYS, adaptive=False), """
+  FROM m_{_a}reg GROUP BY symbol)""",
+        f"{_a}perturbation": f"""
 SELECT *, (baseline_sharpe - perturbed_mean) / abs(baseline_sharpe) * 100 AS degradation_pct,
   CASE WHEN baseline_sharpe > 0 AND perturbed_mean >= 0.5 * baseline_sharpe THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (
   SELECT m.symbol, any_value(b.sharpe_ratio) AS baseline_sharpe, avg(coalesce(m.sharpe_ratio, 0)) AS perturbed_mean,
-    stddev_samp(coalesce(m.sharpe_ratio, 0)) AS perturbed_std FROM m_pert m JOIN m_base b USING (symbol) GROUP BY m.symbol)""")
-add("cost_sensitivity_test", "symbol:s pnl_1x:d pnl_1_5x:d pnl_2x:d sharpe_1x:d verdict:s",
-    lambda x: G.cost_sensitivity_test(signal_bars(x), KEYS, adaptive=False), """
+    stddev_samp(coalesce(m.sharpe_ratio, 0)) AS perturbed_std FROM m_{_a}perturbed m JOIN m_{_a}base b USING (symbol) GROUP BY m.symbol)""",
+        f"{_a}cost_sensitivity": f"""
 SELECT symbol, net_pnl AS pnl_1x, gross_pnl - 1.5 * total_costs AS pnl_1_5x, gross_pnl - 2 * total_costs AS pnl_2x, sharpe_ratio AS sharpe_1x,
-  CASE WHEN gross_pnl - 1.5 * total_costs > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM m_base""")
-CTES["chunk"] = "SELECT *, least(pos // (total // 4), 3) AS chunk FROM ser"
-scored("chunk", "chunk", "symbol, chunk")
-add("decay_test", "symbol:s chunk_count:i trend_slope:d trend_r_squared:d is_declining:i last_pnl:d verdict:s",
-    lambda x: G.decay_test(stored_signals(x), KEYS, 4, adaptive=False).withColumn("is_declining", F.col("is_declining").cast("int")), """
+  CASE WHEN gross_pnl - 1.5 * total_costs > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM m_{_a}base""",
+        f"{_a}decay": f"""
 SELECT *, CASE WHEN is_declining = 0 AND last_pnl > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (
   SELECT symbol, count(*) AS chunk_count, regr_slope(s, chunk) AS trend_slope, regr_r2(s, chunk) AS trend_r_squared, arg_max(net_pnl, chunk) AS last_pnl,
     CASE WHEN regr_slope(s, chunk) < 0 AND regr_r2(s, chunk) >= 0.5 AND avg(s) FILTER (chunk >= 2) <= 0.9 * avg(s) FILTER (chunk < 2) THEN 1 ELSE 0 END
-      AS is_declining FROM (SELECT *, coalesce(sharpe_ratio, 0) AS s FROM m_chunk) GROUP BY symbol)""")
-add("trade_count_test", "symbol:s trade_count:i verdict:s", lambda x: G.trade_count_test(signal_bars(x), KEYS, 150),
-    "SELECT symbol, trade_count, CASE WHEN trade_count >= 150 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM m_base")
+      AS is_declining FROM (SELECT *, coalesce(sharpe_ratio, 0) AS s FROM m_{_a}chunk) GROUP BY symbol)"""}
+
+CTES["paid_flips"] = "SELECT symbol, ts_event, seq, iteration, signal FROM pert"
+add("signal_blocks", "symbol:s start:i length:i value:i", lambda x: G.signal_blocks(signal_bars(x), KEYS), "SELECT * FROM blk")
+add("perturbed_signals", "symbol:s ts_event:t seq:i iteration:i signal:i", lambda x: G.perturbed_signals(stored_signals(x), KEYS, 0.1, 20, 42), "SELECT * FROM paid_flips")
+for _end, _a, _paid in (("", "", False), ("_adaptive", "a", True)):
+    add(f"shuffle_test{_end}", "symbol:s real_sharpe:d shuffle_mean:d shuffle_std:d percentile:d verdict:s",
+        lambda x, p=_paid: G.shuffle_test(stored_signals(x), KEYS, 100, adaptive=p), CHECK_SQL[f"{_a}shuffle"])
+    add(f"walk_forward_folds{_end}", "symbol:s fold:i trade_count:i net_pnl:d sharpe_ratio:d",
+        lambda x, p=_paid: G.walk_forward_folds(stored_signals(x), KEYS, 5, adaptive=p), f"SELECT * FROM {_a}wf")
+    add(f"walk_forward_test{_end}", "symbol:s fold_count:i profitable_folds:i verdict:s",
+        lambda x, p=_paid: G.walk_forward_test(stored_signals(x), KEYS, 5, adaptive=p), CHECK_SQL[f"{_a}walk_forward"])
+    add(f"regime_test{_end}", "symbol:s high_vol_sharpe:d low_vol_sharpe:d high_vol_pnl:d low_vol_pnl:d verdict:s",
+        lambda x, p=_paid: G.regime_test(stored_signals(x), KEYS, adaptive=p), CHECK_SQL[f"{_a}regime"])
+    add(f"signal_perturbation_test{_end}", "symbol:s baseline_sharpe:d perturbed_mean:d perturbed_std:d degradation_pct:d verdict:s",
+        lambda x, p=_paid: G.perturbation_test(stored_signals(x), KEYS, adaptive=p), CHECK_SQL[f"{_a}perturbation"])
+    add(f"cost_sensitivity_test{_end}", "symbol:s pnl_1x:d pnl_1_5x:d pnl_2x:d sharpe_1x:d verdict:s",
+        lambda x, p=_paid: G.cost_sensitivity_test(stored_signals(x), KEYS, adaptive=p), CHECK_SQL[f"{_a}cost_sensitivity"])
+    add(f"decay_test{_end}", "symbol:s chunk_count:i trend_slope:d trend_r_squared:d is_declining:i last_pnl:d verdict:s",
+        lambda x, p=_paid: G.decay_test(stored_signals(x), KEYS, 4, adaptive=p).withColumn("is_declining", F.col("is_declining").cast("int")), CHECK_SQL[f"{_a}decay"])
+CHECK_SQL["trade_count"] = "SELECT symbol, trade_count, CASE WHEN trade_count >= {} THEN 'PASS' ELSE 'FAIL' END AS verdict FROM m_base"
+add("trade_count_test", "symbol:s trade_count:i verdict:s", lambda x: G.trade_count_test(signal_bars(x), KEYS, 150), CHECK_SQL["trade_count"].format(150))
+_CHECKS = {"shuffle": CHECK_SQL["ashuffle_20"], **{c: CHECK_SQL[f"a{c}"] for c in ("walk_forward", "regime")}, "signal_perturbation": CHECK_SQL["aperturbation"],
+           **{c: CHECK_SQL[f"a{c}"] for c in ("cost_sensitivity", "decay")}, "trade_count": CHECK_SQL["trade_count"].format(50)}
 add("validation_gauntlet", "symbol:s shuffle:s walk_forward:s regime:s signal_perturbation:s cost_sensitivity:s decay:s trade_count:s "
-    "pass_count:i overall_verdict:s", lambda x: G.gauntlet(stored_signals(x), KEYS, iterations=20))
+    "pass_count:i overall_verdict:s", lambda x: G.gauntlet(stored_signals(x), KEYS, iterations=20), f"""
+SELECT *, CASE WHEN pass_count = {len(_CHECKS)} THEN 'PASS' ELSE 'FAIL' END AS overall_verdict FROM (
+  SELECT symbol, {", ".join(f"max(verdict) FILTER (name = '{c}') AS {c}" for c in _CHECKS)}, count(*) FILTER (verdict = 'PASS') AS pass_count
+  FROM ({" UNION ALL ".join(f"SELECT symbol, '{c}' AS name, verdict FROM ({q})" for c, q in _CHECKS.items())}) GROUP BY symbol)""")
 
 # --- statistics
 N_TRIALS = 20
