@@ -9,18 +9,24 @@ Before streaming, words outside the items' vocabulary and neighbours that are no
 stretches; a match lies inside one stretch, so only stretches that could hold a window are streamed.
 
 Items are read in blocks of about ``BLOCK_BYTES`` of text; each block is broadcast by itself (its size is its bound) and
-meets all documents, whose hits so far travel with them.  Null texts have no words, and an item without words no window.
+meets all documents.  Of several blocks each writes only the hits of documents that have some, by row number; one last pass
+unites them.  Null texts have no words, and an item without words no window.  Items with a null id share one id: null, which
+counts as one item and comes last.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.stage import stored
 from .textbytes import fresh_names, hash_runs, row_of, runs, slices
@@ -209,25 +215,33 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str =
     names = fresh_names(docs.columns, *ADDED)
     kinds = ["bigint", "bigint", "array<struct<s:bigint,e:bigint,w:bigint>>", f"array<{kind}>"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{n}` {k}" for n, k in zip(names, kinds)])
-    where = docs.columns.index(text)
-    out = docs
-    for k, rows in enumerate(_item_blocks(items, item_text, item_id, block_bytes)):
-        broadcast, key, later = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex, k > 0
-        if later:
-            out = stored(out, "scanned")
-
-        def run(batches, broadcast=broadcast, key=key, later=later):
-            block = _block(broadcast, key, window)
+    kind_arrow, spark, rows = to_arrow_type(items.schema[item_id].dataType), docs.sparkSession, fresh_names([*docs.columns, *names], "_row")[0]
+
+    def passed(table: DataFrame, block: list, out_schema: str, before: bool, narrow: bool) -> DataFrame:
+        """One pass over the texts; ``narrow``: row number, hits and items of the rows that have hits only."""
+        sent, key, at = spark.sparkContext.broadcast(block), uuid.uuid4().hex, table.columns.index(text)
+
+        def run(batches):
+            made = _block(sent, key, window)
             for b in batches:
-                for lo, hi, data, offsets in slices(b.column(where)):
+                for lo, hi, data, offsets in slices(b.column(at)):
                     part = b.slice(lo, hi - lo)
-                    before = list(zip(part.column(names[2]).to_pylist(), part.column(names[3]).to_pylist())) if later else None
-                    yield _scanned(part, data, offsets, block, before, kind_arrow, names)
-
-        from pyspark.sql.pandas.types import to_arrow_type
-        kind_arrow = to_arrow_type(items.schema[item_id].dataType)
-        out = out.mapInArrow(run, schema)
-    return out
+                    old = list(zip(part.column(names[2]).to_pylist(), part.column(names[3]).to_pylist())) if before else None
+                    out = _scanned(part, data, offsets, made, old, kind_arrow, names)
+                    if narrow:
+                        out = out.filter(pc.greater(out.column(names[1]), 0)).select([rows, names[2], names[3]])
+                    yield out
+        return table.mapInArrow(run, out_schema)
+
+    blocks = _item_blocks(items, item_text, item_id, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return passed(docs, first, schema, False, False)
+    numbered = stored(docs.withColumn(rows, F.monotonically_increasing_id()), "numbered")
+    found = [stored(passed(numbered.select(rows, text), block, f"`{rows}` bigint, `{names[2]}` {kinds[2]}, `{names[3]}` {kinds[3]}", False, True), "block_hits")
+             for block in chain((first, second), blocks)]
+    hits = reduce(DataFrame.unionByName, found).groupBy(rows).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in names[2:]])  # one list a block
+    return passed(numbered.join(hits, rows, "left").select(*[F.col(f"`{c}`") for c in (*docs.columns, *names[2:])]), [], schema, True, False)
 
 
 def _scanned(part, data, offsets, block: Block, before, kind, added) -> pa.RecordBatch:
@@ -258,10 +272,10 @@ def _scanned(part, data, offsets, block: Block, before, kind, added) -> pa.Recor
         i = int(row_of(starts[s:s + 1], offsets)[0])
         hits[i].append({"s": int(starts[s] - offsets[i]), "e": int(ends[e - 1] - offsets[i]), "w": e - s})
     total = np.append(0, np.cumsum(hit))
-    keep = len(part.columns) - (0 if before is None else len(added))
+    keep = len(part.columns) - (0 if before is None else len(added) - 2)
     span = pa.struct([("s", pa.int64()), ("e", pa.int64()), ("w", pa.int64())])
     return pa.record_batch([*part.columns[:keep], pa.array(np.diff(cut)), pa.array(total[cut[1:]] - total[cut[:-1]]), pa.array(hits, pa.list_(span)),
-                            pa.array([sorted(found.get(i, ())) for i in range(n)], pa.list_(kind))], [*part.schema.names[:keep], *added])
+                            pa.array([sorted(found.get(i, ()), key=lambda v: (v is None, v)) for i in range(n)], pa.list_(kind))], [*part.schema.names[:keep], *added])
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

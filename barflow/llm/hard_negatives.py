@@ -80,6 +80,7 @@ def build_index(rows: DataFrame, d: int, block: int = BLOCK) -> DataFrame:
     celled = stored(rows.mapInArrow(nearest, "row bigint, id bigint, label bigint, q array<bigint>, cell bigint"), "celled")
     blocks = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     dealt = celled.join(blocks, "cell").withColumn("part", F.pmod(F.xxhash64("row"), F.col("blocks")))
+    dealt = dealt.repartition("cell", "part")  # a hot cell's blocks are dealt by block
     return stored(dealt.groupBy("cell", "part").applyInArrow(tree, ", ".join(f"{name} binary" for name in cover_tree.FIELDS)), "cover_trees")
 
 

@@ -274,7 +274,8 @@ def _star(postings: DataFrame, turn: int) -> DataFrame:
     orders = [F.struct("n", "set")] + [F.struct(F.xxhash64("set", F.lit(turn * HUBS + i)).alias("h"), "n", "set") for i in range(HUBS)]
     hubs = postings.groupBy("token").agg(*[F.min(o).alias(f"hub{i}") for i, o in enumerate(orders)])
     hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"hub{i}.n", f"hub{i}.set") for i in range(len(orders))]))).alias("hub"))
-    d = postings.join(stored(hubs, "hubs"), "token")  # a table of its own, so a hot bucket can be split or met by broadcast.where("set <> hub.set and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
+    d = postings.join(stored(hubs, "hubs"), "token")  # a table of its own, so a hot bucket can be split or met by broadcast
+    d = d.where("set <> hub.set and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
     return d.select(F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b")).distinct()
 
 
@@ -342,7 +343,7 @@ def _links_across(now: DataFrame, sets: DataFrame) -> DataFrame:
     d = d.join(parts, "area").withColumn("block", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     d = d.select("area", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "root", "tokens")
-    return d.groupBy("area", "i", "j").applyInArrow(_similar_in_blocks, "a bigint, b bigint")
+    return d.repartition("area", "i", "j").groupBy("area", "i", "j").applyInArrow(_similar_in_blocks, "a bigint, b bigint")
 
 
 def similar_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rare: int = RARE, rare_again: int = RARE_AGAIN,

@@ -5,7 +5,8 @@ For every page four kinds of evidence meet in one posterior over the languages o
 * text: a naive Bayes likelihood of hashed byte trigrams of the visible text, tempered to ``GRAMS`` independent trigrams;
 * declared: the primary subtag of ``<html lang>``, wherever the tag stands outside comments, scripts and styles;
 * address: a language code that is the path's first segment, else the last label of the host name;
-* host: a prior smoothed from the whole table through the address's last label and the registered domain to the host.
+* host: a prior smoothed from the whole table through the address's last label and its last two labels to the host (so
+  hosts under a two-label suffix like co.uk share that level, and a numeric address's last number counts as a label).
 
 How far declared and address values are to be trusted is counted over all pages: the share of each value among pages
 whose text is clear (text posterior of ``CLEAR`` or more), with add-one smoothing over all values; the table of every
@@ -42,9 +43,17 @@ PRIOR = 5.0
 _MUL = np.uint32(2654435761)
 
 
+def _element(names: str) -> str:
+    """Pattern of an element with all it holds."""
+    return rf"<({names})\b[^>]*+(?:\z|>.*?(?:</\1\s*+>|\z))"
+
+
 def visible_text(html: Column) -> Column:
-    """Text of markup: without comments, scripts, styles, navigation and tags; the common entities are resolved."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style|nav)\b[^>]*>.*?</\1\s*>|<[^>]*>", " ")
+    """Text of markup: without comments, scripts, styles, navigation and tags; the common entities are resolved.
+
+    What is not closed ends with the markup, so each pattern passes a text once, whatever it holds.
+    """
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--(?:-?>|.*?(?:-->|\z))|" + _element("script|style|nav") + r"|<[a-z/!?][^>]*+(?:>|\z)", " ")
     for name, sign in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
         t = F.replace(t, F.lit(f"&{name};"), F.lit(sign))
     return F.trim(F.regexp_replace(t, r"\s+", " "))
@@ -52,8 +61,8 @@ def visible_text(html: Column) -> Column:
 
 def declared_language(html: Column) -> Column:
     """Primary subtag of the first ``<html>`` tag with a language, in lower case, or ""; comments, scripts and styles do not count."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--(?:-?>|.*?(?:-->|\z))|<(script|style)\b[^>]*>.*?</\1\s*>", " ")
-    return F.lower(F.regexp_extract(t, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", 1))
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--(?:-?>|.*?(?:-->|\z))|" + _element("script|style"), " ")
+    return F.lower(F.regexp_extract(t, r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", 1))
 
 
 def evidence(pages: DataFrame, url: str = "url", html: str = "html", id_col: str = "page_id") -> DataFrame:
@@ -94,8 +103,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
                 cell, n = np.unique(code[row[fit]] * BUCKETS + gram[fit], return_counts=True)
                 yield pa.record_batch([pa.array(cell), pa.array(n)], ["cell", "n"])
     counts = np.zeros((len(names), BUCKETS))
-    for r in rows.select("lang", "text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r.cell // BUCKETS, r.cell % BUCKETS] = r.n
+    cells = rows.select("lang", "text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS a language
+    counts.reshape(-1)[np.asarray(cells.column("cell"))] = np.asarray(cells.column("n"))
     counts += 0.5
     counts /= counts.sum(axis=1, keepdims=True)
     return names, np.log(counts, out=counts)

@@ -92,9 +92,10 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class WordCache:
-    """Ids of distinct words, found by hash; emptied when it holds more than ``most`` ids.
+    """Ids of distinct words, found by hash and compared byte by byte; emptied when it holds more than ``most`` ids.
 
-    ``generation`` counts how often it was emptied: slots of an earlier generation name other words.
+    Words whose hash another word has taken are kept by their bytes.  ``generation`` counts how often it was emptied: slots
+    of an earlier generation name other words.
     """
 
     def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = MOST) -> None:
@@ -106,7 +107,31 @@ class WordCache:
         self.slots = np.zeros(0, np.int64)
         self.starts, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
-        self.made = 0
+        self.bytes, self.byte_starts, self.sizes = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.others: dict[bytes, int] = {}
+
+    def _add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """New slots of distinct words."""
+        ids, lens = self.encode(data, starts, ends)
+        slot, size = len(self.lens) + np.arange(len(starts)), ends - starts
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lens) - lens))
+        self.lens = np.concatenate((self.lens, lens))
+        self.ids = np.concatenate((self.ids, ids))
+        self.byte_starts = np.concatenate((self.byte_starts, len(self.bytes) + np.cumsum(size) - size))
+        self.sizes = np.concatenate((self.sizes, size))
+        self.bytes = np.concatenate((self.bytes, data[spans(starts, size)]))
+        return slot
+
+    def _unlike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Which words differ from their slots' words."""
+        size = ends - starts
+        out = size != self.sizes[slots]
+        same = np.flatnonzero(~out & (size > 0))
+        if len(same):
+            differ = data[spans(starts[same], size[same])] != self.bytes[spans(self.byte_starts[slots[same]], size[same])]
+            if differ.any():
+                out[same] = np.logical_or.reduceat(differ, np.cumsum(size[same]) - size[same])
+        return np.flatnonzero(out)
 
     def lookup(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Slot of each word; ``starts``, ``lens`` and ``ids`` hold a slot's ids."""
@@ -122,15 +147,17 @@ class WordCache:
         slot[known] = self.slots[place[known]] if len(self.hashes) else 0
         new = np.flatnonzero(~known)
         if len(new):
-            ids, lens = self.encode(data, starts[first[new]], ends[first[new]])
-            slot[new] = len(self.lens) + np.arange(len(new))
-            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lens) - lens))
-            self.lens = np.concatenate((self.lens, lens))
-            self.ids = np.concatenate((self.ids, ids))
+            slot[new] = self._add(data, starts[first[new]], ends[first[new]])
             where = np.searchsorted(self.hashes, found[new])
             self.hashes = np.insert(self.hashes, where, found[new])
             self.slots = np.insert(self.slots, where, slot[new])
-        return slot[inverse]
+        out = slot[inverse]
+        for i in self._unlike(data, starts, ends, out).tolist():
+            word = data[starts[i]:ends[i]].tobytes()
+            if word not in self.others:
+                self.others[word] = int(self._add(data, starts[i:i + 1], ends[i:i + 1])[0])
+            out[i] = self.others[word]
+        return out
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in order, and the number of ids of each word."""

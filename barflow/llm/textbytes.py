@@ -6,6 +6,7 @@ memory of a task whatever the Arrow batch holds.  Null texts count as empty.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
 
 
 BYTE_VALUE = odd_constants(256, 11)
-_BASE = odd_constants(1, 29)[0]
+LONG = 256
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -74,18 +76,22 @@ def row_of(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each run."""
+    """64-bit hash of the bytes of each run: eight bytes a round through a bijective mixer, so order and place of every byte count.
+
+    Runs of over ``LONG`` bytes are hashed by BLAKE2b.
+    """
     lens = ends - starts
-    out = np.zeros(len(starts), np.uint64)
-    if not len(starts):
-        return out
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(int(lens.max()), _BASE, np.uint64))
-        first = np.concatenate(([0], np.cumsum(lens)[:-1]))
-        inner = np.arange(int(lens.sum())) - np.repeat(first, lens)
-        values = BYTE_VALUE[data[inner + np.repeat(starts, lens)]] * powers[inner]
-        out = np.add.reduceat(values, first)
-        return mix(out + lens.astype(np.uint64) * _GOLDEN)
+        out = mix(lens.astype(np.uint64) * _GOLDEN + _GOLDEN)
+        words = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))  # the eight bytes from each place on
+        on, at = np.flatnonzero(lens <= LONG), 0
+        while len(on):
+            out[on] = mix((out[on] ^ (words[starts[on] + at] & _LOW_BYTES[np.minimum(lens[on] - at, 8)])) + _GOLDEN)
+            at += 8
+            on = on[lens[on] > at]
+    for i in np.flatnonzero(lens > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def fresh_names(taken: list[str], *wanted: str) -> list[str]:

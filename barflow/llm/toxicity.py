@@ -30,7 +30,8 @@ from .textstats import DIGIT, LOWER, LOWERED, PUNCT, SHOUT, SYMBOL, UPPER, _KIND
 THRESHOLD = 0.7
 FOLDS = 4
 STEMS = range(3, 10)  # bytes of a word's beginning
-CANDIDATES = 1 << 15
+TABLE_BITS = 22
+TOXIC, ODDS = 3, 2.5
 LEXICON = 1 << 12
 NEAR = 5
 FEATURES = ("words", "listed", "listed_share", "strongest", "weight_share", "kinds", "second_person", "listed_near_second_person",
@@ -128,24 +129,24 @@ def feature_matrix(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> n
         count[:, SYMBOL] / chars, swapped / w, count[:, DIGIT] / chars])
 
 
-def _fold(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+def _stem_counts(rows: DataFrame, table: np.ndarray | None) -> DataFrame:
+    """(stem, fold, label, n): documents of (fold, text, label) that have a stem; sums within slices come first.
 
+    ``table``: by the low bits of a stem's hash, whether the stem may be of interest.
+    """
+    sent = None if table is None else rows.sparkSession.sparkContext.broadcast(table)  # 2 ** TABLE_BITS flags
 
-def _stem_counts(rows: DataFrame, only: np.ndarray | None) -> DataFrame:
-    """(stem, fold, label, n): documents that have a stem; sums within slices come first."""
     def run(batches):
         for b in batches:
-            fold = _fold(np.asarray(b.column(0)))
-            label = np.asarray(b.column(2)).astype(np.int64)
+            fold, label = np.asarray(b.column(0)), np.asarray(b.column(2)).astype(np.int64)
             for lo, hi, data, offsets in slices(b.column(1)):
                 low = LOWERED[data]
                 starts, ends, h = _letter_words(low, offsets)
                 row = np.searchsorted(offsets, starts, side="right") - 1
                 found, owner = [], []
                 for words, s in stems(low, starts, ends, h):
-                    if only is not None:
-                        on = np.isin(s, only)
+                    if sent is not None:
+                        on = sent.value[(s & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)]
                         words, s = words[on], s[on]
                     found.append(s)
                     owner.append(row[words])
@@ -160,38 +161,55 @@ def _stem_counts(rows: DataFrame, only: np.ndarray | None) -> DataFrame:
                 n = np.diff(np.append(first, len(s)))
                 yield pa.record_batch([pa.array(s[first].view(np.int64)), pa.array(group[first] // 2), pa.array(group[first] % 2), pa.array(n)],
                                       ["stem", "fold", "label", "n"])
-    return rows.mapInArrow(run, "stem bigint, fold bigint, label bigint, n bigint").groupBy("stem", "fold", "label").agg(F.sum("n").alias("n"))
+    counts = rows.select("fold", "text", "label").mapInArrow(run, "stem bigint, fold bigint, label bigint, n bigint")
+    return counts.groupBy("stem", "fold", "label").agg(F.sum("n").alias("n"))
+
+
+def _flags(stems_: DataFrame) -> np.ndarray:
+    """Flags of the low ``TABLE_BITS`` bits of the stems: a table of fixed size, gathered in pages."""
+    low = F.col("stem").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
+    pages = (stems_.select((low / 32768).cast("int").alias("page"), (low % 32768).alias("bit")).groupBy("page")
+             .agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
+    table = np.zeros(1 << TABLE_BITS, bool)
+    for r in pages:
+        bits = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8)[:4096], bitorder="little")
+        table[r.page * 32768:(r.page + 1) * 32768] = bits.astype(bool)
+    return table
+
+
+def stem_evidence(rows: DataFrame) -> DataFrame:
+    """(stem, c<fold>_<label> ...): documents of each fold and label that have it, for stems of at least ``TOXIC`` toxic documents."""
+    toxic = stored(_stem_counts(rows.where("label = 1"), None).groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= TOXIC).select("stem"), "toxic_stems")
+    cells = [F.sum(F.when((F.col("fold") == f) & (F.col("label") == k), F.col("n")).otherwise(0)).alias(f"c{f}_{k}") for f in range(FOLDS) for k in (0, 1)]
+    return _stem_counts(rows, _flags(toxic)).join(toxic, "stem", "left_semi").groupBy("stem").agg(*cells)
 
 
 def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
-    """One lexicon without each fold, and last the lexicon of all folds, from staged (id, text, label) rows.
+    """One lexicon without each fold, and last the lexicon of all folds, from staged (fold, text, label) rows.
 
-    A stem enters with at least three toxic documents and a log odds ratio of at least 2.5; the ``LEXICON`` stems of
-    largest log odds times toxic documents stay.
+    Both labels' documents are counted for every stem before any is chosen: a stem enters with at least ``TOXIC`` toxic documents
+    and a log odds ratio of at least ``ODDS``; the ``LEXICON`` stems of largest log odds times toxic documents stay.
     """
-    toxic = (_stem_counts(rows.where("label = 1"), None).groupBy("stem").agg(F.sum("n").alias("n")).where("n >= 3")
-             .orderBy(F.desc("n"), "stem").limit(CANDIDATES))
-    candidates = np.sort(np.array([r.stem for r in toxic.select("stem").collect()], np.int64).view(np.uint64))
+    evidence = stored(stem_evidence(rows), "stem_evidence")
     total = np.zeros((FOLDS, 2))
-    ids = rows.select("id", "label").toPandas()  # at most SAMPLE narrow rows
-    np.add.at(total, (_fold(ids["id"].to_numpy()), ids["label"].to_numpy()), 1)
-    n = np.zeros((len(candidates), FOLDS, 2))
-    counts = _stem_counts(rows, candidates).toPandas()  # at most CANDIDATES x folds x labels
-    at = np.searchsorted(candidates, counts["stem"].to_numpy().astype(np.int64).view(np.uint64))
-    n[at, counts["fold"].to_numpy(), counts["label"].to_numpy()] = counts["n"].to_numpy()
+    for r in rows.groupBy("fold", "label").count().collect():  # folds x labels
+        total[r.fold, r.label] = r["count"]
     out = []
     for left_out in [*range(FOLDS), None]:
         folds = [f for f in range(FOLDS) if f != left_out]
-        part, size = n[:, folds].sum(axis=1), total[folds].sum(axis=0)
-        odds = np.log((part[:, 1] + 0.5) / (size[1] + 1)) - np.log((part[:, 0] + 0.5) / (size[0] + 1))
-        good = np.flatnonzero((part[:, 1] >= 3) & (odds >= 2.5))
-        good = np.sort(good[np.argsort(-(odds * part[:, 1])[good], kind="stable")[:LEXICON]])
-        out.append(Lexicon(candidates[good], odds[good]))
+        clean, toxic = (sum(F.col(f"c{f}_{k}") for f in folds) for k in (0, 1))
+        size = total[folds].sum(axis=0)
+        odds = F.log((toxic + 0.5) / float(size[1] + 1)) - F.log((clean + 0.5) / float(size[0] + 1))
+        good = evidence.select("stem", toxic.alias("t"), odds.alias("odds")).where((F.col("t") >= TOXIC) & (F.col("odds") >= ODDS))
+        best = good.orderBy(F.desc(F.col("odds") * F.col("t")), "stem").limit(LEXICON).collect()
+        hashes = np.array([r.stem for r in best], np.int64).view(np.uint64)
+        order = np.argsort(hashes)
+        out.append(Lexicon(hashes[order], np.array([r.odds for r in best], np.float64)[order]))
     return out
 
 
 def with_features(rows: DataFrame, lexicons: list[Lexicon], text: str, folded: bool) -> DataFrame:
-    """``rows`` without the text and with ``_x``; ``folded``: by the lexicon without the fold of the first column's id."""
+    """``rows`` without the text and with ``_x``; ``folded``: by the lexicon without the fold that the first column names."""
     where = rows.columns.index(text)
     keep = [c for c in rows.columns if c != text]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text] + ["_x array<double>"])
@@ -199,7 +217,7 @@ def with_features(rows: DataFrame, lexicons: list[Lexicon], text: str, folded: b
 
     def run(batches):
         for b in batches:
-            fold = _fold(np.asarray(b.column(0))) if folded else None
+            fold = np.asarray(b.column(0)) if folded else None
             for lo, hi, data, offsets in slices(b.column(where)):
                 if folded:
                     x = np.empty((hi - lo, len(FEATURES)))
@@ -223,10 +241,9 @@ class Scorer:
 
 def fit(rows: DataFrame, trees: int = 20, depth: int = 3) -> Scorer | float:
     """The scorer of (id, text, label) rows, or the share of label 1 where a class has too few rows."""
-    rows = stored(rows.select("id", "text", "label"), "toxicity_rows")
+    rows = stored(rows.select(F.pmod(F.xxhash64("id"), F.lit(FOLDS)).alias("fold"), "text", "label", (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)) == 0).alias("later")), "toxicity_rows")
     lexicons = learn_lexicons(rows)
-    x = stored(with_features(rows, lexicons, "text", True).select("label", array_to_vector("_x").alias("features"), (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)) == 0).alias("later"))
-               .coalesce(4), "toxicity_features")
+    x = stored(with_features(rows, lexicons, "text", True).select("label", array_to_vector("_x").alias("features"), "later").coalesce(4), "toxicity_features")
     size = {(r.label, r.later): r["count"] for r in x.groupBy("label", "later").count().collect()}
     n = [sum(v for (label, _), v in size.items() if label == k) for k in (0, 1)]
     if min(n) < 2:

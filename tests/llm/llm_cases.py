@@ -75,3 +75,9 @@ def contamination(text, items, window=10):
                 hit.update(range(i, i + n))
                 found.add(item)
     return len(w), len(hit), found
+
+
+def twins(n):
+    """Two words of n letters that polynomial hashes modulo 2 ** 64 confuse, whatever their base."""
+    sign = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[s] for s in sign), "".join("ba"[s] for s in sign)

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from barflow.llm import components, jaccard_join, suffix_dedup
-from llm_cases import TEXTS, documents, groups, repeats
+from llm_cases import TEXTS, documents, groups, repeats, twins
 
 
 def near_copies(rng, base, n, edits):
@@ -96,3 +96,20 @@ def test_repeats_in_odd_tables(spark):
     assert sorted((r.n_bytes, r.n_removed) for r in rows) == want
     assert {r.kept_sha256 for r in rows if not r.n_bytes} == {hashlib.sha256(b"").hexdigest()}
     assert suffix_dedup.digests(odd.limit(0)).count() == 0
+
+
+def test_jaccard_tells_twin_words_apart(spark):
+    one, two = twins(1024)
+    texts = [one, two, f"{one} {two}", f"{two} {one}", one]
+    got = jaccard_join.similar_groups(documents(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups(texts, range(5)) and {r.component_id for r in got} == {0, 1, 2, 3}
+
+
+def test_one_large_open_area(spark):
+    """Sets of one area in many blocks: none is linked with another component, yet all share tokens."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(24)]
+    texts = [" ".join(passage + [f"o{rng.randrange(10**6)}" for _ in range(12)]) for _ in range(900)]
+    texts += [t + " z" for t in texts[:40]]
+    got = jaccard_join.similar_groups(documents(spark, texts), rare=2, rare_again=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups(texts, range(len(texts)))

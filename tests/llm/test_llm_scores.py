@@ -1,6 +1,7 @@
 """Classifiers and language identification: held-out accuracy, parts by hand, odd tables."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -156,3 +157,116 @@ def test_every_language_and_value_counts(spark):
     best = 299 % 69
     joint = (1 + np.eye(70)[best]) / (seen - 1 + 301) * seen / seen.sum()  # one page of 301 values has the suffix; the host is new
     assert got[1000].lang == f"l{best:02d}" and abs(got[1000].posterior - (joint / joint.sum())[best]) < 1e-6
+
+
+def test_unclosed_markup_is_read_once(spark):
+    size = 1 << 20
+    pages = {i: (p * (size // len(p) + 1))[:size] for i, p in enumerate(["<!--", "<script>", "<script ", "<", "<a ", "<html ", "</script", "<nav x>y</na", "<!-- x -- ", "<html lang "])}
+    df = spark.createDataFrame([(i, None, h) for i, h in pages.items()], "page_id bigint, url string, html string")
+    begun = time.time()
+    got = {r.id: r for r in language_id.evidence(df).collect()}
+    assert time.time() - begun < 30 and len(got) == len(pages) and all(r.declared is None for r in got.values())
+    few = {1: "a <!-- b", 2: "a <script>b", 3: "a < b > c <b>d</b>", 4: "x<p", 5: "<nav>q</nav>r<!-->s"}
+    df = spark.createDataFrame([(i, None, h) for i, h in few.items()], "page_id bigint, url string, html string")
+    assert {r.id: r.text for r in language_id.evidence(df).collect()} == {1: "a", 2: "a", 3: "a < b > c d", 4: "x", 5: "r s"}
+
+
+def test_training_rows_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, None), (None, "x")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id bigint, toxic int")
+    keep = [i for i in (1, 2) if zlib.crc32(str(i).encode()) % 3 != 1]
+    got = {r.id: (r.text, r.label) for r in labelled.training_rows(docs, labels, "toxic").collect()}
+    assert got == {k: v for k, v in {1: ("text 0", 1), 2: ("", 0)}.items() if k in keep}
+
+
+def words_of(text):
+    """Runs of letters (non-ASCII bytes count as letters) of the lower-cased text, as bytes."""
+    low = text.encode().lower()
+    out, word = [], b""
+    for b in low + b" ":
+        if 97 <= b <= 122 or b >= 128:
+            word += bytes([b])
+        elif word:
+            out.append(word)
+            word = b""
+    return out
+
+
+def starts_of(word):
+    """The stems of a word: itself, and its beginnings of each length."""
+    return {(0, word)} | {(k, word[:k]) for k in toxicity.STEMS if len(word) >= k}
+
+
+def test_stem_evidence_and_lexicons_by_hand(spark):
+    rng = random.Random(11)
+    common, rare = [f"word{chr(97 + i)}" for i in range(26)], ["grobian", "zounds"]
+    rows = []
+    for i in range(240):
+        w = [rng.choice(common) for _ in range(rng.randint(3, 12))] + (["every"] if i % 2 else [])
+        rows.append((i % 4, " ".join(w + ([rare[i % 8 // 4]] if i % 4 == 1 and i % 40 < 20 else [])) + ("  " if i % 3 else "!"), int(i % 4 == 1)))
+    df = spark.createDataFrame(rows, "fold int, text string, label int").selectExpr("fold", "text", "label")
+    seen, total = {}, np.zeros((toxicity.FOLDS, 2))
+    for fold, text, label in rows:
+        total[fold, label] += 1
+        for stem in {s for w in words_of(text) for s in starts_of(w)}:
+            seen.setdefault(stem, np.zeros((toxicity.FOLDS, 2)))[fold, label] += 1
+
+    def coded(stem):
+        k, word = stem
+        data = np.frombuffer(word, np.uint8)
+        starts, ends = np.array([0]), np.array([len(data)])
+        found = toxicity.stems(data, starts, ends, textstats.hash_runs(data, starts, ends))
+        return int((found[0] if k == 0 else found[k - toxicity.STEMS[0] + 1])[1][0])
+    want = {coded(s): n for s, n in seen.items() if n[:, 1].sum() >= toxicity.TOXIC}
+    got = {r.stem & (1 << 64) - 1: np.array([[r[f"c{f}_{k}"] for k in (0, 1)] for f in range(toxicity.FOLDS)]) for r in toxicity.stem_evidence(df).collect()}
+    assert set(got) == set(want) and all((got[s] == want[s]).all() for s in want)
+    for left_out, lexicon in zip([*range(toxicity.FOLDS), None], toxicity.learn_lexicons(df)):
+        folds = [f for f in range(toxicity.FOLDS) if f != left_out]
+        size, odds = total[folds].sum(0), {}
+        for s, n in want.items():
+            clean, toxic = n[folds].sum(0)
+            value = np.log((toxic + .5) / (size[1] + 1)) - np.log((clean + .5) / (size[0] + 1))
+            if toxic >= toxicity.TOXIC and value >= toxicity.ODDS:
+                odds[s] = value
+        assert dict(zip(lexicon.hashes.tolist(), lexicon.weights.round(9).tolist())) == {s: round(v, 9) for s, v in odds.items()}
+    assert odds
+
+
+def test_calibration_is_isotonic_and_scores_follow_the_parts(spark):
+    docs, labels = labelled_corpus(spark, 500)
+    model = toxicity.fit(labelled.training_rows(docs, labels, "toxic"))
+    texts = docs.select("doc_id", "text")
+    rows = toxicity.scored(texts, model).collect()
+    x = {r.doc_id: r._x for r in toxicity.with_features(texts, model.lexicons, "text", False).collect()}
+    raw = np.array([r.p for r in rows])
+    bounds, values = np.array(model.calibration.boundaries), np.array(model.calibration.predictions)
+    assert (np.diff(values) >= 0).all() and (np.diff(bounds) >= 0).all()
+    by_hand = 0.999 * np.clip(np.interp(raw, bounds, values), 0, 1) + 0.001 * raw
+    assert np.allclose([r._score for r in rows], by_hand)
+    for r in rows[:40]:  # the trees' probability is the logistic of twice their weighted sum
+        margin = sum(w * t.predict(r.features) for w, t in zip(model.trees.treeWeights, model.trees.trees))
+        assert abs(r.p - 1 / (1 + np.exp(-2 * margin))) < 1e-9 and list(r.features) == list(x[r.doc_id])
+
+
+def test_quality_end_to_end_by_hand(spark):
+    """Moments, shrinkage, densities and scores of the whole query from plain numpy on the training rows."""
+    docs, labels = labelled_corpus(spark, 400)
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+
+    def features(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return textstats.quality_matrix(data, np.array([0, len(data)]))[0]
+    x = {i: features(t) for i, t in rows.items()}
+    train = {k: np.array([x[i] for i in rows if truth.get(i) == k and zlib.crc32(str(i).encode()) % 3 != 1]) for k in (0, 1)}
+    total = sum(len(v) for v in train.values())
+    own = {k: np.cov(v.T, bias=True) for k, v in train.items()}
+    both = sum(len(train[k]) * own[k] for k in (0, 1)) / total
+
+    def density(k, v):
+        cov = 0.9 * own[k] + 0.1 * both + 0.02 * np.diag(np.maximum(np.diag(both), 1e-6))
+        d = v - train[k].mean(0)
+        return np.log(len(train[k]) / total) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * d @ np.linalg.solve(cov, d)
+    for r in quality.quality_scores(docs, labels).collect():
+        odds = density(1, x[r.doc_id]) - density(0, x[r.doc_id])
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(odds / 4, -35, 35)))) < 1e-6

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 import public_tokenizers
 
-from barflow.llm import byte_bpe, chat_format, decontaminate, exact_dedup, pretokens, token_blocks
-from llm_cases import LONG, TEXTS, contamination, documents
+from barflow.llm import byte_bpe, chat_format, decontaminate, exact_dedup, pretokens, textbytes, token_blocks
+from llm_cases import LONG, TEXTS, contamination, documents, twins
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -240,3 +240,64 @@ def test_token_query_equals_the_unmodified_library(spark, tmp_path):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
         start += len(ids)
     assert len(got) == len(texts) and t.encode(end, add_special_tokens=False).ids == [50256]
+
+
+# ---- words that a polynomial hash confuses
+
+def test_hashes_of_twin_words_differ():
+    for n in (512, 1024, 4096):
+        data = np.frombuffer("".join(twins(n)).encode(), np.uint8)
+        h = textbytes.hash_runs(data, np.array([0, n]), np.array([n, 2 * n]))
+        assert h[0] != h[1]
+    data = np.frombuffer(b"abcdefgh" * 80, np.uint8)
+    starts = np.array([0, 8, 3, 0, 0, 0, 0])
+    ends = np.array([8, 16, 11, 7, 16, 0, 600])
+    h = textbytes.hash_runs(data, starts, ends)
+    assert h[0] == h[1] and len(set(h.tolist())) == 6
+
+
+def test_word_cache_compares_bytes(monkeypatch):
+    """With a hash that confuses all words of a length, ids stay those of the words."""
+    monkeypatch.setattr(pretokens, "hash_runs", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    cache = pretokens.WordCache(lambda data, s, e: (np.concatenate([data[a:b] for a, b in zip(s, e)]).astype(np.int32), e - s))
+    for text in (b"aa bb a aa", b"bb aa c cc bb"):
+        data = np.frombuffer(text, np.uint8)
+        starts = pretokens.split_words(data, np.array([0, len(data)]))
+        ids, lens = cache.gather(cache.lookup(data, starts))
+        assert bytes(ids.tolist()) == text and lens.sum() == len(text)
+
+
+def test_tokenisers_tell_twin_words_apart(spark, tmp_path):
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+    from tokenizers import Tokenizer
+    one, two = twins(1024)
+    texts = [one, two, f"{two} {one}"]
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(RANKS), special_tokens={})
+    got = {r.doc_id: r for r in byte_bpe.digests(documents(spark, texts), RANKS).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode_ordinary(t)
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(t))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, start = Tokenizer.from_file(path), 0
+    written = token_blocks.write_segments(documents(spark, texts), path, end_id=2, added=True)
+    got = {r.id: r for r in token_blocks.read_segments(written).collect()}
+    for i, t in enumerate(texts):
+        ids = other.encode(t, add_special_tokens=False).ids + [2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+@pytest.mark.parametrize("block_bytes", [2 << 20, 20])
+def test_contamination_of_twins_and_null_items(spark, block_bytes):
+    one, two = twins(1024)
+    texts = [two, f"x {one} y", "alpha beta gamma delta", "beta gamma", "alpha", None]
+    items = [(7, one), (None, "alpha beta"), (5, "beta gamma"), (None, "delta"), (6, None), (8, ""), (9, "beta")]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.report(documents(spark, texts), table, block_bytes=block_bytes).collect()}
+    for i, t in enumerate(texts):
+        n, hit, found = contamination(t, items)
+        assert got[i] == (n, hit, len(found), sha(",".join(sorted(str(x) for x in found if x is not None))))
+    assert got[0][2] == 0 and got[2][2] == 3
+    clean = {r.doc_id: r.text for r in decontaminate.decontaminate(documents(spark, texts), table, coverage=1.0).collect()}
+    assert clean[0] == two and clean[3].strip() == ""
