@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import first_filled, json_array, json_object, json_reordered, json_text, short_digest, slug, stripped
+
 TRIAL_EVENTS = ("task_result", "task_error")
 
 
@@ -17,7 +19,7 @@ def trials(log: DataFrame) -> DataFrame:
 
 def trial_counts(log: DataFrame) -> DataFrame:
     """Raw, unique and effective trials; families count with the square root of their size."""
-    key = F.coalesce(F.nullif("strategy_id", F.lit("")), F.concat_ws(":", "strategy_name", "params"))
+    key = F.coalesce(F.nullif("strategy_id", F.lit("")), F.concat_ws(":", F.col("strategy_name"), json_reordered(F.col("params"))))
     t = trials(log).withColumns({"_key": key, "_family": F.coalesce(F.nullif(F.trim("strategy_name"), F.lit("")), "strategy_id")})
     fam = t.groupBy("_family").agg(F.count(F.lit(1)).alias("n"))
     f = fam.agg(F.sum("n").alias("raw_trials"), F.count("_family").alias("family_count"),
@@ -114,11 +116,56 @@ def recent_outcomes(outcomes: DataFrame, keys: list[str], n: int = 5) -> DataFra
     return outcomes.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= int(n))
 
 
-def setup_key(conditions: Column, exits: Column, text: Column) -> Column:
-    """Identity of a setup: sorted condition signature, sorted exit keys and the hash of its text."""
-    body = F.concat_ws("|", F.array_join(F.array_sort(conditions), ","), F.array_join(F.array_sort(exits), ","),
-                       F.sha2(F.lower(F.trim(text)), 256))
-    return F.substring(F.sha2(body, 256), 1, 16)
+# Parameters that describe how a setup leaves a trade, in the order in which they are listed.
+EXIT_PARAMS = ("sl_ticks", "pt_ticks", "max_bars", "exit_bars", "profit_target", "stop_loss", "profit_target_return", "stop_loss_return", "min_bars_between")
+
+
+def condition_signatures(conditions: Column) -> Column:
+    """Sorted (feature, operator, role, kind) of an array of conditions with ``feature`` or ``column``, ``op`` or ``operator``, and ``role``."""
+    def one(c: Column) -> Column:
+        op, role = first_filled(c["op"], c["operator"]), F.lower(stripped(c["role"]))
+        kind = F.when(op == "between", "between").when(op.isin("bool_true", "bool_false"), "boolean").otherwise("compare")
+        return F.struct(first_filled(c["feature"], c["column"]).alias("feature"), op.alias("operator"),
+                        F.coalesce(F.nullif(role, F.lit("")), F.lit("confirmation")).alias("role"), kind.alias("kind"))
+    return F.array_sort(F.filter(F.transform(conditions, one), lambda c: (c["feature"] != "") & (c["operator"] != "")))
+
+
+def _param_keys(params: Column) -> Column:
+    """Keys of a JSON object of parameters."""
+    return F.coalesce(F.json_object_keys(params), F.array().cast("array<string>"))
+
+
+def setup_identity(rows: DataFrame, bar_config: str = "bar_config", theme: str = "theme_tag", conditions: str = "entry_conditions", params: str = "params",
+                   logic: str = "entry_logic") -> DataFrame:
+    """``rows`` with ``setup_key`` and ``setup_label``: digest and description of configuration, theme, conditions, exits and entry text."""
+    d = rows.withColumns({"_conditions": F.coalesce(condition_signatures(F.col(conditions)), F.array().cast("array<struct<feature:string,operator:string,role:string,kind:string>>")),
+                          "_bar": stripped(F.col(bar_config)),
+                          "_exits": F.filter(F.array(*[F.lit(k) for k in EXIT_PARAMS]), lambda k: F.array_contains(_param_keys(F.col(params)), k))})
+    words = F.trim(F.regexp_replace(F.lower(stripped(F.col(logic))), "[^a-z0-9]+", " "))
+    signature = json_object({
+        "bar_config": json_text(F.col("_bar")), "theme_tag": json_text(slug(F.col(theme))), "condition_count": F.size("_conditions").cast("string"),
+        "conditions": json_array(F.col("_conditions"), lambda c: json_object({n: json_text(c[n]) for n in ("feature", "operator", "role", "kind")})),
+        "exit_profile": json_array(F.col("_exits")), "direction_logic_hash": json_text(F.when(words == "", "").otherwise(short_digest(words, 12)))})
+    named = F.transform(F.slice("_conditions", 1, 3), lambda c: F.concat(c["feature"], F.lit(" "), c["operator"], F.lit(" ("), c["role"], F.lit(")")))
+    more = F.when(F.size("_conditions") > 3, F.array(F.concat(F.lit("+"), (F.size("_conditions") - 3).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    listed = F.coalesce(F.nullif(F.array_join(F.concat(named, more), ", "), F.lit("")), F.lit("no_conditions"))
+    exits = F.coalesce(F.nullif(F.array_join(F.slice("_exits", 1, 3), ","), F.lit("")), F.lit("basic_exit"))
+    label = F.concat(F.coalesce(F.nullif(F.col("_bar"), F.lit("")), F.lit("unknown_bar")), F.lit(" | "), listed, F.lit(" | exit="), exits)
+    out = d.withColumns({"setup_key": F.concat(F.lit("setup_"), short_digest(signature, 16)), "setup_label": label})
+    return out.drop("_conditions", "_bar", "_exits")
+
+
+def task_setup(rows: DataFrame, params: str = "params") -> DataFrame:
+    """``rows`` with the ``setup_key`` and ``setup_label`` that a task or its ``source`` names; without one, a digest of configuration, strategy and parameter names."""
+    def given(name: str) -> Column:
+        return first_filled(*([F.col(name)] if name in rows.columns else []), *([F.col("source")[name]] if "source" in rows.columns else []), F.lit(""))
+    bar, strategy = stripped(F.col("bar_config")), stripped(F.col("strategy_name"))
+    body = json_object({"bar_config": json_text(bar), "strategy_name": json_text(strategy), "param_keys": json_array(F.array_sort(_param_keys(F.col(params))))})
+    known = given("setup_key") != ""
+    key = F.when(known, given("setup_key")).otherwise(F.concat(F.lit("setup_"), short_digest(body, 16)))
+    named = F.coalesce(F.nullif(given("setup_label"), F.lit("")), given("setup_key"))
+    other = F.concat(F.coalesce(F.nullif(bar, F.lit("")), F.lit("unknown_bar")), F.lit(" | "), F.coalesce(F.nullif(strategy, F.lit("")), F.lit("unknown_strategy")))
+    return rows.withColumns({"setup_key": key, "setup_label": F.when(known, named).otherwise(other)})
 
 
 def event_id(*parts: Column) -> Column:

@@ -222,9 +222,56 @@ add("low_sample_themes", "theme:s attempts:i", lambda x: G.low_sample_themes(out
 SELECT theme || '_' || (event_id % 4000) AS theme, count(*) AS attempts FROM lgr GROUP BY 1 HAVING count(*) < 3""")
 add("recent_outcomes", "setup_key:s recency:i strategy_name:s verdict:s", lambda x: G.recent_outcomes(outcomes(x), ["setup_key"]), """
 SELECT *, row_number() OVER (PARTITION BY setup_key ORDER BY ts DESC, eid DESC) AS recency FROM lgr QUALIFY recency <= 5""")
-add("setup_identity", "seq:i setup:s", lambda x: log(x).withColumn("setup", G.setup_key(
-    F.array("strategy_name", "bar_config"), F.array("setup_key"), F.col("params"))), """
-SELECT event_id AS seq, substr(sha256(least(strategy_name, event_type) || ',' || greatest(strategy_name, event_type) || '|' || setup_key || '|' || sha256(lower(trim(props)))), 1, 16) AS setup FROM lg""")
+
+
+def _described(x):
+    """Log rows with entry conditions, exits and entry text of many shapes."""
+    d = log(x).drop("setup_key", "setup_label")
+    text = F.lit(None).cast("string")
+    first = F.struct(F.col("strategy_name").alias("feature"), F.lit("c").alias("column"), F.expr("element_at(array('>', 'between', 'bool_true'), cast(seq % 3 + 1 as int))").alias("op"),
+                     text.alias("operator"), F.expr("if(seq % 4 = 0, null, ' Primary ')").alias("role"))
+    second = F.struct(F.lit("").alias("feature"), F.col("bar_config").alias("column"), text.alias("op"), F.lit("<=").alias("operator"), F.lit("confirmation").alias("role"))
+    third = F.struct(F.expr("if(seq % 5 = 0, 'q\"\\\\é', '')").alias("feature"), F.expr("if(seq % 10 = 1, 'tab\\tend', '')").alias("column"), F.lit(">").alias("op"),
+                     text.alias("operator"), F.lit("").alias("role"))
+    return d.withColumns({
+        "entry_conditions": F.when(F.col("seq") % 7 != 0, F.array(first, second, third)), "bar_config": F.concat(F.lit(" "), "bar_config"),
+        "params": F.expr("""case seq % 3 when 0 then '{"x": 1, "pt_ticks": 4, "sl_ticks": {"a": 2}}' when 1 then 'nothing' else params end"""),
+        "entry_logic": F.expr("case seq % 4 when 0 then null when 1 then ' ?! ' when 2 then concat('Buy  THE dip-', strategy_name) else 'buy the DIP' end")})
+
+
+CTES["scond"] = r"""
+SELECT *, event_id AS q, list_sort(list_filter([
+    {'feature': strategy_name, 'operator': ['>', 'between', 'bool_true'][event_id % 3 + 1], 'role': CASE WHEN event_id % 4 = 0 THEN 'confirmation' ELSE 'primary' END,
+      'kind': ['compare', 'between', 'boolean'][event_id % 3 + 1]},
+    {'feature': event_type, 'operator': '<=', 'role': 'confirmation', 'kind': 'compare'},
+    {'feature': CASE WHEN event_id % 5 = 0 THEN 'q"\é' WHEN event_id % 10 = 1 THEN 'tab' || chr(9) || 'end' ELSE '' END, 'operator': '>', 'role': 'confirmation', 'kind': 'compare'}],
+  lambda c: event_id % 7 <> 0 AND c.feature <> '')) AS conds,
+  CASE WHEN event_id % 3 = 0 THEN ['sl_ticks', 'pt_ticks'] ELSE [] END AS exits,
+  CASE event_id % 4 WHEN 2 THEN substr(sha256('buy the dip ' || replace(strategy_name, '_', ' ')), 1, 12) WHEN 3 THEN substr(sha256('buy the dip'), 1, 12) ELSE '' END AS logic FROM lg"""
+_QUOTED = r"""'"' || replace(replace(replace(replace(c.feature, '\', '\\'), '"', '\"'), 'é', '\u00e9'), chr(9), '\t') || '"' """
+CTES["setups"] = f"""
+SELECT q AS seq, 'setup_' || substr(sha256('{{"bar_config":"' || event_type || '","condition_count":' || len(conds) || ',"conditions":[' || array_to_string(list_transform(conds, lambda c:
+    '{{"feature":' || {_QUOTED} || ',"kind":"' || c.kind || '","operator":"' || c.operator || '","role":"' || c.role || '"}}'), ',')
+  || '],"direction_logic_hash":"' || logic || '","exit_profile":[' || array_to_string(list_transform(exits, lambda e: '"' || e || '"'), ',')
+  || '],"theme_tag":"theme_' || (user_id % 7) || '_big_move_of_the_day"}}'), 1, 16) AS setup_key,
+  event_type || ' | ' || CASE WHEN len(conds) = 0 THEN 'no_conditions' ELSE array_to_string(list_transform(conds, lambda c: c.feature || ' ' || c.operator || ' (' || c.role || ')'), ', ') END
+    || ' | exit=' || CASE WHEN len(exits) = 0 THEN 'basic_exit' ELSE 'sl_ticks,pt_ticks' END AS setup_label FROM scond"""
+add("setup_identity", "seq:i setup_key:s setup_label:s", lambda x: G.setup_identity(_described(x)), "SELECT * FROM setups")
+add("setup_identity_scorecard", f"setup_key:s {SC}", lambda x: G.scorecard(G.with_outcome(G.setup_identity(_described(x))), ["setup_key"]),
+    _sc_sql("setup_key").replace("FROM lgr", "FROM (SELECT lgr.* EXCLUDE (setup_key), setups.setup_key FROM lgr JOIN setups ON setups.seq = lgr.event_id)"))
+
+
+def _tasks(x):
+    source = F.struct(F.expr("if(seq % 4 = 1, concat(' src', seq % 6), null)").alias("setup_key"), F.expr("if(seq % 8 = 1, 'From source', '')").alias("setup_label"))
+    return log(x).withColumns({"source": source, "setup_key": F.expr("case seq % 4 when 0 then concat(setup_key, ' ') when 2 then '' end"), "setup_label": F.lit(None).cast("string"),
+                               "params": F.expr("""if(seq % 3 = 0, '{"b": 1, "a": [1]}', params)"""), "strategy_name": F.expr("if(seq % 10 = 7, null, strategy_name)")})
+
+
+add("task_setup_identity", "seq:i setup_key:s setup_label:s", lambda x: G.task_setup(_tasks(x)), """
+SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN setup_key WHEN 1 THEN 'src' || (event_id % 6) ELSE 'setup_' || substr(sha256('{"bar_config":"' || event_type || '","param_keys":['
+    || CASE WHEN event_id % 3 = 0 THEN '"a","b"' ELSE '"k"' END || '],"strategy_name":"' || CASE WHEN event_id % 10 = 7 THEN '' ELSE strategy_name END || '"}'), 1, 16) END AS setup_key,
+  CASE event_id % 4 WHEN 0 THEN setup_key WHEN 1 THEN CASE WHEN event_id % 8 = 1 THEN 'From source' ELSE 'src' || (event_id % 6) END
+    ELSE event_type || ' | ' || CASE WHEN event_id % 10 = 7 THEN 'unknown_strategy' ELSE strategy_name END END AS setup_label FROM lg""")
 add("event_identity", "seq:i eid:s", lambda x: log(x).withColumn("eid", G.event_id(F.col("run_id"), F.col("task_id"), F.col("strategy_name"), F.lit("search"), F.lit("1"))),
     "SELECT event_id AS seq, sha256('run:' || event_id || ':' || strategy_name || ':search:1') AS eid FROM lg")
 add("request_summary", "request_id:s task_count:i pass_count:i fail_count:i error_count:i pass_fraction:d avg_sharpe:d avg_net_pnl:d avg_trade_count:d passing_configs:s "
