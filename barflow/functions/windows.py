@@ -7,6 +7,8 @@ that Catalyst plans one exchange and one sort per scope however many columns are
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -102,6 +104,8 @@ def finite(value: Column) -> Column:
 
 
 EWM_BLOCK = 256
+#: Powers of ten that the weights of one block may span.
+MOST_DECADES = 200
 
 
 def with_ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], keys: list[str], order: list[str],
@@ -111,7 +115,7 @@ def with_ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], keys: list
     ``specs`` maps output name to ``(input column, alpha, min_rows)``; an input may have nulls only
     before its first value.  The recurrence is linear, so it is evaluated as a two-level scan: a
     running weighted sum inside blocks of ``block`` rows, plus the decayed ends of earlier blocks.
-    Weights stay in a range doubles can hold, the result is exact, and no row leaves the JVM.
+    Blocks are shorter for an ``a`` near 1, so weights stay in a range doubles can hold; the result is exact, and no row leaves the JVM.
     With ``a = 1`` the mean is the input itself.
     """
     if any(not 0 < a <= 1 for _, a, _ in specs.values()):
@@ -123,6 +127,7 @@ def with_ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], keys: list
         specs = {out: s for out, s in specs.items() if s[1] != 1}
         if not specs:
             return df
+    block = min([block, *[max(1, int(1 + MOST_DECADES * math.log(10) / -math.log1p(-a))) for _, a, _ in specs.values()]])
     w = Window.partitionBy(*keys).orderBy(*order)
     wb = Window.partitionBy(*keys, "_blk").orderBy(*order)
     inputs = dict.fromkeys(s[0] for s in specs.values())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from statistics import NormalDist
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barflow.operators import gauntlet as G
@@ -200,8 +201,7 @@ def _rolling(x):
 
 
 add("rolling_sharpe", "symbol:s midpoint:d sharpe:d", _rolling, "SELECT * FROM rs")
-add("alpha_decay", "symbol:s window_count:i terminal_sharpe:d tail_nonpositive_fraction:d decay_rate:d initial_sharpe:d r_squared:d "
-    "half_life_days:d verdict:s", lambda x: S.alpha_decay(_rolling(x), KEYS, 2), """
+CTES["adecay"] = """
 WITH q AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY midpoint) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM rs),
 g AS (SELECT symbol, count(*) AS window_count, count(*) FILTER (sharpe > 0) AS np, median(sharpe) FILTER (i > n - greatest(n // 3, 1)) AS terminal_sharpe,
   avg(CASE WHEN sharpe <= 0 THEN 1 ELSE 0 END) FILTER (i > n - greatest(n // 3, 1)) AS tf,
@@ -212,7 +212,9 @@ SELECT symbol, window_count, terminal_sharpe, tf AS tail_nonpositive_fraction, C
   CASE WHEN ok THEN CASE WHEN np = 0 THEN 0 ELSE exp(my - sl * mt) END END AS initial_sharpe, CASE WHEN ok THEN r2 END AS r_squared,
   CASE WHEN ok THEN CASE WHEN np = 0 THEN 0 ELSE hl END END AS half_life_days,
   CASE WHEN NOT ok THEN 'INSUFFICIENT_DATA' WHEN np = 0 OR tf = 1 THEN 'DEAD' WHEN terminal_sharpe <= 0 OR tf >= 0.5 THEN 'DECAYING'
-    WHEN hl IS NULL OR hl > 120 THEN 'STABLE' WHEN r2 > 0.3 THEN 'DECAYING' ELSE 'NOISY' END AS verdict FROM h""")
+    WHEN hl IS NULL OR hl > 120 THEN 'STABLE' WHEN r2 > 0.3 THEN 'DECAYING' ELSE 'NOISY' END AS decay_verdict FROM h"""
+add("alpha_decay", "symbol:s window_count:i terminal_sharpe:d tail_nonpositive_fraction:d decay_rate:d initial_sharpe:d r_squared:d "
+    "half_life_days:d verdict:s", lambda x: S.alpha_decay(_rolling(x), KEYS, 2), "SELECT *, decay_verdict AS verdict FROM adecay")
 CTES["fret"] = """
 SELECT *, lag(market_return) OVER (PARTITION BY symbol ORDER BY date) AS momentum FROM (
   SELECT symbol, date, c / lag(c) OVER k - 1 AS market_return, daily_vol - lag(daily_vol) OVER k AS volatility_change FROM (
@@ -225,12 +227,40 @@ WITH j AS (SELECT d.symbol, x AS y, market_return AS f1, volatility_change AS f2
 s AS (SELECT symbol, count(*) AS n, avg(y) AS my, avg(f1) AS m1, avg(f2) AS m2, avg(f3) AS m3, var_pop(f1) AS a, covar_pop(f1, f2) AS b, covar_pop(f1, f3) AS c,
   var_pop(f2) AS d, covar_pop(f2, f3) AS e, var_pop(f3) AS f, covar_pop(f1, y) AS p, covar_pop(f2, y) AS q, covar_pop(f3, y) AS r, var_pop(y) AS vy FROM j GROUP BY symbol),
 t AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM s)
-SELECT symbol, n AS n_days, vy, p, q, r, my, m1, m2, m3, (p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) / det AS b1,
+SELECT symbol, n AS n_days, vy, a, b, c, d, e, f, det, p, q, r, my, m1, m2, m3, (p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) / det AS b1,
   (a * (q * f - e * r) - p * (b * f - c * e) + c * (b * r - c * q)) / det AS b2, (a * (d * r - e * q) - b * (b * r - c * q) + p * (b * e - c * d)) / det AS b3 FROM t"""
-add("factor_attribution", "symbol:s n_days:i alpha_daily:d beta_market_return:d beta_volatility_change:d beta_momentum:d r_squared:d",
-    lambda x: S.factor_attribution(L.trade_pnl(T.run_trades(signal_bars(x), KEYS)), x.stored_bars(), KEYS), """
-SELECT *, my - b1 * m1 - b2 * m2 - b3 * m3 AS alpha_daily, b1 AS beta_market_return, b2 AS beta_volatility_change, b3 AS beta_momentum,
-  (b1 * p + b2 * q + b3 * r) / vy AS r_squared FROM fat""")
+_TAIL = _PHI.replace("z ", "az ").replace("((z *", "((az *").replace("+ z /", "+ az /")
+_ONE = ["alpha", *S._FACTORS]
+_LEVEL = math.erfc(2.0 / math.sqrt(2.0))
+CTES["fat2"] = """
+SELECT *, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0, (b1 * p + b2 * q + b3 * r) / vy AS r_squared,
+  n_days * (vy - b1 * p - b2 * q - b3 * r) / (n_days - 4) / n_days AS s2, (d * f - e * e) / det AS i11, (a * f - c * c) / det AS i22, (a * d - b * b) / det AS i33,
+  (c * e - b * f) / det AS i12, (b * e - c * d) / det AS i13, (b * c - a * e) / det AS i23 FROM fat"""
+CTES["fat3"] = """
+SELECT symbol, unnest([0, 1, 2, 3]) AS i, unnest([b0 / sqrt(s2 * (1 + m1 * m1 * i11 + m2 * m2 * i22 + m3 * m3 * i33 + 2 * m1 * m2 * i12 + 2 * m1 * m3 * i13 + 2 * m2 * m3 * i23)),
+  b1 / sqrt(s2 * i11), b2 / sqrt(s2 * i22), b3 / sqrt(s2 * i33)]) AS t FROM fat2"""
+CTES["fat4"] = f"""
+SELECT *, least(1, max(pv * (5 - k)) OVER (PARTITION BY symbol ORDER BY k)) AS adj FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY pv, i) AS k FROM (SELECT symbol, i, t, 2 * (1 - {_TAIL}) AS pv FROM (SELECT *, abs(t) AS az FROM fat3)))"""
+CTES["fat5"] = "SELECT symbol, " + ", ".join(f"max({c}) FILTER (i = {i}) AS {n}{i}" for c, n in (("t", "t"), ("pv", "p"), ("adj", "j")) for i in range(4)) + " FROM fat4 GROUP BY symbol"
+CTES["fver"] = f"""
+SELECT f.*, g.* EXCLUDE (symbol), CASE WHEN r_squared < 0.3 AND j0 <= {_LEVEL!r} THEN 'PURE_ALPHA' WHEN r_squared >= 0.3 AND j0 <= {_LEVEL!r} AND least(j1, j2, j3) <= {_LEVEL!r} THEN 'ALPHA_WITH_BETA_EXPOSURE'
+  WHEN r_squared >= 0.3 AND least(j1, j2, j3) <= {_LEVEL!r} THEN 'FACTOR_EXPOSED' ELSE 'INCONCLUSIVE' END AS verdict FROM fat2 f JOIN fat5 g USING (symbol)"""
+
+
+def attribution(x, min_days=None):
+    return S.factor_attribution(L.trade_pnl(T.run_trades(signal_bars(x), KEYS)), x.stored_bars(), KEYS, min_days)
+
+
+add("factor_attribution", "symbol:s n_days:i available:i alpha_daily:d alpha_annualized:d alpha_t_stat:d alpha_pvalue:d alpha_pvalue_adjusted:d "
+    + " ".join(f"{n}_{f}:d" for n in ("beta", "t", "p", "p_adj") for f in S._FACTORS) + " r_squared:d residual_sharpe:d active_factors:s design_rank:i regression_stable:i verdict:s",
+    lambda x: attribution(x).withColumns({c: F.col(c).cast("int") for c in ("available", "regression_stable")}), f"""
+SELECT *, 1 AS available, b0 AS alpha_daily, 252 * b0 AS alpha_annualized, t0 AS alpha_t_stat, p0 AS alpha_pvalue, j0 AS alpha_pvalue_adjusted,
+  {", ".join(f"{c}{i + 1} AS {n}_{f}" for c, n in (("b", "beta"), ("t", "t"), ("p", "p"), ("j", "p_adj")) for i, f in enumerate(S._FACTORS))},
+  0 AS residual_sharpe, 'market_return,volatility_change,momentum' AS active_factors, 4 AS design_rank, 1 AS regression_stable FROM fver""")
+add("factor_attribution_short", "symbol:s n_days:i available:i alpha_daily:d verdict:s",
+    lambda x: attribution(x, 1000).withColumn("available", F.col("available").cast("int")),
+    "SELECT symbol, n_days, 0 AS available, NULL AS alpha_daily, 'INSUFFICIENT_DATA' AS verdict FROM fat")
 _DF = ["close", "volume", "trade_count", "latency_mean", "spread"]
 
 
@@ -243,18 +273,67 @@ _MOM = "avg({0}) FILTER (session_date < DATE '2024-01-16') AS a, avg({0}) FILTER
 CTES["drf"] = " UNION ALL ".join(f"SELECT '{c}' AS feature, {_MOM.format(c)} FROM (SELECT *, ask_price - bid_price AS spread FROM b)" for c in _DF)
 CTES["drf2"] = "SELECT *, a AS train_mean, z AS holdout_mean, (z - a) / sqrt(greatest((va + vz) / 2, 1e-9)) AS std_mean_diff FROM drf"
 add("feature_drift", "feature:s train_mean:d holdout_mean:d std_mean_diff:d", lambda x: S.drift(*_sides(x), _DF), "SELECT * FROM drf2")
-add("drift_ranking", "feature:s std_mean_diff:d importance:d combined_rank_score:d",
-    lambda x: S.drift_ranking(S.drift(*_sides(x), _DF), S.drift(*_sides(x), _DF).select("feature", F.round(F.abs("holdout_mean"), 3).alias("importance")), 3), """
-SELECT *, CAST(row_number() OVER (ORDER BY importance, feature) + row_number() OVER (ORDER BY abs(std_mean_diff), feature) AS DOUBLE) AS combined_rank_score
-FROM (SELECT *, round(abs(z), 3) AS importance FROM drf2) ORDER BY combined_rank_score DESC, feature LIMIT 3""")
-add("adversarial_validation", "feature_count:i auc:d", lambda x: S.adversarial_validation(*_sides(x), _DF, trees=30)[0])
+_GAP = "(z - a) / sqrt(greatest((va + vz) / 2, 1e-9))"
 
 
-def _gates(x):
-    dsr = S.deflated_sharpe(_daily(x), KEYS, "x", N_TRIALS).select("symbol", "dsr")
-    decay = S.alpha_decay(_rolling(x), KEYS, 2).select("symbol", F.col("verdict").alias("decay_verdict"))
-    out = S.advanced_gates(dsr.join(decay, "symbol"), min_dsr=0.4, decay_verdicts=["STABLE", "NOISY"])
-    return out.withColumns({c: F.col(c).cast("int") for c in ("dsr_passed", "decay_passed", "passed")})
+def _importance(x):
+    """Weights of the columns by their spread between symbols, so the ranking has importances that the SQL can make too."""
+    d = x.bars().withColumn("spread", F.expr("ask_price - bid_price")).groupBy("symbol").agg(*[F.avg(c).alias(c) for c in _DF])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.round((F.max(c) - F.min(c)) / F.greatest(F.avg(F.abs(c)), F.lit(1e-9)), 6).alias("importance")) for c in _DF])
+    return d.agg(cells.alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
-add("advanced_gates", "symbol:s dsr:d decay_verdict:s dsr_passed:i decay_passed:i passed:i", _gates)
+CTES["wgt"] = " UNION ALL ".join(f"SELECT '{c}' AS feature, round((max(v) - min(v)) / greatest(avg(abs(v)), 1e-9), 6) AS importance FROM (SELECT symbol, avg({c}) AS v FROM "
+                                 "(SELECT *, ask_price - bid_price AS spread FROM b) GROUP BY symbol)" for c in _DF)
+add("drift_ranking", "feature:s std_mean_diff:d importance:d combined_rank_score:d train_mean:d holdout_mean:d",
+    lambda x: S.drift_ranking(S.drift(*_sides(x), _DF), _importance(x), 3), """
+SELECT *, CAST(row_number() OVER (ORDER BY importance, feature) + row_number() OVER (ORDER BY abs(std_mean_diff), feature) AS DOUBLE) AS combined_rank_score
+FROM drf2 JOIN wgt USING (feature) ORDER BY combined_rank_score DESC, feature LIMIT 3""")
+CTES["side"] = "SELECT CASE WHEN session_date < DATE '2024-01-16' THEN 0 ELSE 1 END AS label, count(*) AS n FROM b GROUP BY 1"
+
+
+def _forest(x):
+    return S.adversarial_validation(*_sides(x), _DF, trees=30)
+
+
+def _split_rows(x):
+    a, z = _sides(x)
+    return S.class_split(a.withColumn("label", F.lit(0)).unionByName(z.withColumn("label", F.lit(1))), "label", ["symbol", *_DF])
+
+
+add("adversarial_split", "label:i rows:i fit_rows:i", lambda x: _split_rows(x).groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.count_if("fit").alias("fit_rows")),
+    "SELECT label, n AS rows, greatest(1, floor(n * 0.7)) AS fit_rows FROM side")
+add("adversarial_report", "used:i reason:s feature_count:i train_rows:i holdout_rows:i validation_rows:i", lambda x: _forest(x)[0].withColumn("used", F.col("used").cast("int")), f"""
+SELECT 1 AS used, NULL AS reason, {len(_DF)} AS feature_count, max(n) FILTER (label = 0) AS train_rows, max(n) FILTER (label = 1) AS holdout_rows,
+  sum(n - greatest(1, floor(n * 0.7))) AS validation_rows FROM side""")
+add("adversarial_validation", "feature:s importance:d combined_rank_score:d auc:d", lambda x: (lambda r: r[1].join(r[0].select("auc"), F.lit(True)))(_forest(x)))
+add("adversarial_too_small", "used:i reason:s feature_count:i auc:d", lambda x: S.adversarial_validation(*_sides(x), _DF[:2])[0].unionByName(
+    S.adversarial_validation(_sides(x)[0].filter("symbol = 'S0' and seq < 0"), _sides(x)[1], _DF)[0]).withColumn("used", F.col("used").cast("int")), f"""
+SELECT 0 AS used, 'insufficient_common_features' AS reason, 2 AS feature_count, 0.5 AS auc UNION ALL SELECT 0, 'insufficient_rows', {len(_DF)}, 0.5""")
+add("exact_auc", "source:s positives:i negatives:i auc:d", lambda x: S.exact_auc(x.table("events").select(
+    F.concat(F.lit("u"), F.col("user_id") % 5).alias("source"), F.round("value", 1).alias("score"), (F.col("event_type") == "error").cast("int").alias("label")), "score", "label", ["source"]), """
+SELECT source, any_value(p) AS positives, any_value(n) AS negatives, sum(CASE WHEN label = 1 THEN rk END) / any_value(p) / any_value(n) - (any_value(p) + 1) / 2 / any_value(n) AS auc FROM (
+  SELECT *, avg(r) OVER (PARTITION BY source, score) AS rk, count(*) FILTER (label = 1) OVER (PARTITION BY source) AS p, count(*) FILTER (label = 0) OVER (PARTITION BY source) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY score) AS r FROM (
+      SELECT 'u' || (user_id % 5) AS source, round(value, 1) AS score, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label FROM events)))
+GROUP BY source""")
+
+
+def _gate_rows(x):
+    """Results of the symbols, and of one more of each whose two returns are too few for a deflated Sharpe."""
+    daily = _daily(x)
+    few = daily.withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy("date"))).filter("r <= 2").select(F.concat("symbol", F.lit(".new")).alias("symbol"), "date", "x")
+    dsr = S.deflated_sharpe(daily.unionByName(few), KEYS, "x", N_TRIALS).select("symbol", "dsr", F.col("available").alias("dsr_available"))
+    decay = S.alpha_decay(_rolling(x), KEYS, 2).select("symbol", F.col("verdict").alias("decay_verdict"))
+    factor = attribution(x).select("symbol", F.col("verdict").alias("factor_verdict"))
+    return dsr.join(decay, "symbol", "left").join(factor, "symbol", "left")
+
+
+add("advanced_gates", "symbol:s dsr:d dsr_available:i decay_verdict:s factor_verdict:s dsr_passed:i decay_passed:i factor_passed:i enabled:i passed:i",
+    lambda x: S.advanced_gates(_gate_rows(x), 0.0, ["STABLE", "NOISY", "DEAD"], ["INCONCLUSIVE", "PURE_ALPHA"]).withColumns(
+        {c: F.col(c).cast("int") for c in ("dsr_available", "dsr_passed", "decay_passed", "factor_passed", "enabled", "passed")}), f"""
+SELECT *, 1 AS enabled, CASE WHEN dsr_passed + decay_passed + factor_passed = 3 THEN 1 ELSE 0 END AS passed FROM (
+SELECT w.symbol, coalesce(dsr, 0) AS dsr, CASE WHEN dsr IS NULL THEN 0 ELSE 1 END AS dsr_available, decay_verdict, verdict AS factor_verdict, CASE WHEN dsr >= 0 THEN 1 ELSE 0 END AS dsr_passed,
+  CASE WHEN decay_verdict IN ('STABLE', 'NOISY', 'DEAD') THEN 1 ELSE 0 END AS decay_passed, CASE WHEN verdict IN ('INCONCLUSIVE', 'PURE_ALPHA') THEN 1 ELSE 0 END AS factor_passed
+FROM (SELECT symbol || x AS symbol FROM dsr2, (VALUES (''), ('.new')) AS v(x)) w LEFT JOIN (SELECT symbol, {_PHI} AS dsr FROM dsr2) d USING (symbol)
+LEFT JOIN adecay USING (symbol) LEFT JOIN fver USING (symbol))""")
