@@ -77,6 +77,31 @@ def walk_forward_result(trades: DataFrame, folds: DataFrame, keys: list[str], ra
     return out.na.fill(0.0, ["aggregate_sharpe", "deflated_sharpe", "dsr_probability", "sharpe_2x_cost", "avg_trades_per_day"]).na.fill(0, ["max_trades_per_day"])
 
 
+LOCKBOX = ["lockbox_sharpe", "lockbox_net_pnl", "lockbox_trade_count", "lockbox_sharpe_2x_cost", "lockbox_avg_trades_per_day", "lockbox_max_trades_per_day"]
+
+
+def lockbox_result(trades: DataFrame, folds: DataFrame, keys: list[str]) -> DataFrame:
+    """Sharpe, net PnL, counts and Sharpe at twice the costs of the trades that exit on days with role ``lockbox``, one row per key of ``trades``.
+
+    Daily figures fill the weekdays between the first and last exit with zeros; a key without such trades has zeros.
+    """
+    days = folds.filter("role = 'lockbox'").select("date").distinct()
+    t = trades.withColumn("date", F.to_date("exit_time")).join(days, "date", "left_semi").drop("date")
+    pnl = trade_pnl(t, "adaptive_cost_rt")
+    year = math.sqrt(252.0)
+
+    def sharpe(name: str):
+        return F.expr(f"if(stddev_samp(net_pnl) > 0, avg(net_pnl) / stddev_samp(net_pnl) * {year!r}D, 0D)").alias(name)
+    once = daily_pnl(pnl, keys).groupBy(*keys).agg(sharpe("lockbox_sharpe"))
+    twice = daily_pnl(trade_pnl(t, "adaptive_cost_rt", 2.0), keys).groupBy(*keys).agg(sharpe("lockbox_sharpe_2x_cost"))
+    total = pnl.groupBy(*keys).agg(F.sum("net_pnl").alias("lockbox_net_pnl"), F.count(F.lit(1)).alias("lockbox_trade_count"))
+    density = daily_trade_counts(t, keys).groupBy(*keys).agg(F.avg("trade_count").alias("lockbox_avg_trades_per_day"), F.max("trade_count").alias("lockbox_max_trades_per_day"))
+    out = trades.select(*keys).distinct()
+    for part in (once, twice, total, density):
+        out = out.join(part, keys, "left")
+    return out.na.fill(0.0, [c for c in LOCKBOX if not c.endswith(("count", "max_trades_per_day"))]).na.fill(0, ["lockbox_trade_count", "lockbox_max_trades_per_day"])
+
+
 def gates(results: DataFrame, thresholds: DataFrame, keys: list[str], metrics_: list[str]) -> DataFrame:
     """One row per strategy and gate: the metric, its bound and whether it passes (``sense`` is min or max).
 

@@ -1,4 +1,4 @@
-"""User strategies: column functions, Python functions per day, fitted models, and their causality check."""
+"""User strategies: column functions, Python functions per day, fitted models, their causality check and their staged evaluation."""
 
 from __future__ import annotations
 
@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.windows import BAR_ORDER, with_ewm
+from ..operators import edge
+from ..operators.edge import FAMILIES
 from ..operators.gauntlet import gauntlet
-from ..operators.pnl import score
-from ..operators.trades import run_trades, sign_signal, signal_from_conditions, with_series_order
+from ..operators.pnl import daily_pnl, metrics, trade_pnl, with_bar_cost
+from ..operators.stats import advanced_gates, alpha_decay, deflated_sharpe, factor_attribution, rolling_sharpe
+from ..operators.trades import run_trades, sign_signal, signal_from_conditions, with_day, with_series_order
+from ..sources.stage import stored
 
 
 def column_strategy(df: DataFrame, fn: Callable[[DataFrame, dict], DataFrame], params: dict | None = None) -> DataFrame:
@@ -106,10 +110,68 @@ def causality_check(df: DataFrame, fn: Callable[[DataFrame, dict], DataFrame], p
     return out
 
 
-def evaluate(bars: DataFrame, keys: list[str], min_trades: int = 50, iterations: int = 100) -> DataFrame:
-    """Metrics with adaptive costs and the gauntlet verdict of every strategy key in one plan; bars carry ``signal``."""
-    m = score(run_trades(bars, keys), bars.select(*[c for c in bars.columns if c != "signal"]), keys, keys)
-    g = gauntlet(bars, keys, min_trades, iterations)
-    checks = [c for c in g.columns if c not in (*keys, "pass_count", "overall_verdict")]
-    g = g.select(*keys, *[F.col(c).alias(f"check_{c}") for c in checks], "pass_count", F.col("overall_verdict").alias("verdict"))
-    return m.join(g, keys)
+def contract_check(bars: DataFrame, keys: list[str], expected: DataFrame | None = None) -> DataFrame:
+    """(keys, row_count, signal_count, contract_ok): signals are -1, 0 or 1, none is missing, and rows are as many as ``expected`` has."""
+    s = F.col("signal").cast("double")
+    bad = s.isNull() | F.isnan(s) | ~s.isin(-1.0, 0.0, 1.0)
+    got = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), F.count_if(s != 0).alias("signal_count"), F.count_if(bad).alias("_bad"))
+    want = got.select(*keys, F.col("row_count").alias("_want")) if expected is None else expected.groupBy(*keys).agg(F.count(F.lit(1)).alias("_want"))
+    both = want.join(got, keys, "left")
+    return both.select(*keys, F.coalesce("row_count", F.lit(0)).alias("row_count"), F.coalesce("signal_count", F.lit(0)).alias("signal_count"),
+                       F.coalesce(F.expr("row_count = _want and _bad = 0"), F.lit(False)).alias("contract_ok"))
+
+
+STAGES = ("signal_contract", "signal_causality", "edge_surface", "metrics")
+
+
+def evaluate(bars: DataFrame, keys: list[str], min_trades: int = 50, iterations: int = 100, expected: DataFrame | None = None, causality: DataFrame | None = None,
+             edge_config: dict | None = None, next_open_edge: bool = False, target_sharpe: float = 0.0, effective_trials: int = 1, gate_config: dict | None = None,
+             run_gauntlet: bool = True, frame: list[str] = (), params: dict | None = None) -> DataFrame:
+    """One row per strategy key with the outcome of every stage; a key that fails a stage does not enter the later ones.
+
+    Stages: signal contract (rows of ``expected``), causality (rows of :func:`causality_check`, every status of a key being ``ok``), edge surface
+    (``edge_config``), then metrics at adaptive costs, gauntlet, deflated Sharpe, decay and factors with their gates (arguments of
+    ``advanced_gates``).  After each stage the keys that stay are a small staged table, and the bars of the others are not read again.  Rolling
+    costs restart on the ``frame`` columns.  ``failed_stage`` and ``failure_code`` tell where a key stopped.
+    """
+    own = [*keys, *frame, "date_utc", "ts_event", "seq", "open", "high", "low", "close", "volume", "bid_price", "ask_price", "signal", *[c for c, _ in FAMILIES.values()], "position_in_va"]
+    bars = stored(with_day(bars).select(*dict.fromkeys(c for c in own if c in (*bars.columns, "date_utc"))), "evaluated_bars")
+    first = contract_check(bars, keys, expected)
+    if causality is not None:
+        held = causality.groupBy(*keys).agg((F.count_if(F.col("status") != "ok") == 0).alias("causality_ok"))
+        first = first.join(held, keys, "left").withColumn("causality_ok", F.when(F.col("contract_ok"), F.coalesce("causality_ok", F.lit(False))))
+    else:
+        first = first.withColumn("causality_ok", F.when(F.col("contract_ok"), F.lit(True)))
+    first = stored(first, "evaluation_first")
+    live = bars.join(first.filter("causality_ok").select(*keys), keys, "left_semi")
+    surface = edge.edge_surface(live, keys, next_open_edge, edge_config, params) if edge.normalize_config(edge_config)["enabled"] else live.select(*keys).distinct()
+    status = edge.surface_status(surface, keys, edge_config).select(*keys, F.col("status").alias("edge_status"), F.col("passed").alias("edge_passed"))
+    status = stored(status, "evaluation_edge")
+    live = stored(live.join(status.filter("edge_passed").select(*keys), keys, "left_semi"), "evaluation_bars")
+    priced = stored(with_bar_cost(live, [*keys, *frame], params), "evaluation_priced")
+    trades = stored(run_trades(priced, keys, ["bar_cost"]).withColumnRenamed("entry_bar_cost", "adaptive_cost_rt").drop("exit_bar_cost"), "evaluation_trades")
+    pnl = trade_pnl(trades, "adaptive_cost_rt", params=params)
+    parts = [metrics(trades, keys, params=params).select(*keys, "trade_count", "net_pnl", "sharpe_ratio"),
+             deflated_sharpe(daily_pnl(pnl, keys), keys, "net_pnl", int(effective_trials)).select(*keys, "dsr", F.col("available").alias("dsr_available")),
+             alpha_decay(rolling_sharpe(pnl, keys), keys, params=params).select(*keys, F.col("verdict").alias("decay_verdict")),
+             factor_attribution(pnl, live, keys, params=params).select(*keys, F.col("verdict").alias("factor_verdict"))]
+    if run_gauntlet:
+        signalled = live.join(first.filter("signal_count > 0").select(*keys), keys, "left_semi")
+        g = gauntlet(signalled, keys, min_trades, iterations, params=params)
+        checks = [c for c in g.columns if c not in (*keys, "pass_count", "overall_verdict")]
+        parts.append(g.select(*keys, *[F.col(c).alias(f"check_{c}") for c in checks], "pass_count", F.col("overall_verdict").alias("gauntlet_verdict")))
+    out = first.join(status, keys, "left")
+    for part in parts:
+        out = out.join(stored(part, "evaluation_part"), keys, "left")
+    passed = F.coalesce("edge_passed", F.lit(False))
+    out = out.withColumns({"trade_count": F.when(passed, F.coalesce("trade_count", F.lit(0))), "net_pnl": F.when(passed, F.coalesce("net_pnl", F.lit(0.0))),
+                           "decay_verdict": F.when(passed, F.coalesce("decay_verdict", F.lit("INSUFFICIENT_DATA"))),
+                           "factor_verdict": F.when(passed, F.coalesce("factor_verdict", F.lit("INSUFFICIENT_DATA"))), "dsr_available": F.coalesce("dsr_available", F.lit(False))})
+    out = advanced_gates(out, **(gate_config or {})).withColumnRenamed("passed", "gates_passed").drop("enabled")
+    enough = F.coalesce((F.col("sharpe_ratio") >= float(target_sharpe)) & (F.col("trade_count") >= int(min_trades)), F.lit(False))
+    checked = F.coalesce(F.col("gauntlet_verdict") == "PASS", F.lit(False)) if run_gauntlet else F.lit(True)
+    stage = (F.when(~F.col("contract_ok"), STAGES[0]).when(~F.col("causality_ok"), STAGES[1]).when(~passed, STAGES[2]).when(~enough, STAGES[3])
+             .when(~checked, "gauntlet").when(~F.col("gates_passed"), "advanced_gates"))
+    return out.withColumns({"gates_passed": F.when(passed, F.col("gates_passed")), "meets_thresholds": F.when(passed, enough), "failed_stage": stage}).withColumns({
+        "failure_code": F.when(F.col("failed_stage") == STAGES[2], F.col("edge_status")).when(F.col("failed_stage").isin(*STAGES[:2]), F.col("failed_stage")),
+        "verdict": F.when(stage.isNull(), "PASS").otherwise("FAIL")})

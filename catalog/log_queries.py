@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barflow.operators import bars as B
@@ -19,7 +20,7 @@ from barflow.streaming import jobs as S
 
 from .base import CTES, add
 from .trade_queries import KEYS, metric_sql, signal_bars
-from .validation_queries import _EMAX
+from .validation_queries import _EMAX, _PHI, check_sql_by_name, clone
 
 # --- stores and samples
 SIG = D.signature("v1", {"tick_size": 0.25})
@@ -373,11 +374,12 @@ CTES["wcal"] = """
 SELECT symbol, fold, xd, sum(x) AS x, sum(x2) AS x2, sum(n) AS n FROM (SELECT * FROM wd UNION ALL SELECT symbol, fold, xd, 0, 0, 0 FROM (
   SELECT symbol, fold, CAST(unnest(generate_series(min(xd), max(xd), INTERVAL 1 DAY)) AS DATE) AS xd FROM wd GROUP BY symbol, fold) WHERE isodow(xd) <= 5) GROUP BY ALL"""
 CTES["wdsr"] = f"""
-SELECT symbol, mu / sd AS sharpe, sqrt(greatest(1 - sk * mu / sd + (ku - 3) / 4 * (mu / sd) ** 2, 1e-9) / (n - 1)) * {_EMAX!r} AS emax, s2, atd, mtd FROM (
+SELECT symbol, mu / sd AS sharpe, sqrt(greatest(1 - sk * mu / sd + (ku - 3) / 4 * (mu / sd) ** 2, 1e-9) / (n - 1)) * {_EMAX!r} AS emax,
+  mu / sd / sqrt(greatest(1 - sk * mu / sd + (ku - 3) / 4 * (mu / sd) ** 2, 1e-9) / (n - 1)) - {_EMAX!r} AS z, s2, atd, mtd FROM (
   SELECT symbol, count(*) AS n, any_value(m) AS mu, any_value(s) AS sd, avg(((x - m) / s) ** 3) AS sk, avg(((x - m) / s) ** 4) AS ku, avg(x2) / stddev_samp(x2) * sqrt(252) AS s2, avg(k) AS atd, max(k) AS mtd FROM (
     SELECT symbol, x, x2, n AS k, avg(x) OVER (PARTITION BY symbol) AS m, stddev_samp(x) OVER (PARTITION BY symbol) AS s FROM wcal) GROUP BY symbol)"""
-CTES["wres"] = """
-SELECT w.symbol, fold_count, pct_positive, w.trade_count, w.net_pnl, sharpe * sqrt(252) AS aggregate_sharpe, sharpe - emax AS deflated_sharpe, s2 AS sharpe_2x_cost,
+CTES["wres"] = f"""
+SELECT w.symbol, {_PHI} AS dsr_probability, fold_count, pct_positive, w.trade_count, w.net_pnl, sharpe * sqrt(252) AS aggregate_sharpe, sharpe - emax AS deflated_sharpe, s2 AS sharpe_2x_cost,
   atd AS avg_trades_per_day, mtd AS max_trades_per_day FROM (
   SELECT symbol, 4 AS fold_count, count(*) FILTER (coalesce(sharpe_ratio, 0) > 0) / 4 AS pct_positive, sum(trade_count) AS trade_count, sum(net_pnl) AS net_pnl
   FROM m_wk GROUP BY symbol) w JOIN wdsr USING (symbol)"""
@@ -387,18 +389,42 @@ def _wres(x):
     return R.walk_forward_result(T.run_trades(signal_bars(x), KEYS), _week_folds(x), KEYS, 50, 20)
 
 
-add("walk_forward_promotion", "symbol:s fold_count:i pct_positive:d trade_count:i net_pnl:d aggregate_sharpe:d deflated_sharpe:d sharpe_2x_cost:d avg_trades_per_day:d max_trades_per_day:i", _wres, "SELECT * FROM wres")
+add("walk_forward_promotion", "symbol:s dsr_probability:d fold_count:i pct_positive:d trade_count:i net_pnl:d aggregate_sharpe:d deflated_sharpe:d sharpe_2x_cost:d avg_trades_per_day:d max_trades_per_day:i", _wres, "SELECT * FROM wres")
 _GATES = [("fold_count", "min", 3.0), ("pct_positive", "min", 0.3), ("net_pnl", "min", -4500.0), ("trade_count", "max", 150.0), ("sharpe_2x_cost", "min", -6.0), ("max_trades_per_day", "max", 12.0), ("lockbox_sharpe", "min", 0.0)]
 
 
+def _lockbox_days(x):
+    """The last third of the month is kept for the lockbox."""
+    d = x.bars().select(F.to_date("ts_event").alias("date")).distinct()
+    return d.filter(F.dayofmonth("date") > 20).select(F.lit(0).alias("fold"), F.lit("lockbox").alias("role"), "date")
+
+
+def _lockbox(x):
+    return R.lockbox_result(T.run_trades(signal_bars(x), KEYS).filter("symbol <> 'S1' or day(exit_time) <= 20"), _lockbox_days(x), KEYS)
+
+
+CTES["lbd"] = "SELECT symbol, xd, sum(net_pnl) AS x, sum(net_pnl - costs) AS x2, count(*) AS n FROM pnl WHERE day(xd) > 20 AND symbol <> 'S1' GROUP BY ALL"
+CTES["lbc"] = """
+SELECT symbol, xd, sum(x) AS x, sum(x2) AS x2, sum(n) AS n FROM (SELECT * FROM lbd UNION ALL SELECT symbol, xd, 0, 0, 0 FROM (
+  SELECT symbol, CAST(unnest(generate_series(min(xd), max(xd), INTERVAL 1 DAY)) AS DATE) AS xd FROM lbd GROUP BY symbol) WHERE isodow(xd) <= 5) GROUP BY ALL"""
+CTES["lbx"] = """
+SELECT s.symbol, coalesce(avg(x) / stddev_samp(x) * sqrt(252), 0) AS lockbox_sharpe, coalesce(sum(x), 0) AS lockbox_net_pnl, coalesce(sum(n), 0) AS lockbox_trade_count,
+  coalesce(avg(x2) / stddev_samp(x2) * sqrt(252), 0) AS lockbox_sharpe_2x_cost, coalesce(avg(n), 0) AS lockbox_avg_trades_per_day, coalesce(max(n), 0) AS lockbox_max_trades_per_day
+FROM (SELECT DISTINCT symbol FROM pnl) s LEFT JOIN lbc USING (symbol) GROUP BY s.symbol"""
+add("lockbox_result", "symbol:s lockbox_sharpe:d lockbox_net_pnl:d lockbox_trade_count:i lockbox_sharpe_2x_cost:d lockbox_avg_trades_per_day:d lockbox_max_trades_per_day:i",
+    _lockbox, "SELECT * FROM lbx")
+_LOCKED = [("lockbox_sharpe", "min", 0.0), ("lockbox_net_pnl", "min", -2000.0), ("lockbox_trade_count", "min", 20.0), ("dsr_probability", "min", 0.05), ("never_computed", "min", 0.0)]
+
+
 def _gate_rows(x):
-    t = x.spark.createDataFrame(_GATES, "gate string, sense string, bound double")
-    return R.gates(_wres(x), t, KEYS, [g[0] for g in _GATES[:-1]])  # no lockbox run yet: its gate must fail
+    t = x.spark.createDataFrame(_GATES[:-1] + _LOCKED, "gate string, sense string, bound double")
+    return R.gates(_wres(x).join(_lockbox(x), KEYS), t, KEYS, [g[0] for g in _GATES[:-1] + _LOCKED[:-1]])  # a gate without its metric fails
 
 
+CTES["wboth"] = "SELECT * FROM wres JOIN lbx USING (symbol)"
 CTES["gts"] = " UNION ALL ".join(
-    f"SELECT symbol, '{g}' AS gate, CAST({g} AS DOUBLE) AS value, {b} AS bound, {g} {'>=' if s == 'min' else '<='} {b} AS ok FROM wres" for g, s, b in _GATES[:-1])
-CTES["gts"] += " UNION ALL SELECT symbol, 'lockbox_sharpe', NULL, 0.0, false FROM wres"
+    f"SELECT symbol, '{g}' AS gate, CAST({g} AS DOUBLE) AS value, {b} AS bound, {g} {'>=' if s == 'min' else '<='} {b} AS ok FROM wboth" for g, s, b in _GATES[:-1] + _LOCKED[:-1])
+CTES["gts"] += " UNION ALL SELECT symbol, 'never_computed', NULL, 0.0, false FROM wres"
 add("promotion_gates", "symbol:s gate:s value:d bound:d passed:i", lambda x: _gate_rows(x).withColumn("passed", F.col("passed").cast("int")),
     "SELECT *, CAST(ok AS INT) AS passed FROM gts")
 add("promotion_verdict", "symbol:s gate_count:i passed_count:i promoted:i",
@@ -410,9 +436,73 @@ add("two_stage_verdict", "seq:i search_verdict:s selection_verdict:s final_verdi
 SELECT event_id AS seq, verdict AS search_verdict, sv AS selection_verdict, CASE WHEN sp AND sv = 'PASS' THEN 'PASS' ELSE 'FAIL' END AS final_verdict,
   CASE WHEN NOT sp THEN 'rejected_search' WHEN sv IS NULL THEN 'awaiting_selection' WHEN sv = 'PASS' THEN 'candidate' ELSE 'rejected_selection' END AS candidate_status
 FROM (SELECT *, CASE WHEN sp AND event_id % 5 <> 0 THEN CASE WHEN lp THEN 'PASS' ELSE 'FAIL' END END AS sv FROM lge)""")
-add("strategy_evaluation", "symbol:s trade_count:i net_pnl:d sharpe_ratio:d pass_count:i verdict:s",
-    lambda x: U.evaluate(stage.stored(signal_bars(x).select("symbol", "ts_event", "seq", "open", "high", "low", "close", "volume", "bid_price", "ask_price", "signal"),
-                                      "signals"), KEYS, 50, 20))
+
+
+# --- staged evaluation: one symbol breaks the contract, one looks ahead, one has no edge, one goes through
+def _rule(df, params):
+    """By symbol: signals out of range (S0), looking ahead (S1), following the bar (S2), fading the distance from the session's last eight closes (S3)."""
+    near = F.avg("close").over(Window.partitionBy("symbol", "session_date").orderBy("ts_event", "seq").rowsBetween(-7, 0))
+    ahead = F.lead("close").over(Window.partitionBy("symbol").orderBy("ts_event", "seq"))
+    move = F.signum(F.col("close") - F.col("open"))
+    return df.withColumn("signal", F.when(F.col("symbol") == "S1", F.signum(F.coalesce(ahead, F.col("close")) - F.col("close"))).when(F.col("symbol") == "S2", move)
+                         .when((F.col("symbol") == "S0") & (F.dayofmonth("ts_event") == 9), -2 * move).when(F.col("symbol") == "S3", F.signum(near - F.col("close"))).otherwise(-move))
+
+
+_EDGE = {"enabled": True, "horizons": [1, 3], "min_events": 20, "min_pocket_events": 5, "min_positive_day_fraction": 0.2, "max_day_concentration": 0.9}
+
+
+def _evaluation(x):
+    raw = stage.stored(x.bars().select("symbol", "session_date", "ts_event", "seq", "open", "high", "low", "close", "volume", "bid_price", "ask_price"), "raw")
+    return U.evaluate(_rule(raw, {}), KEYS, 30, 20, raw, U.causality_check(raw, _rule, strict=True), _EDGE, target_sharpe=0.5, effective_trials=20,
+                      gate_config={"min_dsr": 0.0, "decay_verdicts": ["STABLE", "INSUFFICIENT_DATA"], "factor_verdicts": ["ALPHA_WITH_BETA_EXPOSURE", "PURE_ALPHA"]})
+
+
+CTES["esig"] = """
+SELECT *, CAST(ts_event AS DATE) AS date_utc, CASE symbol WHEN 'S1' THEN sign(coalesce(lead(close) OVER (PARTITION BY symbol ORDER BY ts_event, seq), close) - close) WHEN 'S2' THEN sign(close - open)
+  WHEN 'S0' THEN sign(open - close) * CASE WHEN day(ts_event) = 9 THEN 2 ELSE 1 END
+  ELSE sign(avg(close) OVER (PARTITION BY symbol, session_date ORDER BY ts_event, seq ROWS 7 PRECEDING) - close) END AS signal FROM b"""
+clone({"sig": "esig"}, "_e")
+CTES["ehz"] = """
+SELECT v.*, m.bar_cost, s.ts_event AS exit_time, s.close AS exit_price, 1 AS size, h AS horizon_bars, CASE WHEN mi < 180 THEN 'eth_overnight' WHEN mi < 570 THEN 'london' WHEN mi < 660 THEN 'rth_open'
+  WHEN mi < 900 THEN 'rth_midday' WHEN mi < 960 THEN 'power_hour' ELSE 'eth_overnight' END AS bucket
+FROM (SELECT *, epoch_us(signal_time - INTERVAL 5 HOUR) // 60000000 % 1440 AS mi FROM ev_e) v JOIN ms m ON m.symbol = v.symbol AND m.ts_event = v.entry_time
+CROSS JOIN (VALUES (1), (3)) AS hs(h) JOIN sn_e s ON s.symbol = v.symbol AND s.date_utc = v.date_utc AND s.i = v.i + h"""
+CTES["ehp"] = """SELECT *, bar_cost AS costs, (exit_price - entry_price) * direction * 20 AS gross_pnl, (exit_price - entry_price) * direction * 20 - bar_cost AS net_pnl,
+  (epoch_us(exit_time) // 1000000 - epoch_us(entry_time) // 1000000) / 60 AS holding_time_min, CAST(exit_time AS DATE) AS xd FROM (
+  SELECT *, 'all' AS label FROM ehz UNION ALL SELECT *, bucket FROM ehz)"""
+CTES["ehm"] = "SELECT * FROM (" + metric_sql("ehp", "symbol, label, horizon_bars") + ")"
+CTES["est"] = """
+SELECT symbol, CASE WHEN coalesce(n, 0) < 20 THEN 'insufficient_events' WHEN g THEN 'global_edge' WHEN l THEN 'localized_edge_only' ELSE 'no_edge' END AS edge_status
+FROM (SELECT DISTINCT symbol FROM b) LEFT JOIN (SELECT symbol, count(*) AS n FROM ev_e GROUP BY symbol) USING (symbol) LEFT JOIN (
+  SELECT symbol, bool_or(ok) FILTER (label = 'all') AS g, bool_or(ok) FILTER (label <> 'all') AS l FROM (SELECT *, trade_count >= CASE WHEN label = 'all' THEN 20 ELSE 5 END AND avg_trade_pnl > 0
+    AND net_pnl > 0 AND positive_day_fraction >= 0.2 AND max_day_concentration <= 0.9 AS ok FROM ehm) GROUP BY symbol) USING (symbol)"""
+CTES["eday"] = """
+SELECT symbol, xd, sum(x) AS x FROM (SELECT symbol, xd, net_pnl AS x FROM p_abase_e UNION ALL SELECT symbol, xd, 0 FROM (
+  SELECT symbol, CAST(unnest(generate_series(min(xd), max(xd), INTERVAL 1 DAY)) AS DATE) AS xd FROM p_abase_e GROUP BY symbol) WHERE isodow(xd) <= 5) GROUP BY ALL"""
+CTES["edsr"] = f"""
+SELECT symbol, {_PHI} AS dsr FROM (SELECT symbol, greatest(-10, least(10, (mu / sd - se * {_EMAX!r}) / se)) AS z FROM (
+  SELECT symbol, mu, sd, sqrt(greatest(1 - sk * mu / sd + (ku - 3) / 4 * (mu / sd) ** 2, 1e-9) / (n - 1)) AS se FROM (
+    SELECT symbol, count(*) AS n, any_value(m) AS mu, any_value(s) AS sd, avg(((x - m) / s) ** 3) AS sk, avg(((x - m) / s) ** 4) AS ku FROM (
+      SELECT *, avg(x) OVER (PARTITION BY symbol) AS m, stddev_samp(x) OVER (PARTITION BY symbol) AS s FROM eday) GROUP BY symbol)))"""
+_ECHECKS = {c: clone.sql(q) for c, q in check_sql_by_name(30).items()}
+CTES["egau"] = ("SELECT symbol, " + ", ".join(f"max(verdict) FILTER (name = '{c}') AS check_{c}" for c in _ECHECKS) + ", count(*) FILTER (verdict = 'PASS') AS pass_count FROM ("
+                + " UNION ALL ".join(f"SELECT symbol, '{c}' AS name, verdict FROM ({q})" for c, q in _ECHECKS.items()) + ") GROUP BY symbol")
+add("strategy_evaluation", "symbol:s row_count:i contract_ok:i causality_ok:d edge_status:s trade_count:d net_pnl:d sharpe_ratio:d dsr:d decay_verdict:s factor_verdict:s pass_count:d "
+    + " ".join(f"check_{c}:s" for c in _ECHECKS) + " gauntlet_verdict:s gates_passed:d meets_thresholds:d failed_stage:s failure_code:s verdict:s",
+    lambda x: _evaluation(x).withColumns({c: F.col(c).cast("int") for c in ("contract_ok", "causality_ok", "gates_passed", "meets_thresholds")}), f"""
+SELECT *, CASE failed_stage WHEN 'signal_contract' THEN failed_stage WHEN 'signal_causality' THEN failed_stage WHEN 'edge_surface' THEN edge_status END AS failure_code,
+  CASE WHEN failed_stage IS NULL THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (
+SELECT *, CASE WHEN contract_ok = 0 THEN 'signal_contract' WHEN causality_ok = 0 THEN 'signal_causality' WHEN NOT go THEN 'edge_surface' WHEN meets_thresholds = 0 THEN 'metrics'
+  WHEN gauntlet_verdict <> 'PASS' THEN 'gauntlet' WHEN gates_passed = 0 THEN 'advanced_gates' END AS failed_stage FROM (
+SELECT s.symbol, s.row_count, CASE WHEN s.symbol = 'S0' THEN 0 ELSE 1 END AS contract_ok, CASE WHEN s.symbol <> 'S0' THEN CASE WHEN s.symbol = 'S1' THEN 0 ELSE 1 END END AS causality_ok,
+  CASE WHEN alive THEN edge_status END AS edge_status, go, CASE WHEN go THEN m.trade_count END AS trade_count, CASE WHEN go THEN m.net_pnl END AS net_pnl, CASE WHEN go THEN m.sharpe_ratio END AS sharpe_ratio,
+  CASE WHEN go THEN d.dsr ELSE 0 END AS dsr, CASE WHEN go THEN 'INSUFFICIENT_DATA' END AS decay_verdict, CASE WHEN go THEN f.verdict END AS factor_verdict,
+  {", ".join(f"CASE WHEN go THEN g.check_{c} END AS check_{c}" for c in _ECHECKS)}, CASE WHEN go THEN g.pass_count END AS pass_count,
+  CASE WHEN go THEN CASE WHEN g.pass_count = {len(_ECHECKS)} THEN 'PASS' ELSE 'FAIL' END END AS gauntlet_verdict,
+  CASE WHEN go THEN CASE WHEN d.dsr >= 0 AND f.verdict IN ('ALPHA_WITH_BETA_EXPOSURE', 'PURE_ALPHA') THEN 1 ELSE 0 END END AS gates_passed,
+  CASE WHEN go THEN CASE WHEN m.sharpe_ratio >= 0.5 AND m.trade_count >= 30 THEN 1 ELSE 0 END END AS meets_thresholds
+FROM (SELECT symbol, count(*) AS row_count, symbol NOT IN ('S0', 'S1') AS alive, symbol NOT IN ('S0', 'S1') AND any_value(edge_status) = 'global_edge' AS go, any_value(edge_status) AS edge_status
+  FROM b JOIN est USING (symbol) GROUP BY symbol) s LEFT JOIN m_abase_e m USING (symbol) LEFT JOIN edsr d USING (symbol) LEFT JOIN fver_e f USING (symbol) LEFT JOIN egau g USING (symbol)))""")
 
 # --- user strategies
 def _momentum_rule(df, params):

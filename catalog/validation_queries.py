@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 import math
+import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -141,8 +142,15 @@ for _end, _a, _paid in (("", "", False), ("_adaptive", "a", True)):
         lambda x, p=_paid: G.decay_test(stored_signals(x), KEYS, 4, adaptive=p).withColumn("is_declining", F.col("is_declining").cast("int")), CHECK_SQL[f"{_a}decay"])
 CHECK_SQL["trade_count"] = "SELECT symbol, trade_count, CASE WHEN trade_count >= {} THEN 'PASS' ELSE 'FAIL' END AS verdict FROM m_base"
 add("trade_count_test", "symbol:s trade_count:i verdict:s", lambda x: G.trade_count_test(signal_bars(x), KEYS, 150), CHECK_SQL["trade_count"].format(150))
-_CHECKS = {"shuffle": CHECK_SQL["ashuffle_20"], **{c: CHECK_SQL[f"a{c}"] for c in ("walk_forward", "regime")}, "signal_perturbation": CHECK_SQL["aperturbation"],
-           **{c: CHECK_SQL[f"a{c}"] for c in ("cost_sensitivity", "decay")}, "trade_count": CHECK_SQL["trade_count"].format(50)}
+
+
+def check_sql_by_name(min_trades: int) -> dict[str, str]:
+    """SQL of the gauntlet's checks at adaptive costs, by name."""
+    return {"shuffle": CHECK_SQL["ashuffle_20"], **{c: CHECK_SQL[f"a{c}"] for c in ("walk_forward", "regime")}, "signal_perturbation": CHECK_SQL["aperturbation"],
+            **{c: CHECK_SQL[f"a{c}"] for c in ("cost_sensitivity", "decay")}, "trade_count": CHECK_SQL["trade_count"].format(min_trades)}
+
+
+_CHECKS = check_sql_by_name(50)
 add("validation_gauntlet", "symbol:s shuffle:s walk_forward:s regime:s signal_perturbation:s cost_sensitivity:s decay:s trade_count:s "
     "pass_count:i overall_verdict:s", lambda x: G.gauntlet(stored_signals(x), KEYS, iterations=20), f"""
 SELECT *, CASE WHEN pass_count = {len(_CHECKS)} THEN 'PASS' ELSE 'FAIL' END AS overall_verdict FROM (
@@ -337,3 +345,21 @@ SELECT w.symbol, coalesce(dsr, 0) AS dsr, CASE WHEN dsr IS NULL THEN 0 ELSE 1 EN
   CASE WHEN decay_verdict IN ('STABLE', 'NOISY', 'DEAD') THEN 1 ELSE 0 END AS decay_passed, CASE WHEN verdict IN ('INCONCLUSIVE', 'PURE_ALPHA') THEN 1 ELSE 0 END AS factor_passed
 FROM (SELECT symbol || x AS symbol FROM dsr2, (VALUES (''), ('.new')) AS v(x)) w LEFT JOIN (SELECT symbol, {_PHI} AS dsr FROM dsr2) d USING (symbol)
 LEFT JOIN adecay USING (symbol) LEFT JOIN fver USING (symbol))""")
+
+
+def clone(roots: dict[str, str], suffix: str) -> None:
+    """The CTEs of signals, trades, checks and attribution once more, under names with ``suffix``, over other root tables."""
+    names = [n for n in CTES if n in _CLONED or n.startswith(("n_", "t_", "p_", "m_"))]
+    clone.names, clone.suffix, clone.roots = names, suffix, roots
+    for n in names:
+        CTES[n + suffix] = clone.sql(CTES[n])
+
+
+def _cloned(sql: str) -> str:
+    pattern = re.compile(r"\b(" + "|".join(map(re.escape, [*clone.names, *clone.roots])) + r")\b")
+    return pattern.sub(lambda m: clone.roots.get(m.group(1), m.group(1) + clone.suffix), sql)
+
+
+clone.sql = _cloned
+_CLONED = {"sn", "ev", "ser", "blk", "paid", "paid1", "paid2", "shuf", "ashuf", "pert", "paert", "fold", "fw", "chunk", "dvol", "fpaid", "fpaid1", "fpaid2", "cpaid", "cpaid1", "cpaid2",
+           "fcost", "ftr", "aftr", "wf", "awf", "fret", "fat", "fat2", "fat3", "fat4", "fat5", "fver", "dret"}
