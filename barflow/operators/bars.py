@@ -133,16 +133,38 @@ def _mark_stacks(levels: DataFrame, keys: list[str], p: dict) -> DataFrame:
     return df.drop("_i", "_adj", "_up", "_dn")
 
 
-def _fold_levels(levels: DataFrame, keys: list[str], p: dict) -> DataFrame:
-    """Bars from their price levels."""
+def stack_counts(cells: Column, p: dict) -> tuple[Column, Column]:
+    """Buy and sell stacks of a bar from its sorted array of (level, vol, buy, sell): the rule of ``_mark_stacks`` without a window."""
+    ratio, need = float(p["stack_ratio"]), int(p["stack_levels"])
+    place = F.sequence(F.lit(0), F.size(cells) - 1)
+
+    def count(flag) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            c, before, after = F.get(cells, i), F.get(cells, i - 1), F.get(cells, i + 1)
+            joined = F.coalesce(before["level"] == c["level"] - 1, F.lit(False))
+            streak = F.when(F.coalesce(flag(c, before, after), F.lit(False)), F.when(joined, acc["s"]).otherwise(0) + 1).otherwise(0)
+            return F.struct(streak.cast("int").alias("s"), (acc["n"] + F.when(streak == need, 1).otherwise(0)).cast("int").alias("n"))
+        start = F.struct(F.lit(0).cast("int").alias("s"), F.lit(0).cast("int").alias("n"))
+        return F.when(F.size(cells) > 0, F.aggregate(place, start, step)["n"]).otherwise(0)
+    up = count(lambda c, before, after: (before["level"] == c["level"] - 1) & (c["buy"] > 0) & (c["buy"] >= ratio * before["sell"]))
+    down = count(lambda c, before, after: (after["level"] == c["level"] + 1) & (c["sell"] > 0) & (c["sell"] >= ratio * after["buy"]))
+    return up, down
+
+
+def _fold_levels(levels: DataFrame, keys: list[str], p: dict, windows: bool = True) -> DataFrame:
+    """Bars from their price levels; without ``windows`` (streams) the stacks are counted in each bar's own array of levels."""
     traded = F.col("level").isNotNull()
     by_level = F.col("level")
     cell = F.struct("level", "vol", "buy", "sell")
     total = {n: F.sum(n).alias(n) for n in (
         "n_msg", "n_add", "n_cancel", "n_modify", "n_trade", "vol", "buy", "sell", "n_large", "buy_large",
         "sell_large", "n_whale", "buy_whale", "sell_whale", "pv", "lat_ns", "lat_n", "stack_up", "stack_dn")}
-    return _mark_stacks(levels, keys, p).groupBy(*keys).agg(
-        *total.values(),
+    if windows:
+        levels, cells = _mark_stacks(levels, keys, p), []
+    else:
+        total, cells = {k: v for k, v in total.items() if not k.startswith("stack_")}, [F.sort_array(F.collect_list(F.when(traded, cell))).alias("_cells")]
+    out = levels.groupBy(*keys).agg(
+        *total.values(), *cells,
         F.max("px_max").alias("high"), F.min("px_min").alias("low"),
         F.min("first_print").alias("first_print"), F.max("last_print").alias("last_print"),
         F.max("book").alias("book"),
@@ -150,6 +172,10 @@ def _fold_levels(levels: DataFrame, keys: list[str], p: dict) -> DataFrame:
         F.max(F.when(traded, cell)).alias("top"), F.min(F.when(traded, cell)).alias("bottom"),
         F.sort_array(F.collect_list(F.when(traded, F.struct(by_level, F.col("vol"))))).alias("vap"),
     ).filter(F.col("n_trade") > 0)
+    if not windows:
+        up, down = stack_counts(F.col("_cells"), p)
+        out = out.withColumns({"stack_up": up, "stack_dn": down}).drop("_cells")
+    return out
 
 
 def _bar_projection(folded: DataFrame, start: Column, seq: Column, p: dict) -> DataFrame:
@@ -200,6 +226,15 @@ def time_bars(ticks: DataFrame, size: str, params: dict | None = None) -> DataFr
     return _bar_projection(folded, F.timestamp_micros(F.col("bar_id") * width), F.lit(0).cast("bigint"), p)
 
 
+def windowed_bars(ticks: DataFrame, size: str, params: dict | None = None) -> DataFrame:
+    """``time_bars`` from two chained windowed aggregations (price levels, then bars), which streams can run too."""
+    p, width = resolve(params), f"{size_seconds(size)} seconds"
+    levels = _price_levels(ticks.withColumn("_w", F.window("ts_event", width)), ["symbol", "_w"], p)
+    levels = levels.withColumn("_b", F.window(F.window_time("_w"), width)).drop("_w")
+    folded = _fold_levels(levels, ["symbol", "_b"], p, windows=False)
+    return _bar_projection(folded, F.col("_b.start"), F.lit(0).cast("bigint"), p)
+
+
 def _day_prefix(trades: DataFrame, amount: Column, slice_minutes: int = 1) -> DataFrame:
     """Running total of ``amount`` through each trade of its (symbol, day), as ``running_total``.
 

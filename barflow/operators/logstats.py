@@ -17,19 +17,27 @@ def trials(log: DataFrame) -> DataFrame:
     return log.filter(F.col("event").isin(*TRIAL_EVENTS) | (blank & named))
 
 
-def trial_counts(log: DataFrame) -> DataFrame:
-    """Raw, unique and effective trials; families count with the square root of their size."""
+def trial_keys(log: DataFrame) -> DataFrame:
+    """(family, key) of each trial: its strategy's name and its identity, the id or else name and parameters."""
     key = F.coalesce(F.nullif("strategy_id", F.lit("")), F.concat_ws(":", F.col("strategy_name"), json_reordered(F.col("params"))))
-    t = trials(log).withColumns({"_key": key, "_family": F.coalesce(F.nullif(F.trim("strategy_name"), F.lit("")), "strategy_id")})
-    fam = t.groupBy("_family").agg(F.count(F.lit(1)).alias("n"))
-    f = fam.agg(F.sum("n").alias("raw_trials"), F.count("_family").alias("family_count"),
-                F.sum(F.when(F.col("_family").isNotNull(), F.sqrt("n"))).alias("_e"), F.lit(1).alias("_k"))
-    u = t.agg(F.countDistinct("_key").alias("unique_strategies"), F.lit(1).alias("_k"))
+    return trials(log).select(F.coalesce(F.nullif(F.trim("strategy_name"), F.lit("")), "strategy_id").alias("family"), key.alias("key"))
+
+
+def trial_totals(counts: DataFrame) -> DataFrame:
+    """Raw, unique and effective trials of counted (family, key, n) rows; families count with the square root of their size."""
+    f = counts.groupBy("family").agg(F.sum("n").alias("n")).agg(
+        F.sum("n").alias("raw_trials"), F.count("family").alias("family_count"), F.sum(F.when(F.col("family").isNotNull(), F.sqrt("n"))).alias("_e"), F.lit(1).alias("_k"))
+    u = counts.agg(F.countDistinct("key").alias("unique_strategies"), F.lit(1).alias("_k"))
     return f.join(u, "_k").select(
         F.coalesce("raw_trials", F.lit(0)).alias("raw_trials"), "unique_strategies", "family_count",
         F.expr("if(coalesce(raw_trials, 0) = 0 or _e is null, 1L, greatest(1L, least(cast(round(_e) as bigint), raw_trials)))").alias("effective_trials"))
 
 
+def trial_counts(log: DataFrame) -> DataFrame:
+    """Raw, unique and effective trials of a log."""
+    return trial_totals(trial_keys(log).groupBy("family", "key").agg(F.count(F.lit(1)).alias("n")))
+
+
 def normalize_theme(tag: Column) -> Column:
     """Slug of at most four parts; an empty tag is ``other``."""
     slug = F.regexp_replace(F.regexp_replace(F.lower(tag), "[^a-z0-9]+", "_"), "^_+|_+$", "")

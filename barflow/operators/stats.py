@@ -49,7 +49,7 @@ def deflated_sharpe(returns: DataFrame, keys: list[str], value: str, n_trials) -
     m = m.withColumn("available", F.coalesce(F.expr("sample_count >= 3 and std_return > 1e-12"), F.lit(False)))
     # Spark's moments use the population deviation; standardising by the sample one rescales them.
     m = m.withColumns({
-        "_r": F.expr("(sample_count - 1) / sample_count"),
+        "_r": F.expr("(sample_count - 1) / greatest(sample_count, 1)"),
         "sharpe": F.expr("if(available, mean_return / std_return, 0D)")}).withColumns({
         "skew": F.expr("if(available, _g1 * pow(_r, 1.5), null)"), "kurtosis": F.expr("if(available, (_g2 + 3) * _r * _r, null)")})
     m = m.withColumn("sharpe_std_error", F.expr(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -28,22 +29,65 @@ def column_strategy(df: DataFrame, fn: Callable[[DataFrame, dict], DataFrame], p
     return out.withColumn("signal", sign_signal(F.col("signal")))
 
 
-def python_strategy(df: DataFrame, fn: Callable[[pd.DataFrame, dict], np.ndarray], params: dict | None = None,
-                    keys: tuple[str, ...] = ("symbol", "session_date")) -> DataFrame:
-    """Run a Python function on each (symbol, day) frame; Spark partitions the days, one Arrow batch each."""
-    params, schema = params or {}, T.StructType([f for f in df.schema.fields if f.name != "signal"] + [T.StructField("signal", T.ByteType())])
+def _signals(raw, rows: int) -> np.ndarray:
+    out = np.asarray(raw, dtype=float)
+    if out.shape != (rows,):
+        raise ValueError(f"signal has shape {out.shape}, expected ({rows},)")
+    return np.sign(np.where(np.isfinite(out), out, 0.0)).astype("int8")
+
+
+def python_strategy(df: DataFrame, fn: Callable, params: dict | None = None, keys: tuple[str, ...] = ("symbol", "session_date"), states: DataFrame | None = None,
+                    on: tuple[str, ...] = ("fold",)) -> DataFrame:
+    """Run a Python function on each (symbol, day) frame; Spark partitions the days, one Arrow batch each.
+
+    With ``states`` (see :func:`fit_states`) each day meets the model state of its ``on`` columns and ``fn(frame, params, state)`` is called; a day
+    without a state gets None.
+    """
+    params, schema = params or {}, T.StructType([f for f in df.schema.fields if f.name not in ("signal", "state")] + [T.StructField("signal", T.ByteType())])
     names = [f.name for f in schema.fields]
+    with_state = states is not None
 
     def one_day(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(BAR_ORDER)).reset_index(drop=True)
-        raw = np.asarray(fn(pdf, params), dtype=float)
-        if raw.shape != (len(pdf),):
-            raise ValueError(f"signal has shape {raw.shape}, expected ({len(pdf)},)")
-        return pdf.assign(signal=np.sign(np.where(np.isfinite(raw), raw, 0.0)).astype("int8"))[names]
-
+        if not with_state:
+            return pdf.assign(signal=_signals(fn(pdf, params), len(pdf)))[names]
+        packed = pdf["state"].iloc[0]
+        pdf = pdf.drop(columns="state")
+        return pdf.assign(signal=_signals(fn(pdf, params, None if packed is None else json.loads(packed)), len(pdf)))[names]
+
+    if with_state:
+        return df.join(states.select(*on, "state"), list(on), "left").groupBy(*keys).applyInPandas(one_day, schema)
     return df.groupBy(*keys).applyInPandas(one_day, schema)
 
 
+def fold_rows(df: DataFrame, folds: DataFrame, role: str, day: str = "session_date") -> DataFrame:
+    """The rows of each fold's ``role`` days, with ``fold``."""
+    return df.join(folds.filter(F.col("role") == role).select("fold", F.col("date").alias(day)), day)
+
+
+def fit_states(df: DataFrame, folds: DataFrame, summarise: Callable[[pd.DataFrame, dict], dict], combine: Callable[[list[dict], dict], dict], params: dict | None = None,
+               keys: tuple[str, ...] = ("symbol",), day: str = "session_date") -> DataFrame:
+    """(keys, fold, state): the model state of each fold, fitted once on its training days; states are JSON.
+
+    ``summarise(frame, params)`` turns one day of one key into a small record, and ``combine(records, params)`` the records of a fold's days, in
+    the order of days, into the state.  So no task holds a fold's bars: it holds one day, or one record a day.
+    """
+    params, keys = params or {}, list(keys)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    lead = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def one_day(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(BAR_ORDER)).reset_index(drop=True)
+        return pdf.iloc[:1][[*keys, day]].assign(record=json.dumps(summarise(pdf, params)))
+
+    def one_fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(day)
+        return pdf.iloc[:1][[*keys, "fold"]].assign(state=json.dumps(combine([json.loads(r) for r in pdf["record"]], params)))
+    trained = df.join(folds.filter("role = 'train'").select(F.col("date").alias(day)).distinct(), day, "left_semi")
+    records = stored(trained.groupBy(*keys, day).applyInPandas(one_day, f"{lead}, `{day}` {kinds[day]}, record string"), "day_records")  # a day once, however many folds it trains
+    return fold_rows(records, folds, "train", day).groupBy(*keys, "fold").applyInPandas(one_fold, f"{lead}, fold {folds.schema['fold'].dataType.simpleString()}, state string")
+
+
 def fitted_strategy(df: DataFrame, folds: DataFrame, n_folds: int, estimator, day: str = "session_date", threshold: float = 0.5) -> DataFrame:
     """Fit a Spark ML estimator on each fold's training days and signal its test days.
 

@@ -8,22 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.bars import size_seconds
+from ..operators.bars import windowed_bars
+from ..operators.logstats import trial_keys, trial_totals
 
 
-def streaming_bars(ticks: DataFrame, size: str, lateness: str = "10 minutes") -> DataFrame:
-    """OHLCV bars of a tick stream in append mode; ticks older than the watermark are dropped.
+def streaming_bars(ticks: DataFrame, size: str, lateness: str = "10 minutes", params: dict | None = None) -> DataFrame:
+    """All columns of the time bars of a tick stream in append mode; ticks older than the watermark are dropped.
 
-    Built-in stateful aggregation only, so state is bounded by the open windows.
+    Two chained built-in aggregations: price levels of a window, then the bar of its levels.  State is bounded by the windows
+    that are open; on closed input the bars equal ``time_bars``.
     """
-    when = F.struct("ts_event", "seq")
-    trades = ticks.filter(F.col("action") == "T").withWatermark("ts_event", lateness)
-    g = trades.groupBy("symbol", F.window("ts_event", f"{size_seconds(size)} seconds").alias("w")).agg(
-        F.min_by("price", when).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", when).alias("close"),
-        F.sum("size").alias("volume"), F.count(F.lit(1)).alias("trade_count"),
-        F.sum(F.when(F.col("side") == "A", F.col("size")).otherwise(0)).alias("buy_volume"),
-        F.sum(F.when(F.col("side") == "B", F.col("size")).otherwise(0)).alias("sell_volume"))
-    return g.select("symbol", F.col("w.start").alias("ts_event"), "open", "high", "low", "close", "volume", "trade_count", "buy_volume", "sell_volume")
+    return windowed_bars(ticks.withWatermark("ts_event", lateness), size, params)
 
 
 def deduplicated_log(log: DataFrame, window: str = "1 day") -> DataFrame:
@@ -37,6 +32,28 @@ def run_log_stream(log: DataFrame, checkpoint: str, update: Callable[[DataFrame,
             .trigger(availableNow=True).start())
 
 
+def batch_sink(path: str, partials: str | None = None) -> Callable[[DataFrame, int], None]:
+    """``update`` of a log stream that stores each batch under its own id, so a batch that is replayed replaces itself.
+
+    With ``partials`` the batch's trials, counted by family and key, are stored likewise; see :func:`counted_trials`.
+    """
+    def update(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        try:
+            kept.write.mode("overwrite").parquet(f"{path}/batch={int(batch_id)}")
+            if partials:
+                keyed = trial_keys(kept).groupBy("family", "key").agg(F.count(F.lit(1)).alias("n"))
+                keyed.write.mode("overwrite").parquet(f"{partials}/batch={int(batch_id)}")
+        finally:
+            kept.unpersist()
+    return update
+
+
+def counted_trials(partials: DataFrame) -> DataFrame:
+    """Trial counts from the counts of all batches: the rows read are families and keys, not the log."""
+    return trial_totals(partials.groupBy("family", "key").agg(F.sum("n").alias("n")))
+
+
 def run_bar_stream(ticks: DataFrame, size: str, path: str, checkpoint: str, lateness: str = "10 minutes") -> StreamingQuery:
     return (streaming_bars(ticks, size, lateness).writeStream.outputMode("append").format("parquet").option("path", path)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

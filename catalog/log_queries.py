@@ -81,20 +81,20 @@ def _half_store(x):
 CTES["ses"] = "SELECT DISTINCT v.s AS session, date FROM tkd, (VALUES ('rth', 570), ('eth', 180)) AS v(s, m) WHERE action = 'T' AND minute >= m AND minute < 960"
 CTES["want"] = "SELECT DISTINCT s AS session, date FROM tkd, (VALUES ('rth'), ('eth')) AS v(s)"
 add("missing_partitions", "session:s date:D", lambda x: D.missing_partitions(_wanted(x), D.stored_partitions(x.spark, _half_store(x))),
-    "SELECT * FROM want EXCEPT SELECT * FROM ses WHERE session = 'eth' OR day(date) % 2 = 0")
+    "SELECT * FROM want WHERE session = 'rth' AND day(date) % 2 = 1")
 
 
 def _rebuild(x):
-    """Only what is missing is built the second time, and nothing the third."""
+    """Only what is missing is built the second time, and nothing the third, days without bars included."""
     path = _half_store(x)
     second, third = (D.load_or_build(x.spark, path, _wanted(x), _bars_of(x), SIG) for _ in range(2))
     rows = x.spark.read.parquet(path).groupBy("session").agg(F.countDistinct("date").alias("days"), F.sum("volume").alias("volume"))
     out = rows.join(second.select("session", F.col("total").alias("built_second")), "session", "left").na.fill(0, ["built_second"])
-    return out.join(third.select("session", F.col("completed").alias("built_third")), "session", "left").na.fill(0, ["built_third"])
+    return out.join(third.select("session", F.col("total").alias("built_third")), "session", "left").na.fill(0, ["built_third"])
 
 
 add("store_reuse", "session:s days:i volume:i built_second:i built_third:i", _rebuild, """
-SELECT session, count(DISTINCT date) AS days, sum(size) AS volume, (SELECT count(*) FROM (SELECT * FROM want w WHERE w.session = v.session EXCEPT SELECT * FROM ses WHERE session = 'eth' OR day(date) % 2 = 0)) AS built_second,
+SELECT session, count(DISTINCT date) AS days, sum(size) AS volume, (SELECT count(*) FROM want w WHERE w.session = v.session AND session = 'rth' AND day(date) % 2 = 1) AS built_second,
   0 AS built_third FROM tkd, (VALUES ('rth', 570), ('eth', 180)) AS v(session, m) WHERE action = 'T' AND minute >= m AND minute < 960 GROUP BY session""")
 
 
@@ -103,8 +103,8 @@ def _bulk(x):
     return D.load_or_build(x.spark, path, _wanted(x, configs), _bars_of(x), SIG)
 
 
-add("bulk_build_report", "session:s bar_config:s total:i completed:i errors:i", _bulk, """
-SELECT session, c AS bar_config, count(*) AS total, count(*) FILTER (ok) AS completed, count(*) FILTER (NOT ok) AS errors FROM (
+add("bulk_build_report", "session:s bar_config:s total:i completed:i errors:i empty:i", _bulk, """
+SELECT session, c AS bar_config, count(*) AS total, count(*) AS completed, 0 AS errors, count(*) FILTER (NOT ok) AS empty FROM (
   SELECT w.session, c, EXISTS (SELECT 1 FROM ses s WHERE s.session = w.session AND s.date = w.date) AS ok FROM want w, (VALUES ('time_60m'), ('tick_40')) AS v(c)) GROUP BY ALL""")
 
 
@@ -118,6 +118,17 @@ def _matrix_store(x):
     return m.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("bar_count"), F.sum("return_1bar").alias("return_sum"))
 
 
+def _manifest(x):
+    """The notes of the bulk store: every day of both configurations once, with its rows."""
+    path = _stored_store(x, "noted")
+    D.load_or_build(x.spark, path, _wanted(x), _bars_of(x), SIG, B.BAR_COLUMNS)
+    return D.manifest(x.spark, path).withColumn("complete", F.expr(f"size(split(columns, ',')) >= {len(B.BAR_COLUMNS)}").cast("int"))
+
+
+add("store_manifest", "session:s bar_config:s date:D row_count:i complete:i", _manifest, """
+SELECT w.session, 'time_60m' AS bar_config, w.date, count(DISTINCT symbol || '/' || (epoch_us(ts_event) // 3600000000)) AS row_count, 1 AS complete FROM want w LEFT JOIN (
+  SELECT v.session, t.* FROM tkd t, (VALUES ('rth', 570), ('eth', 180)) AS v(session, m) WHERE action = 'T' AND minute >= m AND minute < 960) t ON t.session = w.session AND t.date = w.date
+GROUP BY ALL""")
 add("matrix_store", "symbol:s date:D bar_count:i return_sum:d", _matrix_store, """
 SELECT b.symbol, b.session_date AS date, count(*) AS bar_count, sum(return_1bar) AS return_sum FROM b LEFT JOIN mom USING (symbol, session_date, ts_event, seq) GROUP BY ALL""")
 add("representative_day_sample", "symbol:s session_date:D ts_event:t seq:i", lambda x: D.sample_days(x.bars(), 5, 8), """
@@ -545,7 +556,68 @@ def _fitted(x):
     return U.fitted_strategy(df, folds, 1, est, threshold=0.5)
 
 
+def _fitted_prior(x):
+    """A fit with a closed form: naive Bayes on whether the bar rose, so the SQL can count the same probabilities."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.feature import VectorAssembler
+    bars = x.bars().select("symbol", "session_date", "ts_event", "seq", "open", "close")
+    ahead = F.lead("close").over(Window.partitionBy("symbol", "session_date").orderBy("ts_event", "seq"))
+    df = stage.stored(bars.withColumns({"label": (ahead > F.col("close")).cast("double"), "rose": (F.col("close") > F.col("open")).cast("double")}).dropna(), "labels")
+    folds = df.select(F.lit(1).alias("fold"), F.when(F.col("session_date") < "2024-01-16", "train").otherwise("test").alias("role"), F.col("session_date").alias("date")).distinct()
+    est = Pipeline(stages=[VectorAssembler(inputCols=["rose"], outputCol="features"), NaiveBayes(modelType="bernoulli", smoothing=1.0)])
+    return U.fitted_strategy(df, folds, 1, est, threshold=0.55)
+
+
 add("fitted_strategy", "symbol:s ts_event:t fold:i signal:i", _fitted)
+CTES["nbr"] = """
+SELECT * FROM (SELECT symbol, session_date, ts_event, seq, CASE WHEN close > open THEN 1 ELSE 0 END AS rose,
+  CASE WHEN lead(close) OVER (PARTITION BY symbol, session_date ORDER BY ts_event, seq) > close THEN 1 WHEN lead(close) OVER (PARTITION BY symbol, session_date ORDER BY ts_event, seq) <= close THEN 0 END AS label
+  FROM b) WHERE label IS NOT NULL"""
+CTES["nbc"] = "SELECT label, count(*) AS n, sum(rose) AS r FROM nbr WHERE session_date < DATE '2024-01-16' GROUP BY label"
+add("fitted_strategy_closed_form", "symbol:s ts_event:t fold:i signal:i", _fitted_prior, """
+SELECT symbol, ts_event, 1 AS fold, CASE WHEN p > 0.55 THEN 1 WHEN p < 0.45 THEN -1 ELSE 0 END AS signal FROM (
+  SELECT t.*, j1 / (j0 + j1) AS p FROM nbr t JOIN (
+    SELECT rose, max(j) FILTER (label = 1) AS j1, max(j) FILTER (label = 0) AS j0 FROM (
+      SELECT label, v AS rose, (n + 1) * (CASE WHEN v = 1 THEN r + 1 ELSE n - r + 1 END) / (n + 2) AS j FROM nbc, (VALUES (0), (1)) AS x(v)) GROUP BY rose) USING (rose)
+  WHERE session_date >= DATE '2024-01-16')""")
+
+
+# --- strategies with a model state that is fitted once a fold
+def _day_record(pdf, params):
+    return {"n": len(pdf), "sum": float(pdf["close"].sum()), "high": float(pdf["high"].max())}
+
+
+def _fold_state(records, params):
+    return {"mean": sum(r["sum"] for r in records) / sum(r["n"] for r in records), "high": max(r["high"] for r in records), "days": len(records)}
+
+
+def _stateful_rule(pdf, params, state):
+    if state is None or state["days"] < params["min_days"]:
+        return np.zeros(len(pdf))
+    return np.where(pdf["high"] >= state["high"], 0.0, state["mean"] - pdf["close"])
+
+
+def _day_folds(x):
+    """Three folds: days of each third of the month are tested after all earlier days; the first third has no training days."""
+    d = x.bars().select(F.col("session_date").alias("date")).distinct().withColumn("third", F.expr("least((dayofmonth(date) - 1) div 10, 2)"))
+    tests = d.select(F.col("third").alias("fold"), F.lit("test").alias("role"), "date")
+    return tests.unionByName(d.select(F.explode(F.filter(F.array(F.lit(1), F.lit(2)), lambda k: k > F.col("third"))).alias("fold"), F.lit("train").alias("role"), "date"))
+
+
+def _stateful(x):
+    bars, folds = x.stored_bars().select("symbol", "session_date", "ts_event", "seq", "high", "close"), _day_folds(x)
+    states = U.fit_states(bars, folds, _day_record, _fold_state)
+    return U.python_strategy(U.fold_rows(bars, folds, "test"), _stateful_rule, {"min_days": 4}, states=states, on=("symbol", "fold"))
+
+
+CTES["thr"] = "SELECT *, least((day(session_date) - 1) // 10, 2) AS third FROM b"
+CTES["mst"] = """SELECT symbol, k AS fold, avg(close) AS m, max(high) AS h, count(DISTINCT session_date) AS d FROM thr, (VALUES (1), (2)) AS v(k) WHERE third < k GROUP BY symbol, k"""
+add("stateful_strategy", "symbol:s ts_event:t fold:i signal:i", _stateful, """
+SELECT t.symbol, ts_event, third AS fold, CASE WHEN d >= 4 AND high < h THEN sign(round(m - close, 9)) ELSE 0 END AS signal
+FROM thr t LEFT JOIN mst s ON s.symbol = t.symbol AND s.fold = t.third""")
+add("fitted_states", "symbol:s fold:i mean:d high:d days:i", lambda x: U.fit_states(x.stored_bars().select("symbol", "session_date", "ts_event", "seq", "high", "close"), _day_folds(x), _day_record, _fold_state)
+    .select("symbol", "fold", F.from_json("state", "mean double, high double, days int").alias("s")).select("symbol", "fold", "s.*"), "SELECT symbol, fold, m AS mean, h AS high, d AS days FROM mst")
 
 
 # --- streams, driven to completion over the tick table
@@ -561,24 +633,41 @@ def _stream_bars(x):
 
 
 CTES["wm"] = "SELECT max(ts_event) - INTERVAL 10 MINUTE AS w FROM ticks WHERE action = 'T'"
-add("streaming_bars", "symbol:s ts_event:t open:d high:d low:d close:d volume:i trade_count:i buy_volume:i sell_volume:i", _stream_bars,
-    "SELECT * FROM b WHERE ts_event + INTERVAL 60 MINUTE <= (SELECT w FROM wm)")
+_FULL = ("ts_close:t bar_duration_ns:i open:d high:d low:d close:d volume:i vwap:d trade_count:i buy_volume:i sell_volume:i large_trade_count:i large_buy_volume:i large_sell_volume:i "
+         "whale_trade_count_30:i whale_buy_volume_30:i whale_sell_volume_30:i bid_price:d ask_price:d bid_size:i ask_size:i bid_count:i ask_count:i msg_count:i add_count:i cancel_count:i "
+         "modify_count:i latency_mean:d stacked_imbalance_count:i stacked_imbalance_direction:i zero_print_count:i zero_print_ratio:d unfinished_high:i unfinished_low:i max_level_volume:i "
+         "volume_at_high:i volume_at_low:i buy_vol_at_high:i sell_vol_at_high:i buy_vol_at_low:i sell_vol_at_low:i vap_prices:s vap_volumes:s")
 
 
-def _streamed_log(x):
-    """The table that a stream of the log, a third of it sent twice, has written: each id once."""
-    src, out, ck = (_stored_store(x, n) for n in ("logsrc", "streamlog", "logck"))
+def _texts(df):
+    return df.withColumns({c: F.array_join(F.transform(c, lambda v: v.cast("decimal(18,2)").cast("string")), ",") for c in ("vap_prices", "vap_volumes")})
+
+
+_VAPS = ", ".join(f"array_to_string(list_transform({c}, lambda v: CAST(CAST(v AS DECIMAL(18,2)) AS VARCHAR)), ',') AS {c}" for c in ("vap_prices", "vap_volumes"))
+add("streaming_bars", f"symbol:s session_date:D ts_event:t {_FULL}", lambda x: _texts(_stream_bars(x)),
+    f"SELECT * EXCLUDE (vap_prices, vap_volumes), {_VAPS} FROM b WHERE ts_event + INTERVAL 60 MINUTE <= (SELECT w FROM wm)")
+add("windowed_bars", f"symbol:s session_date:D ts_event:t {_FULL}", lambda x: _texts(B.windowed_bars(x.ticks, "60m")), f"SELECT * EXCLUDE (vap_prices, vap_volumes), {_VAPS} FROM b")
+
+
+def _streamed(x):
+    """(log table, trial counts by batch) that a stream of the log, a third of it sent twice, has written; every batch came twice, as after a lost commit."""
+    src, out, parts, ck = (_stored_store(x, n) for n in ("logsrc", "streamlog", "streamparts", "logck"))
     rows = log(x)
     rows.unionByName(rows.filter("seq % 3 = 0")).write.parquet(src)
     stream = x.spark.readStream.schema(rows.schema).parquet(src)
-    S.run_log_stream(stream, ck, lambda df, i: df.write.mode("append").parquet(out)).awaitTermination()
-    return x.spark.read.parquet(out)
+    sink = S.batch_sink(out, parts)
+    S.run_log_stream(stream, ck, lambda df, i: [sink(df, i) for _ in range(2)]).awaitTermination()
+    return x.spark.read.parquet(out), x.spark.read.parquet(parts)
+
+
+def _streamed_log(x):
+    return _streamed(x)[0].drop("batch")
 
 
 def _stream_log(x):
     return _streamed_log(x).groupBy("event").agg(F.count(F.lit(1)).alias("rows_kept"), F.countDistinct("event_id").alias("distinct_ids"))
 
 
-add("streaming_trial_counts", "raw_trials:i unique_strategies:i family_count:i effective_trials:i", lambda x: G.trial_counts(_streamed_log(x)), TRIALS_SQL)
+add("streaming_trial_counts", "raw_trials:i unique_strategies:i family_count:i effective_trials:i", lambda x: S.counted_trials(_streamed(x)[1]), TRIALS_SQL)
 add("streaming_setup_scorecard", f"setup_key:s {SC}", lambda x: G.scorecard(G.with_outcome(_streamed_log(x)), ["setup_key"]), _sc_sql("setup_key"))
 add("streaming_log_dedup", "event:s rows_kept:i distinct_ids:i", _stream_log, "SELECT ev AS event, count(*) AS rows_kept, count(*) AS distinct_ids FROM lge GROUP BY ev")
