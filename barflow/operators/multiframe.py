@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .bars import size_seconds
 
@@ -14,13 +15,28 @@ FIXED_FEATURES = [
     "latency_mean", "vwap_deviation", "weighted_book_imbalance", "trade_count_micro", "trade_intensity",
     "buy_sell_ratio",
 ]
+# The aggregations of the roll-up.
 DEFAULT_OPS = ["mean", "std", "last", "delta", "min", "max"]
 
+# Columns the fallback never takes - times, raw prices and labels (``seq`` is ours).
+NEVER = ["seq", "ts_event", "ts_close", "bar_duration_ns", "open", "high", "low", "close", "vwap", "bid_price", "ask_price", "mid_price", "poc_price", "va_high",
+         "va_low", "rolling_poc", "rolling_va_high", "rolling_va_low", "fwd_return_1bar", "fwd_return_3bar", "fwd_return_5bar", "fwd_return_6bar",
+         "fwd_return_10bar", "fwd_return_12bar", "label_1bar", "label_3bar", "label_5bar"]
 
-def roll_up(features: DataFrame, size: str, names: list[str] | None = None, ops: list[str] | None = None) -> DataFrame:
+
+def chosen_features(features: DataFrame, names: list[str] | None = None, top_n: int = 20) -> list[str]:
+    """The wanted (by default the fixed) features that are there; if none is, the ``top_n`` numeric columns of largest variance."""
+    there = [c for c in (names or FIXED_FEATURES) if c in features.columns]
+    if there:
+        return there
+    numeric = [f.name for f in features.schema.fields if isinstance(f.dataType, NumericType) and f.name not in NEVER]
+    return [r.column_name for r in most_variable(features, numeric, top_n).orderBy("rank").collect()] if numeric else []  # top_n names
+
+
+def roll_up(features: DataFrame, size: str, names: list[str] | None = None, ops: list[str] | None = None, top_n: int = 20) -> DataFrame:
     """Aggregate bar features into ``size`` windows; columns are named ``m1f_<feature>__<op>``."""
     width = size_seconds(size)
-    names = [c for c in (names or FIXED_FEATURES) if c in features.columns]
+    names = chosen_features(features, names, top_n)
     ops = ops or DEFAULT_OPS
     when, aggs = F.struct("ts_event", "seq"), []
     for c in names:

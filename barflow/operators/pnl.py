@@ -153,14 +153,14 @@ def with_bar_cost(bars: DataFrame, keys: list[str], params: dict | None = None)
 def asof_state(trades: DataFrame, state: DataFrame, on: list[str] = ("symbol",)) -> DataFrame:
     """Latest state at or before each trade's entry; trades before the first bar get neutral values.
 
-    Bars and trades share (key, day) groups; the last state of the previous bar day is carried in, so
-    no group grows with the length of the series.
+    Only the distinct entry times of a key meet its bars, so a window holds a day's bars and times however many
+    strategies trade there, and the trades themselves are joined by their time.  The last state of the previous bar day is
+    carried in, so no group grows with the length of the series.
     """
     on = list(on)
     fields = ["spread_ticks", "volatility_z", "volume_z", "rth_progress"]
-    t = trades.withColumn("_row", F.struct(*trades.columns)).select(
-        *on, F.to_date("entry_time").alias("date_utc"), F.col("entry_time").alias("_ts"), F.lit(1).alias("_side"),
-        F.lit(0).cast("bigint").alias("_seq"), "_row")
+    t = trades.select(*on, F.col("entry_time").alias("_ts")).distinct().select(
+        *on, F.to_date("_ts").alias("date_utc"), "_ts", F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_seq"))
     b = state.select(*on, "date_utc", F.col("ts_event").alias("_ts"), F.lit(0).alias("_side"), F.col("seq").alias("_seq"),
                      F.struct(*fields).alias("_state"))
     rows = t.unionByName(b, allowMissingColumns=True)
@@ -168,10 +168,10 @@ def asof_state(trades: DataFrame, state: DataFrame, on: list[str] = ("symbol",))
     days = rows.groupBy(*on, "date_utc").agg(F.max_by("_state", F.when(F.col("_side") == 0, F.struct("_ts", "_seq"))).alias("_d"))
     earlier = Window.partitionBy(*on).orderBy("date_utc").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select(*on, "date_utc", F.last("_d", ignorenulls=True).over(earlier).alias("_carry"))
-    rows = rows.withColumn("_state", F.last("_state", ignorenulls=True).over(w)).filter("_side = 1").join(
-        days, [*on, "date_utc"], "left").withColumn("_state", F.coalesce("_state", "_carry"))
+    known = rows.withColumn("_state", F.last("_state", ignorenulls=True).over(w)).filter("_side = 1").join(days, [*on, "date_utc"], "left").select(
+        *on, F.col("_ts").alias("entry_time"), F.coalesce("_state", "_carry").alias("_state"))
     neutral = {"spread_ticks": 1.0, "volatility_z": 0.0, "volume_z": 0.0, "rth_progress": 0.5}
-    return rows.select("_row.*", *[F.coalesce(F.col(f"_state.{c}"), F.lit(v)).alias(c) for c, v in neutral.items()])
+    return trades.join(known, [*on, "entry_time"], "left").select(*trades.columns, *[F.coalesce(F.col(f"_state.{c}"), F.lit(v)).alias(c) for c, v in neutral.items()])
 
 
 def cost_rt(params: dict | None = None):

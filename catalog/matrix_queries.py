@@ -264,27 +264,36 @@ add("matrix_output_filter", f"{KEY} close:d return_12bar:d", lambda x: P.output_
 SELECT m.* FROM mx m JOIN sm8 USING ({_CK}) WHERE session_date = target_date AND n8 >= 8 AND fwd_return_12bar IS NOT NULL""")
 
 
-def _column_list(x, cols):
-    names = F.array(*[F.lit(c) for c in sorted(cols)])
-    n = x.bars().agg(F.count(F.lit(1)).alias("bar_count"))
-    return n.select("bar_count", F.posexplode(names).alias("pos", "column_name"))
+def _filled(df, cols):
+    """Values of each column of a matrix by symbol: how many there are, and what the finite ones sum up to."""
+    cells = [F.struct(F.lit(c).alias("column_name"), F.count(F.col(c)).alias("value_count")) for c in sorted(cols)]
+    return df.groupBy("symbol").agg(F.array(*cells).alias("cells")).select("symbol", F.explode("cells").alias("c")).select("symbol", "c.*")
 
 
-def _listed(cols) -> str:
-    rows = ", ".join(f"({i}, '{c}')" for i, c in enumerate(sorted(cols)))
-    return f"SELECT (SELECT count(*) FROM b) AS bar_count, pos, column_name FROM (VALUES {rows}) AS v(pos, column_name)"
+def _filled_sql(source: str, cols) -> str:
+    return " UNION ALL ".join(f"SELECT symbol, '{c}' AS column_name, count({c}) AS value_count FROM {source} GROUP BY symbol" for c in sorted(cols))
 
 
-def _ohlcv_columns(x):
-    return [c for c in P.feature_group(_matrix(x), "ohlcv", keep_non_features=False).columns]
+_MOM_FEATURES = ["body_ratio", "close_position", "high_low_range", "lower_wick_ratio", "momentum_volume", "range_ma5", "return_1bar", "return_5bar", "return_12bar",
+                 "upper_wick_ratio", "volume_ma5", "volume_ratio", "vwap_deviation", "vwap_deviation_ma5"]
+_BAR_FEATURES = ["bid_size", "ask_size", "bid_count", "ask_count", "msg_count", "add_count", "cancel_count", "modify_count", "latency_mean", "stacked_imbalance_count",
+                 "stacked_imbalance_direction", "zero_print_count", "zero_print_ratio", "unfinished_high", "unfinished_low", "max_level_volume", "volume_at_high", "volume_at_low",
+                 "buy_vol_at_high", "sell_vol_at_high", "buy_vol_at_low", "sell_vol_at_low", "vap_prices", "vap_volumes"]
 
 
-add("feature_group_columns", "bar_count:i pos:i column_name:s", lambda x: _column_list(x, _ohlcv_columns(x)),
-    _listed(P.OHLCV_FEATURES))
-add("strategy_visible_columns", "bar_count:i pos:i column_name:s",
-    lambda x: _column_list(x, P.strategy_inputs(_matrix(x), "ohlcv").columns),
-    _listed(P.OHLCV_FEATURES | {"symbol", "session_date", "ts_event", "seq", "open", "high", "low", "close", "prev_day_high",
-                                "prev_day_low", "prev_day_close"}))
+def _plain_matrix(x):
+    """Momentum features and labels with all bar columns: ids, raw prices and raw flow are there to be left out."""
+    return M.labels(M.momentum(x.bars()))
+
+
+CTES["pm"] = f"SELECT m.*, {', '.join(f'fwd_return_{k}bar' for k in (1, 3, 6, 12))} FROM mom m JOIN lab USING ({_CK})"
+add("feature_columns", "symbol:s column_name:s value_count:i", lambda x: _filled(_plain_matrix(x), P.feature_columns(_plain_matrix(x))),
+    _filled_sql("pm", [*_MOM_FEATURES, "volume", *_BAR_FEATURES]))
+add("feature_group_columns", "symbol:s column_name:s value_count:i",
+    lambda x: _filled(_plain_matrix(x), P.feature_group(_plain_matrix(x), "ohlcv", keep_non_features=False).columns), _filled_sql("pm", [*_MOM_FEATURES, "volume"]))
+add("strategy_visible_columns", "symbol:s column_name:s value_count:i",
+    lambda x: _filled(_plain_matrix(x), [c for c in P.strategy_inputs(_plain_matrix(x), "ohlcv").columns if c != "symbol"]),
+    _filled_sql("pm", [*_MOM_FEATURES, "volume", "session_date", "ts_event", "seq", "open", "high", "low", "close"]))
 add("ohlcv_group", f"{KEY} return_5bar:d range_ma5:d body_ratio:d", lambda x: P.feature_group(_matrix(x), "ohlcv"),
     "SELECT * FROM mom")
 add("legacy_partition_check", "symbol:s session_date:D row_count:i is_legacy:i",
@@ -296,7 +305,7 @@ FROM lab JOIN (SELECT symbol, ts_event, minutes_since_open FROM tod) USING (symb
 
 # --- multi-timeframe
 _OPS = ["mean", "std", "last", "delta", "min", "max", "slope"]
-_FEATS = ["volume", "cvd", "order_flow_imbalance"]
+_FEATS = ["cancel_count", "buy_volume", "volume", "trade_count", "sell_volume", "add_count", "volume_ma5", "modify_count", "cvd", "order_flow_imbalance", "latency_mean", "vwap_deviation"]
 
 
 def _mtf_source(x):
@@ -313,7 +322,8 @@ def _mtf_sql(c: str) -> str:
 add("multi_timeframe", "symbol:s ts_event:t " + " ".join(f"m1f_{c}__{o}:d" for c in _FEATS for o in _OPS),
     lambda x: MF.roll_up(_mtf_source(x), "4h", _FEATS, _OPS), f"""
 SELECT symbol, make_timestamp(epoch_us(ts_event) // 14400000000 * 14400000000) AS ts_event, {', '.join(map(_mtf_sql, _FEATS))}
-FROM (SELECT a.*, order_flow_imbalance FROM agg3 a JOIN (SELECT {_CK}, order_flow_imbalance FROM flow) USING ({_CK}))
+FROM (SELECT a.*, order_flow_imbalance, volume_ma5, vwap_deviation FROM agg3 a JOIN (SELECT {_CK}, order_flow_imbalance FROM flow) USING ({_CK})
+  JOIN (SELECT {_CK}, volume_ma5, vwap_deviation FROM mom) USING ({_CK}))
 GROUP BY symbol, epoch_us(ts_event) // 14400000000""")
 _CAND = ["close", "volume", "trade_count", "vwap", "return_1bar", "cvd"]
 add("variable_features", "rank:i column_name:s variance:d",
@@ -322,6 +332,11 @@ add("variable_features", "rank:i column_name:s variance:d",
         f"SELECT '{c}' AS column_name, var_samp({c}) AS variance FROM "
         "(SELECT a.*, return_1bar FROM agg3 a JOIN (SELECT symbol, session_date, ts_event, seq, return_1bar FROM mom) "
         "USING (symbol, session_date, ts_event, seq))" for c in _CAND) + ") QUALIFY rank <= 4")
+add("multi_timeframe_fallback", "symbol:s ts_event:t " + " ".join(f"m1f_{c}__{o}:d" for c in ("volume", "trade_count") for o in ("mean", "last")),
+    lambda x: MF.roll_up(x.bars().select("symbol", "ts_event", "seq", "vwap", "close", "volume", "trade_count", "zero_print_ratio").withColumn("bar_duration_ns", F.col("volume") * 1000),
+                         "4h", ["no_such_feature"], ["mean", "last"], 2), """
+SELECT symbol, make_timestamp(epoch_us(ts_event) // 14400000000 * 14400000000) AS ts_event, avg(volume) AS m1f_volume__mean, last(volume ORDER BY ts_event, seq) AS m1f_volume__last,
+  avg(trade_count) AS m1f_trade_count__mean, last(trade_count ORDER BY ts_event, seq) AS m1f_trade_count__last FROM b GROUP BY symbol, epoch_us(ts_event) // 14400000000""")
 add("context_warmup", "symbol:s target_date:D context_bars:i context_days:i own_bars:i",
     lambda x: with_context(x.bars()).groupBy("symbol", "target_date").agg(
         F.count(F.lit(1)).alias("context_bars"), F.countDistinct("session_date").alias("context_days"),
