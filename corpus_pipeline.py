@@ -1,7 +1,8 @@
 """A corpus pipeline: quality filter, exact and near deduplication, decontamination, tokenisation.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; stages but the last return the columns of ``docs``.
-``run`` writes each stage's rows as Parquet to the shared folder and reads them again for the next one.
+``run`` writes each stage's rows as Parquet to the shared folder and reads them again for the next one; what the stage's
+operators have staged on the way is deleted then.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, quality
-from barflow.sources.stage import stored
+from barflow.sources.stage import scope, stored
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with scope(spark):
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"), outlast=True)
     return STAGES[-1][1](spark, docs, sf_dir)
