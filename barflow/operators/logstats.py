@@ -18,9 +18,13 @@ def trials(log: DataFrame) -> DataFrame:
 
 
 def trial_keys(log: DataFrame) -> DataFrame:
-    """(family, key) of each trial: its strategy's name and its identity, the id or else name and parameters."""
+    """(family, key, n) of counted trials: the strategy's name, and its identity, which is the id or else name and parameters in canonical order.
+
+    Rows are counted by their texts first, so each parameter text is parsed once.
+    """
+    raw = trials(log).groupBy("strategy_id", "strategy_name", "params").agg(F.count(F.lit(1)).alias("n"))
     key = F.coalesce(F.nullif("strategy_id", F.lit("")), F.concat_ws(":", F.col("strategy_name"), json_reordered(F.col("params"))))
-    return trials(log).select(F.coalesce(F.nullif(F.trim("strategy_name"), F.lit("")), "strategy_id").alias("family"), key.alias("key"))
+    return raw.select(F.coalesce(F.nullif(F.trim("strategy_name"), F.lit("")), "strategy_id").alias("family"), key.alias("key"), "n")
 
 
 def trial_totals(counts: DataFrame) -> DataFrame:
@@ -35,7 +39,7 @@ def trial_totals(counts: DataFrame) -> DataFrame:
 
 def trial_counts(log: DataFrame) -> DataFrame:
     """Raw, unique and effective trials of a log."""
-    return trial_totals(trial_keys(log).groupBy("family", "key").agg(F.count(F.lit(1)).alias("n")))
+    return trial_totals(trial_keys(log).groupBy("family", "key").agg(F.sum("n").alias("n")))
 
 
 def normalize_theme(tag: Column) -> Column:

@@ -42,7 +42,7 @@ def batch_sink(path: str, partials: str | None = None) -> Callable[[DataFrame, i
         try:
             kept.write.mode("overwrite").parquet(f"{path}/batch={int(batch_id)}")
             if partials:
-                keyed = trial_keys(kept).groupBy("family", "key").agg(F.count(F.lit(1)).alias("n"))
+                keyed = trial_keys(kept).groupBy("family", "key").agg(F.sum("n").alias("n"))
                 keyed.write.mode("overwrite").parquet(f"{partials}/batch={int(batch_id)}")
         finally:
             kept.unpersist()
