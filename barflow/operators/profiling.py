@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import column_quantiles
 
 EPS = 1e-12
 SPARSE_RATE = 0.005
@@ -15,31 +15,26 @@ HINT_PATTERNS = ("zscore", "ratio", "position", "width", "bandwidth", "velocity"
                  "volume", "range", "pctb")
 
 
-def long_form(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(keys, columns, "column_name", "value")
+RANKS = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
 
 
 def column_profile(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Rows, nulls, non-zero rate, quantiles and kind of each numeric column per key."""
-    long = long_form(df, keys, columns)
-    x = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
-    g = [*keys, "column_name"]
-    s = long.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("value").isNull()).alias("null_count"), F.count(x).alias("finite_count"),
-        F.count_if(F.abs(x) > EPS).alias("nonzero_count"), F.count_if(~x.isin(0.0, 1.0)).alias("_other"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    q = exact_quantiles(long, g, "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
-    s = s.withColumns({"null_rate": F.col("null_count") / F.col("row_count"),
-                       "nonzero_rate": F.expr("if(finite_count > 0, nonzero_count / finite_count, 0D)")})
+    """Rows, nulls, non-zero rate, quantiles and kind of each numeric column per key; ``df`` is read three times."""
+    s = column_quantiles(df, keys, columns, RANKS, lambda value, x: {
+        "row_count": F.count(F.lit(1)), "null_count": F.count_if(value.isNull()), "finite_count": F.count(x), "nonzero_count": F.count_if(F.abs(x) > EPS),
+        "_other": F.count_if(~x.isin(0.0, 1.0)), "_lo": F.min(x), "_hi": F.max(x)})
+    s = s.where("row_count > 0").withColumns({"null_rate": F.col("null_count") / F.col("row_count"),
+                                              "nonzero_rate": F.expr("if(finite_count > 0, nonzero_count / finite_count, 0D)")})
     kind = F.expr(f"""case when finite_count = 0 then 'all_null' when nonzero_count = 0 then 'constant_zero'
         when _other = 0 and nonzero_rate <= {SPARSE_RATE} then 'binary_sparse' when nonzero_rate <= {SPARSE_RATE} then 'sparse'
         when _hi - _lo <= {EPS} then 'constant' when _other = 0 then 'binary_active' else 'variable' end""")
-    return s.withColumn("kind", kind).drop("_other", "_lo", "_hi").join(q, g, "left")
+    return s.withColumn("kind", kind).drop("_other", "_lo", "_hi")
 
 
 def sample_spread(df: DataFrame, keys: list[str], sample: str, columns: list[str]) -> DataFrame:
-    """Range over samples of each column's p10, p50 and p90."""
-    q = exact_quantiles(long_form(df, [*keys, sample], columns), [*keys, sample, "column_name"], "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
-    return q.groupBy(*keys, "column_name").agg(*[f(p).alias(f"{p}_{n}") for p in ("p10", "p50", "p90") for n, f in (("min", F.min), ("max", F.max))])
+    """Range over samples of each column's p10, p50 and p90; columns without finite values have no row."""
+    q = column_quantiles(df, [*keys, sample], columns, RANKS).where("p50 is not null")
+    return q.groupBy(*keys, "column_name").agg(*[f(p).alias(f"{p}_{n}") for p in RANKS for n, f in (("min", F.min), ("max", F.max))])
 
 
 def dead_and_sparse(profile: DataFrame) -> DataFrame:

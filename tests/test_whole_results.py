@@ -1,5 +1,6 @@
 """Nothing is dropped by default, and per-bar lookups stay linear."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -90,3 +91,33 @@ def test_one_outlier_does_not_fill_a_bucket(spark):
     assert sizes.agg(F.max("n")).first()[0] < 0.05 * 2001
     got = {r.k: (r.lo, r.mid) for r in exact_quantiles(d, ["k"], "x", {"lo": 0.1, "mid": 0.5}).collect()}
     assert got == {"a": (200 / 2000.0, 1000 / 2000.0), "b": (5.0, 5.0)}
+
+
+def test_quantiles_of_many_columns_equal_plain_ones(spark):
+    """Ties, nulls, infinities, a constant, a lone value and extremes; tiny accuracies force brackets that must open, tiny widths several blocks."""
+    import numpy as np
+    from barflow.functions.quantiles import column_quantiles
+    rng = random.Random(5)
+    rows = []
+    for k, n in (("a", 3000), (None, 700), ("c", 1)):
+        for i in range(n):
+            rows.append((k, rng.gauss(0, 1), float(rng.choice([0, 0, 0, 1])), None if i % 3 else float(i), rng.choice([float("nan"), float("inf"), 2.5]), 7.0,
+                         None, rng.choice([-1e308, 1e308, 0.0, -0.0, 1e-300]), int(rng.paretovariate(0.3)) % 10 ** 9))
+    names = ["u", "v", "w", "x", "y", "z", "t", "i"]
+    df = spark.createDataFrame(rows, "k string, " + ", ".join(f"{n} double" for n in names[:-1]) + ", i long").repartition(5)
+    probs = {"lo": 0.0, "p10": 0.1, "p50": 0.5, "p97": 0.97, "hi": 1.0}
+    for accuracy, width, buckets in ((10000, 32, 1024), (7, 3, 2)):
+        got = {(r.k, r.column_name): r for r in column_quantiles(df, ["k"], names, probs, lambda v, x: {"n": F.count(x)}, accuracy, buckets, width).collect()}
+        assert len(got) == 3 * len(names)
+        for k in ("a", None, "c"):
+            for c, name in enumerate(names):
+                own = np.array([r[c + 1] for r in rows if r[0] == k and r[c + 1] is not None], dtype=float)
+                own = np.sort(own[np.isfinite(own)])
+                r = got[k, name]
+                assert r.n == len(own)
+                for p, q in probs.items():
+                    h = q * (len(own) - 1)
+                    want = None if not len(own) else own[int(np.floor(h))] + (own[int(np.ceil(h))] - own[int(np.floor(h))]) * (h - np.floor(h))
+                    assert r[p] == want or abs(r[p] - want) <= 1e-12 * abs(want), (accuracy, k, name, p)
+    assert column_quantiles(df.limit(0), [], ["u", "i"], probs).collect() == []
+    assert {r.column_name: r.p50 for r in column_quantiles(df.where("k = 'c'"), [], ["u", "z"], probs).collect()} == {"u": rows[-1][1], "z": None}
