@@ -253,14 +253,18 @@ def _day_prefix(trades: DataFrame, amount: Column, slice_minutes: int = 1) -> Da
             .drop("_amt", "_slice", "_offset"))
 
 
+def numbered_bars(trades: DataFrame, p: dict) -> DataFrame:
+    """Bars of trades that carry their ``bar_id`` within (symbol, session_date)."""
+    keys = ["symbol", "session_date", "bar_id"]
+    folded = _fold_levels(_price_levels(trades, keys, p), keys, p)
+    return _bar_projection(folded, F.col("first_print.ts_event"), F.col("first_print.seq"), p)
+
+
 def _bucket_bars(ticks: DataFrame, amount: Column, threshold: int, p: dict) -> DataFrame:
     if int(threshold) <= 0:
         raise ValueError("bar threshold must be positive")
     trades = ticks.filter(F.col("action") == "T").withColumn("session_date", eastern_date(F.col("ts_event")))
-    keyed = _day_prefix(trades, amount).withColumn("bar_id", _div(F.col("running_total") - 1, int(threshold)))
-    keys = ["symbol", "session_date", "bar_id"]
-    folded = _fold_levels(_price_levels(keyed, keys, p), keys, p)
-    return _bar_projection(folded, F.col("first_print.ts_event"), F.col("first_print.seq"), p)
+    return numbered_bars(_day_prefix(trades, amount).withColumn("bar_id", _div(F.col("running_total") - 1, int(threshold))), p)
 
 
 def volume_bars(ticks: DataFrame, threshold: int, params: dict | None = None) -> DataFrame:

@@ -649,6 +649,24 @@ add("streaming_bars", f"symbol:s session_date:D ts_event:t {_FULL}", lambda x: _
 add("windowed_bars", f"symbol:s session_date:D ts_event:t {_FULL}", lambda x: _texts(B.windowed_bars(x.ticks, "60m")), f"SELECT * EXCLUDE (vap_prices, vap_volumes), {_VAPS} FROM b")
 
 
+def _stream_numbered(x, config: str):
+    """Like ``_stream_bars``, for bars of so many units or trades; a bar may take its trades from two slices."""
+    src, out, ck = (_stored_store(x, n) for n in ("tradesrc", "numberedbars", "numberedck"))
+    at = F.dayofmonth("ts_event") * 24 + F.hour("ts_event")
+    for part in (x.ticks.filter(at <= 254), x.ticks.filter((at > 254) & (at <= 495)), x.ticks.filter(at > 495), x.ticks.filter(at <= 72)):
+        part.write.mode("append").parquet(src)
+        S.run_numbered_bar_stream(x.spark.readStream.schema(x.ticks.schema).parquet(src), config, out, ck).awaitTermination()
+    return x.spark.read.parquet(out)
+
+
+# A bar has closed where a trade of the next bar, or the end of its day (midnight in New York, five hours behind), is not after the watermark.
+for _n, _cfg, _tag in (("streaming_volume_bars", "vol_500", "v"), ("streaming_tick_bars", "tick_10", "t")):
+    add(_n, f"symbol:s session_date:D ts_event:t seq:i {_FULL}", lambda x, c=_cfg: _texts(_stream_numbered(x, c)), f"""
+SELECT * EXCLUDE (vap_prices, vap_volumes), {_VAPS} FROM (
+  SELECT *, coalesce(lead(ts_event) OVER (PARTITION BY symbol, session_date ORDER BY ts_event, seq), CAST(session_date + 1 AS TIMESTAMP) + INTERVAL 5 HOUR) AS closed_at FROM bars_{_tag})
+WHERE closed_at <= date_trunc('millisecond', (SELECT w FROM wm))""")
+
+
 def _streamed(x):
     """(log table, trial counts by batch) that a stream of the log, a third of it sent twice, has written; every batch came twice, as after a lost commit."""
     src, out, parts, ck = (_stored_store(x, n) for n in ("logsrc", "streamlog", "streamparts", "logck"))

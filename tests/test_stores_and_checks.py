@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from barflow.functions import ranks as R
 from barflow.functions import windows as W
+from barflow.operators import bars as B
 from barflow.operators import edge as E
 from barflow.operators import logstats as G
 from barflow.operators import stats as T
 from barflow.sources import explog as X
 from barflow.sources import store as D
+from barflow.sources import ticks as K
 from barflow.streaming import jobs as S
 
 
@@ -71,6 +73,42 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert S.counted_trials(spark.read.parquet(parts)).first() == G.trial_counts(rows).first()
 
 
+def _same_bars(a, b):
+    cols = [c for c in B.BAR_COLUMNS if c in a.columns]
+    return sorted(map(str, a.select("symbol", *cols).collect())) == sorted(map(str, b.select("symbol", *cols).collect())) and len(cols) > 40
+
+
+@pytest.mark.parametrize("config", ["vol_20", "tick_3"])
+def test_streamed_volume_and_tick_bars_close_in_order(spark, tmp_path, config):
+    """Trades out of order within the lateness, null quotes, other messages, a summer day that ends at 04:00 UTC, and trades that come too late."""
+    rng, start = random.Random(8), datetime(2024, 7, 15, 13)
+    rows = []
+    for i in range(240):
+        t = start + timedelta(minutes=4 * i, microseconds=i % 7)
+        quote = (None,) * 6 if i % 5 == 0 else (99.75, 100.25, 10 + i, 8, 3, 2)
+        rows.append((f"S{i % 2}", t, t + timedelta(microseconds=5), i, "A" if i % 11 == 0 else "T", rng.choice("AB"), rng.randint(1, 9), 100 + rng.randint(0, 8) / 4, *quote))
+    end = start + timedelta(days=3)
+    last = ("S9", end, end, 999, "T", "A", 1, 100.0, *(None,) * 6)
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+
+    def feed(part):
+        spark.createDataFrame(part, K.TICKS).coalesce(1).write.mode("append").parquet(src)
+        S.run_numbered_bar_stream(spark.readStream.schema(spark.createDataFrame([], K.TICKS).schema).parquet(src), config, out, ck, "30 minutes").awaitTermination()
+        return spark.read.parquet(out)
+    slices = [rows[:100], rows[100:160], rows[160:]]
+    slices[0][97:], slices[1][:3] = slices[1][:3], slices[0][97:]  # twelve minutes of trades swap their files
+    whole, seen = B.build_bars(spark.createDataFrame(rows, K.TICKS), config), 0
+    for part in slices:
+        rng.shuffle(part)
+        n = feed(part).count()
+        assert seen < n < whole.count()
+        seen = n
+    assert _same_bars(feed([last]), whole)
+    assert _same_bars(feed(rows[:50]), whole)
+    with pytest.raises(ValueError):
+        S.closed_bar_trades(spark.createDataFrame(rows, K.TICKS), "time_5m")
+
+
 def test_unavailable_deflated_sharpe_is_zero_and_fails_its_gate(spark):
     rows = [("two", 1.0), ("two", 2.0), *[("flat", 3.0)] * 4, ("none", None), ("none", float("nan")), *[("good", float(v)) for v in (1, 2, 3, 2, 4)]]
     d = T.deflated_sharpe(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", 5)
