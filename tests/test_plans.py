@@ -98,3 +98,10 @@ def test_stored_matrix_is_warmed_up_over_long_gaps(spark):
     for name in names[4:]:
         got, want = ([r[name] for r in m] for m in rows)
         assert got == pytest.approx(want), name
+
+
+def test_matrix_blocks_name_every_column_once(bars):
+    matrix = P.feature_matrix(bars, include_bar_columns=True).columns
+    named = [c for n, q in QUERIES.items() if n.startswith("matrix_block_") for c, _ in q.spec[4:]]
+    assert sorted(named) == sorted(set(matrix) - {"symbol", "session_date", "ts_event", "seq"}) and len(named) > 200
+    assert not [n for n in QUERIES if n.startswith("_")]
