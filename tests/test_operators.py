@@ -173,3 +173,10 @@ def test_adaptive_gauntlet_runs(spark):
     r = G.walk_forward_folds(df, ["symbol"], 3, adaptive=True).orderBy("fold").collect()
     assert [x.fold for x in r] == [1, 2, 3] and sum(x.trade_count for x in r) > 0
     assert G.decay_test(df, ["symbol"], 4, adaptive=True).first().chunk_count == 4
+
+
+def test_class_split_takes_the_share_as_written(spark):
+    rows = spark.range(1460 + 55 + 1).select(F.expr("case when id < 1460 then 0 when id < 1515 then 1 else 2 end").alias("label"), F.col("id").alias("x"))
+    got = {r.label: r.n for r in S.class_split(rows, "label", ["x"]).groupBy("label").agg(F.count_if("fit").alias("n")).collect()}
+    assert got == {0: 1022, 1: 38, 2: 1}
+    assert S.class_split(rows.where("x < 50"), "label", ["x"], 0.58).agg(F.count_if("fit")).first()[0] == 29
