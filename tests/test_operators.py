@@ -180,3 +180,9 @@ def test_class_split_takes_the_share_as_written(spark):
     got = {r.label: r.n for r in S.class_split(rows, "label", ["x"]).groupBy("label").agg(F.count_if("fit").alias("n")).collect()}
     assert got == {0: 1022, 1: 38, 2: 1}
     assert S.class_split(rows.where("x < 50"), "label", ["x"], 0.58).agg(F.count_if("fit")).first()[0] == 29
+
+
+def test_adversarial_report_validates_on_three_tenths_of_each_side(spark):
+    rows = spark.range(360).select(*[F.rand(k).alias(f"f{k}") for k in range(3)])
+    report = S.adversarial_validation(rows, rows, ["f0", "f1", "f2"], trees=2)[0].first()
+    assert (report.used, report.train_rows, report.holdout_rows, report.validation_rows) == (True, 360, 360, 216)
