@@ -106,16 +106,27 @@ def fitted_strategy(df: DataFrame, folds: DataFrame, n_folds: int, estimator, da
     return out
 
 
+#: Gaps of close and EMA that are rounding noise.
+FLAT = 1e-12
+
+
 def ema_turn(df: DataFrame, params: dict | None = None, keys: tuple[str, ...] = ("symbol", "session_date")) -> DataFrame:
-    """Example: long when the close crosses above its EMA, short when it crosses below."""
+    """Example: long when the close crosses above its EMA, short when it crosses below.
+
+    The gap of close and EMA is summed up from the changes of the close, so it is zero, not rounding noise, while the close
+    stands still; gaps of at most ``FLAT`` count as zero, where changes cancel each other.
+    """
     span = int((params or {}).get("span", 8))
+    alpha = 2.0 / (span + 1)
     w = Window.partitionBy(*keys).orderBy(*BAR_ORDER)
-    out = with_ewm(df, {"_ema": ("close", 2.0 / (span + 1), 1)}, list(keys), list(BAR_ORDER))
-    out = out.withColumn("_gap", F.col("close") - F.col("_ema"))
+    out = df.withColumn("_move", F.coalesce(F.col("close") - F.lag("close").over(w), F.lit(0.0)))
+    out = with_ewm(out, {"_ema": ("_move", alpha, 1)}, list(keys), list(BAR_ORDER))
+    gap = F.col("_ema") * ((1 - alpha) / alpha)
+    out = out.withColumn("_gap", F.when(F.abs(gap) > FLAT, gap).otherwise(0.0))
     before = F.coalesce(F.lag("_gap").over(w), F.lit(0.0))
     out = out.withColumn("_before", before)
     return out.withColumn("signal", signal_from_conditions((F.col("_before") <= 0) & (F.col("_gap") > 0),
-                                                           (F.col("_before") >= 0) & (F.col("_gap") < 0))).drop("_ema", "_gap", "_before")
+                                                           (F.col("_before") >= 0) & (F.col("_gap") < 0))).drop("_move", "_ema", "_gap", "_before")
 
 
 MIN_PREFIX = 32

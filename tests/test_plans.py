@@ -105,3 +105,15 @@ def test_matrix_blocks_name_every_column_once(bars):
     named = [c for n, q in QUERIES.items() if n.startswith("matrix_block_") for c, _ in q.spec[4:]]
     assert sorted(named) == sorted(set(matrix) - {"symbol", "session_date", "ts_event", "seq"}) and len(named) > 200
     assert not [n for n in QUERIES if n.startswith("_")]
+
+
+def test_ema_turn_takes_rounding_noise_for_no_gap(spark):
+    """Closes that stand still, at any price, and closes that meet their EMA exactly: no gap, so no signal before the next real move."""
+    flat = [("flat", p, i) for i, p in enumerate([51234.7] * 40 + [51234.8])]
+    # From 100 up by 9 ticks the gap is 7 ticks; down by 7 ticks the close is its EMA; then it falls, and rises through it.
+    met = [("met", p, i) for i, p in enumerate([100.0, 102.25, 100.5, 100.25, 104.0])]
+    even = [("even", 100.0 + 0.25 * k, 100 * k + i) for k in range(40) for i in range(24)]
+    df = spark.createDataFrame(flat + met + even, "symbol string, close double, seq int").withColumns(
+        {"session_date": F.expr("case when symbol = 'even' then seq div 100 else 0 end"), "ts_event": F.timestamp_seconds("seq")})
+    got = {k: [r.signal for r in U.ema_turn(df).where(F.col("symbol") == k).orderBy("seq").collect()] for k in ("flat", "met", "even")}
+    assert got == {"flat": [0] * 40 + [1], "met": [0, 1, 0, -1, 1], "even": [0] * 960}
