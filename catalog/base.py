@@ -76,26 +76,27 @@ def _sql_col(name: str, kind: str) -> str:
     return f'CAST("{name}" AS {"BIGINT" if kind == "i" else "VARCHAR"}) AS "{name}"'
 
 
-def with_ctes(sql: str) -> str:
-    """Prefix ``sql`` with the shared CTEs it mentions, directly or through other CTEs."""
+def with_ctes(sql: str, own: dict[str, str] | None = None) -> str:
+    """Prefix ``sql`` with the CTEs it mentions, directly or through other CTEs: the shared ones, or its ``own`` in their place."""
+    ctes = CTES | (own or {})
     need: set[str] = set()
     todo = [sql]
     while todo:
         words = set(re.findall(r"[A-Za-z_]\w*", todo.pop()))
-        for n in words & CTES.keys() - need:
+        for n in words & ctes.keys() - need:
             need.add(n)
-            todo.append(CTES[n])
-    parts = [f"{n} AS ({CTES[n]})" for n in CTES if n in need]
+            todo.append(ctes[n])
+    parts = [f"{n} AS ({ctes[n]})" for n in ctes if n in need]
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + sql
 
 
-def add(name: str, spec: str, build: Callable[[Inputs], DataFrame], sql: str | None = None) -> None:
+def add(name: str, spec: str, build: Callable[[Inputs], DataFrame], sql: str | None = None, ctes: dict[str, str] | None = None) -> None:
     if name in QUERIES:
         raise ValueError(f"duplicate query {name}")
     cols = [tuple(item.rsplit(":", 1)) for item in spec.split()]
     text = None
     if sql is not None:
-        text = with_ctes(f"SELECT {', '.join(_sql_col(n, k) for n, k in cols)} FROM ({sql}) AS result_rows")
+        text = with_ctes(f"SELECT {', '.join(_sql_col(n, k) for n, k in cols)} FROM ({sql}) AS result_rows", ctes)
     QUERIES[name] = Query(cols, build, text)
 
 

@@ -9,6 +9,7 @@ from barflow.operators import profiling as P
 
 from .base import CTES, add
 from .edge_queries import edge_bars
+from .feature_queries import fr
 
 SAMPLE = ["symbol", "session_date"]
 # brief, pos, feature, op, role, parameters of the comparison or of both bounds
@@ -83,8 +84,31 @@ def feasible(x, requested=None):
     return C.feasibility(condition_bars(x), briefs(x), SAMPLE, requested).withColumn("is_binary_like", F.coalesce(F.col("is_binary_like").cast("int"), F.lit(-1)))
 
 
+
+
+def _changed(name: str, old: str, new: str) -> str:
+    if old not in CTES[name]:
+        raise ValueError(f"{name} does not hold {old}")
+    return CTES[name].replace(old, new)
+
+
+def _places(*columns: str) -> str:
+    """Columns at six places, half away from zero by their decimal text, as Spark rounds: ``round`` of DuckDB goes by the double, which may lie below a half."""
+    return "REPLACE (" + ", ".join(f"CAST(CAST(CAST({c} AS VARCHAR) AS DECIMAL(38, 6)) AS DOUBLE) AS {c}" for c in columns) + ")"
+
+
+# Returns as the query documents them: (close - before) / before, of which 102 after 100 is 0.02, while 102 / 100 - 1 lies above that bound; their sums from the
+# oldest bar on; and days of New York, which is five hours behind in winter only.
+_DAY = "CAST(timezone('America/New_York', {0} AT TIME ZONE 'UTC') AS DATE)"
+_START = "make_timestamp(bar_id * 3600000000)"
+_EXACT = {
+    "ticks": _changed("ticks", "CAST(ts - INTERVAL 5 HOUR AS DATE)", _DAY.format("ts")),
+    "bars_60": _changed("bars_60", f"CAST({_START} - INTERVAL 5 HOUR AS DATE)", _DAY.format(_START)),
+    "mom1": _changed("mom1", "close / lag(close) OVER s - 1", "(close - lag(close) OVER s) / lag(close) OVER s"),
+    "mom": _changed("mom", f"sum(return_1bar) OVER {fr(5)} AS return_5bar", f"CASE WHEN count(return_1bar) OVER {fr(5)} > 0 THEN "
+                    + " + ".join(f"coalesce(lag(return_1bar, {n}) OVER s, 0)" for n in (4, 3, 2, 1, 0)) + " END AS return_5bar")}
 add("condition_pass_through", f"symbol:s {IDENTITY} pos:i pass_count:i finite_count:i total_count:i combined_count:i pass_rate_pct:d severity:s",
-    lambda x: C.pass_through(condition_bars(x), briefs(x), ["symbol"]), _through("symbol"))
+    lambda x: C.pass_through(condition_bars(x), briefs(x), ["symbol"]), f"SELECT * {_places('pass_rate_pct')} FROM ({_through('symbol')})", _EXACT)
 add("condition_feasibility", f"symbol:s session_date:D {IDENTITY} pos:i pass_count:i finite_count:i combined_count:i total_count:i severity:s status:s p02:d p10:d p50:d p90:d p98:d "
     "is_binary_like:i", feasible, "SELECT * FROM fz")
 

@@ -117,3 +117,21 @@ def test_ema_turn_takes_rounding_noise_for_no_gap(spark):
         {"session_date": F.expr("case when symbol = 'even' then seq div 100 else 0 end"), "ts_event": F.timestamp_seconds("seq")})
     got = {k: [r.signal for r in U.ema_turn(df).where(F.col("symbol") == k).orderBy("seq").collect()] for k in ("flat", "met", "even")}
     assert got == {"flat": [0] * 40 + [1], "met": [0, 1, 0, -1, 1], "even": [0] * 960}
+
+
+@pytest.mark.parametrize("name", ["condition_pass_through"])
+def test_conditions_at_their_bounds_equal_the_sql(spark, tmp_path, name):
+    """Closes two per cent apart and returns that cancel out, sessions in summer, and quantiles at a half of the last place."""
+    paths = [(400, 408), (400, 408, 408), (406, 420, 435, 420, 405), (420, 400, 420, 440, 418)]
+    rows = [(symbol, f"2024-0{month}-{day + 2:02d} {1 + hour:02d}:30:00", level / 4 - 100, 10)
+            for month in (1, 7) for day, path in enumerate(paths) for symbol in range(4) for hour, level in enumerate(path)]
+    rows += [(0, f"2024-01-20 {hour:02d}:00:0{i}", 1.0, size) for hour in (10, 11, 12) for i, size in enumerate((340, 299))]  # 41 / 640 = 0.0640625
+    events = spark.createDataFrame([(2 * i + 1000 if i < len(rows) - 6 else i, *r) for i, r in enumerate(rows)], "event_id long, user_id long, at string, value double, size int")
+    assert len(rows) % 2 == 0
+    events = events.select("event_id", F.to_timestamp("at").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("purchase").alias("event_type"), "value",
+                           F.format_string('{"k": %d}', F.col("size") - 1).alias("props"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = run(name, spark, str(tmp_path)).toPandas()
+    con = duck(str(tmp_path / "none"))
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert len(got) and difference(got, con.execute(QUERIES[name].sql).df()) is None
