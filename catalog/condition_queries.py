@@ -110,7 +110,7 @@ _EXACT = {
 add("condition_pass_through", f"symbol:s {IDENTITY} pos:i pass_count:i finite_count:i total_count:i combined_count:i pass_rate_pct:d severity:s",
     lambda x: C.pass_through(condition_bars(x), briefs(x), ["symbol"]), f"SELECT * {_places('pass_rate_pct')} FROM ({_through('symbol')})", _EXACT)
 add("condition_feasibility", f"symbol:s session_date:D {IDENTITY} pos:i pass_count:i finite_count:i combined_count:i total_count:i severity:s status:s p02:d p10:d p50:d p90:d p98:d "
-    "is_binary_like:i", feasible, "SELECT * FROM fz")
+    "is_binary_like:i", feasible, f"SELECT * {_places('p02', 'p10', 'p50', 'p90', 'p98')} FROM fz", _EXACT)
 
 
 def _sets(d, names):

@@ -119,7 +119,7 @@ def test_ema_turn_takes_rounding_noise_for_no_gap(spark):
     assert got == {"flat": [0] * 40 + [1], "met": [0, 1, 0, -1, 1], "even": [0] * 960}
 
 
-@pytest.mark.parametrize("name", ["condition_pass_through"])
+@pytest.mark.parametrize("name", ["condition_pass_through", "condition_feasibility"])
 def test_conditions_at_their_bounds_equal_the_sql(spark, tmp_path, name):
     """Closes two per cent apart and returns that cancel out, sessions in summer, and quantiles at a half of the last place."""
     paths = [(400, 408), (400, 408, 408), (406, 420, 435, 420, 405), (420, 400, 420, 440, 418)]
