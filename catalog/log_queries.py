@@ -667,25 +667,48 @@ SELECT * EXCLUDE (vap_prices, vap_volumes), {_VAPS} FROM (
 WHERE closed_at <= date_trunc('millisecond', (SELECT w FROM wm))""")
 
 
-def _streamed(x):
-    """(log table, trial counts by batch) that a stream of the log, a third of it sent twice, has written; every batch came twice, as after a lost commit."""
+#: Rows of the log that arrive before the stream runs again; a day's rows are never parted.
+ARRIVING = 8_000_000
+_TRIAL_COLUMNS = ["event", "strategy_id", "strategy_name", "params"]
+_OUTCOME_COLUMNS = ["event", "setup_key", "theme_tag", "bar_config", "search_result", "selection_result"]
+
+
+def _slices(rows):
+    """Filters that cut ``rows`` into slices of whole days in order, as many days at once as hold ``ARRIVING`` rows, one at least."""
+    day = F.to_date("timestamp")
+    starts, held = [], 0
+    for r in rows.groupBy(day.alias("day")).count().orderBy("day").collect():  # one row a day
+        if held and held + r["count"] > ARRIVING:
+            starts.append(r.day)
+            held = 0
+        held += r["count"]
+    late = [F.coalesce(day >= F.lit(d), F.lit(False)) for d in starts]
+    return [lower & ~upper for lower, upper in zip([F.lit(True), *late], [*late, F.lit(False)])]
+
+
+def _streamed(x, columns, counted: bool = False):
+    """(log table, trial counts by batch) that a stream of the log's ``columns``, a third of it sent twice, has written; every batch came twice, as after a lost commit.
+
+    The log arrives in slices of days, so the stream's state holds the ids of a slice and of the day before it, not those of the whole log.
+    """
     src, out, parts, ck = (_stored_store(x, n) for n in ("logsrc", "streamlog", "streamparts", "logck"))
-    rows = log(x)
-    rows.unionByName(rows.filter("seq % 3 = 0")).write.parquet(src)
-    stream = x.spark.readStream.schema(rows.schema).parquet(src)
-    sink = S.batch_sink(out, parts)
-    S.run_log_stream(stream, ck, lambda df, i: [sink(df, i) for _ in range(2)]).awaitTermination()
-    return x.spark.read.parquet(out), x.spark.read.parquet(parts)
+    rows = log(x).select("event_id", "timestamp", "seq", *columns)
+    sent = rows.withColumn("sent", F.explode(F.expr("if(seq % 3 = 0, array(1, 2), array(1))"))).drop("sent")
+    sink = S.batch_sink(out, parts if counted else None)
+    for part in _slices(sent):
+        sent.where(part).write.mode("append").parquet(src)
+        S.run_log_stream(x.spark.readStream.schema(rows.schema).parquet(src), ck, lambda df, batch: [sink(df, batch) for _ in range(2)]).awaitTermination()
+    return x.spark.read.parquet(out), x.spark.read.parquet(parts) if counted else None
 
 
-def _streamed_log(x):
-    return _streamed(x)[0].drop("batch")
+def _streamed_log(x, columns):
+    return _streamed(x, columns)[0].drop("batch")
 
 
 def _stream_log(x):
-    return _streamed_log(x).groupBy("event").agg(F.count(F.lit(1)).alias("rows_kept"), F.countDistinct("event_id").alias("distinct_ids"))
+    return _streamed_log(x, ["event"]).groupBy("event").agg(F.count(F.lit(1)).alias("rows_kept"), F.countDistinct("event_id").alias("distinct_ids"))
 
 
-add("streaming_trial_counts", "raw_trials:i unique_strategies:i family_count:i effective_trials:i", lambda x: S.counted_trials(_streamed(x)[1]), TRIALS_SQL)
-add("streaming_setup_scorecard", f"setup_key:s {SC}", lambda x: G.scorecard(G.with_outcome(_streamed_log(x)), ["setup_key"]), _sc_sql("setup_key"))
+add("streaming_trial_counts", "raw_trials:i unique_strategies:i family_count:i effective_trials:i", lambda x: S.counted_trials(_streamed(x, _TRIAL_COLUMNS, True)[1]), TRIALS_SQL)
+add("streaming_setup_scorecard", f"setup_key:s {SC}", lambda x: G.scorecard(G.with_outcome(_streamed_log(x, _OUTCOME_COLUMNS)), ["setup_key"]), _sc_sql("setup_key"))
 add("streaming_log_dedup", "event:s rows_kept:i distinct_ids:i", _stream_log, "SELECT ev AS event, count(*) AS rows_kept, count(*) AS distinct_ids FROM lge GROUP BY ev")

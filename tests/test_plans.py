@@ -135,3 +135,20 @@ def test_conditions_at_their_bounds_equal_the_sql(spark, tmp_path, name):
     con = duck(str(tmp_path / "none"))
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert len(got) and difference(got, con.execute(QUERIES[name].sql).df()) is None
+
+
+def test_a_log_stream_holds_the_ids_of_few_days(spark, monkeypatch):
+    from catalog import log_queries as Q
+    held, start = [], Q.S.run_log_stream
+
+    def watched(*args):
+        held.append(start(*args))
+        return held[-1]
+    monkeypatch.setattr(Q, "ARRIVING", 300, raising=False)
+    monkeypatch.setattr(Q.S, "run_log_stream", watched)
+    con = duck(SF)
+    for name in ("streaming_trial_counts", "streaming_setup_scorecard", "streaming_log_dedup"):
+        held.clear()
+        assert difference(run(name, spark, SF).toPandas(), con.execute(QUERIES[name].sql).df()) is None
+        peak = max(o.numRowsTotal for q in held for p in q.recentProgress for o in p.stateOperators)
+        assert sum(p.numInputRows for q in held for p in q.recentProgress) > 1300 and peak < 700, peak
